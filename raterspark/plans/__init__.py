@@ -11,6 +11,7 @@ import importlib
 
 _MODULES = [
     "raterspark.plans.votes",
+    "raterspark.plans.ratings",
 ]
 
 
