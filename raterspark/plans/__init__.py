@@ -12,6 +12,7 @@ import importlib
 _MODULES = [
     "raterspark.plans.votes",
     "raterspark.plans.ratings",
+    "raterspark.plans.linkage_q",
 ]
 
 

@@ -18,6 +18,12 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# Extra settings for a local single-JVM run (tests, bench): the driver is the executor.
+LOCAL_CONF = {
+    "spark.driver.memory": "16g",
+    "spark.sql.files.maxPartitionBytes": "64m",
+}
+
 
 def build_session(
     master: str | None = None,
@@ -33,6 +39,8 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
