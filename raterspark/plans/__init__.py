@@ -13,6 +13,7 @@ _MODULES = [
     "raterspark.plans.votes",
     "raterspark.plans.ratings",
     "raterspark.plans.linkage_q",
+    "raterspark.plans.coverage",
 ]
 
 
