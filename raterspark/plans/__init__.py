@@ -14,6 +14,7 @@ _MODULES = [
     "raterspark.plans.ratings",
     "raterspark.plans.linkage_q",
     "raterspark.plans.coverage",
+    "raterspark.plans.requests_q",
 ]
 
 
