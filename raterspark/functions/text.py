@@ -59,12 +59,15 @@ def _c(col: Column | str) -> Column:
 def fold_ascii(col: Column | str) -> Column:
     """Latin -> ASCII transliteration (``é`` -> ``e``, ``ß`` -> ``ss``) as built-ins.
 
-    One ``translate`` for the 1:1 letters plus a ``regexp_replace`` per multi-letter one.
+    One ``translate`` for the 1:1 letters plus a literal ``replace`` per multi-letter one.
     """
     out = F.translate(_c(col), FOLD_SRC, FOLD_DST)
+    multi = out
     for src, dst in FOLD_MULTI:
-        out = F.regexp_replace(out, src, dst)
-    return out
+        multi = F.replace(multi, F.lit(src), F.lit(dst))
+    # Most texts hold none of the multi-letter characters: one scan decides whether the
+    # literal replacements run at all.
+    return F.when(out.rlike("[" + "".join(s for s, _ in FOLD_MULTI) + "]"), multi).otherwise(out)
 
 
 def title_key(col: Column | str) -> Column:

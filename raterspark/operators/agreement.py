@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ from raterspark.functions.nulls import n_distinct_na, safe_div
 from raterspark.functions.text import tokens
 
 
+# Rater rosters up to this many names are broadcast (a few MB at most).
+MAX_BROADCAST_RATERS = 100_000
+
+
 def _struct(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
@@ -89,17 +94,26 @@ def pair_counts(
     variable: str = "variable",
     response: str = "response",
     block: int = 8,
+    roster: DataFrame | None = None,
 ) -> DataFrame:
     """Per (reader_1, reader_2, variable) with reader_1 < reader_2: items rated by both
     (``n_both``), equal non-NULL responses (``n_agree``), different non-NULL responses
     (``n_disagree``) and pairs with a NULL response (``n_na``). Pairs that share no item
     are absent. Expects at most one row per (item, reader, variable).
 
+    ``roster`` (a table with the ``reader`` column) can name the raters up front;
+    otherwise it is derived from the ratings.
+
     Plan: roster of distinct raters (small) -> slot/block per rater (broadcast) ->
     one aggregate per (item, variable, block pair) that pivots responses onto slots ->
     one aggregate per (variable, block pair) summing indicators per slot pair.
     """
-    roster = long.select(F.col(reader).alias("_reader")).distinct()
+    if roster is None:
+        # The ratings are read three times (roster size, roster, pivot): keep them.
+        long = long.persist(StorageLevel.MEMORY_AND_DISK)
+        roster = long.select(F.col(reader).alias("_reader")).distinct()
+    else:
+        roster = roster.select(F.col(reader).alias("_reader")).distinct()
     roster = roster.withColumn(
         "_ri", (F.dense_rank().over(Window.orderBy("_reader")) - 1).cast("long")
     )
@@ -110,8 +124,10 @@ def pair_counts(
     roster = roster.withColumn("_blk", (F.col("_ri") / block).cast("long").cast("int")).withColumn(
         "_slot", (F.col("_ri") % block).cast("int")
     )
-    # The roster holds one row per distinct rater; its size was just counted.
-    tagged = long.join(F.broadcast(roster), F.col(reader) == F.col("_reader"), "inner")
+    # The roster holds one row per distinct rater and its size was just counted: it is
+    # broadcast only under a fixed bound, else joined by a shuffle.
+    small = F.broadcast(roster) if n_readers <= MAX_BROADCAST_RATERS else roster
+    tagged = long.join(small, F.col(reader) == F.col("_reader"), "inner")
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_other")
     tagged = tagged.select(item, variable, response, "_blk", "_slot", other)
     lo = F.least("_blk", "_other")
@@ -161,7 +177,9 @@ def pair_counts(
     names = roster.select("_ri", "_reader")
     r1 = names.withColumnRenamed("_ri", "_i1").withColumnRenamed("_reader", "reader_1")
     r2 = names.withColumnRenamed("_ri", "_i2").withColumnRenamed("_reader", "reader_2")
-    out = flat.join(F.broadcast(r1), "_i1").join(F.broadcast(r2), "_i2")
+    if n_readers <= MAX_BROADCAST_RATERS:
+        r1, r2 = F.broadcast(r1), F.broadcast(r2)
+    out = flat.join(r1, "_i1").join(r2, "_i2")
     return out.select(
         "reader_1", "reader_2", variable, "n_both", "n_agree", "n_disagree",
         (F.col("n_both") - F.col("n_agree") - F.col("n_disagree")).alias("n_na"),

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,12 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
     long_seg = seg_side.where(F.col(f"{seg_key}_len") >= n)
     short_seg = seg_side.where(F.col(f"{seg_key}_len") < n)
     sig = _segments(long_seg, seg_key, f"{seg_key}_len", k)
-    sub = _probe_substrings(probe_side, probe_key, f"{probe_key}_len", k)
+    # The probe side is small in bytes but each key fans out to ~(2k+1)(k+1)^2 substring
+    # rows: spread its keys over all task slots before the explosion (AQE would
+    # otherwise coalesce the small distinct result into one partition).
+    slots = probe_side.sparkSession.sparkContext.defaultParallelism
+    probe_spread = probe_side.repartition(slots, f"{probe_key}_id")
+    sub = _probe_substrings(probe_spread, probe_key, f"{probe_key}_len", k)
     cand_ids = sig.join(sub, ["_slen", "_i", "_h"]).select(f"{seg_key}_id", f"{probe_key}_id").distinct()
     cand = (
         cand_ids.join(lk.select("_lk", "_lk_id"), "_lk_id")
@@ -122,18 +128,47 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
     return cand.select("_lk", "_rk").unionByName(short.select("_lk", "_rk")).distinct()
 
 
+def choose_strategy(lk: DataFrame, rk: DataFrame, k: int, probe: str = "right") -> str:
+    """Pick the cheaper exact plan from key-length histograms (two small aggregates,
+    one row per length bucket): the band join verifies sum_b L_b (R_b-1 + R_b + R_b+1)
+    pairs; the segment join emits ~(2k+1)(k+1)^2 rows per probe key and k+1 per other
+    key. Verification is weighted by the mean key length (edit distance is linear in
+    length for a fixed threshold)."""
+    w = k + 1
+    lh = lk.groupBy(F.floor(F.col("_lk_len") / w).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_nl"), F.sum("_lk_len").alias("_sl"))
+    rh = rk.groupBy(F.floor(F.col("_rk_len") / w).alias("_b")).agg(F.count(F.lit(1)).alias("_nr"))
+    rh3 = rh.select(F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"), "_nr")
+    est = lh.join(rh3, "_b").agg(
+        F.sum(F.col("_nl") * F.col("_nr")).alias("pairs"),
+        F.sum(F.col("_sl") * F.col("_nr")).alias("chars"),
+    ).first()
+    band_cost = float(est["chars"] or 0) * k
+    n_probe = (rk if probe == "right" else lk).count()
+    n_seg = (lk if probe == "right" else rk).count()
+    seg_cost = (n_probe * (2 * k + 1) * (k + 1) ** 2 + n_seg * (k + 1)) * 64.0
+    return "band" if band_cost <= seg_cost else "segments"
+
+
 def fuzzy_pairs(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_dist: int,
     strategy: str = "band", probe: str = "right",
 ) -> DataFrame:
     """Distinct (left key, right key, distance) pairs within ``max_dist`` edits.
 
-    ``strategy``: 'band' or 'segments'. For 'segments', ``probe`` names the side that
+    ``strategy``: 'band', 'segments' or 'auto' (cost estimate from length histograms,
+    see :func:`choose_strategy`). For 'segments', ``probe`` names the side that
     emits substring hashes (about (2k+1)(k+1)^2 rows per key: give it the smaller side);
     the other side emits k+1 segment hashes per key.
     """
     lk = _keys(left, left_key, "_lk")
     rk = _keys(right, right_key, "_rk")
+    if strategy == "auto":
+        # The estimate and the join both read the distinct keys: keep them (spill to
+        # disk; recomputed from lineage if an executor is lost).
+        lk = lk.persist(StorageLevel.MEMORY_AND_DISK)
+        rk = rk.persist(StorageLevel.MEMORY_AND_DISK)
+        strategy = choose_strategy(lk, rk, max_dist, probe)
     if strategy == "band":
         pairs = _band_pairs(lk, rk, max_dist)
     elif strategy == "segments":

@@ -66,7 +66,7 @@ def q_fuzzy_titles_blocked(spark, sf_dir):
 def q_fuzzy_subset(spark, sf_dir):
     """C14: documents whose key is within 15 edits of a curated key."""
     left, right = _sides(spark, sf_dir)
-    return lk.fuzzy_semi(left, right, "title_clean", "match_title", MAX_DIST, strategy="segments").select("doc_id")
+    return lk.fuzzy_semi(left, right, "title_clean", "match_title", MAX_DIST, strategy="band").select("doc_id")
 
 
 UNKNOWN_PRIORITY = ["4-NOT SPECIFIED", ""]
