@@ -67,8 +67,14 @@ def topic_share_within(
         agg = df.groupingSets([[group, topic], [group]], group, topic).agg(
             F.count_distinct(item).alias("_n"), F.grouping(topic).alias("_gs")
         )
-        detail = agg.where(F.col("_gs") == 0).select(group, topic, F.col("_n").alias("n_items"))
-        totals = agg.where(F.col("_gs") == 1).select(group, F.col("_n").alias(denominator_col))
+        # The group total sits on the same aggregate's output (one row per group and
+        # topic plus one per group): a window over that small result attaches it, so
+        # the distinct aggregate runs once.
+        w = Window.partitionBy(group)
+        total = F.max(F.when(F.col("_gs") == 1, F.col("_n"))).over(w)
+        out = agg.select(group, topic, "_gs", F.col("_n").alias("n_items"), total.alias(denominator_col))
+        out = out.where(F.col("_gs") == 0).drop("_gs")
+        return out.withColumn("share", safe_div(F.col("n_items"), F.col(denominator_col)))
     else:
         detail = df.groupBy(group, topic).agg(F.count_distinct(item).alias("n_items"))
         totals = denominator.select(group, denominator_col)
