@@ -189,14 +189,21 @@ def fuzzy_join(
     fan_out: str = "all",
     strategy: str = "band",
     probe: str = "right",
+    max_ratio: float | None = None,
 ) -> DataFrame:
     """Left (or inner) join on edit distance ``<= max_dist`` keeping the distance.
 
+    ``max_ratio`` additionally requires ``dist <= max_ratio * max(len a, len b)``, so
+    short keys cannot match almost anything (the absolute threshold alone allows it).
+
     ``fan_out='all'`` keeps every match (a left row may appear several times);
     ``'best'`` keeps the closest right key per left key (ties: smallest right key).
     Left rows with a NULL key or no match keep NULL right columns under ``how='left'``.
     """
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
+    if max_ratio is not None:
+        longest = F.greatest(F.length("_lk"), F.length("_rk"))
+        pairs = pairs.where(F.col("_dist") <= F.lit(max_ratio) * longest)
     if fan_out == "best":
         pairs = pairs.groupBy("_lk").agg(
             F.min(F.struct("_dist", "_rk")).alias("_m")

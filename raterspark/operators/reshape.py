@@ -83,3 +83,8 @@ def complete_observed(counts: DataFrame, dims: Sequence[str], measure: str) -> D
         grid = grid.select("*", F.explode(values).alias(d))
     out = grid.join(counts, list(dims), "left")
     return out.withColumn(measure, F.coalesce(F.col(measure), F.lit(0)).cast("long"))
+
+
+def cols_ending(df: DataFrame, suffix: str, exclude: Sequence[str] = ()) -> list[str]:
+    """Column names ending with ``suffix`` (``select(ends_with(...), -x)``)."""
+    return [c for c in df.columns if c.endswith(suffix) and c not in set(exclude)]

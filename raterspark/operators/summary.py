@@ -109,3 +109,20 @@ def mean_se(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(F.lit(1)).alias("n")
     )
     return agg.withColumn("se", safe_div(F.col("sd"), F.sqrt(F.col("n"))))
+
+
+def freq_table(df: DataFrame, col: str, out: str = "n") -> DataFrame:
+    """``table(x)``: count per value, NULL excluded."""
+    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out))
+
+
+def percent_label(share: Column | str) -> Column:
+    """Share as a whole-percent label ("37%"); NULL stays NULL."""
+    c = F.col(share) if isinstance(share, str) else share
+    return F.when(c.isNotNull(), F.concat(F.round(c * 100).cast("long").cast("string"), F.lit("%")))
+
+
+def order_by_measure(df: DataFrame, level: str, measure: str, out: str = "level_rank") -> DataFrame:
+    """Dense rank of levels by a measure, largest first (``fct_reorder``)."""
+    w = Window.orderBy(F.col(measure).desc())
+    return df.withColumn(out, F.dense_rank().over(w))

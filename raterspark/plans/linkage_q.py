@@ -96,6 +96,15 @@ def q_waterfall(spark, sf_dir):
     return w.select("c_custkey", "priority", "priority_final", "resolved_by")
 
 
+def q_waterfall_unresolved(spark, sf_dir):
+    """K5: customers the waterfall could not resolve, with all their columns (the export
+    for manual coding), restricted to customers that have orders."""
+    cust = table(spark, sf_dir, "customer")
+    resolved = q_waterfall(spark, sf_dir)
+    with_orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return lk.unresolved(cust, resolved, "c_custkey", restrict_to=with_orders)
+
+
 # Fixed alias list of the stand-in (misspellings -> canonical name).
 NAME_FIXES = {"NATOIN_3": "NATION_3", "NATOIN_7": "NATION_7"}
 DROP_NAMES = ["", "Unknown land"]
@@ -143,6 +152,7 @@ QUERIES = {
     "fuzzy_titles_blocked": q_fuzzy_titles_blocked,
     "fuzzy_subset": q_fuzzy_subset,
     "waterfall": q_waterfall,
+    "waterfall_unresolved": q_waterfall_unresolved,
     "conform_names": q_conform_names,
 }
 
@@ -252,3 +262,9 @@ FROM kept k JOIN codes ON k.nm = codes.nm
      LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE codes.n_code IS NOT NULL""",
 }
+
+_WF_BODY = ORACLE["waterfall"].rsplit("SELECT * FROM w WHERE priority_final IS NOT NULL", 1)[0]
+ORACLE["waterfall_unresolved"] = _WF_BODY + """
+SELECT c.* FROM customer c
+WHERE c.c_custkey NOT IN (SELECT c_custkey FROM w WHERE priority_final IS NOT NULL)
+  AND c.c_custkey IN (SELECT o_custkey FROM orders)"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from raterspark.functions.text import after_first_line, first_line
 from raterspark.operators import agreement as ag
+from raterspark.operators.summary import freq_table
 from raterspark.plans.common import LINE_ORDER, LINE_ORDER_SQL, r6, table
 
 CATS = ["cat_r", "cat_o", "cat_d"]
@@ -157,6 +158,12 @@ def q_set_similarity(spark, sf_dir):
     return s.select("l_orderkey", "inter", "uni", r6("similarity").alias("similarity"))
 
 
+def q_set_similarity_table(spark, sf_dir):
+    """Frequency table of the similarity values (NULL excluded)."""
+    s = ag.set_similarity(set_lists(spark, sf_dir), "l_orderkey", "list_a", "list_b")
+    return freq_table(s.select(r6("similarity").alias("similarity")), "similarity")
+
+
 def support_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     listed = F.concat(
@@ -198,6 +205,7 @@ QUERIES = {
     "human_vs_model": q_human_vs_model,
     "disagreement_text": q_disagreement_text,
     "set_similarity": q_set_similarity,
+    "set_similarity_table": q_set_similarity_table,
     "label_support": q_label_support,
     "modal_agreement": q_modal_agreement,
 }
@@ -339,6 +347,24 @@ SELECT l_orderkey, CAST(len(list_intersect(a, b)) AS INTEGER) AS inter,
        round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0
                   THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity
 FROM t""",
+    "set_similarity_table": """
+WITH j AS (
+  SELECT l.l_orderkey, l.l_linenumber, split_part(p.p_name, ' ', 1) AS w
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+s AS (
+  SELECT l_orderkey,
+         coalesce(string_agg(DISTINCT w, ', ' ORDER BY w) FILTER (WHERE l_linenumber <= 3), '') AS list_a,
+         coalesce(string_agg(DISTINCT w, '; ' ORDER BY w) FILTER (WHERE l_linenumber > 3), '') AS list_b
+  FROM j GROUP BY l_orderkey),
+t AS (
+  SELECT list_distinct(list_filter(list_transform(string_split_regex(list_a, '\\s*[;,]\\s*'), lambda x: trim(x)), lambda x: x <> '')) AS a,
+         list_distinct(list_filter(list_transform(string_split_regex(list_b, '\\s*[;,]\\s*'), lambda x: trim(x)), lambda x: x <> '')) AS b
+  FROM s),
+v AS (
+  SELECT round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0
+                    THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity
+  FROM t)
+SELECT similarity, count(*) AS n FROM v WHERE similarity IS NOT NULL GROUP BY similarity""",
     "label_support": "WITH " + _SUPPORT + """,
 ex AS (
   SELECT DISTINCT l_orderkey, rep, trim(x) AS label

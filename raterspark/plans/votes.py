@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterspark.operators import consensus
+from raterspark.operators.reshape import cols_ending
 from raterspark.plans.common import LINE_ORDER, LINE_ORDER_SQL, r6, table
 
 VOTE_CLASSES = {"count_excluded": "A", "count_included": "R", "count_blank": ""}
@@ -80,7 +81,7 @@ def q_multilabel_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_agreement_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: unanimous / near / split shares of the level counts (Blank in, 'rod' out)."""
     ml = _multilabel(spark, sf_dir)
-    cats = {lv: f"{lv}_count" for lv in ML_LEVELS if lv != "rod"}
+    cats = {c[: -len("_count")]: c for c in cols_ending(ml, "_count", exclude=["rod_count"])}
     out = consensus.agreement_bands(ml, cats, n_replicates=5)
     return out.select(
         "category", "total", "n_0_5", "n_1_4", "n_2_3",

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,12 @@ def read_r_csv(
     return out
 
 
+def model_from_path(path_col: str = "source_file", pattern: str = r"_([^_/]+)\.csv$") -> Column:
+    """Model name taken from a per-model file name (``classification_<model>.csv``), so
+    one scan over all models' files can be grouped by model."""
+    return F.regexp_extract(F.col(path_col), pattern, 1)
+
+
 def read_response_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """JSON-lines response files as one ``value`` text column per line (parsed later
     with a fixed schema, so one malformed line cannot change the inferred schema)."""
