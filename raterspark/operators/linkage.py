@@ -200,6 +200,8 @@ def fuzzy_join(
     ``'best'`` keeps the closest right key per left key (ties: smallest right key).
     Left rows with a NULL key or no match keep NULL right columns under ``how='left'``.
     """
+    if strategy == "band" and fan_out == "all":
+        return _band_join(left, right, left_key, right_key, max_dist, how, distance_col, max_ratio)
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     if max_ratio is not None:
         longest = F.greatest(F.length("_lk"), F.length("_rk"))
@@ -213,11 +215,59 @@ def fuzzy_join(
     return out.withColumnRenamed("_dist", distance_col).drop("_lk", "_rk")
 
 
+# A fuzzy-join side is broadcast only when its measured key bytes stay under this bound.
+BROADCAST_KEY_BYTES = 256 * 1024 * 1024
+
+
+def _broadcast_if_small(df: DataFrame, key: str, limit: int = BROADCAST_KEY_BYTES) -> DataFrame:
+    """Broadcast ``df`` when one aggregate over it shows its rows and key bytes are
+    under ``limit``; otherwise leave the join to a shuffle. The check is an action over
+    this (small, curated) side only."""
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(key))).alias("b")).first()
+    size = (stats["b"] or 0) + 64 * (stats["n"] or 0)
+    return F.broadcast(df) if size <= limit else df
+
+
+def _band_sides(left, right, left_key, right_key, k):
+    w = k + 1
+    ll = F.length(F.col(left_key))
+    lb = left.withColumn("_lk_len", ll).withColumn("_b", F.floor(F.col("_lk_len") / w))
+    rl = F.length(F.col(right_key))
+    rb = right.withColumn("_rk_len", rl).withColumn(
+        "_b", F.explode(F.sequence(F.floor(F.col("_rk_len") / w) - 1, F.floor(F.col("_rk_len") / w) + 1))
+    )
+    rb = rb.withColumnRenamed("_b", "_rb")
+    cond = (
+        (F.col("_b") == F.col("_rb"))
+        & (F.abs(F.col("_lk_len") - F.col("_rk_len")) <= k)
+        & (F.levenshtein(F.col(left_key), F.col(right_key), k) >= 0)
+    )
+    return lb, rb, cond
+
+
+def _band_join(left, right, left_key, right_key, k, how, distance_col, max_ratio):
+    """Single pass: every left row probes the right rows of its neighbouring length
+    buckets with the thresholded distance as the join condition. Each side is read once;
+    when the right side is small AQE broadcasts it and the left side is never shuffled."""
+    lb, rb, cond = _band_sides(left, right, left_key, right_key, k)
+    rb = _broadcast_if_small(rb, right_key)
+    if max_ratio is not None:
+        longest = F.greatest(F.col("_lk_len"), F.col("_rk_len"))
+        cond = cond & (F.levenshtein(F.col(left_key), F.col(right_key), k) <= F.lit(max_ratio) * longest)
+    j = lb.join(rb, cond, how)
+    dist = F.when(F.col("_rk_len").isNotNull(), F.levenshtein(F.col(left_key), F.col(right_key), k))
+    return j.withColumn(distance_col, dist).drop("_lk_len", "_rk_len", "_b", "_rb")
+
+
 def fuzzy_semi(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_dist: int,
     strategy: str = "band", probe: str = "right",
 ) -> DataFrame:
     """Rows of ``left`` whose key is within ``max_dist`` edits of some right key."""
+    if strategy == "band":
+        lb, rb, cond = _band_sides(left, right.select(right_key), left_key, right_key, max_dist)
+        rb = _broadcast_if_small(rb, right_key)
+        return lb.join(rb, cond, "left_semi").drop("_lk_len", "_b")
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     hit = pairs.select(F.col("_lk")).distinct()
     return left.join(hit, F.col(left_key) == F.col("_lk"), "left_semi")
