@@ -222,3 +222,13 @@ def parse_status(block: Column | str, value: Column) -> Column:
         .when(value.isNull(), F.lit("no_key"))
         .otherwise(F.lit("ok"))
     )
+
+
+def pattern_flag(col: Column | str, pattern: str, also_equal: str | None = None, ignore_case: bool = True) -> Column:
+    """0/1 flag: the text matches ``pattern`` (case-insensitive by default) or equals
+    ``also_equal``. A NULL text gives 0 for the pattern part (``grepl`` semantics)."""
+    c = _c(col)
+    hit = F.coalesce(c.rlike(("(?i)" if ignore_case else "") + pattern), F.lit(False))
+    if also_equal is not None:
+        hit = hit | F.coalesce(c == F.lit(also_equal), F.lit(False))
+    return hit.cast("int")

@@ -165,13 +165,15 @@ def multilabel_consensus(
     labels: str,
     levels: Sequence[str],
     blank_label: str = "Blank",
+    unknown_col: str | None = None,
 ) -> DataFrame:
     """Multi-label vote: each input row is one replicate answer holding a printed list.
 
     Output per item: ``{L}_mode`` (0/1, majority of replicates, tie -> value of the first
     replicate in ``order``) and ``{L}_count`` (replicates naming L) for each level L,
-    plus ``n_reps``. Labels not in ``levels`` are ignored; a level may be absent from
-    the data (its counts are 0). A NULL answer counts as a replicate naming nothing.
+    plus ``n_reps``. Labels not in ``levels`` are ignored (``unknown_col`` names an
+    optional column counting them); a level may be absent from the data (its counts
+    are 0). A NULL answer counts as a replicate naming nothing.
 
     The one-hot step is a projection (``array_contains`` per level) because a replicate
     is one row, so the whole operator is a single partial+final aggregate on ``item``.
@@ -181,11 +183,17 @@ def multilabel_consensus(
         F.coalesce(F.array_contains(toks, F.lit(lv)), F.lit(False)).cast("int").alias(f"_f{i}")
         for i, lv in enumerate(levels)
     ]
-    one_hot = df.select(F.col(item), _struct(order).alias("_ord"), *flags)
+    extra = []
+    if unknown_col:
+        unknown = F.size(F.filter(toks, lambda t: ~t.isin(list(levels)) & (t != F.lit(""))))
+        extra.append(F.coalesce(unknown, F.lit(0)).alias("_unk"))
+    one_hot = df.select(F.col(item), _struct(order).alias("_ord"), *flags, *extra)
     aggs = [F.count(F.lit(1)).alias("n_reps")]
     for i, _ in enumerate(levels):
         aggs.append(F.sum(f"_f{i}").cast("long").alias(f"_c{i}"))
         aggs.append(F.min_by(F.col(f"_f{i}"), F.col("_ord")).alias(f"_first{i}"))
+    if unknown_col:
+        aggs.append(F.sum("_unk").cast("long").alias(unknown_col))
     per_item = one_hot.groupBy(item).agg(*aggs)
     cols = [F.col(item)]
     for i, lv in enumerate(levels):
@@ -196,6 +204,8 @@ def multilabel_consensus(
         cols.append(mode.cast("int").alias(f"{lv}_mode"))
         cols.append(c.alias(f"{lv}_count"))
     cols.append(F.col("n_reps"))
+    if unknown_col:
+        cols.append(F.col(unknown_col))
     return per_item.select(*cols)
 
 
@@ -247,3 +257,9 @@ def agreement_bands(
     out = long.rollup("category").agg(*aggs)
     props = [safe_div(F.col(f"n_{a}_{b}"), F.col("total")).alias(f"prop_{a}_{b}") for a, b in bands]
     return out.select("*", *props)
+
+
+def restrict_to(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Keep rows whose ``key`` appears in ``ids`` (a semi join; off by default in the
+    callers, where the original computed the restriction but never applied it)."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")

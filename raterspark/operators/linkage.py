@@ -380,3 +380,13 @@ def unresolved(base: DataFrame, resolved: DataFrame, key: str, restrict_to: Data
     if restrict_to is not None:
         out = out.join(restrict_to.select(key).distinct(), key, "left_semi")
     return out
+
+
+def unique_dimension(dim: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Make a dimension unique on ``key`` before joining it (first row in ``order``),
+    instead of joining and then deleting known duplicate rows."""
+    rest = [c for c in dim.columns if c != key]
+    first = dim.groupBy(key).agg(
+        F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order])).alias("_r")
+    )
+    return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])

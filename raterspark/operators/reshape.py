@@ -88,3 +88,46 @@ def complete_observed(counts: DataFrame, dims: Sequence[str], measure: str) -> D
 def cols_ending(df: DataFrame, suffix: str, exclude: Sequence[str] = ()) -> list[str]:
     """Column names ending with ``suffix`` (``select(ends_with(...), -x)``)."""
     return [c for c in df.columns if c.endswith(suffix) and c not in set(exclude)]
+
+
+def full_outer(a: DataFrame, b: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
+    """Full outer join on ``keys`` with one coalesced column per key. With
+    ``null_safe`` a NULL key matches a NULL key (as R's ``merge`` does)."""
+    renamed = b
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
+    cond = None
+    for k in keys:
+        c = a[k].eqNullSafe(renamed[f"_r_{k}"]) if null_safe else (a[k] == renamed[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    j = a.join(renamed, cond, "full")
+    for k in keys:
+        j = j.withColumn(k, F.coalesce(F.col(k), F.col(f"_r_{k}"))).drop(f"_r_{k}")
+    return j
+
+
+def expand_years(
+    df: DataFrame,
+    year_col: str,
+    repeat_col: str,
+    ranges: dict | None = None,
+    out_col: str = "year",
+    sep: str = ";",
+) -> DataFrame:
+    """One row per year of a survey: its (text) year plus its repeat years.
+
+    ``ranges`` maps literal range texts to one year ("2017 - 2021" -> "2019"). The year
+    list is ``year`` when the repeat list is missing or '', else ``year;repeats`` (a
+    missing year is written ``NA``), all whitespace removed, split on ``sep``; each
+    piece is parsed with ``try_cast`` so an unknown range gives a NULL year.
+    """
+    from raterspark.functions.nulls import paste0
+    from raterspark.operators.linkage import recode
+
+    y = recode(F.col(year_col).cast("string"), ranges or {})
+    rep = F.col(repeat_col)
+    years = F.when(rep.isNull() | (rep == ""), y).otherwise(F.concat_ws(sep, paste0(y), rep))
+    years = F.regexp_replace(years, r"\s+", "")
+    rest = [c for c in df.columns if c not in (year_col, repeat_col, out_col)]
+    out = df.select(*rest, F.explode_outer(F.split(years, sep)).alias("_y"))
+    return out.withColumn(out_col, F.col("_y").try_cast("int")).drop("_y")

@@ -126,3 +126,26 @@ def order_by_measure(df: DataFrame, level: str, measure: str, out: str = "level_
     """Dense rank of levels by a measure, largest first (``fct_reorder``)."""
     w = Window.orderBy(F.col(measure).desc())
     return df.withColumn(out, F.dense_rank().over(w))
+
+
+def label_filter(df: DataFrame, flags: Sequence[str], none_col: str, require_any_label: bool = False) -> DataFrame:
+    """Keep labelled items and drop the 'none' category.
+
+    Literal default: ``sum(flags) >= 1`` is evaluated over the WHOLE table (one scalar,
+    so rows whose flags are all 0 stay), then ``none_col != 1`` row-wise (NULL dropped).
+    ``require_any_label=True`` applies the sum test per row instead.
+    """
+    total = None
+    for c in flags:
+        total = F.col(c) if total is None else total + F.col(c)
+    any_label = df.agg(F.sum(total)).scalar() if not require_any_label else total
+    return df.where((any_label >= 1) & (F.col(none_col) != 1))
+
+
+def entity_counts(df: DataFrame, entity: str, item: str | None = None, distinct_entities: bool = False,
+                  out: str = "n") -> DataFrame:
+    """Rows per entity (item x entity incidences, a repeated entity in one item counts
+    again), or distinct items per entity with ``distinct_entities=True``."""
+    if distinct_entities and item:
+        return df.groupBy(entity).agg(F.count_distinct(item).alias(out))
+    return df.groupBy(entity).agg(F.count(F.lit(1)).alias(out))

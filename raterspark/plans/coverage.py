@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterspark.functions.nulls import if_else3, not_in, paste0, sum_strict
+from raterspark.functions.nulls import if_else3, not_in, sum_strict
+from raterspark.functions.text import pattern_flag
 from raterspark.operators import linkage as lk
 from raterspark.operators import reshape as rs
 from raterspark.operators import summary as sm
@@ -105,15 +106,9 @@ def survey_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(F.col("raw_name"))
     s = s.select(
         "o_orderkey", "o_totalprice", "o_orderpriority", *FLAGS,
-        lk.recode(year_str, YEAR_RANGES).alias("year_str"), repeated.alias("repeated"),
-        countries.alias("country"),
+        year_str.alias("year_str"), repeated.alias("repeated"), countries.alias("country"),
     )
-    all_years = F.when(
-        F.col("repeated").isNull() | (F.col("repeated") == ""), F.col("year_str")
-    ).otherwise(F.concat_ws(";", paste0("year_str"), F.col("repeated")))
-    s = s.withColumn("all_years", F.regexp_replace(all_years, r"\s+", ""))
-    s = rs.explode_tokens(s, "all_years", ";", trim=False)
-    s = s.withColumn("year", F.expr("try_cast(all_years AS INT)")).drop("all_years", "year_str", "repeated")
+    s = rs.expand_years(s, "year_str", "repeated", YEAR_RANGES, out_col="year")
     s = rs.explode_tokens(s, "country", r";\s*")
     return _conform(spark, sf_dir, s, "country")
 
@@ -124,41 +119,29 @@ def q_fact_explode_years(spark, sf_dir):
     return facts.select("o_orderkey", "country", "n_code", "year", "category")
 
 
-def _full_outer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Full outer join on a key where NULL matches NULL; one coalesced key column."""
-    b2 = b.withColumnRenamed(key, "_k2")
-    j = a.join(b2, a[key].eqNullSafe(b2["_k2"]), "full")
-    return j.withColumn(key, F.coalesce(F.col(key), F.col("_k2"))).drop("_k2")
-
-
 def _entity_base(spark, sf_dir) -> DataFrame:
     rich = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 9900).select(F.col("c_custkey").alias("o_custkey"))
     pc = paper_countries(spark, sf_dir).join(rich, "o_custkey", "left_semi")
-    # Literal whole-table test: sum(flags) >= 1 over ALL rows is one scalar, then the
-    # row-wise None != 1 (NULL None is dropped).
-    any_flag = pc.agg(F.sum(sum(F.col(c) for c in FLAGS))).scalar()
-    papers = pc.where((any_flag >= 1) & (F.col("cat_none") != 1)).groupBy("n_code").agg(
-        F.count(F.lit(1)).alias("n_papers")
-    )
+    # Literal label filter (whole-table flag sum, then None != 1) and incidence counts.
+    papers = sm.entity_counts(sm.label_filter(pc, FLAGS, "cat_none"), "n_code", out="n_papers")
     supp = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 8000)
     exposure = supp.groupBy(F.col("s_nationkey").alias("n_code")).agg(
         ((F.avg("s_acctbal") - 8000) / 50).alias("exposure")
     )
-    j = _full_outer(papers, exposure, "n_code")
+    j = rs.full_outer(papers, exposure, ["n_code"])
     return j.withColumn("n_papers", F.coalesce(F.col("n_papers"), F.lit(0)).cast("long"))
 
 
 def _survey_facts(spark, sf_dir) -> DataFrame:
     big = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 490000).select("o_orderkey")
     s = survey_rows(spark, sf_dir).join(big, "o_orderkey", "left_semi")
-    flag = (F.col("o_orderpriority").rlike("(?i)urgent") | (F.col("o_orderpriority") == "2-HIGH")).cast("int")
-    return s.withColumn("source_flag", flag)
+    return s.withColumn("source_flag", pattern_flag("o_orderpriority", "urgent", also_equal="2-HIGH"))
 
 
 def _entity_summary(spark, sf_dir) -> DataFrame:
     base = _entity_base(spark, sf_dir)
-    surveys = _survey_facts(spark, sf_dir).groupBy("n_code").agg(F.count(F.lit(1)).alias("n_surveys"))
-    j = _full_outer(base, surveys, "n_code")
+    surveys = sm.entity_counts(_survey_facts(spark, sf_dir), "n_code", out="n_surveys")
+    j = rs.full_outer(base, surveys, ["n_code"])
     j = j.withColumn("n_surveys", F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long"))
     cust = table(spark, sf_dir, "customer")
     pop = cust.groupBy(F.col("c_nationkey").alias("n_code")).agg(sum_strict("c_acctbal").alias("population"))
@@ -196,15 +179,11 @@ def q_source_split(spark, sf_dir):
     e = _entity_summary(spark, sf_dir).select("n_code", "n_papers", "r_name")
     grid = rs.with_domain(e, "source_flag", [0, 1])
     counts = _survey_facts(spark, sf_dir).groupBy("n_code", "source_flag").agg(F.count(F.lit(1)).alias("n_surveys"))
-    g2 = grid.withColumnRenamed("n_code", "_c").withColumnRenamed("source_flag", "_f")
-    j = g2.join(
-        counts, g2["_c"].eqNullSafe(counts["n_code"]) & (g2["_f"] == counts["source_flag"]), "full"
-    )
-    j = j.select(
-        F.coalesce("_c", "n_code").alias("n_code"), F.coalesce("_f", "source_flag").alias("source_flag"),
-        "n_papers", "r_name", F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long").alias("n_surveys"),
+    j = rs.full_outer(grid, counts, ["n_code", "source_flag"])
+    return j.select(
+        "n_code", "source_flag", "n_papers", "r_name",
+        F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long").alias("n_surveys"),
     )
-    return j
 
 
 def q_group_totals(spark, sf_dir):

@@ -25,9 +25,13 @@ def read_r_csv(
     sep: str = ",",
     decimal: str = ".",
     source_col: str | None = None,
+    blank_as_null: bool = False,
 ) -> DataFrame:
     """CSV with a header, read as strings and typed by ``schema`` (R missing-value rule).
 
+    ``blank_as_null=True`` reads a blank string field as NULL (the pandas reader's rule)
+    instead of ''.
+
     ``source_col`` adds the input file name, so files of several models (one per model)
     are read in one scan and grouped by a column instead of looped over.
     """
@@ -41,7 +45,11 @@ def read_r_csv(
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            cols.append(F.when(c == F.lit("NA"), F.lit(None)).otherwise(F.coalesce(c, F.lit(""))).alias(f.name))
+            blank = F.lit(None) if blank_as_null else F.lit("")
+            cols.append(
+                F.when(c == F.lit("NA"), F.lit(None)).when(c.isNull() | (c == F.lit("")), blank)
+                .otherwise(c).alias(f.name)
+            )
         else:
             txt = F.trim(c)
             if decimal != ".":

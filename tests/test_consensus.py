@@ -138,3 +138,12 @@ def test_norm_gini_zero_total_is_null(spark):
     df = spark.createDataFrame([(0, 0, 0), (2, 2, 0)], "a int, b int, c int")
     vals = [r[0] for r in df.select(cs.norm_gini(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert vals[0] is None and vals[1] == pytest.approx(0.75)
+
+
+def test_multilabel_unknown_and_restrict(spark):
+    df = spark.createDataFrame([(1, 0, "['A', 'Zed']"), (1, 1, "['A']"), (2, 0, "['B']")], "id int, pos int, answer string")
+    out = cs.multilabel_consensus(df, "id", ["pos"], "answer", ["A", "B"], unknown_col="n_unknown")
+    got = {r.id: (r.A_mode, r.n_unknown) for r in out.collect()}
+    assert got == {1: (1, 1), 2: (0, 0)}
+    ids = spark.createDataFrame([(2,)], "id int")
+    assert [r.id for r in cs.restrict_to(out, ids, "id").collect()] == [2]

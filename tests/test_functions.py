@@ -110,3 +110,9 @@ def test_balanced_block_matches_python(spark):
     assert got_lit == [tx._scan_balanced(c, True) for c in CASES]
     assert got_in[5] == '{"a": "{nested}"}'
     assert got_lit[2] is None and got_in[2] == '{"a": ["b"]}'  # apostrophe hides the block
+
+
+def test_pattern_flag(spark):
+    df = spark.createDataFrame([("Standard Eurobarometer 99",), ("Flash 123",), ("Other",), (None,)], "s string")
+    got = [r[0] for r in df.select(tx.pattern_flag("s", "eurobarometer", also_equal="Flash 123")).collect()]
+    assert got == [1, 1, 0, 0]

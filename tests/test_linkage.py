@@ -107,3 +107,17 @@ def test_apply_overrides(spark):
     dim = spark.createDataFrame([("VEN", "Lower"), ("FRA", "High")], "code string, grp string")
     ov = spark.createDataFrame([("VEN", "Upper")], "code string, grp string")
     assert rows(lk.apply_overrides(dim, ov, "code", "grp")) == [("FRA", "High"), ("VEN", "Upper")]
+
+
+def test_unique_dimension(spark):
+    dim = spark.createDataFrame([("FRA", "Europe", 2), ("FRA", "Seven seas", 1), ("ESP", "Europe", 1)],
+                                "iso string, continent string, rank int")
+    out = rows(lk.unique_dimension(dim, "iso", ["rank"]), "iso", "continent")
+    assert out == [("ESP", "Europe"), ("FRA", "Seven seas")]
+
+
+def test_fuzzy_max_ratio(spark):
+    left = spark.createDataFrame([(1, "ab"), (2, "abcdefghij")], "id int, k string")
+    right = spark.createDataFrame([(9, "xy"), (8, "abcdefghix")], "rid int, rk string")
+    out = rows(lk.fuzzy_join(left, right, "k", "rk", 15, max_ratio=0.5), "id", "rid")
+    assert out == [(1, None), (2, 8)]

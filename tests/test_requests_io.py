@@ -61,3 +61,12 @@ def test_write_requests_roundtrip(spark):
     io.write_requests(reqs, os.path.join(d, "out"))
     back = spark.read.text(os.path.join(d, "out"))
     assert sorted(json.loads(r.value)["custom_id"] for r in back.collect()) == ["1", "2"]
+
+
+def test_read_csv_blank_as_null(spark):
+    d = tempfile.mkdtemp(prefix="csv2-", dir="/tmp")
+    p = os.path.join(d, "t.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("ID,label\n1,\n2,x\n")
+    schema = T.StructType([T.StructField("ID", T.IntegerType()), T.StructField("label", T.StringType())])
+    assert rows(io.read_r_csv(spark, p, schema, blank_as_null=True)) == [(1, None), (2, "x")]
