@@ -109,7 +109,10 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
     # The probe side is small in bytes but each key fans out to ~(2k+1)(k+1)^2 substring
     # rows: spread its keys over all task slots before the explosion (AQE would
     # otherwise coalesce the small distinct result into one partition).
-    slots = probe_side.sparkSession.sparkContext.defaultParallelism
+    try:
+        slots = probe_side.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Spark Connect session)
+        slots = int(probe_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probe_spread = probe_side.repartition(slots, f"{probe_key}_id")
     sub = _probe_substrings(probe_spread, probe_key, f"{probe_key}_len", k)
     cand_ids = sig.join(sub, ["_slen", "_i", "_h"]).select(f"{seg_key}_id", f"{probe_key}_id").distinct()

@@ -15,10 +15,12 @@ def spread_narrow(df: DataFrame) -> DataFrame:
     """Spread an input that has fewer partitions than task slots (one unsplittable file,
     one row group) over all slots, so per-row work after the scan runs in parallel.
     Inputs that already have enough splits (any large table) are left as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
