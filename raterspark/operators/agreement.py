@@ -22,7 +22,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +29,9 @@ from raterspark.functions.nulls import n_distinct_na, safe_div
 from raterspark.functions.text import tokens
 
 
-# Rater rosters up to this many names are broadcast (a few MB at most).
-MAX_BROADCAST_RATERS = 100_000
+# Rater rosters up to this many names are collected and broadcast (well under 1 MB of
+# names); larger rosters stay distributed.
+MAX_BROADCAST_RATERS = 10_000
 
 
 def _struct(cols: Sequence[str]) -> Column:
@@ -108,16 +108,24 @@ def pair_counts(
     one aggregate per (item, variable, block pair) that pivots responses onto slots ->
     one aggregate per (variable, block pair) summing indicators per slot pair.
     """
-    if roster is None:
-        # The ratings are read three times (roster size, roster, pivot): keep them.
-        long = long.persist(StorageLevel.MEMORY_AND_DISK)
-        roster = long.select(F.col(reader).alias("_reader")).distinct()
+    names_df = (long if roster is None else roster).select(F.col(reader).alias("_reader")).distinct()
+    names_df = names_df.where(F.col("_reader").isNotNull())
+    # The roster is a dimension (one row per rater). Up to MAX_BROADCAST_RATERS names are
+    # collected (checked with limit) and shipped as a broadcast literal table; a larger
+    # roster stays distributed and is joined by a shuffle.
+    head = [r["_reader"] for r in names_df.limit(MAX_BROADCAST_RATERS + 1).collect()]
+    if len(head) <= MAX_BROADCAST_RATERS:
+        # Binary string order = code point order for Python str.
+        ordered = sorted(head)
+        roster = long.sparkSession.createDataFrame(
+            [(name, i) for i, name in enumerate(ordered)], "_reader string, _ri long"
+        )
+        n_readers = len(ordered)
     else:
-        roster = roster.select(F.col(reader).alias("_reader")).distinct()
-    roster = roster.withColumn(
-        "_ri", (F.dense_rank().over(Window.orderBy("_reader")) - 1).cast("long")
-    )
-    n_readers = roster.count()
+        roster = names_df.withColumn(
+            "_ri", (F.dense_rank().over(Window.orderBy("_reader")) - 1).cast("long")
+        )
+        n_readers = names_df.count()
     # One block when the roster fits: then only as many slots as raters are needed.
     block = max(1, min(block, n_readers))
     n_blocks = max(1, math.ceil(n_readers / block))

@@ -109,3 +109,14 @@ def test_modal_agreement(spark):
     got = {r.id: (r.n_reps, r.modal_agreement, r.full_agreement) for r in ag.modal_agreement(df, "id", "ans", ("Unknown",)).collect()}
     assert got[1] == (3, pytest.approx(2 / 3), False)
     assert got[2] == (1, 1.0, True)
+
+
+def test_pair_counts_large_roster_path(spark, monkeypatch):
+    # Force the distributed-roster path (no collect, no broadcast) and several blocks.
+    monkeypatch.setattr(ag, "MAX_BROADCAST_RATERS", 3)
+    rnd = random.Random(21)
+    data = _random_long(rnd, 30)
+    df = spark.createDataFrame(data, "item int, reader string, variable string, response string")
+    got = rows(ag.pair_counts(df, "item", "reader", block=2),
+               "reader_1", "reader_2", "variable", "n_both", "n_agree", "n_disagree", "n_na")
+    assert got == _brute_pairs(data)
