@@ -29,16 +29,17 @@ from pyspark.sql import functions as F
 def _keys(df: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct non-NULL keys with their length and a 64-bit id.
 
-    Signature rows carry the id, never the key text, so a long key is not copied into
-    each of its signature rows. Two keys sharing an id only add candidates, which the
-    verification removes.
+    Length and id are aggregate outputs of the distinct step, so filters and join
+    constraints on them stay above it and never drag the key expression (for example
+    text folding) into the scan filter. Signature rows carry the id, never the key text,
+    so a long key is not copied into each of its signature rows. Two keys sharing an id
+    only add candidates, which the verification removes.
     """
+    k = F.col(key)
     return (
-        df.select(F.col(key).alias(name))
-        .where(F.col(name).isNotNull())
-        .distinct()
-        .withColumn(f"{name}_len", F.length(name))
-        .withColumn(f"{name}_id", F.xxhash64(name))
+        df.groupBy(k.alias(name))
+        .agg(F.min(F.length(k)).alias(f"{name}_len"), F.min(F.xxhash64(k)).alias(f"{name}_id"))
+        .where(F.col(f"{name}_len").isNotNull())
     )
 
 
@@ -57,6 +58,27 @@ def _band_pairs(lk: DataFrame, rk: DataFrame, k: int) -> DataFrame:
     return j.select("_lk", "_rk")
 
 
+def _with_bytes(keys: DataFrame, key: str, klen: str) -> DataFrame:
+    """Add the key's bytes and an ASCII flag once per key (before any explosion)."""
+    return keys.withColumn("_kb", F.col(key).cast("binary")).withColumn(
+        "_ascii", F.octet_length(F.col(key)) == F.col(klen)
+    )
+
+
+def _piece_hash(key: str, start0: Column, length: Column) -> Column:
+    """xxhash64 of ``key[start0 : start0 + length]`` (character positions).
+
+    For an ASCII key, characters and bytes coincide and the piece is cut from the bytes
+    (constant-time offset); otherwise from the string (the offset walks the UTF-8
+    bytes). The hash of a string equals the hash of its bytes, so both paths agree.
+    """
+    pos = (start0 + 1).cast("int")
+    ln = length.cast("int")
+    return F.when(
+        F.col("_ascii"), F.xxhash64(F.substring(F.col("_kb"), pos, ln))
+    ).otherwise(F.xxhash64(F.substring(F.col(key), pos, ln)))
+
+
 def _segments(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame:
     """(len, segment index, hash) for each of the k+1 segments of every key."""
     n = k + 1
@@ -65,18 +87,15 @@ def _segments(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame:
     i = F.col("_i")
     seg_len = base + F.when(i >= F.lit(n) - rem, 1).otherwise(0)
     start = i * base + F.greatest(F.lit(0), i - (F.lit(n) - rem))
-    seg = keys.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    return seg.select(
-        f"{key}_id", F.col(klen).alias("_slen"), "_i",
-        F.xxhash64(F.substring(F.col(key), (start + 1).cast("int"), seg_len.cast("int"))).alias("_h"),
-    )
+    seg = _with_bytes(keys, key, klen).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    return seg.select(f"{key}_id", F.col(klen).alias("_slen"), "_i", _piece_hash(key, start, seg_len).alias("_h"))
 
 
 def _probe_substrings(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame:
     """Hashes of every substring of a probe key that can equal a segment of a key of
     length ``_slen`` within k edits (position-aware window)."""
     n = k + 1
-    rows = keys.withColumn(
+    rows = _with_bytes(keys, key, klen).withColumn(
         "_slen", F.explode(F.sequence(F.greatest(F.col(klen) - k, F.lit(n)), F.col(klen) + k))
     ).where(F.col("_slen") >= n)
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
@@ -91,10 +110,7 @@ def _probe_substrings(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame
     rows = rows.withColumn("_d", F.explode(F.sequence(lo, hi)))
     q = F.col("_start") + F.col("_d")
     rows = rows.where((q >= 0) & (q + F.col("_seg_len") <= F.col(klen)))
-    return rows.select(
-        f"{key}_id", "_slen", "_i",
-        F.xxhash64(F.substring(F.col(key), (q + 1).cast("int"), F.col("_seg_len").cast("int"))).alias("_h"),
-    )
+    return rows.select(f"{key}_id", "_slen", "_i", _piece_hash(key, q, F.col("_seg_len")).alias("_h"))
 
 
 def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFrame:
@@ -166,11 +182,13 @@ def fuzzy_pairs(
     """
     lk = _keys(left, left_key, "_lk")
     rk = _keys(right, right_key, "_rk")
-    if strategy == "auto":
-        # The estimate and the join both read the distinct keys: keep them (spill to
-        # disk; recomputed from lineage if an executor is lost).
+    if strategy in ("auto", "segments"):
+        # The estimate and the several branches of the segment plan all read the
+        # distinct keys: keep them (spill to disk; recomputed from lineage if an
+        # executor is lost) instead of re-deriving every key in each branch.
         lk = lk.persist(StorageLevel.MEMORY_AND_DISK)
         rk = rk.persist(StorageLevel.MEMORY_AND_DISK)
+    if strategy == "auto":
         strategy = choose_strategy(lk, rk, max_dist, probe)
     if strategy == "band":
         pairs = _band_pairs(lk, rk, max_dist)
@@ -231,19 +249,35 @@ def _broadcast_if_small(df: DataFrame, key: str, limit: int = BROADCAST_KEY_BYTE
     return F.broadcast(df) if size <= limit else df
 
 
+# Bucket of NULL keys: never emitted by the other side, so a NULL key matches nothing.
+_NULL_BUCKET = -(2**62)
+
+
 def _band_sides(left, right, left_key, right_key, k):
+    """Both sides of the single-pass band join.
+
+    The join works on non-nullable copies of the keys (``coalesce(key, '')``) and sends
+    NULL keys to a bucket the other side never has. With nullable keys Catalyst would
+    infer ``isnotnull(key)`` from the null-intolerant join condition and push the whole
+    key expression (e.g. text folding) into the scan filter, computing it twice.
+    """
     w = k + 1
-    ll = F.length(F.col(left_key))
-    lb = left.withColumn("_lk_len", ll).withColumn("_b", F.floor(F.col("_lk_len") / w))
-    rl = F.length(F.col(right_key))
-    rb = right.withColumn("_rk_len", rl).withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("_rk_len") / w) - 1, F.floor(F.col("_rk_len") / w) + 1))
+    lkey = F.coalesce(F.col(left_key), F.lit(""))
+    lb = left.withColumn("_lkey", lkey).withColumn("_lk_len", F.length("_lkey"))
+    lb = lb.withColumn(
+        "_b", F.coalesce(F.floor(F.length(F.col(left_key)) / w), F.lit(_NULL_BUCKET).cast("long"))
+    )
+    rkey = F.coalesce(F.col(right_key), F.lit(""))
+    rb = right.withColumn("_rkey", rkey).withColumn("_rk_len", F.length("_rkey"))
+    rbucket = F.floor(F.col("_rk_len") / w)
+    buckets = F.when(F.col(right_key).isNull(), F.array().cast("array<bigint>")).otherwise(
+        F.sequence(rbucket - 1, rbucket + 1)
     )
-    rb = rb.withColumnRenamed("_b", "_rb")
+    rb = rb.withColumn("_rb", F.explode(buckets))
     cond = (
         (F.col("_b") == F.col("_rb"))
         & (F.abs(F.col("_lk_len") - F.col("_rk_len")) <= k)
-        & (F.levenshtein(F.col(left_key), F.col(right_key), k) >= 0)
+        & (F.levenshtein(F.col("_lkey"), F.col("_rkey"), k) >= 0)
     )
     return lb, rb, cond
 
@@ -256,10 +290,10 @@ def _band_join(left, right, left_key, right_key, k, how, distance_col, max_ratio
     rb = _broadcast_if_small(rb, right_key)
     if max_ratio is not None:
         longest = F.greatest(F.col("_lk_len"), F.col("_rk_len"))
-        cond = cond & (F.levenshtein(F.col(left_key), F.col(right_key), k) <= F.lit(max_ratio) * longest)
+        cond = cond & (F.levenshtein(F.col("_lkey"), F.col("_rkey"), k) <= F.lit(max_ratio) * longest)
     j = lb.join(rb, cond, how)
-    dist = F.when(F.col("_rk_len").isNotNull(), F.levenshtein(F.col(left_key), F.col(right_key), k))
-    return j.withColumn(distance_col, dist).drop("_lk_len", "_rk_len", "_b", "_rb")
+    dist = F.when(F.col("_rk_len").isNotNull(), F.levenshtein(F.col("_lkey"), F.col("_rkey"), k))
+    return j.withColumn(distance_col, dist).drop("_lkey", "_rkey", "_lk_len", "_rk_len", "_b", "_rb")
 
 
 def fuzzy_semi(
@@ -270,7 +304,7 @@ def fuzzy_semi(
     if strategy == "band":
         lb, rb, cond = _band_sides(left, right.select(right_key), left_key, right_key, max_dist)
         rb = _broadcast_if_small(rb, right_key)
-        return lb.join(rb, cond, "left_semi").drop("_lk_len", "_b")
+        return lb.join(rb, cond, "left_semi").drop("_lkey", "_lk_len", "_b")
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     hit = pairs.select(F.col("_lk")).distinct()
     return left.join(hit, F.col(left_key) == F.col("_lk"), "left_semi")

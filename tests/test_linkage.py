@@ -121,3 +121,16 @@ def test_fuzzy_max_ratio(spark):
     right = spark.createDataFrame([(9, "xy"), (8, "abcdefghix")], "rid int, rk string")
     out = rows(lk.fuzzy_join(left, right, "k", "rk", 15, max_ratio=0.5), "id", "rid")
     assert out == [(1, None), (2, 8)]
+
+
+@pytest.mark.parametrize("strategy", ["band", "segments"])
+def test_fuzzy_pairs_non_ascii_equal_brute_force(spark, strategy):
+    rnd = random.Random(77)
+    alphabet = "aéßxø "
+    right = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(3, 30))) for _ in range(12)]
+    left = [_mutate(rnd, rnd.choice(right), rnd.randint(0, 4)) for _ in range(40)] + ["abc", right[1]]
+    ldf = spark.createDataFrame([(s,) for s in left], "lkey string")
+    rdf = spark.createDataFrame([(s,) for s in right], "rkey string")
+    got = rows(lk.fuzzy_pairs(ldf, rdf, "lkey", "rkey", 2, strategy=strategy), "_lk", "_rk", "_dist")
+    want = sorted({(a, b, _lev(a, b)) for a in left for b in right if _lev(a, b) <= 2})
+    assert got == want
