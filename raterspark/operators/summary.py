@@ -132,13 +132,17 @@ def label_filter(df: DataFrame, flags: Sequence[str], none_col: str, require_any
     """Keep labelled items and drop the 'none' category.
 
     Literal default: ``sum(flags) >= 1`` is evaluated over the WHOLE table (one scalar,
-    so rows whose flags are all 0 stay), then ``none_col != 1`` row-wise (NULL dropped).
-    ``require_any_label=True`` applies the sum test per row instead.
+    so rows whose flags are all 0 stay; a NULL flag anywhere makes the sum NULL and
+    drops every row, as a sum without na.rm does), then ``none_col != 1`` row-wise
+    (NULL dropped). ``require_any_label=True`` applies the sum test per row instead.
     """
     total = None
     for c in flags:
         total = F.col(c) if total is None else total + F.col(c)
-    any_label = df.agg(F.sum(total)).scalar() if not require_any_label else total
+    if require_any_label:
+        any_label = total
+    else:
+        any_label = df.agg(F.when(F.count_if(total.isNull()) == 0, F.sum(total))).scalar()
     return df.where((any_label >= 1) & (F.col(none_col) != 1))
 
 

@@ -89,3 +89,8 @@ def test_entity_counts(spark):
 def test_percent_label(spark):
     df = spark.createDataFrame([(0.374,), (None,)], "s double")
     assert [r[0] for r in df.select(sm.percent_label("s")).collect()] == ["37%", None]
+
+
+def test_label_filter_null_flag_drops_all(spark):
+    df = spark.createDataFrame([(1, 1, 0, 0), (2, None, 0, 0)], "id int, a int, b int, none int")
+    assert sm.label_filter(df, ["a", "b"], "none").count() == 0
