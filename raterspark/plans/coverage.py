@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterspark.functions.nulls import if_else3, not_in, sum_strict
+from raterspark.functions.nulls import if_else3, not_in, paste0, sum_strict
 from raterspark.functions.text import pattern_flag
 from raterspark.operators import linkage as lk
 from raterspark.operators import reshape as rs
@@ -193,6 +193,18 @@ def q_group_totals(spark, sf_dir):
     return sm.group_totals(e.withColumn("split", split), "r_name", "split", "n_papers")
 
 
+def q_survey_share_by_group(spark, sf_dir):
+    """C24 over survey facts (the country coverage query): facts joined to the country
+    summary's group (region), surrogate item id = country || survey || year, distinct
+    items per (group, category) over distinct items per group."""
+    facts = rs.flags_to_long(_survey_facts(spark, sf_dir), FLAGS)
+    groups = _entity_summary(spark, sf_dir).select("n_code", "r_name").where(F.col("n_code").isNotNull())
+    j = facts.where(F.col("n_code").isNotNull()).join(groups, "n_code", "left")
+    j = j.withColumn("item_id", paste0("n_code", "o_orderkey", "year"))
+    t = sm.topic_share_within(j, "item_id", "category", "r_name")
+    return t.select("r_name", "category", "n_items", "n_total", r6("share").alias("share"))
+
+
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
@@ -309,6 +321,7 @@ QUERIES = {
     "topic_share_excl": q_topic_share_excl,
     "topic_share_within": q_topic_share_within,
     "topic_share_grouping": q_topic_share_grouping,
+    "survey_share_by_group": q_survey_share_by_group,
     "top_k_ties": q_top_k_ties,
     "yearly_growth": q_yearly_growth,
     "yearly_growth_category": q_yearly_growth_category,
@@ -544,3 +557,20 @@ SELECT g.r_name, count(DISTINCT o.o_custkey) AS n_customers
 FROM orders o JOIN customer cu ON o.o_custkey = cu.c_custkey LEFT JOIN geo g ON cu.c_nationkey = g.n_nationkey
 GROUP BY g.r_name""",
 }
+
+ORACLE["survey_share_by_group"] = _ENTITY_SQL + """,
+sl AS (
+  SELECT o_orderkey, n_code, year, 'cat_urgent' AS category FROM sfx WHERE cat_urgent = 1
+  UNION ALL SELECT o_orderkey, n_code, year, 'cat_high' FROM sfx WHERE cat_high = 1
+  UNION ALL SELECT o_orderkey, n_code, year, 'cat_open' FROM sfx WHERE cat_open = 1
+  UNION ALL SELECT o_orderkey, n_code, year, 'cat_fulfilled' FROM sfx WHERE cat_fulfilled = 1),
+sj AS (
+  SELECT e.r_name, sl.category,
+         coalesce(CAST(sl.n_code AS VARCHAR), 'NA') || coalesce(CAST(sl.o_orderkey AS VARCHAR), 'NA')
+           || coalesce(CAST(sl.year AS VARCHAR), 'NA') AS item_id
+  FROM sl LEFT JOIN (SELECT n_code, r_name FROM ent WHERE n_code IS NOT NULL) e ON sl.n_code = e.n_code
+  WHERE sl.n_code IS NOT NULL),
+d AS (SELECT r_name, category, count(DISTINCT item_id) AS n_items FROM sj GROUP BY r_name, category),
+tt AS (SELECT r_name, count(DISTINCT item_id) AS n_total FROM sj GROUP BY r_name)
+SELECT d.r_name, d.category, d.n_items, tt.n_total, round(d.n_items / tt.n_total, 6) AS share
+FROM d LEFT JOIN tt ON d.r_name IS NOT DISTINCT FROM tt.r_name"""

@@ -89,12 +89,31 @@ def q_agreement_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_vote_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confident orders that also have more than 2 'included' votes."""
+    g = consensus.vote_gate(_summary(spark, sf_dir), min_count=("count_included", 2))
+    return g.select("l_orderkey", "label_mode", "count_included")
+
+
+FIT_LEVELS = {"Ring": "ring", "Widget": "widget", "Bolt": "bolt", "Gear": "gear", "Plate": "plate", "Rod": "rod"}
+
+
+def q_multilabel_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus rating rows (one 0/1 column per category, reader 'model'),
+    orders with two or more blank replicates dropped."""
+    return consensus.consensus_flags(
+        _multilabel(spark, sf_dir), "l_orderkey", FIT_LEVELS, "model", blank_count_col="Blank_count"
+    )
+
+
 QUERIES = {
     "vote_consensus": q_vote_consensus,
     "vote_gate": q_vote_gate,
     "review_list": q_review_list,
     "multilabel_consensus": q_multilabel_consensus,
     "agreement_bands": q_agreement_bands,
+    "vote_included": q_vote_included,
+    "multilabel_flags": q_multilabel_flags,
 }
 
 _VOTE_CTE = f"""
@@ -206,3 +225,10 @@ SELECT l_orderkey, 'blank' AS reason FROM g WHERE count_blank > 1""",
     "multilabel_consensus": _ml_sql(),
     "agreement_bands": _bands_sql(),
 }
+
+ORACLE["vote_included"] = _VOTE_CTE + """
+SELECT l_orderkey, label_mode, count_included FROM g
+WHERE gini_norm < 0.5 AND count_blank < 2 AND count_included > 2"""
+ORACLE["multilabel_flags"] = "WITH ml AS (" + _ml_sql() + ")\nSELECT l_orderkey, " + ", ".join(
+    f"{lv}_mode AS {out}" for out, lv in FIT_LEVELS.items()
+) + ", 'model' AS reader FROM ml WHERE Blank_count < 2"
