@@ -356,17 +356,18 @@ def conform_names(
     names = rows.select("_name").where(F.col("_name").isNotNull()).distinct()
     d = dim.select(F.lower(F.col(dim_name)).alias("_lname"), F.col(dim_code).alias("_dcode"))
     d = d.groupBy("_lname").agg(F.min("_dcode").alias("_dcode"))
-    exact = names.join(d, F.lower(F.col("_name")) == F.col("_lname"), "left").select("_name", "_dcode")
+    named = names.join(d, F.lower(F.col("_name")) == F.col("_lname"), "left").select("_name", "_dcode")
+    found = named.where(F.col("_dcode").isNotNull())
     if patterns is not None:
-        unmatched = exact.where(F.col("_dcode").isNull()).select("_name")
+        unmatched = named.where(F.col("_dcode").isNull()).select("_name")
         p = patterns.select(F.col(dim_code).alias("_pcode"), F.col(pattern_col).alias("_pat"))
-        by_regex = (
-            unmatched.join(p, F.expr("_name RLIKE _pat"))
-            .groupBy("_name").agg(F.min("_pcode").alias("_rcode"))
-        )
-        exact = exact.join(by_regex, "_name", "left").select(
-            "_name", F.coalesce("_dcode", "_rcode").alias("_dcode")
-        )
+        by_regex = unmatched.join(p, F.expr("_name RLIKE _pat")).select("_name", F.col("_pcode").alias("_dcode"))
+        found = found.unionByName(by_regex)
+    # One row per distinct name. It is given its own exchange (on an expression other
+    # than the name, so the planner cannot elide it): a query stage whose size AQE
+    # measures, turning the join back to the (large) rows into a broadcast join when the
+    # code table is small, with no extra pass over the rows.
+    exact = found.groupBy("_name").agg(F.min("_dcode").alias("_dcode")).repartition(F.xxhash64("_name"))
     out = rows.join(exact, "_name", "left").withColumnRenamed("_dcode", code_col)
     if not keep_unmatched:
         out = out.where(F.col(code_col).isNotNull())
