@@ -9,7 +9,7 @@ Stand-ins on the driver tables:
   The "None" flag is priority 5-LOW.
 * a "survey" is an order too, with a year string that can be a range ("1995 - 1999")
   and a list of repeat years; its country list may repeat the same country.
-* "exposure" per country = scaled mean balance of suppliers with balance above 8000;
+* "exposure" per country = mean balance / 200 of its suppliers with a positive balance;
   "population" = sum of customer balances; the income-group dimension is the region of
   the nation, with one fixed override.
 * topic shares use ``events``: item = user, topic = event type.
@@ -120,21 +120,17 @@ def q_fact_explode_years(spark, sf_dir):
 
 
 def _entity_base(spark, sf_dir) -> DataFrame:
-    rich = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 9900).select(F.col("c_custkey").alias("o_custkey"))
-    pc = paper_countries(spark, sf_dir).join(rich, "o_custkey", "left_semi")
+    pc = paper_countries(spark, sf_dir)
     # Literal label filter (whole-table flag sum, then None != 1) and incidence counts.
     papers = sm.entity_counts(sm.label_filter(pc, FLAGS, "cat_none"), "n_code", out="n_papers")
-    supp = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 8000)
-    exposure = supp.groupBy(F.col("s_nationkey").alias("n_code")).agg(
-        ((F.avg("s_acctbal") - 8000) / 50).alias("exposure")
-    )
+    supp = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
+    exposure = supp.groupBy(F.col("s_nationkey").alias("n_code")).agg((F.avg("s_acctbal") / 200).alias("exposure"))
     j = rs.full_outer(papers, exposure, ["n_code"])
     return j.withColumn("n_papers", F.coalesce(F.col("n_papers"), F.lit(0)).cast("long"))
 
 
 def _survey_facts(spark, sf_dir) -> DataFrame:
-    big = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 490000).select("o_orderkey")
-    s = survey_rows(spark, sf_dir).join(big, "o_orderkey", "left_semi")
+    s = survey_rows(spark, sf_dir)
     return s.withColumn("source_flag", pattern_flag("o_orderpriority", "urgent", also_equal="2-HIGH"))
 
 
@@ -427,20 +423,20 @@ def _bins_sql(col: str, breaks, labels) -> str:
 
 
 _ENTITY_SQL = "WITH " + _PAPERS_SQL + _SURVEYS_SQL + f""",
-pcr AS (SELECT * FROM pc WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9900)),
+pcr AS (SELECT * FROM pc),
 anyf AS (SELECT sum(cat_urgent + cat_high + cat_open + cat_fulfilled) AS s FROM pcr),
 papers AS (
   SELECT n_code, count(*) AS n_papers FROM pcr
   WHERE (SELECT s FROM anyf) >= 1 AND cat_none <> 1 GROUP BY n_code),
 expo AS (
-  SELECT s_nationkey AS n_code, (avg(s_acctbal) - 8000) / 50 AS exposure
-  FROM supplier WHERE s_acctbal > 8000 GROUP BY s_nationkey),
+  SELECT s_nationkey AS n_code, avg(s_acctbal) / 200 AS exposure
+  FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey),
 base AS (
   SELECT coalesce(p.n_code, e.n_code) AS n_code, coalesce(p.n_papers, 0) AS n_papers, e.exposure
   FROM papers p FULL OUTER JOIN expo e ON p.n_code IS NOT DISTINCT FROM e.n_code),
 sfx AS (
   SELECT *, CAST(regexp_matches(o_orderpriority, '(?i)urgent') OR o_orderpriority = '2-HIGH' AS INTEGER) AS source_flag
-  FROM svc WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 490000)),
+  FROM svc),
 surv AS (SELECT n_code, count(*) AS n_surveys FROM sfx GROUP BY n_code),
 jj AS (
   SELECT coalesce(b.n_code, s.n_code) AS n_code, b.n_papers, b.exposure, coalesce(s.n_surveys, 0) AS n_surveys
