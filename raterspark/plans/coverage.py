@@ -134,14 +134,8 @@ def _survey_facts(spark, sf_dir) -> DataFrame:
     return s.withColumn("source_flag", pattern_flag("o_orderpriority", "urgent", also_equal="2-HIGH"))
 
 
-def _entity_summary(spark, sf_dir) -> DataFrame:
-    base = _entity_base(spark, sf_dir)
-    surveys = sm.entity_counts(_survey_facts(spark, sf_dir), "n_code", out="n_surveys")
-    j = rs.full_outer(base, surveys, ["n_code"])
-    j = j.withColumn("n_surveys", F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long"))
-    cust = table(spark, sf_dir, "customer")
-    pop = cust.groupBy(F.col("c_nationkey").alias("n_code")).agg(sum_strict("c_acctbal").alias("population"))
-    j = j.join(pop, "n_code", "left")
+def _geo(spark, sf_dir) -> DataFrame:
+    """Country group dimension (region of the nation) with its fixed override."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
@@ -150,8 +144,18 @@ def _entity_summary(spark, sf_dir) -> DataFrame:
     override = geo.sparkSession.range(1).select(
         F.lit(REGION_OVERRIDE["nation"]).alias("n_code"), F.lit(REGION_OVERRIDE["region"]).alias("r_name")
     )
-    geo = lk.apply_overrides(geo, override, "n_code", "r_name")
-    j = j.join(geo, "n_code", "left")
+    return lk.apply_overrides(geo, override, "n_code", "r_name")
+
+
+def _entity_summary(spark, sf_dir) -> DataFrame:
+    base = _entity_base(spark, sf_dir)
+    surveys = sm.entity_counts(_survey_facts(spark, sf_dir), "n_code", out="n_surveys")
+    j = rs.full_outer(base, surveys, ["n_code"])
+    j = j.withColumn("n_surveys", F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long"))
+    cust = table(spark, sf_dir, "customer")
+    pop = cust.groupBy(F.col("c_nationkey").alias("n_code")).agg(sum_strict("c_acctbal").alias("population"))
+    j = j.join(pop, "n_code", "left")
+    j = j.join(_geo(spark, sf_dir), "n_code", "left")
     return j.select(
         "n_code", "n_papers", "exposure", "n_surveys", "population",
         sm.bin_left_closed("exposure", EXPOSURE_BREAKS, EXPOSURE_LABELS).alias("category_exposure"),
@@ -191,11 +195,12 @@ def q_group_totals(spark, sf_dir):
 
 def q_survey_share_by_group(spark, sf_dir):
     """C24 over survey facts (the country coverage query): facts joined to the country
-    summary's group (region), surrogate item id = country || survey || year, distinct
-    items per (group, category) over distinct items per group."""
+    group (region, with its override), surrogate item id = country || survey || year,
+    distinct items per (group, category) over distinct items per group."""
     facts = rs.flags_to_long(_survey_facts(spark, sf_dir), FLAGS)
-    groups = _entity_summary(spark, sf_dir).select("n_code", "r_name").where(F.col("n_code").isNotNull())
-    j = facts.where(F.col("n_code").isNotNull()).join(groups, "n_code", "left")
+    # The group of a country comes from the country summary, whose group column is the
+    # geography dimension: join that dimension directly.
+    j = facts.where(F.col("n_code").isNotNull()).join(_geo(spark, sf_dir), "n_code", "left")
     j = j.withColumn("item_id", paste0("n_code", "o_orderkey", "year"))
     t = sm.topic_share_within(j, "item_id", "category", "r_name")
     return t.select("r_name", "category", "n_items", "n_total", r6("share").alias("share"))
