@@ -244,6 +244,11 @@ def agreement_se(pct: DataFrame) -> DataFrame:
     return agg.withColumn("se", safe_div(F.col("sd_agreement"), F.sqrt(F.col("n"))))
 
 
+def agreement_by_type(pct: DataFrame) -> DataFrame:
+    """Mean percent agreement per pair type (all categories together)."""
+    return pct.groupBy("pair_type").agg(F.avg("percent_agreement").alias("mean_agreement"))
+
+
 def agreement_box(pct: DataFrame) -> DataFrame:
     """Box statistics (min, quartiles with linear interpolation, max) by category x type."""
     q = F.percentile(F.col("percent_agreement"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -277,6 +282,17 @@ def human_vs_model(prev: DataFrame, reader: str, model_reader: str) -> DataFrame
     return model.join(humans, "category", "left")
 
 
+def comparison_long(cmp: DataFrame) -> DataFrame:
+    """Model and human rates in long form for side-by-side display: rater 'Model' with
+    sd 0 and rater 'Humans' with the human sd (``pivot_longer`` + recode)."""
+    kv = F.explode(F.array(
+        F.struct(F.lit("Model").alias("rater"), F.col("model_rate").alias("rate"), F.lit(0.0).alias("sd")),
+        F.struct(F.lit("Humans").alias("rater"), F.col("mean_human_rate").alias("rate"),
+                 F.col("sd_human_rate").alias("sd")),
+    )).alias("kv")
+    return cmp.select("category", kv).select("category", "kv.rater", "kv.rate", "kv.sd")
+
+
 def disagreement_items(long: DataFrame, item: str, variable: str = "variable", response: str = "response") -> DataFrame:
     """(item, variable) groups where two raters give different non-NULL responses."""
     return (

@@ -241,7 +241,8 @@ def agreement_bands(
     ``count_cols`` maps category name -> count column. Bands are the value pairs
     ``(i, n-i)`` for ``i = 0 .. n//2`` (``n_0_5, n_1_4, n_2_3`` for five replicates).
     Output: one row per category and one overall row (``category`` NULL), with
-    ``total`` (non-NULL counts), ``n_a_b`` and ``prop_a_b``.
+    ``total`` (non-NULL counts), ``n_eq_0`` / ``n_eq_{n}`` (whole-frame extremes),
+    ``n_a_b`` and ``prop_a_b``.
     """
     bands = [(i, n_replicates - i) for i in range(n_replicates // 2 + 1)]
     stack = F.explode(
@@ -251,7 +252,11 @@ def agreement_bands(
         ])
     ).alias("kv")
     long = counts.select(stack).select("kv.category", "kv.value")
-    aggs = [F.count("value").alias("total")]
+    aggs = [
+        F.count("value").alias("total"),
+        F.count_if(F.col("value") == 0).alias("n_eq_0"),
+        F.count_if(F.col("value") == n_replicates).alias(f"n_eq_{n_replicates}"),
+    ]
     for a, b in bands:
         aggs.append(F.count_if(F.col("value").isin(a, b)).alias(f"n_{a}_{b}"))
     out = long.rollup("category").agg(*aggs)

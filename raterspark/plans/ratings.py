@@ -107,6 +107,12 @@ def q_agreement_box(spark, sf_dir):
     return b.select("category", "pair_type", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
 
 
+def q_agreement_by_type(spark, sf_dir):
+    """Mean percent agreement per pair type."""
+    t = ag.agreement_by_type(_pct(spark, sf_dir))
+    return t.select("pair_type", r6("mean_agreement").alias("mean_agreement"))
+
+
 def doc_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
@@ -138,6 +144,13 @@ def q_human_vs_model(spark, sf_dir):
     return h.select("category", *[r6(c).alias(c) for c in ("model_rate", "mean_human_rate", "sd_human_rate")])
 
 
+def q_prevalence_comparison(spark, sf_dir):
+    """Model and human rates in long form (Model sd 0, Humans sd)."""
+    p = ag.prevalence(doc_ratings(spark, sf_dir), "reader", ["quality", "toxic"])
+    c = ag.comparison_long(ag.human_vs_model(p, "reader", "model"))
+    return c.select("category", "rater", r6("rate").alias("rate"), r6("sd").alias("sd"))
+
+
 def q_disagreement_text(spark, sf_dir):
     """Responses of disagreeing (document, category) groups with the document's
     title line and body."""
@@ -208,8 +221,10 @@ QUERIES = {
     "percent_agreement": q_percent_agreement,
     "agreement_se": q_agreement_se,
     "agreement_box": q_agreement_box,
+    "agreement_by_type": q_agreement_by_type,
     "prevalence": q_prevalence,
     "human_vs_model": q_human_vs_model,
+    "prevalence_comparison": q_prevalence_comparison,
     "disagreement_text": q_disagreement_text,
     "set_similarity": q_set_similarity,
     "set_similarity_table": q_set_similarity_table,
@@ -387,3 +402,14 @@ SELECT l_orderkey, CAST(sum(c) AS BIGINT) AS n_reps, round(max(c) / sum(c), 6) A
        count(*) = 1 AS full_agreement
 FROM per GROUP BY l_orderkey""",
 }
+
+ORACLE["agreement_by_type"] = "WITH " + _RT + """
+SELECT pair_type, round(avg(percent_agreement), 6) AS mean_agreement FROM pct GROUP BY pair_type"""
+ORACLE["prevalence_comparison"] = "WITH " + _DOCR + """,
+m AS (SELECT category, positive_rate AS model_rate FROM prev WHERE reader = 'model'),
+h AS (SELECT category, avg(positive_rate) AS mean_human_rate, stddev_samp(positive_rate) AS sd_human_rate
+      FROM prev WHERE reader <> 'model' GROUP BY category),
+c AS (SELECT m.category, model_rate, mean_human_rate, sd_human_rate FROM m LEFT JOIN h USING (category))
+SELECT category, 'Model' AS rater, round(model_rate, 6) AS rate, 0.0 AS sd FROM c
+UNION ALL
+SELECT category, 'Humans', round(mean_human_rate, 6), round(sd_human_rate, 6) FROM c"""

@@ -84,7 +84,7 @@ def q_agreement_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = {c[: -len("_count")]: c for c in cols_ending(ml, "_count", exclude=["rod_count"])}
     out = consensus.agreement_bands(ml, cats, n_replicates=5)
     return out.select(
-        "category", "total", "n_0_5", "n_1_4", "n_2_3",
+        "category", "total", "n_eq_0", "n_eq_5", "n_0_5", "n_1_4", "n_2_3",
         *[r6(c).alias(c) for c in ("prop_0_5", "prop_1_4", "prop_2_3")],
     )
 
@@ -199,11 +199,13 @@ long AS ({unions}),
 agg AS (
   SELECT category,
          CAST(count(value) AS BIGINT) AS total,
+         CAST(count(*) FILTER (WHERE value = 0) AS BIGINT) AS n_eq_0,
+         CAST(count(*) FILTER (WHERE value = 5) AS BIGINT) AS n_eq_5,
          CAST(count(*) FILTER (WHERE value IN (0, 5)) AS BIGINT) AS n_0_5,
          CAST(count(*) FILTER (WHERE value IN (1, 4)) AS BIGINT) AS n_1_4,
          CAST(count(*) FILTER (WHERE value IN (2, 3)) AS BIGINT) AS n_2_3
   FROM long GROUP BY GROUPING SETS ((category), ()))
-SELECT category, total, n_0_5, n_1_4, n_2_3,
+SELECT category, total, n_eq_0, n_eq_5, n_0_5, n_1_4, n_2_3,
        round(n_0_5 / total, 6) AS prop_0_5,
        round(n_1_4 / total, 6) AS prop_1_4,
        round(n_2_3 / total, 6) AS prop_2_3

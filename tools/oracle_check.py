@@ -24,6 +24,15 @@ from raterspark.plans.common import TABLES  # noqa: E402
 from raterspark.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 
+# Spark simpleString / DuckDB type names mapped to one vocabulary.
+_TYPES = {
+    "bigint": "i64", "BIGINT": "i64", "int": "i32", "INTEGER": "i32", "double": "f64", "DOUBLE": "f64",
+    "string": "str", "VARCHAR": "str", "boolean": "bool", "BOOLEAN": "bool", "float": "f32", "FLOAT": "f32",
+    "smallint": "i16", "SMALLINT": "i16", "tinyint": "i8", "TINYINT": "i8",
+    "timestamp_ntz": "ts", "TIMESTAMP": "ts", "date": "date", "DATE": "date",
+}
+
+
 def _norm(v):
     if v is None:
         return "NULL"
@@ -93,6 +102,12 @@ def main() -> int:
             print(f"{name:32s} COLUMNS spark={sorted(s_cols)} oracle={sorted(o_cols)}")
             bad += 1
             continue
+        s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        o_types = {d[0]: str(d[1]) for d in cur.description}
+        type_diff = {c: (s_types[c], o_types.get(c)) for c in s_types
+                     if _TYPES.get(s_types[c], s_types[c]) != _TYPES.get(o_types.get(c), o_types.get(c))}
+        if type_diff:
+            print(f"{name:32s} TYPES {type_diff}")
         a, b = _rows(s_cols, s_rows), _rows(o_cols, o_rows)
         if a == b:
             print(f"{name:32s} OK rows={len(a)} spark={ts:.1f}s duckdb={to:.1f}s")
