@@ -106,7 +106,7 @@ def parse_requests(requests: DataFrame, col: str = "request") -> DataFrame:
 def flatten_responses(lines: DataFrame, col: str = "value") -> DataFrame:
     """JSON-lines responses -> one row per choice with parent metadata
     (``json_normalize`` with record path response.body.choices). A line that does not
-    parse keeps its text in ``corrupt`` and yields no choice row."""
+    parse as a response record yields no choice row."""
     rec = F.from_json(F.col(col), RESPONSE_SCHEMA)
     parsed = lines.select(rec.alias("r"))
     return parsed.select(
@@ -128,21 +128,26 @@ def extract_label(
     missing_key_text: str | None = "None",
     clean: str = "list_marks",
     quotes: str = "inside",
+    no_block_text: str | None = "",
 ) -> tuple[Column, Column]:
     """(clean label, parse_status) from a free-text answer.
 
     ``block='regex'``: first non-greedy ``{...}``; ``block='balanced'``: first block with
     balanced braces outside quoted spans (Arrow UDF). The key's value is rendered as text
     (lists joined with ', '). A block without the key gives ``missing_key_text`` (the
-    text ``None`` in the original regex variant, NULL in the balanced one); no block gives
-    NULL. ``clean``: 'list_marks' removes brackets and quotes, 'name_chars' keeps letters,
-    comma, space and hyphen, 'none' keeps the value.
+    text ``None`` in the original regex variant, '' in the balanced one); an answer with
+    no block gives ``no_block_text`` ('' by default: the original wrote a missing value
+    to CSV and read it back as an empty string, which then counts as a blank vote). An
+    unparsable block gives NULL. ``clean``: 'list_marks' removes brackets and quotes,
+    'name_chars' keeps letters, comma, space and hyphen, 'none' keeps the value.
     """
     blk = tx.first_json_block(content) if block == "regex" else tx.first_balanced_block(content, quotes)
     value = tx.json_key_text(blk, key)
     status = tx.parse_status(blk, value)
     if missing_key_text is not None:
         value = F.when(status == F.lit("no_key"), F.lit(missing_key_text)).otherwise(value)
+    if no_block_text is not None:
+        value = F.when(status == F.lit("no_block"), F.lit(no_block_text)).otherwise(value)
     if clean == "list_marks":
         value = tx.strip_list_marks(value)
     elif clean == "name_chars":
@@ -158,11 +163,14 @@ def ingest_responses(
     missing_key_text: str | None = "None",
     clean: str = "list_marks",
     label_col: str = "label_clean",
+    no_block_text: str | None = "",
 ) -> DataFrame:
     """Response lines -> replicate table (custom_id, choice_index, message_content,
     label, model, parse_status). Never fails on malformed answers."""
     flat = flatten_responses(lines, col)
-    value, status = extract_label(F.col("message_content"), key, block, missing_key_text, clean)
+    value, status = extract_label(
+        F.col("message_content"), key, block, missing_key_text, clean, no_block_text=no_block_text
+    )
     return flat.select(
         "custom_id", "choice_index", "message_content", value.alias(label_col), "model",
         status.alias("parse_status"),

@@ -70,7 +70,7 @@ def q_ingest_responses(spark, sf_dir):
 def q_ingest_responses_balanced(spark, sf_dir):
     """The same with the balanced-brace scanner (Arrow UDF) and name cleaning."""
     ing = rq.ingest_responses(
-        response_lines(spark, sf_dir), "label", block="balanced", missing_key_text=None, clean="name_chars"
+        response_lines(spark, sf_dir), "label", block="balanced", missing_key_text="", clean="name_chars"
     )
     return ing.select("custom_id", "choice_index", "label_clean", "model", "parse_status")
 
@@ -133,7 +133,7 @@ v AS (
                  ELSE json_extract_string(js, '$.label') END AS val
   FROM j)
 SELECT custom_id, choice_index,
-       regexp_replace(CASE WHEN blk IS NOT NULL AND val IS NULL THEN 'None' ELSE val END, '[\\[\\]''"]', '', 'g') AS label_clean,
+       regexp_replace(CASE WHEN blk IS NULL THEN '' WHEN val IS NULL THEN 'None' ELSE val END, '[\\[\\]''"]', '', 'g') AS label_clean,
        'model-a' AS model,
        CASE WHEN blk IS NULL THEN 'no_block' WHEN val IS NULL THEN 'no_key' ELSE 'ok' END AS parse_status
 FROM v""",

@@ -37,8 +37,8 @@ def test_ingest_variants_and_status(spark):
     ]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     reg = rows(rq.ingest_responses(df, "inclusion"), "custom_id", "choice_index", "label_clean", "parse_status")
-    assert reg[:3] == [("1", 0, "included", "ok"), ("1", 1, None, "no_block"), ("1", 2, "None", "no_key")]
-    bal = rq.ingest_responses(df, "countries", block="balanced", missing_key_text=None, clean="name_chars")
+    assert reg[:3] == [("1", 0, "included", "ok"), ("1", 1, "", "no_block"), ("1", 2, "None", "no_key")]
+    bal = rq.ingest_responses(df, "countries", block="balanced", missing_key_text="", clean="name_chars")
     got = {(r.custom_id, r.choice_index): (r.label_clean, r.parse_status) for r in bal.collect()}
     assert got[("2", 0)] == ("France, Spain", "ok")
 
