@@ -13,8 +13,11 @@ Fuzzy join strategies (both exact, no recall loss):
   (length, segment, hash) and candidates are verified with ``levenshtein``. Keys
   shorter than k+1 cannot be segmented and go through the band join.
 
-Both work on distinct keys first and join the verified key pairs back to the rows, so
-repeated keys are compared once. Keys are never truncated.
+``fuzzy_join`` with the band plan and all matches kept is a single pass: every left row
+probes the right rows of its neighbouring length buckets with the thresholded distance
+as the join condition (the right side broadcast when a size check allows). The segment
+plan, and ``fan_out='best'``, work on distinct keys and join the verified key pairs back
+to the rows, so repeated keys are compared once. Keys are never truncated.
 """
 
 from __future__ import annotations

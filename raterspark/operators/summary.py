@@ -3,8 +3,9 @@
 Distinct counts are exact (``count_distinct``); Spark plans them as an aggregate on
 (group, item) with partial aggregation before the exchange, so a hot group is reduced
 map-side. Denominators are scalar subqueries or joins with small aggregated tables.
-The only global window (top-k) is preceded by Spark's partial ``WindowGroupLimit``, so
-each partition forwards at most k rows plus ties.
+Global (unpartitioned) windows run only on small aggregated outputs (level ranks) or,
+for top-k, behind Spark's partial ``WindowGroupLimit``, so each partition forwards at
+most k rows plus ties.
 """
 
 from __future__ import annotations
