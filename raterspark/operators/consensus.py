@@ -24,6 +24,10 @@ from raterspark.functions.text import remove_spaces, strip_list_marks
 
 
 def _struct(cols: Sequence[str]) -> Column:
+    """Ordering key: the column itself when there is one (keeps fixed-width aggregation
+    buffers for numeric positions), else a struct compared field by field."""
+    if len(cols) == 1:
+        return F.col(cols[0])
     return F.struct(*[F.col(c) for c in cols])
 
 
@@ -187,20 +191,32 @@ def multilabel_consensus(
     if unknown_col:
         unknown = F.size(F.filter(toks, lambda t: ~t.isin(list(levels)) & (t != F.lit(""))))
         extra.append(F.coalesce(unknown, F.lit(0)).alias("_unk"))
+    # The first replicate's flags travel as one bit mask (one min_by instead of one per
+    # level) when the levels fit in a long.
+    packed = len(levels) <= 62
+    if packed:
+        mask = sum((F.col(f"_f{i}").cast("long") * F.lit(1 << i) for i in range(1, len(levels))),
+                   F.col("_f0").cast("long"))
+        extra.append(mask.alias("_mask"))
     one_hot = df.select(F.col(item), _struct(order).alias("_ord"), *flags, *extra)
     aggs = [F.count(F.lit(1)).alias("n_reps")]
     for i, _ in enumerate(levels):
         aggs.append(F.sum(f"_f{i}").cast("long").alias(f"_c{i}"))
-        aggs.append(F.min_by(F.col(f"_f{i}"), F.col("_ord")).alias(f"_first{i}"))
+        if not packed:
+            aggs.append(F.min_by(F.col(f"_f{i}"), F.col("_ord")).alias(f"_first{i}"))
+    if packed:
+        aggs.append(F.min_by(F.col("_mask"), F.col("_ord")).alias("_first_mask"))
     if unknown_col:
         aggs.append(F.sum("_unk").cast("long").alias(unknown_col))
     per_item = one_hot.groupBy(item).agg(*aggs)
     cols = [F.col(item)]
     for i, lv in enumerate(levels):
         c, n = F.col(f"_c{i}"), F.col("n_reps")
-        mode = (
-            F.when(c * 2 > n, F.lit(1)).when(c * 2 < n, F.lit(0)).otherwise(F.col(f"_first{i}"))
+        first = (
+            F.shiftright(F.col("_first_mask"), i).bitwiseAND(F.lit(1)).cast("int") if packed
+            else F.col(f"_first{i}")
         )
+        mode = F.when(c * 2 > n, F.lit(1)).when(c * 2 < n, F.lit(0)).otherwise(first)
         cols.append(mode.cast("int").alias(f"{lv}_mode"))
         cols.append(c.alias(f"{lv}_count"))
     cols.append(F.col("n_reps"))
