@@ -70,3 +70,26 @@ def test_read_csv_blank_as_null(spark):
         f.write("ID,label\n1,\n2,x\n")
     schema = T.StructType([T.StructField("ID", T.IntegerType()), T.StructField("label", T.StringType())])
     assert rows(io.read_r_csv(spark, p, schema, blank_as_null=True)) == [(1, None), (2, "x")]
+
+
+def test_multi_model_single_scan_and_csv_sink(spark):
+    from raterspark.operators import consensus as cs
+
+    d = tempfile.mkdtemp(prefix="models-", dir="/tmp")
+    for model, labels in {"m1": ["included", "included", "excluded"], "m2": ["excluded", "", "excluded"]}.items():
+        with open(os.path.join(d, f"inclusion_{model}.csv"), "w", encoding="utf-8") as f:
+            f.write("custom_id,choice_index,label\n")
+            for i, lab in enumerate(labels):
+                f.write(f"7,{i},{lab}\n")
+    schema = T.StructType([T.StructField("custom_id", T.IntegerType()), T.StructField("choice_index", T.IntegerType()),
+                           T.StructField("label", T.StringType())])
+    df = io.read_r_csv(spark, os.path.join(d, "inclusion_*.csv"), schema, source_col="source_file")
+    df = df.withColumn("model", io.model_from_path("source_file"))
+    votes = cs.vote_summary(df.withColumn("item", F.concat_ws(":", "model", "custom_id")), "item", "label",
+                            {"count_excluded": "excluded", "count_included": "included", "count_blank": ""},
+                            ["choice_index"])
+    got = {r.item: (r.label_mode, r.count_blank) for r in votes.collect()}
+    assert got == {"m1:7": ("included", 0), "m2:7": ("excluded", 1)}
+    out = os.path.join(d, "out_csv")
+    io.write_table(votes, out, fmt="csv")
+    assert spark.read.option("header", True).csv(out).count() == 2
