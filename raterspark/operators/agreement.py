@@ -52,14 +52,20 @@ def rating_union(
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
-    keep = u.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    u = u.join(keep.select(item), item, "left_semi")
     if not dedupe:
-        return u
+        keep = u.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+        return u.join(keep.select(item), item, "left_semi")
+    # One pass over the rows: the first row per (item, reader) and the number of rows it
+    # stands for (partial aggregation before the shuffle). The per-item row count (taken
+    # before de-duplication, as the original did) is the sum of those counts, read from
+    # the same exchange.
     rest = [c for c in u.columns if c not in (item, reader)]
     first = u.groupBy(item, reader).agg(
-        F.min_by(F.struct(*[F.col(c) for c in rest]), _struct(order)).alias("_row")
+        F.min_by(F.struct(*[F.col(c) for c in rest]), _struct(order)).alias("_row"),
+        F.count(F.lit(1)).alias("_rows"),
     )
+    keep = first.groupBy(item).agg(F.sum("_rows").alias("_n")).where(F.col("_n") >= min_rows)
+    first = first.join(keep.select(item), item, "left_semi")
     return first.select(item, reader, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
