@@ -149,7 +149,6 @@ g AS (
   FROM s)
 """
 
-_ML_LEVELS_SQL = ", ".join(f"'{lv}'" for lv in ML_LEVELS)
 
 
 def _ml_sql() -> str:

@@ -1,4 +1,3 @@
-import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
