@@ -147,9 +147,16 @@ def _geo(spark, sf_dir) -> DataFrame:
     return lk.apply_overrides(geo, override, "n_code", "r_name")
 
 
-def _entity_summary(spark, sf_dir) -> DataFrame:
+def _survey_counts(spark, sf_dir) -> DataFrame:
+    """Survey facts per (country, source flag): one aggregate that serves both the
+    per-country totals and the source split (same subtree, so its exchange is reused)."""
+    return _survey_facts(spark, sf_dir).groupBy("n_code", "source_flag").agg(F.count(F.lit(1)).alias("n_surveys"))
+
+
+def _entity_summary(spark, sf_dir, survey_counts: DataFrame | None = None) -> DataFrame:
     base = _entity_base(spark, sf_dir)
-    surveys = sm.entity_counts(_survey_facts(spark, sf_dir), "n_code", out="n_surveys")
+    counts = survey_counts if survey_counts is not None else _survey_counts(spark, sf_dir)
+    surveys = counts.groupBy("n_code").agg(F.sum("n_surveys").alias("n_surveys"))
     j = rs.full_outer(base, surveys, ["n_code"])
     j = j.withColumn("n_surveys", F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long"))
     cust = table(spark, sf_dir, "customer")
@@ -176,9 +183,9 @@ def q_entity_summary(spark, sf_dir):
 
 def q_source_split(spark, sf_dir):
     """Country x source flag grid with survey counts, zero-filled."""
-    e = _entity_summary(spark, sf_dir).select("n_code", "n_papers", "r_name")
+    counts = _survey_counts(spark, sf_dir)
+    e = _entity_summary(spark, sf_dir, counts).select("n_code", "n_papers", "r_name")
     grid = rs.with_domain(e, "source_flag", [0, 1])
-    counts = _survey_facts(spark, sf_dir).groupBy("n_code", "source_flag").agg(F.count(F.lit(1)).alias("n_surveys"))
     j = rs.full_outer(grid, counts, ["n_code", "source_flag"])
     return j.select(
         "n_code", "source_flag", "n_papers", "r_name",
