@@ -9,7 +9,7 @@ Stand-ins on the driver tables:
   The "None" flag is priority 5-LOW.
 * a "survey" is an order too, with a year string that can be a range ("1995 - 1999")
   and a list of repeat years; its country list may repeat the same country.
-* "exposure" per country = mean balance / 200 of its suppliers with a positive balance;
+* "exposure" per country = mean balance / 250 of its suppliers with a positive balance;
   "population" = sum of customer balances; the income-group dimension is the region of
   the nation, with one fixed override.
 * topic shares use ``events``: item = user, topic = event type.
@@ -124,7 +124,9 @@ def _entity_base(spark, sf_dir) -> DataFrame:
     # Literal label filter (whole-table flag sum, then None != 1) and incidence counts.
     papers = sm.entity_counts(sm.label_filter(pc, FLAGS, "cat_none"), "n_code", out="n_papers")
     supp = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
-    exposure = supp.groupBy(F.col("s_nationkey").alias("n_code")).agg((F.avg("s_acctbal") / 200).alias("exposure"))
+    # Scale 1/250: averages of 2-decimal amounts stay exact at 6 decimals (1/200 would
+    # land on rounding ties that the last bit of an average can flip).
+    exposure = supp.groupBy(F.col("s_nationkey").alias("n_code")).agg((F.avg("s_acctbal") / 250).alias("exposure"))
     j = rs.full_outer(papers, exposure, ["n_code"])
     return j.withColumn("n_papers", F.coalesce(F.col("n_papers"), F.lit(0)).cast("long"))
 
@@ -441,7 +443,7 @@ papers AS (
   SELECT n_code, count(*) AS n_papers FROM pcr
   WHERE (SELECT s FROM anyf) >= 1 AND cat_none <> 1 GROUP BY n_code),
 expo AS (
-  SELECT s_nationkey AS n_code, avg(s_acctbal) / 200 AS exposure
+  SELECT s_nationkey AS n_code, avg(s_acctbal) / 250 AS exposure
   FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey),
 base AS (
   SELECT coalesce(p.n_code, e.n_code) AS n_code, coalesce(p.n_papers, 0) AS n_papers, e.exposure
