@@ -8,8 +8,6 @@ so they run per partition with no driver-side loop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,11 +173,3 @@ def ingest_responses(
         "custom_id", "choice_index", "message_content", value.alias(label_col), "model",
         status.alias("parse_status"),
     )
-
-
-def replicate_table(ingested: DataFrame, id_cast: str = "long", keep: Sequence[str] = ()) -> DataFrame:
-    """Typed replicate rows for the vote operators: numeric id, choice index, label."""
-    return ingested.select(
-        F.col("custom_id").cast(id_cast).alias("custom_id"), "choice_index", *keep,
-        *[c for c in ingested.columns if c.endswith("_clean")],
-    )

@@ -94,3 +94,12 @@ def test_percent_label(spark):
 def test_label_filter_null_flag_drops_all(spark):
     df = spark.createDataFrame([(1, 1, 0, 0), (2, None, 0, 0)], "id int, a int, b int, none int")
     assert sm.label_filter(df, ["a", "b"], "none").count() == 0
+
+
+def test_order_by_measure_and_mean_se(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5)], "lv string, n int")
+    assert rows(sm.order_by_measure(df, "lv", "n"), "lv", "level_rank") == [("a", 2), ("b", 1), ("c", 2)]
+    vals = spark.createDataFrame([("g", 1.0), ("g", 3.0), ("h", 2.0)], "g string, v double")
+    out = {r.g: (r.mean, r.sd, r.n, r.se) for r in sm.mean_se(vals, ["g"], "v").collect()}
+    assert out["g"][0] == 2.0 and out["g"][2] == 2 and abs(out["g"][3] - out["g"][1] / 2 ** 0.5) < 1e-12
+    assert out["h"][1] is None and out["h"][3] is None  # sd of one value is missing
