@@ -2,6 +2,7 @@
 
 from raterspark.sources import io
 from raterspark.sources.io import (
+    materialize,
     model_from_path,
     read_r_csv,
     read_response_lines,
@@ -10,5 +11,5 @@ from raterspark.sources.io import (
     write_table,
 )
 
-__all__ = ["io", "model_from_path", "read_r_csv", "read_response_lines", "review_sink", "write_requests",
+__all__ = ["io", "materialize", "model_from_path", "read_r_csv", "read_response_lines", "review_sink", "write_requests",
            "write_table"]

@@ -93,3 +93,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 def review_sink(ids: DataFrame, path: str) -> None:
     """Review list (item, reason) as a table."""
     write_table(ids, path)
+
+
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a stage's output as Parquet under the shared folder named by
+    ``spark.checkpoint.dir`` and return it read back: later stages (several summaries
+    over the same fact table) start from the written table instead of recomputing its
+    lineage, and the table survives executor loss. Raises when no shared folder is set.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise RuntimeError("spark.checkpoint.dir is not set: no shared folder to write the stage to")
+    path = f"{root.rstrip('/')}/tables/{name}"
+    write_table(df, path, partition_by=partition_by)
+    return spark.read.parquet(path)

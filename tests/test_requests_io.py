@@ -93,3 +93,10 @@ def test_multi_model_single_scan_and_csv_sink(spark):
     out = os.path.join(d, "out_csv")
     io.write_table(votes, out, fmt="csv")
     assert spark.read.option("header", True).csv(out).count() == 2
+
+
+def test_materialize_to_shared_folder(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    back = io.materialize(df, "stage_test")
+    assert sorted(r.id for r in back.collect()) == [1, 2]
+    assert spark.conf.get("spark.checkpoint.dir") in back.inputFiles()[0]
