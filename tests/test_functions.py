@@ -115,3 +115,25 @@ def test_pattern_flag(spark):
     df = spark.createDataFrame([("Standard Eurobarometer 99",), ("Flash 123",), ("Other",), (None,)], "s string")
     got = [r[0] for r in df.select(tx.pattern_flag("s", "eurobarometer", also_equal="Flash 123")).collect()]
     assert got == [1, 1, 0, 0]
+
+
+def test_udf_code_travels_by_value(tmp_path):
+    """Workers must not need this package on their path: the Arrow UDF's function is
+    pickled by value and runs in a process that cannot import raterspark."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = tmp_path / "fn.pkl"
+    payload.write_bytes(cloudpickle.dumps(tx._balanced_inside.func))
+    code = (
+        "import sys, pickle, pandas as pd\n"
+        "sys.path = [p for p in sys.path if 'repo' not in p]\n"
+        "try:\n    import raterspark\n    raise SystemExit('raterspark importable')\nexcept ImportError:\n    pass\n"
+        f"fn = pickle.loads(open({str(payload)!r}, 'rb').read())\n"
+        "print(fn(pd.Series(['x {\"a\": 1} y', None]))[0])\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.strip() == '{"a": 1}'
