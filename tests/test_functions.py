@@ -112,8 +112,8 @@ def test_balanced_block_matches_python(spark):
 
 
 def test_pattern_flag(spark):
-    df = spark.createDataFrame([("Standard Eurobarometer 99",), ("Flash 123",), ("Other",), (None,)], "s string")
-    got = [r[0] for r in df.select(tx.pattern_flag("s", "eurobarometer", also_equal="Flash 123")).collect()]
+    df = spark.createDataFrame([("Standard Barometer 99",), ("Flash 12",), ("Other",), (None,)], "s string")
+    got = [r[0] for r in df.select(tx.pattern_flag("s", "barometer", also_equal="Flash 12")).collect()]
     assert got == [1, 1, 0, 0]
 
 
