@@ -4,9 +4,10 @@ prevalence, disagreement inspection, set similarity and per-item label support.
 Scale notes.
 
 * No operator joins the rating table with itself. The per-pair tables are computed by
-  pivoting each (item, variable) group onto rater *slots* and summing agreement
-  indicators per slot pair inside one aggregate ("count form"): rows of rater pairs are
-  never emitted per item, so an item rated by many raters costs one wide row, not
+  mapping raters to *slots* and carrying, per (item, variable), bit masks of the slots
+  that are present, non-NULL, or gave each response; agreement indicators per slot pair
+  are summed inside aggregates ("count form"): rows of rater pairs are never emitted per
+  item, so an item rated by many raters costs one row per distinct response, not
   ``k^2`` rows. Rater rosters larger than one block of slots are processed in blocks of
   raters; each rating row is replicated once per block (``ceil(R / block)``), which is
   exact for any roster size.
@@ -111,8 +112,9 @@ def pair_counts(
     otherwise it is derived from the ratings.
 
     Plan: roster of distinct raters (small) -> slot/block per rater (broadcast) ->
-    one aggregate per (item, variable, block pair) that pivots responses onto slots ->
-    one aggregate per (variable, block pair) summing indicators per slot pair.
+    bit mask of slots per (item, variable, block pair, response) -> per (item, variable,
+    block pair) present / non-NULL masks and same-response indicators per slot pair ->
+    sums per (variable, block pair). Every aggregate buffer is fixed-width.
     """
     names_df = (long if roster is None else roster).select(F.col(reader).alias("_reader")).distinct()
     names_df = names_df.where(F.col("_reader").isNotNull())
@@ -148,32 +150,45 @@ def pair_counts(
     hi = F.greatest("_blk", "_other")
     local = F.when((F.col("_blk") == hi) & (lo != hi), F.col("_slot") + block).otherwise(F.col("_slot"))
     tagged = tagged.select(item, variable, response, lo.alias("_lo"), hi.alias("_hi"), local.alias("_local"))
-    slots = range(2 * block if n_blocks > 1 else block)
-    wide = tagged.groupBy(item, variable, "_lo", "_hi").agg(
-        *[F.max(F.when(F.col("_local") == s, F.lit(1))).alias(f"h{s}") for s in slots],
-        *[F.max(F.when(F.col("_local") == s, F.col(response))).alias(f"v{s}") for s in slots],
-    )
+    # Level 1 - per (item, variable, block pair, response): bit mask of the rater slots
+    # that gave this response (fixed-width, hash-aggregated; partial before the shuffle).
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), _local)")
+    by_value = tagged.groupBy(item, variable, "_lo", "_hi", response).agg(F.bit_or(bit).alias("_m"))
     same_block = F.col("_lo") == F.col("_hi")
     pairs = [(s, t, True) for s in range(block) for t in range(s + 1, block)]
     if n_blocks > 1:
         pairs += [(s, t, False) for s in range(block) for t in range(block, 2 * block)]
+
+    def has(mask: Column, slot: int) -> Column:
+        return F.shiftright(mask, slot).bitwiseAND(F.lit(1)) == 1
+
+    # Level 2 - per (item, variable, block pair): raters present, raters with a non-NULL
+    # response, and per slot pair whether both gave the same non-NULL response.
+    nonnull = F.col(response).isNotNull()
+    per_item = by_value.groupBy(item, variable, "_lo", "_hi").agg(
+        F.bit_or("_m").alias("_p"),
+        F.bit_or(F.when(nonnull, F.col("_m")).otherwise(F.lit(0).cast("long"))).alias("_n"),
+        *[F.max(F.when(nonnull & has(F.col("_m"), s) & has(F.col("_m"), t), 1).otherwise(0)).alias(f"e_{s}_{t}")
+          for s, t, _ in pairs],
+    )
+    # Level 3 - per (variable, block pair): sums of the indicators (count form).
     aggs = []
     for s, t, within in pairs:
         guard = same_block if within else ~same_block
-        both = guard & F.col(f"h{s}").isNotNull() & F.col(f"h{t}").isNotNull()
-        vs, vt = F.col(f"v{s}"), F.col(f"v{t}")
+        both = guard & has(F.col("_p"), s) & has(F.col("_p"), t)
+        both_nn = guard & has(F.col("_n"), s) & has(F.col("_n"), t)
         aggs += [
             F.count_if(both).alias(f"b_{s}_{t}"),
-            F.count_if(both & (vs == vt)).alias(f"a_{s}_{t}"),
-            F.count_if(both & (vs != vt)).alias(f"d_{s}_{t}"),
+            F.sum(F.when(guard, F.col(f"e_{s}_{t}")).otherwise(0)).cast("long").alias(f"a_{s}_{t}"),
+            F.count_if(both_nn).alias(f"nn_{s}_{t}"),
         ]
-    summed = wide.groupBy(variable, "_lo", "_hi").agg(*aggs)
+    summed = per_item.groupBy(variable, "_lo", "_hi").agg(*aggs)
     stack = F.explode(
         F.array(*[
             F.struct(
                 F.lit(s).alias("s"), F.lit(t).alias("t"), F.lit(within).alias("within"),
                 F.col(f"b_{s}_{t}").alias("n_both"), F.col(f"a_{s}_{t}").alias("n_agree"),
-                F.col(f"d_{s}_{t}").alias("n_disagree"),
+                (F.col(f"nn_{s}_{t}") - F.col(f"a_{s}_{t}")).alias("n_disagree"),
             )
             for s, t, within in pairs
         ])
