@@ -72,13 +72,22 @@ def complete_years(
     return out.withColumn(measure, F.coalesce(F.col(measure), F.lit(0)).cast("long"))
 
 
+# Largest value set of a non-first dimension that complete_observed carries as one array.
+MAX_DOMAIN_VALUES = 100_000
+
+
 def complete_observed(counts: DataFrame, dims: Sequence[str], measure: str) -> DataFrame:
     """``complete(a, b, c, fill = 0)``: the product of the observed values of each
-    dimension. The first dimension's distinct rows are exploded over the observed value
-    sets of the others (bounded dimensions), then the counts are joined back."""
+    dimension. The first dimension's distinct rows (any size) are exploded over the
+    observed value sets of the others, which must be small dimensions (checked: at most
+    ``MAX_DOMAIN_VALUES`` values each), then the counts are joined back."""
     first, rest = dims[0], list(dims[1:])
     grid = counts.select(first).distinct()
     for d in rest:
+        n = counts.select(d).distinct().limit(MAX_DOMAIN_VALUES + 1).count()
+        if n > MAX_DOMAIN_VALUES:
+            raise ValueError(f"dimension {d!r} has more than {MAX_DOMAIN_VALUES} values; put the largest "
+                             "dimension first")
         values = counts.agg(F.sort_array(F.collect_set(d))).scalar()
         grid = grid.select("*", F.explode(values).alias(d))
     out = grid.join(counts, list(dims), "left")
