@@ -174,14 +174,14 @@ def choose_strategy(lk: DataFrame, rk: DataFrame, k: int, probe: str = "right")
 
 def fuzzy_pairs(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_dist: int,
-    strategy: str = "band", probe: str = "right",
+    strategy: str = "band", probe: str = "auto",
 ) -> DataFrame:
     """Distinct (left key, right key, distance) pairs within ``max_dist`` edits.
 
     ``strategy``: 'band', 'segments' or 'auto' (cost estimate from length histograms,
     see :func:`choose_strategy`). For 'segments', ``probe`` names the side that
-    emits substring hashes (about (2k+1)(k+1)^2 rows per key: give it the smaller side);
-    the other side emits k+1 segment hashes per key.
+    emits substring hashes (about (2k+1)(k+1)^2 rows per key); 'auto' (default) picks the
+    side with fewer distinct keys. The other side emits k+1 segment hashes per key.
     """
     lk = _keys(left, left_key, "_lk")
     rk = _keys(right, right_key, "_rk")
@@ -191,6 +191,10 @@ def fuzzy_pairs(
         # executor is lost) instead of re-deriving every key in each branch.
         lk = lk.persist(StorageLevel.MEMORY_AND_DISK)
         rk = rk.persist(StorageLevel.MEMORY_AND_DISK)
+    if probe == "auto" and strategy in ("auto", "segments"):
+        # The probe side emits ~(2k+1)(k+1)^2 rows per key: give it the side with fewer
+        # distinct keys (both counts read the persisted key tables).
+        probe = "right" if rk.count() <= lk.count() else "left"
     if strategy == "auto":
         strategy = choose_strategy(lk, rk, max_dist, probe)
     if strategy == "band":
@@ -212,7 +216,7 @@ def fuzzy_join(
     distance_col: str = "dist",
     fan_out: str = "all",
     strategy: str = "band",
-    probe: str = "right",
+    probe: str = "auto",
     max_ratio: float | None = None,
 ) -> DataFrame:
     """Left (or inner) join on edit distance ``<= max_dist`` keeping the distance.
@@ -301,7 +305,7 @@ def _band_join(left, right, left_key, right_key, k, how, distance_col, max_ratio
 
 def fuzzy_semi(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_dist: int,
-    strategy: str = "band", probe: str = "right",
+    strategy: str = "band", probe: str = "auto",
 ) -> DataFrame:
     """Rows of ``left`` whose key is within ``max_dist`` edits of some right key."""
     if strategy == "band":
