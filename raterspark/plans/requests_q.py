@@ -75,6 +75,19 @@ def q_ingest_responses_balanced(spark, sf_dir):
     return ing.select("custom_id", "choice_index", "label_clean", "model", "parse_status")
 
 
+RESPONSE_CLASSES = {"count_user": "user", "count_blank": ""}
+
+
+def q_response_votes(spark, sf_dir):
+    """C30 -> C1: ingested answers voted per conversation (first-seen mode by choice
+    index, class counts, normalised Gini over the two classes)."""
+    from raterspark.operators import consensus
+
+    ing = rq.ingest_responses(response_lines(spark, sf_dir), "label")
+    s = consensus.vote_summary(ing, "custom_id", "label_clean", RESPONSE_CLASSES, ["choice_index"])
+    return s.select("custom_id", "label_mode", *RESPONSE_CLASSES, F.round("gini_norm", 6).alias("gini_norm"))
+
+
 def q_json_props(spark, sf_dir):
     """one key of a JSON text column."""
     ev = table(spark, sf_dir, "events")
@@ -86,6 +99,7 @@ QUERIES = {
     "build_requests": q_build_requests,
     "ingest_responses": q_ingest_responses,
     "ingest_responses_balanced": q_ingest_responses_balanced,
+    "response_votes": q_response_votes,
     "json_props": q_json_props,
 }
 
@@ -143,3 +157,29 @@ SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
             ELSE 'ok' END AS parse_status
 FROM events""",
 }
+
+_INGEST_BODY = ORACLE["ingest_responses"].rsplit("SELECT custom_id, choice_index,", 1)[0]
+ORACLE["response_votes"] = _INGEST_BODY + """,
+lab AS (
+  SELECT custom_id, choice_index,
+         regexp_replace(CASE WHEN blk IS NULL THEN '' WHEN val IS NULL THEN 'None' ELSE val END,
+                        '[\\[\\]''"]', '', 'g') AS label
+  FROM v),
+pv AS (
+  SELECT custom_id, label, count(*) AS cnt, min(choice_index) AS first_pos
+  FROM lab WHERE label IS NOT NULL GROUP BY custom_id, label),
+m AS (
+  SELECT custom_id, label AS label_mode FROM (
+    SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY cnt DESC, first_pos) AS rn FROM pv)
+  WHERE rn = 1),
+cnt AS (
+  SELECT custom_id,
+         CAST(count(*) FILTER (WHERE label = 'user') AS BIGINT) AS count_user,
+         CAST(count(*) FILTER (WHERE label = '') AS BIGINT) AS count_blank
+  FROM lab GROUP BY custom_id)
+SELECT m.custom_id, m.label_mode, k.count_user, k.count_blank,
+       round(CASE WHEN k.count_user + k.count_blank > 0 THEN
+         (1 - ((k.count_user / (k.count_user + k.count_blank)) * (k.count_user / (k.count_user + k.count_blank))
+             + (k.count_blank / (k.count_user + k.count_blank)) * (k.count_blank / (k.count_user + k.count_blank))))
+         / (1 - 1.0 / 2) END, 6) AS gini_norm
+FROM m JOIN cnt k USING (custom_id)"""
