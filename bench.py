@@ -25,7 +25,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    sf = sf_dir.rsplit("sf", 1)[-1] if "sf" in os.path.basename(sf_dir) else sf_dir
+    base = os.path.basename(sf_dir)
+    try:
+        sf: float | str = float(base[2:]) if base.startswith("sf") else base
+    except ValueError:
+        sf = base
 
     spark = build_session(f"local[{cpus}]", app_name="raterspark-bench", shuffle_partitions=cpus)
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="bench-ckpt-", dir="/tmp"))
