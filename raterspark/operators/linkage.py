@@ -238,11 +238,19 @@ def fuzzy_join(
         pairs = pairs.groupBy("_lk").agg(
             F.min(F.struct("_dist", "_rk")).alias("_m")
         ).select("_lk", F.col("_m._rk").alias("_rk"), F.col("_m._dist").alias("_dist"))
-    l_ = left.join(pairs, F.col(left_key) == F.col("_lk"), how)
-    out = l_.join(right, F.col("_rk") == F.col(right_key), "left" if how == "left" else "inner")
+    l_ = left.join(pairs, _key_match(left_key, "_lk"), how)
+    out = l_.join(right, _key_match(right_key, "_rk"), "left" if how == "left" else "inner")
     return out.withColumnRenamed("_dist", distance_col).drop("_lk", "_rk")
 
 
+def _key_match(row_key: str, pair_key: str) -> Column:
+    """Equality of a row's (nullable) key with a non-NULL verified key, written on
+    non-nullable expressions: a NULL row key still matches nothing, and Catalyst has no
+    ``isnotnull(key)`` to infer and push (with the whole key expression) into the scan."""
+    row = F.struct(F.col(row_key).isNull(), F.coalesce(F.col(row_key), F.lit("")))
+    return row == F.struct(F.lit(False), F.col(pair_key))
+
+
 # A fuzzy-join side is broadcast only when its measured key bytes stay under this bound.
 BROADCAST_KEY_BYTES = 256 * 1024 * 1024
 
@@ -314,7 +322,7 @@ def fuzzy_semi(
         return lb.join(rb, cond, "left_semi").drop("_lkey", "_lk_len", "_b")
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     hit = pairs.select(F.col("_lk")).distinct()
-    return left.join(hit, F.col(left_key) == F.col("_lk"), "left_semi")
+    return left.join(hit, _key_match(left_key, "_lk"), "left_semi")
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:

@@ -134,3 +134,13 @@ def test_fuzzy_pairs_non_ascii_equal_brute_force(spark, strategy):
     got = rows(lk.fuzzy_pairs(ldf, rdf, "lkey", "rkey", 2, strategy=strategy), "_lk", "_rk", "_dist")
     want = sorted({(a, b, _lev(a, b)) for a in left for b in right if _lev(a, b) <= 2})
     assert got == want
+
+
+@pytest.mark.parametrize("strategy", ["band", "segments"])
+def test_null_key_never_matches_empty_key(spark, strategy):
+    left = spark.createDataFrame([(1, None), (2, ""), (3, "ab")], "id int, k string")
+    right = spark.createDataFrame([(10, ""), (11, "abc")], "rid int, rk string")
+    semi = sorted(r.id for r in lk.fuzzy_semi(left, right, "k", "rk", 1, strategy=strategy).collect())
+    assert semi == [2, 3]
+    best = rows(lk.fuzzy_join(left, right, "k", "rk", 1, fan_out="best", strategy=strategy), "id", "rid")
+    assert best == [(1, None), (2, 10), (3, 11)]
