@@ -41,3 +41,15 @@ def test_incremental_ingest_and_votes(spark):
     # Item 2: the answer without a JSON block is a blank vote ('') and ties with
     # 'excluded'; the first-seen value wins.
     assert modes == [("1", "included", 3), ("2", "", 2)]
+
+
+def test_vote_counts_to_table(spark):
+    base = tempfile.mkdtemp(prefix="stream2-", dir="/tmp")
+    src = os.path.join(base, "in")
+    os.makedirs(src)
+    _write(src, "a.jsonl", [_rec(5, ['{"inclusion": "x"}', '{"inclusion": "y"}', '{"inclusion": "y"}'])])
+    out = os.path.join(base, "counts")
+    q = start_vote_counts(spark, src, os.path.join(base, "ck"), "inclusion", "vote_counts_table", table_path=out)
+    q.awaitTermination(120)
+    modes = rows(mode_from_counts(spark.read.parquet(out)), "custom_id", "label_mode", "n_votes")
+    assert modes == [("5", "y", 3)]
