@@ -103,3 +103,45 @@ def test_golden_bins_and_override(spark):
     dim = spark.createDataFrame([("VEN", "Lower middle income")], "Code string, grp string")
     ov = spark.createDataFrame([("VEN", "Upper middle income")], "Code string, grp string")
     assert lk.apply_overrides(dim, ov, "Code", "grp").collect()[0].grp == "Upper middle income"
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from(["ann", "bob", "model"]), st.integers(0, 1)),
+                min_size=1, max_size=25))
+def test_rating_union_matches_python(spark, data):
+    from raterspark.operators import agreement as ag
+
+    rowsp = [(item, reader, flag, pos) for pos, (item, reader, flag) in enumerate(data)]
+    df = spark.createDataFrame(rowsp, "id int, reader string, flag int, pos int")
+    got = rows(ag.rating_union([df], "id", "reader", ["pos"]), "id", "reader", "flag")
+    counts = {}
+    for item, _, _, _ in rowsp:
+        counts[item] = counts.get(item, 0) + 1
+    first = {}
+    for item, reader, flag, pos in sorted(rowsp, key=lambda r: r[3]):
+        if counts[item] >= 2 and (item, reader) not in first:
+            first[(item, reader)] = flag
+    assert got == sorted((i, r, f) for (i, r), f in first.items())
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 3),
+                          st.one_of(st.none(), st.sampled_from(["None", "", "A", "A, B", "B; A", "A|A", " C ,"]))),
+                min_size=1, max_size=20))
+def test_label_support_matches_python(spark, data):
+    from raterspark.operators import agreement as ag
+
+    rowsp = [(item, pos, ans) for pos, (item, ans) in enumerate(data)]
+    df = spark.createDataFrame(rowsp, "id int, rep int, answer string")
+    got = rows(ag.label_support(df, "id", ["rep"], "answer", 3, ("None", "", "Unknown")),
+               "id", "label", "n_included", "n_reps")
+    n_reps = {}
+    for item, _, _ in rowsp:
+        n_reps[item] = n_reps.get(item, 0) + 1
+    named = {}
+    for item, rep, ans in rowsp:
+        if ans is None or ans in ("None", "", "Unknown"):
+            continue
+        for tok in {t.strip() for t in re.split(r"\s*[,;|]\s*", ans)} - {""}:
+            named[(item, tok)] = named.get((item, tok), 0) + 1
+    assert got == sorted((i, lab, n, n_reps[i]) for (i, lab), n in named.items())
