@@ -120,3 +120,10 @@ def test_pair_counts_large_roster_path(spark, monkeypatch):
     got = rows(ag.pair_counts(df, "item", "reader", block=2),
                "reader_1", "reader_2", "variable", "n_both", "n_agree", "n_disagree", "n_na")
     assert got == _brute_pairs(data)
+
+
+def test_rating_union_without_dedupe_keeps_duplicates(spark):
+    human = spark.createDataFrame([(1, "ann", 1, 0), (1, "ann", 0, 1), (2, "ann", 1, 2)], "id int, reader string, x int, pos int")
+    u = ag.rating_union([human], "id", "reader", ["pos"], dedupe=False)
+    # item 1 has two rows (kept, duplicates included); item 2 has one row (dropped)
+    assert rows(u, "id", "reader", "x") == [(1, "ann", 0), (1, "ann", 1)]
