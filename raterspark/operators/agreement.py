@@ -23,11 +23,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterspark.functions.nulls import n_distinct_na, safe_div
 from raterspark.functions.text import tokens
+from raterspark.operators.reshape import dense_index
 
 
 # Rater rosters up to this many names are collected and broadcast (well under 1 MB of
@@ -130,9 +131,7 @@ def pair_counts(
         )
         n_readers = len(ordered)
     else:
-        roster = names_df.withColumn(
-            "_ri", (F.dense_rank().over(Window.orderBy("_reader")) - 1).cast("long")
-        )
+        roster = dense_index(names_df, "_reader", "_ri")
         n_readers = names_df.count()
     # One block when the roster fits: then only as many slots as raters are needed.
     block = max(1, min(block, n_readers))

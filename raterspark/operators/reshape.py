@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -140,3 +140,21 @@ def expand_years(
     rest = [c for c in df.columns if c not in (year_col, repeat_col, out_col)]
     out = df.select(*rest, F.explode_outer(F.split(years, sep)).alias("_y"))
     return out.withColumn(out_col, F.col("_y").try_cast("int")).drop("_y")
+
+
+def dense_index(df: DataFrame, col: str, out: str = "_idx") -> DataFrame:
+    """Contiguous 0-based index of the distinct values of ``col`` in sort order, without
+    a global window: values are range-partitioned and sorted, numbered within each
+    partition, and shifted by the prefix sum of the (few) per-partition counts."""
+    values = df.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    values = values.withColumn("_pid", F.spark_partition_id())
+    per_part = values.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition: a global window over it is small.
+    offsets = per_part.select(
+        "_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off")
+    )
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1
+    numbered = values.withColumn("_local", local)
+    return numbered.join(F.broadcast(offsets), "_pid").select(
+        col, (F.col("_off") + F.col("_local")).cast("long").alias(out)
+    )

@@ -103,3 +103,14 @@ def test_order_by_measure_and_mean_se(spark):
     out = {r.g: (r.mean, r.sd, r.n, r.se) for r in sm.mean_se(vals, ["g"], "v").collect()}
     assert out["g"][0] == 2.0 and out["g"][2] == 2 and abs(out["g"][3] - out["g"][1] / 2 ** 0.5) < 1e-12
     assert out["h"][1] is None and out["h"][3] is None  # sd of one value is missing
+
+
+def test_dense_index_contiguous_and_sorted(spark):
+    import random as _r
+
+    rnd = _r.Random(4)
+    vals = [f"r{rnd.randint(0, 300):04d}" for _ in range(1000)]
+    df = spark.createDataFrame([(v,) for v in vals], "name string")
+    got = sorted((r.name, r._idx) for r in rs.dense_index(df, "name").collect())
+    want = list(zip(sorted(set(vals)), range(len(set(vals)))))
+    assert got == want
