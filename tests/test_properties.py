@@ -145,3 +145,25 @@ def test_label_support_matches_python(spark, data):
         for tok in {t.strip() for t in re.split(r"\s*[,;|]\s*", ans)} - {""}:
             named[(item, tok)] = named.get((item, tok), 0) + 1
     assert got == sorted((i, lab, n, n_reps[i]) for (i, lab), n in named.items())
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(2000, 2006), st.integers(1, 5)),
+                min_size=1, max_size=15))
+def test_complete_years_and_cumulative_match_python(spark, data):
+    from raterspark.operators import reshape as rs
+
+    counts = {}
+    for g, y, n in data:
+        counts[(g, y)] = counts.get((g, y), 0) + n
+    df = spark.createDataFrame([(g, y, n) for (g, y), n in counts.items()], "g string, year int, n long")
+    full = sm.cumulative(rs.complete_years(df, ["g"], "year", "n"), ["g"], "year", "n", "n_cum")
+    got = rows(full, "g", "year", "n", "n_cum")
+    lo, hi = min(y for _, y in counts), max(y for _, y in counts)
+    want = []
+    for g in sorted({g for g, _ in counts}):
+        run = 0
+        for y in range(lo, hi + 1):
+            run += counts.get((g, y), 0)
+            want.append((g, y, counts.get((g, y), 0), run))
+    assert got == want
