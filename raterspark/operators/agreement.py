@@ -346,9 +346,11 @@ def inspect_disagreements(
 
 def jaccard(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """(|A ∩ B|, |A ∪ B|, similarity) of two arrays; duplicates removed; similarity
-    NULL when the union is empty."""
-    inter = F.size(F.array_intersect(a, b))
-    uni = F.size(F.array_union(a, b))
+    NULL when the union is empty. A NULL list gives NULL for all three (whatever the
+    session's legacy ``size(NULL)`` setting)."""
+    missing = a.isNull() | b.isNull()
+    inter = F.when(~missing, F.size(F.array_intersect(a, b)))
+    uni = F.when(~missing, F.size(F.array_union(a, b)))
     return inter, uni, F.when(uni > 0, inter / uni)
 
 

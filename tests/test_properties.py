@@ -167,3 +167,21 @@ def test_complete_years_and_cumulative_match_python(spark, data):
             run += counts.get((g, y), 0)
             want.append((g, y, counts.get((g, y), 0), run))
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet="ab ;,", max_size=10)),
+                          st.one_of(st.none(), st.text(alphabet="ab ;,", max_size=10))), min_size=1, max_size=10))
+def test_set_similarity_matches_python(spark, pairs):
+    from raterspark.operators import agreement as ag
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a string, b string")
+    got = {r.id: (r.inter, r.uni, r.similarity) for r in ag.set_similarity(df, "id", "a", "b").collect()}
+    for i, (a, b) in enumerate(pairs):
+        if a is None or b is None:
+            assert got[i] == (None, None, None)
+            continue
+        sa, sb = set(_py_tokens(a)), set(_py_tokens(b))
+        inter, uni = len(sa & sb), len(sa | sb)
+        assert got[i][:2] == (inter, uni)
+        assert got[i][2] == (inter / uni if uni else None)
