@@ -190,7 +190,8 @@ def multilabel_consensus(
     extra = []
     if unknown_col:
         unknown = F.size(F.filter(toks, lambda t: ~t.isin(list(levels)) & (t != F.lit(""))))
-        extra.append(F.coalesce(unknown, F.lit(0)).alias("_unk"))
+        # A NULL answer names nothing (size(NULL) is -1 or NULL depending on settings).
+        extra.append(F.when(toks.isNotNull(), unknown).otherwise(F.lit(0)).alias("_unk"))
     # The first replicate's flags travel as one bit mask (one min_by instead of one per
     # level) when the levels fit in a long.
     packed = len(levels) <= 62

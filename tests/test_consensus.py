@@ -147,3 +147,9 @@ def test_multilabel_unknown_and_restrict(spark):
     assert got == {1: (1, 1), 2: (0, 0)}
     ids = spark.createDataFrame([(2,)], "id int")
     assert [r.id for r in cs.restrict_to(out, ids, "id").collect()] == [2]
+
+
+def test_unknown_count_with_null_answer(spark):
+    df = spark.createDataFrame([(1, 0, None), (1, 1, "['Zed']")], "id int, pos int, answer string")
+    out = cs.multilabel_consensus(df, "id", ["pos"], "answer", ["A"], unknown_col="n_unknown").collect()[0]
+    assert out.n_unknown == 1 and out.n_reps == 2
