@@ -111,6 +111,7 @@ DROP_NAMES = ["", "Unknown land"]
 
 
 def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(customer, free-text nation name) with spelling variants chosen by customer key."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     v = F.col("c_custkey") % 7

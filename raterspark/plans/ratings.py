@@ -26,6 +26,7 @@ MODEL_PATTERN = "model"
 
 
 def _line_frame(li: DataFrame) -> DataFrame:
+    """Rating rows (order, rater, three 0/1 categories, row order columns) from lines."""
     reader = F.when(F.col("l_linenumber") == 7, F.lit("model")).otherwise(
         F.concat(F.lit("r"), F.col("l_linenumber").cast("string"))
     )
@@ -40,6 +41,7 @@ def _line_frame(li: DataFrame) -> DataFrame:
 
 
 def line_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human and model rating rows combined by :func:`rating_union`."""
     li = table(spark, sf_dir, "lineitem")
     human = _line_frame(li.where(F.col("l_linenumber") < 7))
     model = _line_frame(li.where(F.col("l_linenumber") >= 7))
@@ -114,6 +116,7 @@ def q_agreement_by_type(spark, sf_dir):
 
 
 def doc_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rating rows (doc, rater, quality, toxic) of three raters."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     human_a = labels.select("doc_id", F.lit("human_a").alias("reader"), "quality", "toxic")
@@ -185,6 +188,7 @@ def q_set_similarity_table(spark, sf_dir):
 
 
 def support_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate answers (order, line order key, delimited label list or a sentinel)."""
     li = table(spark, sf_dir, "lineitem")
     listed = F.concat(
         F.col("l_returnflag"), F.lit(", "), F.col("l_linestatus"),

@@ -41,6 +41,7 @@ def q_build_requests(spark, sf_dir):
 
 
 def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON response line (``value``) per conversation turn."""
     conv = table(spark, sf_dir, "conversations")
     first_word = F.regexp_extract("text", r"^\s*(\S+)", 1)
     answer = (

@@ -20,6 +20,7 @@ VOTE_CLASSES = {"count_excluded": "A", "count_included": "R", "count_blank": ""}
 
 
 def vote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate rows (order, line order key, answer label) for the single-label vote."""
     li = table(spark, sf_dir, "lineitem")
     label = (
         F.when(F.col("l_discount") > 0.095, F.lit(None).cast("string"))
@@ -58,6 +59,7 @@ ML_LEVELS = ["ring", "widget", "bolt", "gear", "plate", "rod", "Blank"]
 
 
 def multilabel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate rows (order, line order key, printed label list) for the multi-label vote."""
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     printed = F.concat(F.lit("['"), F.regexp_replace(F.col("p_name"), " ", "', '"), F.lit("']"))
