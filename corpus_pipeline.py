@@ -1,7 +1,88 @@
-"""Training-corpus pipeline (stages are added below)."""
-STAGES = []
+"""Training-corpus pipeline: filter, de-duplicate, mix and pack a table of documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from raterspark.llm._common import documents, materialize
+from raterspark.llm.mixing import mix_sources
+from raterspark.llm.packing import pack_documents
+from raterspark.llm.quality import quality_measures
+from raterspark.llm.queries import WORD, ship, tokenizer_path
+from raterspark.llm.shingle_join import jaccard_components, one_per_component
+from raterspark.llm.suffix_dedup import removed_bytes
+
+#: SQL cannot express the stages (divergence verdicts, 100-byte strings, tokenizer ids);
+#: tests/llm checks them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject (null ids are judged like others)."""
+    ship(spark)
+    return quality_measures(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component at Jaccard 0.8 of 5-word shingles."""
+    ship(spark)
+    found = jaccard_components(docs, width=5, num=80)
+    return one_per_component(docs, "doc_id", found).select(*docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes bytes under 100-byte strings that occurred earlier; every document stays."""
+    ship(spark)
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = removed_bytes(docs, keep_text=True, carry=carry)
+    return _with_text(out.withColumnRenamed("kept_text", "text"), docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it, a fractional time as its first words.
+
+    Documents of which the mix takes no word go.
+    """
+    ship(spark)
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
+    mixed = mix_sources(docs, carry=carry).where("taken > 0")
+    rest = F.col("taken") - F.col("repetition") * F.col("size")
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, rest.cast("int"))
+    last = F.ceil(F.col("taken") / F.col("size")).cast("long") - 1
+    repeated = mixed.withColumn("repetition", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    text = F.when(rest >= F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
+    return _with_text(repeated.withColumn("text", text), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 4096 tokens."""
+    ship(spark)
+    return pack_documents(docs, tokenizer_path())
+
+
+def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, n_chars being that of the present text."""
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", length).select(*docs.columns)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("suffix_array_dedup", suffix_stage),
+    ("mixing_sources", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, over the documents of ``sf_dir``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

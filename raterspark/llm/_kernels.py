@@ -63,12 +63,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; words never cross rows."""
+def word_spans(
+    raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes that are no separators; runs never cross rows."""
     if not len(raw):
         z = np.empty(0, np.int64)
         return z, z, z
-    word = ~IS_SPACE[raw]
+    word = ~separators[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     begins = word.copy()

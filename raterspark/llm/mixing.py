@@ -78,8 +78,10 @@ def mix_sources(
     budget_share: float = 1.5,
     max_epochs: int = 2,
     seed: int = 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target (its source's), taken.
+    """One row per document: id, size, source_size, target (its source's), taken, and the
+    columns ``carry`` of the input.
 
     ``size`` counts words (null text: 0). Sources in code point order, null last, weigh
     ``weights`` in turn. A source's target, rounded down to whole words, is made of whole
@@ -98,7 +100,9 @@ def mix_sources(
         F.col(source_col).alias("__s"),
         word_count(F.col(text_col)).alias("size"),
         draw(id_col, seed).alias("__draw"),
+        *[F.col(c).alias(f"__carried_{k}") for k, c in enumerate(carry)],
     )
+    carried = [F.col(f"__carried_{k}") for k in range(len(carry))]
     sized = materialize(sized, "sizes")
     sources = sized.groupBy("__s").agg(F.sum("size").alias("size"))
     sources = source_ranks(sources, "__s")
@@ -138,12 +142,14 @@ def mix_sources(
     last = last.join(edge, F.col("__s").eqNullSafe(F.col("__e"))).select(
         F.col(id_col), "__s", "size", "__draw",
         F.greatest(F.lit(0), F.least("size", F.col("__left") - F.col("__before"))).alias("__extra"),
+        *carried,
     )
     rest = sized.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left")
     mine = F.shiftright("__draw", 60 - 3 * LEVEL_BITS)
     rest = rest.where(F.col("__cell").isNull() | (mine != F.col("__cell"))).select(
         F.col(id_col), "__s", "size", "__draw",
         F.when(mine < F.col("__cell"), F.col("size")).otherwise(0).alias("__extra"),
+        *carried,
     )
     both = rest.union(last).join(sources.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t")))
     return both.select(
@@ -152,4 +158,5 @@ def mix_sources(
         F.col("source_size"),
         F.col("target"),
         (F.col("__whole") * F.col("size") + F.col("__extra")).cast("long").alias("taken"),
+        *[c.alias(name) for c, name in zip(carried, carry, strict=True)],
     )

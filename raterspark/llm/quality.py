@@ -186,8 +186,10 @@ def quality_measures(
     max_word_distance: float = 0.32,
     char_slack: float = 1.2,
     word_slack: float = 2.2,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: rule measures, both distances and the verdict ``kept``.
+    """One row per document: id, rule measures, both distances and the verdict ``kept``, and
+    the columns ``carry`` of the input.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows.
     The method rejects a text of n words whose character classes lie over
@@ -204,6 +206,7 @@ def quality_measures(
         [T.StructField(id_col, id_type)]
         + [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         + [T.StructField(c, T.DoubleType()) for c in ("char_distance", "word_distance")]
+        + [docs.schema[c] for c in carry if c != id_col]
     )
 
     def distances(m: dict, langs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +242,13 @@ def quality_measures(
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i)]
                     + [pa.array(m[c].astype(np.int64)) for c in schema.names[1:6]]
-                    + [pa.array(d, pa.float64(), from_pandas=True) for d in both],
+                    + [pa.array(d, pa.float64(), from_pandas=True) for d in both]
+                    + [c.slice(i, j - i) for c in b.columns[3:]],
                     schema.names,
                 )
 
-    cols = docs.select(F.col(id_col), F.col(text_col).alias("__t"), F.col(lang_col).cast("string").alias("__l"))
+    carried = [F.col(c) for c in carry if c != id_col]
+    cols = docs.select(F.col(id_col), F.col(text_col).alias("__t"), F.col(lang_col).cast("string").alias("__l"), *carried)
     out = cols.mapInArrow(run, schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     root = F.sqrt("n_words")

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, fold, materialize, shared_folder
+from .language_id import identify_languages
+from .language_model import score_documents
 from .mixing import mix_sources
 from .neardup_vectors import linked_vectors
 from .packing import pack_documents
 from .quality import quality_measures
 from .shingle_join import jaccard_components
 from .suffix_dedup import removed_bytes
+from .token_rollup import TokenRollup
+from .toxicity import score_toxicity
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -47,6 +53,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents, learned from those whose id is not in fold 2 of 7."""
+    docs = documents(spark, sf_dir)
+    out = score_documents(docs, train=fold("doc_id", 7) != 2, deleted=fold("doc_id", 7) == 3)
+    return out.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings: direct links, component and keeper at cosine >= 0.9."""
     return linked_vectors(documents(spark, sf_dir, "embeddings"))
@@ -62,23 +75,87 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language mixture of all documents, learned from those whose id is not in fold 0 of 5."""
+    out = identify_languages(documents(spark, sf_dir), learn_from=fold("doc_id", 5) != 0)
+    return out.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and divergence verdict of every document."""
     return quality_measures(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of ids not in fold 0 of 5."""
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    out = score_toxicity(docs, labels, learn_from=fold("doc_id", 5) != 0)
+    return out.withColumn("held_out", fold("doc_id", 5) == 0).withColumn("n_passages", F.size("passages"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document under 100-byte strings that occurred earlier."""
     return removed_bytes(documents(spark, sf_dir))
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+WORD_WITH_LETTER = r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*"
+LETTERS = r"[\p{L}\p{N}]+"
+
+
+def document_events(docs: DataFrame) -> list[DataFrame]:
+    """Stand-in event batches made of the documents, in the schema that TokenRollup expects.
+
+    First batch: every document's count under words-1. Second: revised counts where symbols
+    alone are no longer words, and every document's count under letters-1. Third: deletes,
+    under all versions, of the later ones of documents with equal text.
+    """
+    counts = materialize(
+        docs.select(
+            "doc_id", "source", "lang",
+            F.xxhash64("text").alias("h"), F.md5("text").alias("m"),
+            F.regexp_count("text", F.lit(WORD)).cast("long").alias("words"),
+            F.regexp_count("text", F.lit(WORD_WITH_LETTER)).cast("long").alias("revised"),
+            F.regexp_count("text", F.lit(LETTERS)).cast("long").alias("letters"),
+        ),
+        "counts",
+    )
+    event = lambda df, op, version, n: df.select(
+        F.lit(op).alias("op"), "doc_id", "source", "lang",
+        F.lit(version).cast("string").alias("tokenizer_version"), n.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("seq"),
+    )
+    first = counts.where("m is not null").groupBy("h", "m").agg(F.min("doc_id").alias("kept"))
+    later = counts.join(first, ["h", "m"]).where("doc_id > kept")
+    return [
+        event(counts, "insert", "words-1", F.col("words")),
+        event(counts.where("revised <> words"), "revise", "words-1", F.col("revised")).unionByName(
+            event(counts, "insert", "letters-1", F.col("letters"))
+        ),
+        event(later, "delete", None, F.lit(None)),
+    ]
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version, kept by three batches of signed
+    deltas over all documents; the last two batches are delivered twice."""
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollups/{uuid.uuid4().hex}")
+    batches = document_events(documents(spark, sf_dir))
+    for number in (0, 1, 2, 1, 2):
+        rollup.commit(number, batches[number])
+    return rollup.totals()
+
+
 _QUERIES = (
     op1_ngram_jaccard_join,
+    op2_lm_scoring,
     op3_embedding_near_dedup,
     op4_best_fit_packing,
     op5_mixing_sources,
+    op6_language_id,
     op7_quality_rules,
+    op8_toxicity,
     op9_suffix_array_dedup,
+    op10_token_counts,
 )
 
 
@@ -147,5 +224,20 @@ FROM run
 """
 
 
+OP10_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang, text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS copy,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')), 0) AS words,
+         coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+')), 0) AS letters
+  FROM documents
+), entries AS (
+  SELECT source, lang, 'words-1' AS tokenizer_version, words AS n FROM counted WHERE NOT copy
+  UNION ALL SELECT source, lang, 'letters-1', letters FROM counted WHERE NOT copy
+)
+SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
+FROM entries GROUP BY ALL
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3_SQL, "op5_mixing_sources": OP5_SQL}
+    return {"op3_embedding_near_dedup": OP3_SQL, "op5_mixing_sources": OP5_SQL, "op10_token_counts": OP10_SQL}

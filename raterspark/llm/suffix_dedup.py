@@ -96,7 +96,7 @@ class Block:
             texts = table["t"].to_pylist()
             order.sort(key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k] or ""))
         table = table.take(pa.array(order, pa.int64()))
-        self.ids = table["i"]
+        self.ids, self.carried = table["i"], [table[c] for c in table.column_names if c.startswith("carried_")]
         self.key = np.array([-(1 << 63) if ids[k] is None else ids[k] for k in order], np.int64)
         self.raw, self.off = K.text_bytes(table["t"])
         self.length = length
@@ -153,19 +153,26 @@ class Block:
 
 
 def removed_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 100,
+    keep_text: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text on request.
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and on request
+    kept_text and the columns ``carry`` of the input.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller id,
     or in the same text before. Strings are judged on the input and never cross texts. Null
     and empty texts have no bytes; a null id comes before all others, rows of equal id in the
     order of their texts. ``kept_text`` is the remaining bytes as text, a character cut apart
-    by a removal being dropped. Extra columns are ignored; an empty table gives none.
+    by a removal being dropped. Other columns are ignored; an empty table gives none.
     """
     blocks, buckets = sizes(docs, text_col)
     texts = docs.select(
-        block_of(id_col, blocks).alias("block"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")
+        block_of(id_col, blocks).alias("block"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"),
+        *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
     )
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
@@ -248,6 +255,7 @@ def removed_bytes(
         + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField("kept_sha256", T.StringType())]
         + [T.StructField("kept_text", T.StringType())] * keep_text
+        + [docs.schema[c] for c in carry]
     )
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,7 +289,7 @@ def removed_bytes(
                 kept.append(b"".join(parts).decode("utf-8", "ignore"))
         cols = [block.ids, pa.array(np.diff(block.off)), pa.array(np.bincount(row, weights=end - start, minlength=n).astype(np.int64))]
         cols += [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(sha, pa.string())]
-        return pa.table(cols + [pa.array(kept, pa.string())] * keep_text, schema.names)
+        return pa.table(cols + [pa.array(kept, pa.string())] * keep_text + block.carried, schema.names)
 
     asked = texts.groupBy("block").applyInArrow(ask, MESSAGE)
     codes = asked.groupBy("bucket").applyInArrow(answer, MESSAGE)
