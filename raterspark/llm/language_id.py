@@ -66,14 +66,16 @@ def language_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return cols.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
-def language_model(docs: DataFrame, text_col: str, lang_col: str, prior: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their smoothed trigram distributions: CELLS numbers each."""
+def language_model(docs: DataFrame, text_col: str, lang_col: str, prior: float = 0.5) -> tuple[list[str], np.ndarray, int]:
+    """Languages (sorted), their smoothed trigram distributions (CELLS numbers each) and
+    the one with most text."""
     rows = language_counts(docs, text_col, lang_col).toPandas()
     langs = sorted(rows["lang"].unique().tolist())
     counts = np.full((len(langs), CELLS), prior)
     if langs:
         counts[np.searchsorted(langs, rows["lang"].to_numpy(str)), rows["cell"].to_numpy()] += rows["n"].to_numpy()
-    return langs, counts / counts.sum(axis=1, keepdims=True)
+    total = counts.sum(axis=1, keepdims=True)
+    return langs, counts / total, int(total.argmax()) if langs else -1
 
 
 def infer(begin: np.ndarray, n: np.ndarray, cell: np.ndarray, theta: np.ndarray, penalty: float, rounds: int) -> tuple:
@@ -133,11 +135,12 @@ def identify_languages(
     The model learns from text and non-null language of the rows ``learn_from`` marks; a
     prediction reads the text alone. lang_pred is the language with the largest proportion,
     score that proportion times the posterior of the likeliest single language. A text that
-    is null or has no letter is ``und`` with score 0 and no languages, as is every text when
+    has letters but under three bytes takes the language with most text; one that is null or
+    has no letter is ``und`` with score 0 and no languages, as is every text when
     nothing was learned. Repeated rows and null ids are answered like any other; extra
     columns are ignored; an empty table gives none.
     """
-    langs, theta = language_model(docs.where(learn_from), text_col, lang_col)
+    langs, theta, common = language_model(docs.where(learn_from), text_col, lang_col)
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),
@@ -166,8 +169,8 @@ def identify_languages(
                 pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
                 sets, shares = [[] for _ in range(n)], [[] for _ in range(n)]
                 for k in np.flatnonzero(letters & ~np.isin(np.arange(n), some)).tolist() if langs else ():
-                    pred[k], score[k] = langs[0], 1 / len(langs)  # letters, but not three bytes: no evidence
-                    sets[k], shares[k] = [langs[0]], [1.0]
+                    pred[k], score[k] = langs[common], 1 / len(langs)  # letters, but not three bytes
+                    sets[k], shares[k] = [langs[common]], [1.0]
                 if len(some) and langs:
                     share, posterior = infer(np.searchsorted(doc, some), dense[entry], entry % CELLS, theta, penalty, rounds)
                     top = share.argmax(axis=1)

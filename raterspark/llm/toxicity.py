@@ -187,9 +187,9 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    strength: float = 1000.0,
-    margin: float = 2.0,
-    drift: float = 0.5,
+    strength: float = 30000.0,
+    margin: float = 3.0,
+    drift: float = 1.0,
 ) -> DataFrame:
     """One row per document: id, score (0 to 1), predicted, n_tokens, evidence, passages.
 
