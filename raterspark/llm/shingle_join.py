@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._blocks import BUCKET_CHARS, by_bucket, group_starts
+from ._blocks import BUCKET_CHARS, by_bucket, group_starts, squeeze, unsqueeze
 from ._common import materialize, text_volume
 from ._graph import connected_components
 
@@ -34,6 +34,8 @@ SKETCH_PARTS = 32
 SIGNATURE = 64
 #: Members of a shingle's group that one task of round two compares with each other.
 GROUP_ROWS = 4096
+#: Cells of the bitmap that spares texts without a candidate pair the way to verification.
+FILTER_BITS = 25
 #: Partners of one document that one verification task reads.
 VERIFY_ROWS = 512
 
@@ -139,6 +141,10 @@ _ENTRY = "bucket long, kind int, n long, token binary, id binary, pos binary, si
 _ENTRY_NAMES = ["bucket", "kind", "n", "token", "id", "pos", "size"]
 
 
+def _packed(bucket: int, kind: int, token: np.ndarray, *rest: np.ndarray) -> tuple:
+    return (bucket, kind, len(token), token.tobytes(), *(squeeze(x) for x in rest))
+
+
 def _entries(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -160,19 +166,17 @@ def prefix_entries(classes: DataFrame, buckets: int) -> DataFrame:
             at = np.repeat(np.arange(len(length)), length)
             rows = []
             for bucket, p in by_bucket(K.mix(token) % _U(buckets)):
-                cols = (token[p], ids[at[p]], pos[p].astype(np.int32), sizes[at[p]].astype(np.int32))
-                rows.append((bucket, 0, len(p), *(c.tobytes() for c in cols)))
+                rows.append(_packed(bucket, 0, token[p], ids[at[p]], pos[p], sizes[at[p]]))
             yield _entries(rows)
 
     return classes.select("id", "n", "prefix").mapInArrow(run, _ENTRY)
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    kinds = (_U, np.int64, np.int32, np.int32)
-    return tuple(
-        np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in table[c].to_pylist())])
-        for c, t in zip(_ENTRY_NAMES[3:], kinds, strict=True)
-    )
+    rows = table.select(_ENTRY_NAMES[2:]).to_pylist()
+    token = np.concatenate([np.empty(0, _U), *(np.frombuffer(r["token"], _U) for r in rows)])
+    none = np.empty(0, np.int64)
+    return token, *(np.concatenate([none, *(unsqueeze(r[c], r["n"]) for r in rows)]) for c in _ENTRY_NAMES[4:])
 
 
 def _compatible(ia, sa, pa_, ib, sb, pb, num: int, den: int) -> np.ndarray:
@@ -197,11 +201,10 @@ def round_one(entries: DataFrame, num: int, den: int) -> DataFrame:
         lead, count = lead[count > 1], count[count > 1]
         at = K.ragged(lead, count)
         first = np.repeat(lead, count)
-        sa, sb = size[first].astype(np.int64), size[at].astype(np.int64)
-        ok = _compatible(ids[first], sa, pos[first], ids[at], sb, pos[at], num, den) & (ids[first] != ids[at])
+        ok = _compatible(ids[first], size[first], pos[first], ids[at], size[at], pos[at], num, den) & (ids[first] != ids[at])
         pairs = np.unique(np.stack([ids[first][ok], ids[at][ok]]), axis=1)
         bucket = key[0].as_py()
-        rows = [(bucket, 1, len(at), *(x[at].tobytes() for x in (token, ids, pos, size)))] if len(at) else []
+        rows = [_packed(bucket, 1, *(x[at] for x in (token, ids, pos, size)))] if len(at) else []
         if pairs.shape[1]:
             rows.append((bucket, 2, pairs.shape[1], None, pairs[0].tobytes(), pairs[1].astype(np.int64).tobytes(), None))
         return pa.Table.from_batches([_entries(rows)])
@@ -232,7 +235,7 @@ def round_two(entries: DataFrame, components: DataFrame, buckets: int, num: int,
                 lead = group_starts(token)
                 count = np.diff(np.append(lead, len(token)))
                 grid = np.repeat(-(-count // GROUP_ROWS), count)
-                cols = [token.view(np.int64), ids, pos, size, grid.astype(np.int32)]
+                cols = [token.view(np.int64), ids, pos.astype(np.int32), size.astype(np.int32), grid.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "id", "pos", "size", "grid"])
 
     rows = entries.mapInArrow(unpack, "token long, id long, pos int, size int, grid int")
@@ -292,11 +295,13 @@ def round_two(entries: DataFrame, components: DataFrame, buckets: int, num: int,
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop pairs whose sets differ too much by their sizes in SIGNATURE ranges of the hash.
+    """(x, y, kx, ky): pairs whose sets can be near enough, with the first keys of both sets.
+
+    Dropped are pairs that differ too much by their sizes in SIGNATURE ranges of the hash:
 
     |x - y| + |y - x| is at least the sum of the size differences in disjoint ranges.
     """
-    sides = classes.select("id", "n", "sign")
+    sides = classes.select("id", "n", "sign", "k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,15 +311,15 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> D
             a, c = b.column(2).to_numpy(), b.column(3).to_numpy()
             most = a + c - 2 * least_overlap(a, c, num, den)
             capped = (sx == 65535).any(axis=1) | (sy == 65535).any(axis=1)
-            yield b.select(["x", "y"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
+            yield b.select(["x", "y", "kx", "ky"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
 
     both = (
         pairs.distinct()
-        .join(sides.toDF("x", "nx", "gx"), "x")
-        .join(sides.toDF("y", "ny", "gy"), "y")
-        .select("x", "y", "nx", "ny", "gx", "gy")
+        .join(sides.toDF("x", "nx", "gx", "kx"), "x")
+        .join(sides.toDF("y", "ny", "gy", "ky"), "y")
+        .select("x", "y", "nx", "ny", "gx", "gy", "kx", "ky")
     )
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(run, "x long, y long, kx long, ky long")
 
 
 def set_keys(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -328,35 +333,43 @@ def set_keys(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int
-) -> DataFrame:
-    """Links (u, v) among the pairs (x, y), by the full sets of both."""
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """Bitmap of the hashes of the wanted ids: 2^FILTER_BITS bits, whatever their number."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
+    words = wanted.groupBy(F.shiftright(cell, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return bitmap
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) among the pairs (x, y, kx, ky), by the full sets of both."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    wanted = classes.select("id", "k1", "k2").join(wanted, "id", "left_semi")
+    bitmap = _marked(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cell = b.column(2).to_numpy()
+            b = b.filter(pa.array((bitmap[cell >> 6] >> (cell & 63)) & 1 == 1))
             raw, off = K.text_bytes(b.column(1))
             for i, j in K.chunks(off):
                 row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 cut = np.split(value, np.searchsorted(row, np.arange(1, j - i)))
-                k1, k2 = set_keys(row, value, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), pa.array([x.tobytes() for x in cut], pa.binary())],
-                    ["id", "k1", "k2", "members"],
+                    [b.column(0).slice(i, j - i), pa.array(set_keys(row, value, j - i)[0]), pa.array([x.tobytes() for x in cut], pa.binary())],
+                    ["id", "k1", "members"],
                 )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    members = texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, k1 long, k2 long, members binary")
-    members = members.join(wanted, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"]).select("id", "members")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    texts = texts.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
+    members = texts.mapInArrow(sets, "id long, k1 long, members binary").dropDuplicates(["id", "k1"])
     members = materialize(members, "sets")
     # partners of a document are read in parts of about VERIFY_ROWS
-    parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
-    left = pairs.join(parts, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
-    left = left.join(members.toDF("y", "members"), "y").select("x", "part", "y", "members")
-    right = parts.join(members.toDF("x", "own"), "x").select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    parts = pairs.groupBy("x", "kx").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
+    left = pairs.join(parts.drop("kx"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
+    left = left.join(members.toDF("y", "ky", "members"), ["y", "ky"]).select("x", "part", "y", "members")
+    right = parts.join(members.toDF("x", "kx", "own"), ["x", "kx"]).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
 
     def check(key: tuple, theirs: pa.Table, own: pa.Table) -> pa.Table:
         x = np.frombuffer(own["own"][0].as_py(), _U)
@@ -394,11 +407,11 @@ def jaccard_components(
     keys = canon.groupBy("k1", "k2", "n").agg(F.min("id").alias("class"))
     members = canon.join(keys, ["k1", "k2", "n"]).select("id", "class")
     classes = described_.join(keys.withColumnRenamed("class", "id"), ["id", "k1", "k2", "n"], "left_semi")
-    classes = materialize(classes.dropDuplicates(["id"]), "classes")
+    classes = materialize(classes.dropDuplicates(["id", "k1", "k2", "n"]), "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
         near = suffix_filter(pairs, classes, num, den)
-        return materialize(verified(near, classes, docs, id_col, text_col, width, num, den), "links")
+        return materialize(verified(near, docs, id_col, text_col, width, num, den), "links")
 
     met = materialize(round_one(prefix_entries(classes, buckets), num, den), "met")
     first = links(_pair_rows(met.where("kind = 2")))
