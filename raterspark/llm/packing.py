@@ -9,7 +9,8 @@ best-fit again, round after round. No task ever holds more than a partition's pi
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,8 @@ class WordTokenizer:
     holding ``<|`` (special tokens) are hashed with their case. The cache is bounded.
     """
 
-    LIMIT = 400_000
+    LIMIT = 2_000_000
+    RECENT = 50_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,22 +76,37 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.at, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.pool = np.zeros(4096, np.uint32)
-
-    def add(self, key: int, text: bytes) -> int:
-        ids = self.encode(text.decode("utf-8"), add_special_tokens=False).ids
-        k = len(self.slot)
-        if k == len(self.at):
-            self.at, self.count = np.resize(self.at, 2 * k), np.resize(self.count, 2 * k)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[k], self.count[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.slot[key] = k
-        return k
+        self.known, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by key
+        self.recent: dict[int, int] = {}
+        self.at, self.count, self.pool = (np.empty(0, t) for t in (np.int64, np.int64, np.uint32))
+
+    def slots(self, keys: np.ndarray, texts: Callable[[np.ndarray], Iterable[bytes]]) -> np.ndarray:
+        """Cache slots of ascending keys; parts not met before are encoded and remembered."""
+        if len(self.at) + len(keys) > self.LIMIT:
+            self.clear()
+        at = np.searchsorted(self.known, keys)
+        at[at == len(self.known)] = 0
+        found = self.known[at] == keys if len(self.known) else np.zeros(len(keys), bool)
+        out = np.empty(len(keys), np.int64)
+        out[found] = self.slot[at[found]]
+        miss = np.flatnonzero(~found)
+        out[miss] = [self.recent.get(k, -1) for k in keys[miss].tolist()]
+        new = miss[out[miss] < 0]
+        if len(new):
+            ids = [self.encode(x.decode("utf-8"), add_special_tokens=False).ids for x in texts(new)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            used = len(self.pool)
+            self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())))
+            out[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self.at = np.append(self.at, used + np.cumsum(count) - count)
+            self.count = np.append(self.count, count)
+            self.recent.update(zip(keys[new].tolist(), out[new].tolist(), strict=True))
+            if len(self.recent) > self.RECENT:
+                k = np.append(self.known, np.fromiter(self.recent, np.uint64, len(self.recent)))
+                v = np.append(self.slot, np.fromiter(self.recent.values(), np.int64, len(self.recent)))
+                order = np.argsort(k, kind="stable")
+                self.known, self.slot, self.recent = k[order], v[order], {}
+        return out
 
     def __call__(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the offsets of the texts."""
@@ -107,16 +124,13 @@ class WordTokenizer:
         data = raw.tobytes()
         lower = b"<|" not in data
         keys, first, inverse = np.unique(K.span_hash(raw, start, end, lower), return_index=True, return_inverse=True)
-        if len(self.slot) + len(keys) > self.LIMIT:
-            self.clear()
-        get, slots = self.slot.get, np.empty(len(keys), np.int64)
-        for k, (key, s, e) in enumerate(zip(keys.tolist(), start[first].tolist(), end[first].tolist(), strict=True)):
-            at = get(key)
-            if at is None:
-                part = data[s:e]
-                at = self.add(key, part.lower() if lower else part)
-            slots[k] = at
-        slot = slots[inverse]
+        first_start, first_end = start[first], end[first]
+
+        def texts(which: np.ndarray) -> Iterator[bytes]:
+            for s, e in zip(first_start[which].tolist(), first_end[which].tolist(), strict=True):
+                yield data[s:e].lower() if lower else data[s:e]
+
+        slot = self.slots(keys, texts)[inverse]
         count = self.count[slot]
         per_text = np.bincount(row, weights=count, minlength=n).astype(np.int64) + 1
         out_off = np.concatenate([[0], np.cumsum(per_text)])
@@ -127,6 +141,16 @@ class WordTokenizer:
         return flat, out_off
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker process, whose cache serves all its tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int
 ) -> DataFrame:
@@ -137,7 +161,7 @@ def tokenized_pieces(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer_path)
+        encode = word_tokenizer(tokenizer_path)
         ids, cols = [], []
         for b in batches:
             raw, off = K.text_bytes(b.column(1))
