@@ -203,7 +203,8 @@ def score_toxicity(
     # clashing column names cannot meet: only the needed columns are kept
     basis = docs.where(learn_from).select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
     counts = np.zeros((2, CELLS))
-    for r in token_counts_by_label(basis.join(marked, "__i"), "__t", "__y").toLocalIterator():  # 2 * CELLS rows at most
+    # the labels grow with the texts: joined the same way at every size, never broadcast
+    for r in token_counts_by_label(basis.join(marked.hint("merge"), "__i"), "__t", "__y").toLocalIterator():  # 2 * CELLS rows at most
         counts[r["label"], r["cell"]] = r["n"]
     scores = log_odds(counts, strength, margin, drift)
     rate = extreme_value_rate(scores, counts[0])
