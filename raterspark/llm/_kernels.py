@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Space and the control characters 9-13 separate words; every other byte is in a word.
 IS_SPACE = np.zeros(256, bool)
@@ -54,6 +54,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j
         i = j
+    pa.default_memory_pool().release_unused()  # a worker lives on: give back what the batch held
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -66,7 +66,7 @@ class WordTokenizer:
     holding ``<|`` (special tokens) are hashed with their case. The cache is bounded.
     """
 
-    LIMIT = 2_000_000
+    LIMIT = 1_000_000
     RECENT = 50_000
 
     def __init__(self, path: str):
@@ -165,7 +165,7 @@ def tokenized_pieces(
         ids, cols = [], []
         for b in batches:
             raw, off = K.text_bytes(b.column(1))
-            for i, j in K.chunks(off):
+            for i, j in K.chunks(off, 1 << 20):
                 flat, at = encode(raw[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 size = np.diff(at)
                 parts = -(-size // capacity)

@@ -26,9 +26,18 @@ from .toxicity import score_toxicity
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application."""
+    """Send this package's modules to the executors, once per application.
+
+    Also lowers the rows of an Arrow batch to BATCH_ROWS where the session has the default.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_rater_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="rater-py-"), os.path.basename(PACKAGE) + ".zip")
