@@ -1,25 +1,16 @@
 """Text column expressions: accent folding, match keys, token lists, JSON extraction.
 
-Everything here is a built-in Spark expression except :func:`first_balanced_block`, which
-is a vectorised (Arrow) pandas UDF because a brace scanner that skips quoted spans is not
-expressible with regular expressions.
+Everything here is a built-in Spark expression.
 """
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The Arrow UDF below is shipped to Python workers with its code (pickled by value), so
-# workers do not need this package on their import path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # ---------------------------------------------------------------------------------------
 # Letters that Latin-to-ASCII transliteration spells with more than one
 # letter, or that carry no decomposable accent. Kept in natural order, source -> target.
@@ -149,55 +140,40 @@ def first_json_block(col: Column | str) -> Column:
     return F.when(block != F.lit(""), block)
 
 
-def _scan_balanced(text, quotes_everywhere: bool):
-    if text is None or text == "" or "{" not in text:
-        return None
-    depth = 0
-    start = -1
-    quote = None
-    escaped = False
-    for i, ch in enumerate(text):
-        if quote is not None:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == quote:
-                quote = None
-            continue
-        if ch in ("'", '"') and (quotes_everywhere or depth > 0):
-            quote = ch
-            continue
-        if ch == "{":
-            if depth == 0:
-                start = i
-            depth += 1
-        elif ch == "}" and depth > 0:
-            depth -= 1
-            if depth == 0:
-                return text[start:i + 1]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def _balanced_literal(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: _scan_balanced(t, True))
-
-
-@F.pandas_udf(T.StringType())
-def _balanced_inside(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: _scan_balanced(t, False))
-
-
 def first_balanced_block(col: Column | str, quotes: str = "inside") -> Column:
     """First brace block with balanced braces, braces inside quoted spans ignored.
 
     ``quotes='literal'`` treats any quote character in the text as the start of a quoted
-    span, as the original scanner did (so an apostrophe in prose can hide a later block);
-    ``quotes='inside'`` (default) tracks quotes only inside braces.
+    span (so an apostrophe in prose can hide a later block); ``quotes='inside'`` (default)
+    tracks quotes only inside braces. NULL when no block closes. The text is split into
+    braces, quotes, backslash pairs and runs of other characters, which one fold reads.
     """
-    fn = _balanced_literal if quotes == "literal" else _balanced_inside
-    return fn(_c(col))
+    text = _c(col)
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|['\"{}]|[^\\'\"{}]+|\\"), F.lit(0))
+    zero = F.lit(0)
+    begin = F.struct(
+        zero.alias("at"), zero.alias("depth"), F.lit("").alias("quote"), zero.alias("first"), zero.alias("last")
+    )
+
+    def read(seen: Column, piece: Column) -> Column:
+        size, mark = F.length(piece), F.right(piece, F.lit(1))
+        pair = (size == 2) & piece.startswith("\\")
+        quoted, at = seen["quote"] != "", seen["at"] + size
+        opens = ~quoted & mark.isin("'", '"') & (F.lit(quotes == "literal") | (seen["depth"] > 0))
+        up = ~quoted & (mark == "{")
+        down = ~quoted & (mark == "}") & (seen["depth"] > 0)
+        quote = F.when(opens, mark).when(quoted & ~pair & (mark == seen["quote"]), "").otherwise(seen["quote"])
+        nxt = F.struct(
+            at.alias("at"),
+            (seen["depth"] + up.cast("int") - down.cast("int")).alias("depth"),
+            quote.alias("quote"),
+            F.when(up & (seen["depth"] == 0), at).otherwise(seen["first"]).alias("first"),
+            F.when(down & (seen["depth"] == 1), at).otherwise(zero).alias("last"),
+        )
+        return F.when(seen["last"] > 0, seen).otherwise(nxt)
+
+    found = F.aggregate(pieces, begin, read)
+    return F.when(found["last"] > 0, F.substring(text, found["first"], found["last"] - found["first"] + 1))
 
 
 def _tolerant(block: Column) -> Column:

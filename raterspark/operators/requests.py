@@ -131,7 +131,7 @@ def extract_label(
     """(clean label, parse_status) from a free-text answer.
 
     ``block='regex'``: first non-greedy ``{...}``; ``block='balanced'``: first block with
-    balanced braces outside quoted spans (Arrow UDF). The key's value is rendered as text
+    balanced braces outside quoted spans. The key's value is rendered as text
     (lists joined with ', '). A block without the key gives ``missing_key_text`` (the
     text ``None`` in the original regex variant, '' in the balanced one); an answer with
     no block gives ``no_block_text`` ('' by default: the original wrote a missing value

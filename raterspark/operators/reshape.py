@@ -66,32 +66,29 @@ def complete_years(
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)
     hi_c = hi if isinstance(hi, Column) else F.lit(hi)
     grid = counts.select(*groups).distinct().select(
-        *groups, F.explode(F.sequence(lo_c, hi_c)).alias(year)
+        *groups, F.explode(F.sequence(lo_c, hi_c)).alias(year), F.lit(0).alias(measure)
     )
-    out = grid.join(counts, [*groups, year], "left")
-    return out.withColumn(measure, F.coalesce(F.col(measure), F.lit(0)).cast("long"))
+    return _filled(grid, counts, [*groups, year], measure)
 
 
-# Largest value set of a non-first dimension that complete_observed carries as one array.
-MAX_DOMAIN_VALUES = 100_000
+def _filled(grid: DataFrame, counts: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
+    """Zero rows of a grid and counted rows added up; one aggregate, in which NULL keys are
+    equal, and no join. Other columns of ``counts`` are not kept."""
+    both = grid.select(*keys, measure).unionByName(counts.select(*keys, measure))
+    return both.groupBy(*keys).agg(F.coalesce(F.sum(measure), F.lit(0)).cast("long").alias(measure))
 
 
 def complete_observed(counts: DataFrame, dims: Sequence[str], measure: str) -> DataFrame:
     """``complete(a, b, c, fill = 0)``: the product of the observed values of each
-    dimension. The first dimension's distinct rows (any size) are exploded over the
-    observed value sets of the others, which must be small dimensions (checked: at most
-    ``MAX_DOMAIN_VALUES`` values each), then the counts are joined back."""
+    dimension, NULL being a value. The first dimension stays as rows (any size) and is
+    exploded over the value sets of the others, so put the largest dimension first."""
     first, rest = dims[0], list(dims[1:])
     grid = counts.select(first).distinct()
     for d in rest:
-        n = counts.select(d).distinct().limit(MAX_DOMAIN_VALUES + 1).count()
-        if n > MAX_DOMAIN_VALUES:
-            raise ValueError(f"dimension {d!r} has more than {MAX_DOMAIN_VALUES} values; put the largest "
-                             "dimension first")
-        values = counts.agg(F.sort_array(F.collect_set(d))).scalar()
-        grid = grid.select("*", F.explode(values).alias(d))
-    out = grid.join(counts, list(dims), "left")
-    return out.withColumn(measure, F.coalesce(F.col(measure), F.lit(0)).cast("long"))
+        # structs keep a NULL value in the set, which collect_set alone would drop
+        values = counts.agg(F.sort_array(F.collect_set(F.struct(F.col(d).alias("v"))))).scalar()
+        grid = grid.select("*", F.explode(values).alias("_s")).select("*", F.col("_s.v").alias(d)).drop("_s")
+    return _filled(grid.withColumn(measure, F.lit(0)), counts, list(dims), measure)
 
 
 def cols_ending(df: DataFrame, suffix: str, exclude: Sequence[str] = ()) -> list[str]:

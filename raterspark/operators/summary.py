@@ -78,16 +78,24 @@ def topic_share_within(
         return out.withColumn("share", safe_div(F.col("n_items"), F.col(denominator_col)))
     else:
         detail = df.groupBy(group, topic).agg(F.count_distinct(item).alias("n_items"))
-        totals = denominator.select(group, denominator_col)
-    out = detail.join(totals, group, "left")
+        totals = denominator.select(F.col(group).alias("_group"), denominator_col)
+    out = detail.join(totals, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
     return out.withColumn("share", safe_div(F.col("n_items"), F.col(denominator_col)))
 
 
 def top_k_ties(df: DataFrame, measure: str, k: int, rank_col: str = "rank") -> DataFrame:
     """Rows whose ``rank()`` by ``measure`` (descending) is at most k: ties at the cut
-    are all kept, so more than k rows can come back."""
-    w = Window.orderBy(F.col(measure).desc_nulls_last())
-    return df.withColumn(rank_col, F.rank().over(w)).where(F.col(rank_col) <= k)
+    are all kept, so more than k rows can come back. NULLs rank last.
+
+    The k-th value comes from a distributed top-k; rows at or above it are kept by a filter
+    and ranked through the at most k distinct values they have, so ties are never gathered."""
+    top = df.orderBy(F.col(measure).desc_nulls_last()).limit(k)
+    cut = top.agg(F.struct(F.min(measure).alias("least"), F.count_if(F.col(measure).isNull()).alias("nulls"))).scalar()
+    kept = df.where((F.col(measure) >= cut["least"]) | (cut["nulls"] > 0))
+    w = Window.orderBy(F.col("_value").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    values = kept.groupBy(F.col(measure).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = values.select("_value", (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("int").alias(rank_col))
+    return kept.join(ranks, F.col(measure).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def cumulative(df: DataFrame, groups: Sequence[str], order: str, measure: str, out: str) -> DataFrame:

@@ -11,27 +11,10 @@ TABLES = (
 ).split()
 
 
-def spread_narrow(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer partitions than task slots (one unsplittable file,
-    one row group) over all slots, so per-row work after the scan runs in parallel.
-    Inputs that already have enough splits (any large table) are left as they are."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
-        return df
-    return df.repartition(slots) if parts < slots else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Scan one driver table. Column pruning and filters reach the Parquet scan (the
-    spread, when needed, is a round-robin exchange above the pruned scan)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_narrow(df) if spread and name not in FIXED_SIZE else df
-
-
-# Dimensions whose size does not grow with the data.
-FIXED_SIZE = {"region", "nation"}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one driver table. Column pruning and filters reach the Parquet scan; its splits
+    follow spark.sql.files.maxPartitionBytes and minPartitionNum."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def r6(col: Column | str) -> Column:

@@ -69,7 +69,7 @@ def q_ingest_responses(spark, sf_dir):
 
 
 def q_ingest_responses_balanced(spark, sf_dir):
-    """The same with the balanced-brace scanner (Arrow UDF) and name cleaning."""
+    """The same with the balanced-brace block and name cleaning."""
     ing = rq.ingest_responses(
         response_lines(spark, sf_dir), "label", block="balanced", missing_key_text="", clean="name_chars"
     )

@@ -101,39 +101,27 @@ def test_first_json_block_and_key(spark):
     assert out[6].st == "no_key"
 
 
-def test_balanced_block_matches_python(spark):
-    df = spark.createDataFrame([(c,) for c in CASES], "s string")
-    got_in = [r[0] for r in df.select(tx.first_balanced_block("s", "inside")).collect()]
-    got_lit = [r[0] for r in df.select(tx.first_balanced_block("s", "literal")).collect()]
-    assert got_in == [tx._scan_balanced(c, False) for c in CASES]
-    assert got_lit == [tx._scan_balanced(c, True) for c in CASES]
-    assert got_in[5] == '{"a": "{nested}"}'
-    assert got_lit[2] is None and got_in[2] == '{"a": ["b"]}'  # apostrophe hides the block
+def test_balanced_block(spark):
+    # text, block with quotes tracked inside braces only, block with quotes tracked everywhere
+    cases = [
+        ('x {"a": {"b": 1}} y {"c": 2}', '{"a": {"b": 1}}', '{"a": {"b": 1}}'),
+        ('it\'s {"a": 1}', '{"a": 1}', None),  # the apostrophe hides the block
+        ('it\'s John\'s {"a": 1}', '{"a": 1}', '{"a": 1}'),
+        ('{"a": "}{"} tail', '{"a": "}{"}', '{"a": "}{"}'),
+        ('{"a": "q\\"}"} tail', '{"a": "q\\"}"}', '{"a": "q\\"}"}'),  # an escaped quote
+        ("{'a': None}", "{'a': None}", "{'a': None}"),
+        ("} {unclosed", None, None),
+        ("no block", None, None),
+        ("", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, s string").orderBy("k")
+    for pick, quotes in ((1, "inside"), (2, "literal")):
+        got = [r[0] for r in df.select(tx.first_balanced_block("s", quotes)).collect()]
+        assert got == [c[pick] for c in cases]
 
 
 def test_pattern_flag(spark):
     df = spark.createDataFrame([("Standard Barometer 99",), ("Flash 12",), ("Other",), (None,)], "s string")
     got = [r[0] for r in df.select(tx.pattern_flag("s", "barometer", also_equal="Flash 12")).collect()]
     assert got == [1, 1, 0, 0]
-
-
-def test_udf_code_travels_by_value(tmp_path):
-    """Workers must not need this package on their path: the Arrow UDF's function is
-    pickled by value and runs in a process that cannot import raterspark."""
-    import subprocess
-    import sys
-
-    from pyspark import cloudpickle
-
-    payload = tmp_path / "fn.pkl"
-    payload.write_bytes(cloudpickle.dumps(tx._balanced_inside.func))
-    code = (
-        "import sys, pickle, pandas as pd\n"
-        "sys.path = [p for p in sys.path if 'repo' not in p]\n"
-        "try:\n    import raterspark\n    raise SystemExit('raterspark importable')\nexcept ImportError:\n    pass\n"
-        f"fn = pickle.loads(open({str(payload)!r}, 'rb').read())\n"
-        "print(fn(pd.Series(['x {\"a\": 1} y', None]))[0])\n"
-    )
-    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=120)
-    assert out.returncode == 0, out.stderr
-    assert out.stdout.strip() == '{"a": 1}'

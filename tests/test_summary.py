@@ -114,3 +114,23 @@ def test_dense_index_contiguous_and_sorted(spark):
     got = sorted((r.name, r._idx) for r in rs.dense_index(df, "name").collect())
     want = list(zip(sorted(set(vals)), range(len(set(vals)))))
     assert got == want
+
+
+def test_null_groups_keep_their_counts(spark):
+    df = spark.createDataFrame([(None, 2001, 7), (None, 2003, 2), ("a", 2002, 1)], "g string, year int, n long")
+    got = {(r.g, r.year): r.n for r in rs.complete_years(df, ["g"], "year", "n").collect()}
+    assert got == {(None, 2001): 7, (None, 2002): 0, (None, 2003): 2, ("a", 2001): 0, ("a", 2002): 1, ("a", 2003): 0}
+    got = {(r.year, r.g): r.n for r in rs.complete_observed(df, ["year", "g"], "n").collect()}
+    assert got == {(2001, None): 7, (2002, None): 0, (2003, None): 2, (2001, "a"): 0, (2002, "a"): 1, (2003, "a"): 0}
+    items = spark.createDataFrame([(1, "t", None), (2, "t", None), (3, "u", "g")], "item int, topic string, g string")
+    totals = spark.createDataFrame([(None, 4), ("g", 2)], "g string, n_total int")
+    out = sm.topic_share_within(items, "item", "topic", "g", totals).collect()
+    assert {(r.g, r.topic): r.share for r in out} == {(None, "t"): 0.5, ("g", "u"): 0.5}
+
+
+def test_top_k_when_all_rows_tie(spark):
+    df = spark.range(50).selectExpr("id", "cast(5 as long) as n")
+    assert {(r.n, r["rank"]) for r in sm.top_k_ties(df, "n", 3).collect()} == {(5, 1)}
+    assert sm.top_k_ties(df, "n", 3).count() == 50
+    few = spark.createDataFrame([(1, 9), (2, None), (3, 4)], "id int, n int")
+    assert sorted((r.id, r["rank"]) for r in sm.top_k_ties(few, "n", 3).collect()) == [(1, 1), (2, 3), (3, 2)]
