@@ -103,19 +103,33 @@ def parse_requests(requests: DataFrame, col: str = "request") -> DataFrame:
 
 def flatten_responses(lines: DataFrame, col: str = "value") -> DataFrame:
     """JSON-lines responses -> one row per choice with parent metadata
-    (``json_normalize`` with record path response.body.choices). A line that does not
-    parse as a response record yields no choice row."""
-    rec = F.from_json(F.col(col), RESPONSE_SCHEMA)
-    parsed = lines.select(rec.alias("r"))
+    (``json_normalize`` with record path response.body.choices).
+
+    Every line stays: a record without choices gives one row with record_status
+    'no_choices', a line that is no JSON record one with 'malformed'; both keep the raw
+    line. Other rows are 'ok' and their raw line is NULL.
+    """
+    with_raw = T.StructType([*RESPONSE_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    rec = F.from_json(F.col(col), with_raw, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.select(F.col(col).alias("line"), rec.alias("r"))
+    choices = F.col("r.response.body.choices")
+    status = (
+        F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.lit("malformed"))
+        .when(choices.isNull() | (F.size(choices) < 1), F.lit("no_choices"))
+        .otherwise(F.lit("ok"))
+    )
     return parsed.select(
         F.col("r.custom_id").alias("custom_id"),
         F.col("r.id").alias("id"),
         F.col("r.response.body.model").alias("model"),
         F.col("r.response.body.created").alias("created"),
-        F.explode("r.response.body.choices").alias("c"),
+        status.alias("record_status"),
+        F.when(status != "ok", F.col("line")).alias("raw"),
+        F.explode_outer(F.when(status == "ok", choices)).alias("c"),
     ).select(
         "custom_id", "id", "model", "created",
         F.col("c.index").alias("choice_index"), F.col("c.message.content").alias("message_content"),
+        "record_status", "raw",
     )
 
 
@@ -164,12 +178,20 @@ def ingest_responses(
     no_block_text: str | None = "",
 ) -> DataFrame:
     """Response lines -> replicate table (custom_id, choice_index, message_content,
-    label, model, parse_status). Never fails on malformed answers."""
+    label, model, parse_status). Never fails on malformed answers. A line without choices
+    or that is no record gives one row with a NULL label and parse_status 'no_choices' or
+    'malformed'; :func:`answered` leaves those out."""
     flat = flatten_responses(lines, col)
     value, status = extract_label(
         F.col("message_content"), key, block, missing_key_text, clean, no_block_text=no_block_text
     )
+    ok = F.col("record_status") == "ok"
     return flat.select(
-        "custom_id", "choice_index", "message_content", value.alias(label_col), "model",
-        status.alias("parse_status"),
+        "custom_id", "choice_index", "message_content", F.when(ok, value).alias(label_col), "model",
+        F.when(ok, status).otherwise(F.col("record_status")).alias("parse_status"),
     )
+
+
+def answered(replicates: DataFrame) -> DataFrame:
+    """Rows of :func:`ingest_responses` that stand for an answer (for votes)."""
+    return replicates.where(~F.col("parse_status").isin("no_choices", "malformed"))

@@ -84,7 +84,7 @@ def q_response_votes(spark, sf_dir):
     index, class counts, normalised Gini over the two classes)."""
     from raterspark.operators import consensus
 
-    ing = rq.ingest_responses(response_lines(spark, sf_dir), "label")
+    ing = rq.answered(rq.ingest_responses(response_lines(spark, sf_dir), "label"))
     s = consensus.vote_summary(ing, "custom_id", "label_clean", RESPONSE_CLASSES, ["choice_index"])
     return s.select("custom_id", "label_mode", *RESPONSE_CLASSES, F.round("gini_norm", 6).alias("gini_norm"))
 

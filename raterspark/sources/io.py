@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def r_name(header: str) -> str:
+    """A header as R's ``make.names`` spells it: other characters become dots, and a name
+    that does not begin with a letter or a dot gets an X in front."""
+    name = re.sub(r"[^\w.]", ".", header)
+    return name if re.match(r"[^\W\d_]|\.(?!\d)", name) else f"X{name}"
+
+
 def read_r_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -26,24 +33,37 @@ def read_r_csv(
     decimal: str = ".",
     source_col: str | None = None,
     blank_as_null: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header, read as strings and typed by ``schema`` (R missing-value rule).
 
+    Columns are taken by header name, in any order: a schema name matches a header as it
+    stands or as R spells it (``Income group`` -> ``Income.group``, ``2015`` -> ``X2015``).
+    A name that no header has is an error. ``multi_line=False`` lets Spark split a file
+    whose quoted fields hold no line breaks.
+
     ``blank_as_null=True`` reads a blank string field as NULL (the pandas reader's rule)
     instead of ''.
 
     ``source_col`` adds the input file name, so files of several models (one per model)
     are read in one scan and grouped by a column instead of looped over.
     """
-    string_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = (
         spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).option("nullValue", "\u0000NA\u0000").option("emptyValue", "")
-        .schema(string_schema).csv(path)
+        .option("multiLine", multi_line).option("nullValue", "\u0000NA\u0000").option("emptyValue", "")
+        .csv(path)
     )
+    by_name: dict[str, str] = {}
+    for header in raw.columns:
+        plain = header.lstrip("\ufeff")
+        for name in (plain, r_name(plain)):
+            by_name.setdefault(name, header)
+    missing = [f.name for f in schema.fields if f.name not in by_name]
+    if missing:
+        raise ValueError(f"no header named {missing} among {raw.columns}")
     cols = []
     for f in schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = raw[f"`{by_name[f.name]}`"]
         if isinstance(f.dataType, T.StringType):
             blank = F.lit(None) if blank_as_null else F.lit("")
             cols.append(

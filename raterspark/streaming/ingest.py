@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from raterspark.operators.requests import ingest_responses
+from raterspark.operators.requests import answered, ingest_responses
 
 
 def response_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def start_vote_counts(
     Without ``table_path`` the counts are published to an in-memory table named
     ``query_name`` (for inspection); with it, every trigger rewrites the current counts
     as a Parquet table at ``table_path`` (``foreachBatch``)."""
-    rows = ingest_responses(response_stream(spark, source_path), key)
+    rows = answered(ingest_responses(response_stream(spark, source_path), key))
     counts = rows.groupBy("custom_id", label_col).agg(
         F.count(F.lit(1)).alias("n_votes"), F.min("choice_index").alias("first_choice")
     )

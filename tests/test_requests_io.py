@@ -3,6 +3,7 @@ import os
 import tempfile
 
 from conftest import rows
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +38,37 @@ def test_ingest_variants_and_status(spark):
     ]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     reg = rows(rq.ingest_responses(df, "inclusion"), "custom_id", "choice_index", "label_clean", "parse_status")
-    assert reg[:3] == [("1", 0, "included", "ok"), ("1", 1, "", "no_block"), ("1", 2, "None", "no_key")]
+    assert reg[:4] == [
+        (None, None, None, "malformed"), ("1", 0, "included", "ok"), ("1", 1, "", "no_block"), ("1", 2, "None", "no_key"),
+    ]
     bal = rq.ingest_responses(df, "countries", block="balanced", missing_key_text="", clean="name_chars")
     got = {(r.custom_id, r.choice_index): (r.label_clean, r.parse_status) for r in bal.collect()}
     assert got[("2", 0)] == ("France, Spain", "ok")
 
 
+def test_lines_without_choices_keep_a_row(spark):
+    failed = json.dumps({"id": "r9", "custom_id": "9", "response": {"body": {"model": "m", "created": 1, "choices": None}}})
+    df = spark.createDataFrame([(failed,), ("{broken",), (_line(1, ["x"]),)], "value string")
+    flat = {(r.custom_id, r.record_status): r.raw for r in rq.flatten_responses(df).collect()}
+    assert flat == {("9", "no_choices"): failed, (None, "malformed"): "{broken", ("1", "ok"): None}
+    out = rq.ingest_responses(df, "a")
+    assert out.count() == 3 and [r.custom_id for r in rq.answered(out).collect()] == ["1"]
+
+
+def test_read_r_csv_by_header_name(spark):
+    d = tempfile.mkdtemp(prefix="csv-", dir="/tmp")
+    p = os.path.join(d, "t.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("b,Income group,2015,a\n1,High,2.5,x\n2,Low,NA,y\n")
+    fields = [("a", T.StringType()), ("X2015", T.DoubleType()), ("Income.group", T.StringType()), ("b", T.IntegerType())]
+    for multi in (True, False):
+        out = io.read_r_csv(spark, p, T.StructType([T.StructField(*x) for x in fields]), multi_line=multi)
+        assert out.columns == [x for x, _ in fields]
+        assert sorted(map(tuple, out.collect())) == [("x", 2.5, "High", 1), ("y", None, "Low", 2)]
+    with pytest.raises(ValueError, match="missing"):
+        io.read_r_csv(spark, p, T.StructType([T.StructField("missing", T.StringType())]))
+
+
 def test_read_r_csv_missing_rules(spark):
     d = tempfile.mkdtemp(prefix="csv-", dir="/tmp")
     p = os.path.join(d, "t.csv")
