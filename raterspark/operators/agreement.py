@@ -3,14 +3,9 @@ prevalence, disagreement inspection, set similarity and per-item label support.
 
 Scale notes.
 
-* No operator joins the rating table with itself. The per-pair tables are computed by
-  mapping raters to *slots* and carrying, per (item, variable), bit masks of the slots
-  that are present, non-NULL, or gave each response; agreement indicators per slot pair
-  are summed inside aggregates ("count form"): rows of rater pairs are never emitted per
-  item, so an item rated by many raters costs one row per distinct response, not
-  ``k^2`` rows. Rater rosters larger than one block of slots are processed in blocks of
-  raters; each rating row is replicated once per block (``ceil(R / block)``), which is
-  exact for any roster size.
+* Rater pairs are counted by blocks of raters: an item costs one row per block of raters
+  it really has and per distinct response, and blocks of one item meet each other; rows of
+  single rater pairs are never emitted per item.
 * The overall agreement table does not need pairs at all: per (item, variable) the
   number of agreeing pairs is ``sum_v c_v (c_v - 1) / 2`` over value counts.
 * De-duplication keeps the first row per (item, reader) with ``min_by`` in an
@@ -20,7 +15,6 @@ Scale notes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,11 +25,6 @@ from raterspark.functions.text import tokens
 from raterspark.operators.reshape import dense_index
 
 
-# Rater rosters up to this many names are collected and broadcast (well under 1 MB of
-# names); larger rosters stay distributed.
-MAX_BROADCAST_RATERS = 10_000
-
-
 def _struct(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
@@ -95,6 +84,25 @@ def long_ratings(
     return ratings.select(item, reader, kv).select(item, reader, "kv.variable", "kv.response")
 
 
+def single_ratings(
+    long: DataFrame, item: str, reader: str, variable: str = "variable", response: str = "response"
+) -> DataFrame:
+    """Ratings of the readers who rated an (item, variable) exactly once.
+
+    Percent agreement compares an item for a pair of raters only when each of them has one
+    row for it, so repeated ratings drop the item for every pair of that rater."""
+    return (
+        long.groupBy(item, reader, variable)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(response).alias(response))
+        .where(F.col("_n") == 1)
+        .drop("_n")
+    )
+
+
+# What the row counts of a block stand for: all rows, rows with a response, equal responses.
+_ALL, _ANSWERED, _EQUAL = 0, 1, 2
+
+
 def pair_counts(
     long: DataFrame,
     item: str,
@@ -104,113 +112,69 @@ def pair_counts(
     block: int = 8,
     roster: DataFrame | None = None,
 ) -> DataFrame:
-    """Per (reader_1, reader_2, variable) with reader_1 < reader_2: items rated by both
-    (``n_both``), equal non-NULL responses (``n_agree``), different non-NULL responses
-    (``n_disagree``) and pairs with a NULL response (``n_na``). Pairs that share no item
-    are absent. Expects at most one row per (item, reader, variable).
+    """Per (reader_1, reader_2, variable) with reader_1 < reader_2, over the pairs of their
+    rows for one item: all pairs (``n_both``), equal responses (``n_agree``), different
+    responses (``n_disagree``) and pairs with a NULL response (``n_na``). Pairs that share no
+    item are absent. A rater with several rows for an item gives a pair for each of them; use
+    :func:`single_ratings` or :func:`rating_union` first to leave those out. Rows without a
+    reader are ignored; a NULL item or variable is a value like any other.
 
     ``roster`` (a table with the ``reader`` column) can name the raters up front;
     otherwise it is derived from the ratings.
 
-    Plan: roster of distinct raters (small) -> slot/block per rater (broadcast) ->
-    bit mask of slots per (item, variable, block pair, response) -> per (item, variable,
-    block pair) present / non-NULL masks and same-response indicators per slot pair ->
-    sums per (variable, block pair). Every aggregate buffer is fixed-width.
+    Plan: raters get a contiguous index, hence a block and a slot -> rows counted per slot
+    for each (item, variable, response, block) that occurs -> blocks of one item meet each
+    other -> products of counts summed per pair of blocks. Nothing is collected, and any
+    number of raters takes the same path.
     """
-    names_df = (long if roster is None else roster).select(F.col(reader).alias("_reader")).distinct()
-    names_df = names_df.where(F.col("_reader").isNotNull())
-    # The roster is a dimension (one row per rater). Up to MAX_BROADCAST_RATERS names are
-    # collected (checked with limit) and shipped as a broadcast literal table; a larger
-    # roster stays distributed and is joined by a shuffle.
-    head = [r["_reader"] for r in names_df.limit(MAX_BROADCAST_RATERS + 1).collect()]
-    if len(head) <= MAX_BROADCAST_RATERS:
-        # Binary string order = code point order for Python str.
-        ordered = sorted(head)
-        roster = long.sparkSession.createDataFrame(
-            [(name, i) for i, name in enumerate(ordered)], "_reader string, _ri long"
-        )
-        n_readers = len(ordered)
-    else:
-        roster = dense_index(names_df, "_reader", "_ri")
-        n_readers = names_df.count()
-    # One block when the roster fits: then only as many slots as raters are needed.
-    block = max(1, min(block, n_readers))
-    n_blocks = max(1, math.ceil(n_readers / block))
-    roster = roster.withColumn("_blk", (F.col("_ri") / block).cast("long").cast("int")).withColumn(
-        "_slot", (F.col("_ri") % block).cast("int")
+    names = dense_index(
+        (long if roster is None else roster).select(F.col(reader).alias("_reader")).where(F.col("_reader").isNotNull()),
+        "_reader", "_ri",
+    ).select(
+        "_reader", F.floor(F.col("_ri") / block).alias("_blk"), (F.col("_ri") % block).cast("int").alias("_slot")
     )
-    # The roster holds one row per distinct rater and its size was just counted: it is
-    # broadcast only under a fixed bound, else joined by a shuffle.
-    small = F.broadcast(roster) if n_readers <= MAX_BROADCAST_RATERS else roster
-    tagged = long.join(small, F.col(reader) == F.col("_reader"), "inner")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_other")
-    tagged = tagged.select(item, variable, response, "_blk", "_slot", other)
-    lo = F.least("_blk", "_other")
-    hi = F.greatest("_blk", "_other")
-    local = F.when((F.col("_blk") == hi) & (lo != hi), F.col("_slot") + block).otherwise(F.col("_slot"))
-    tagged = tagged.select(item, variable, response, lo.alias("_lo"), hi.alias("_hi"), local.alias("_local"))
-    # Level 1 - per (item, variable, block pair, response): bit mask of the rater slots
-    # that gave this response (fixed-width, hash-aggregated; partial before the shuffle).
-    bit = F.expr("shiftleft(CAST(1 AS BIGINT), _local)")
-    by_value = tagged.groupBy(item, variable, "_lo", "_hi", response).agg(F.bit_or(bit).alias("_m"))
-    same_block = F.col("_lo") == F.col("_hi")
-    pairs = [(s, t, True) for s in range(block) for t in range(s + 1, block)]
-    if n_blocks > 1:
-        pairs += [(s, t, False) for s in range(block) for t in range(block, 2 * block)]
-
-    def has(mask: Column, slot: int) -> Column:
-        return F.shiftright(mask, slot).bitwiseAND(F.lit(1)) == 1
-
-    # Level 2 - per (item, variable, block pair): raters present, raters with a non-NULL
-    # response, and per slot pair whether both gave the same non-NULL response.
-    nonnull = F.col(response).isNotNull()
-    per_item = by_value.groupBy(item, variable, "_lo", "_hi").agg(
-        F.bit_or("_m").alias("_p"),
-        F.bit_or(F.when(nonnull, F.col("_m")).otherwise(F.lit(0).cast("long"))).alias("_n"),
-        *[F.max(F.when(nonnull & has(F.col("_m"), s) & has(F.col("_m"), t), 1).otherwise(0)).alias(f"e_{s}_{t}")
-          for s, t, _ in pairs],
+
+    def view(kind: int, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    answer = F.col(response).cast("string")
+    views = F.when(answer.isNull(), F.array(view(_ALL, F.lit("")))).otherwise(
+        F.array(view(_ALL, F.lit("")), view(_ANSWERED, F.lit("")), view(_EQUAL, answer))
     )
-    # Level 3 - per (variable, block pair): sums of the indicators (count form).
-    aggs = []
-    for s, t, within in pairs:
-        guard = same_block if within else ~same_block
-        both = guard & has(F.col("_p"), s) & has(F.col("_p"), t)
-        both_nn = guard & has(F.col("_n"), s) & has(F.col("_n"), t)
-        aggs += [
-            F.count_if(both).alias(f"b_{s}_{t}"),
-            F.sum(F.when(guard, F.col(f"e_{s}_{t}")).otherwise(0)).cast("long").alias(f"a_{s}_{t}"),
-            F.count_if(both_nn).alias(f"nn_{s}_{t}"),
-        ]
-    summed = per_item.groupBy(variable, "_lo", "_hi").agg(*aggs)
-    stack = F.explode(
-        F.array(*[
-            F.struct(
-                F.lit(s).alias("s"), F.lit(t).alias("t"), F.lit(within).alias("within"),
-                F.col(f"b_{s}_{t}").alias("n_both"), F.col(f"a_{s}_{t}").alias("n_agree"),
-                (F.col(f"nn_{s}_{t}") - F.col(f"a_{s}_{t}")).alias("n_disagree"),
-            )
-            for s, t, within in pairs
-        ])
-    ).alias("p")
-    flat = summed.select(variable, "_lo", "_hi", stack).select(
-        variable, "_lo", "_hi", "p.*"
-    ).where(F.col("n_both") > 0)
-    idx1 = F.col("_lo") * block + F.col("s")
-    idx2 = F.when(F.col("within"), F.col("_lo") * block + F.col("t")).otherwise(
-        F.col("_hi") * block + F.col("t") - block
+    keys = ["_item", "_variable", "_kind", "_value"]
+    seen = long.join(names, F.col(reader) == F.col("_reader")).select(
+        F.col(item).alias("_item"), F.col(variable).alias("_variable"), "_blk", "_slot", F.explode(views).alias("_v")
+    ).select("_item", "_variable", F.col("_v.kind").alias("_kind"), F.col("_v.value").alias("_value"), "_blk", "_slot")
+    counts = seen.groupBy(*keys, "_blk").agg(*[F.count_if(F.col("_slot") == s).alias(f"c{s}") for s in range(block)])
+    lo, hi = counts.alias("lo"), counts.alias("hi")
+    same = F.col("lo._blk") <= F.col("hi._blk")
+    for k in keys:
+        same = same & F.col(f"lo.{k}").eqNullSafe(F.col(f"hi.{k}"))
+    slots = [(s, t) for s in range(block) for t in range(block)]
+    summed = (
+        lo.join(hi, same)
+        .groupBy(F.col("lo._variable").alias("_variable"), F.col("lo._kind").alias("_kind"),
+                 F.col("lo._blk").alias("_lo"), F.col("hi._blk").alias("_hi"))
+        .agg(*[F.sum(F.col(f"lo.c{s}") * F.col(f"hi.c{t}")).alias(f"p_{s}_{t}") for s, t in slots])
     )
-    flat = flat.select(
-        variable, idx1.alias("_i1"), idx2.alias("_i2"), "n_both", "n_agree", "n_disagree"
+    flat = summed.select("_variable", "_kind", "_lo", "_hi", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.col(f"p_{s}_{t}").alias("n")) for s, t in slots
+    ])).alias("p")).where(
+        (F.col("p.n") > 0) & ((F.col("_lo") < F.col("_hi")) | (F.col("p.s") < F.col("p.t")))
     )
-    names = roster.select("_ri", "_reader")
-    r1 = names.withColumnRenamed("_ri", "_i1").withColumnRenamed("_reader", "reader_1")
-    r2 = names.withColumnRenamed("_ri", "_i2").withColumnRenamed("_reader", "reader_2")
-    if n_readers <= MAX_BROADCAST_RATERS:
-        r1, r2 = F.broadcast(r1), F.broadcast(r2)
-    out = flat.join(r1, "_i1").join(r2, "_i2")
+    per_pair = flat.groupBy("_variable", "_lo", "_hi", F.col("p.s").alias("_s"), F.col("p.t").alias("_t")).agg(*[
+        F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("p.n"))), F.lit(0)).alias(f"_n{kind}")
+        for kind in (_ALL, _ANSWERED, _EQUAL)
+    ])
+
+    def named(col: str, blk: str, slot: str) -> DataFrame:
+        return names.select(F.col("_reader").alias(col), F.col("_blk").alias(blk), F.col("_slot").alias(slot))
+
+    out = per_pair.join(named("reader_1", "_lo", "_s"), ["_lo", "_s"]).join(named("reader_2", "_hi", "_t"), ["_hi", "_t"])
     return out.select(
-        "reader_1", "reader_2", variable, "n_both", "n_agree", "n_disagree",
-        (F.col("n_both") - F.col("n_agree") - F.col("n_disagree")).alias("n_na"),
+        "reader_1", "reader_2", F.col("_variable").alias(variable), F.col(f"_n{_ALL}").alias("n_both"),
+        F.col(f"_n{_EQUAL}").alias("n_agree"), (F.col(f"_n{_ANSWERED}") - F.col(f"_n{_EQUAL}")).alias("n_disagree"),
+        (F.col(f"_n{_ALL}") - F.col(f"_n{_ANSWERED}")).alias("n_na"),
     )
 
 

@@ -64,6 +64,29 @@ def _pairs(spark, sf_dir):
     return ag.pair_counts(_line_long(spark, sf_dir), "l_orderkey", "reader", roster=line_roster(spark, sf_dir))
 
 
+def repeated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long ratings in which raters repeat themselves: lines 1-6 are rated by three people
+    (lines 1 and 4 by ``r1`` and so on), line 7 by the model; nothing is de-duplicated."""
+    frame = _line_frame(table(spark, sf_dir, "lineitem"))
+    person = F.regexp_extract("reader", "^r([0-9])$", 1).try_cast("int")
+    frame = frame.withColumn("reader", F.when(person.isNull(), F.col("reader")).otherwise(
+        F.concat(F.lit("r"), ((person - 1) % 3 + 1).cast("string"))))
+    kept = ag.rating_union([frame], "l_orderkey", "reader", ROW_ORDER, dedupe=False)
+    return ag.long_ratings(kept, "l_orderkey", "reader", CATS)
+
+
+def q_pairwise_agreement_dup(spark, sf_dir):
+    """Pair counts over ratings that keep repeated rows of a rater."""
+    return ag.pair_counts(repeated_ratings(spark, sf_dir), "l_orderkey", "reader")
+
+
+def q_percent_agreement_dup(spark, sf_dir):
+    """Percent agreement over the orders that both raters rated exactly once."""
+    once = ag.single_ratings(repeated_ratings(spark, sf_dir), "l_orderkey", "reader")
+    p = ag.percent_agreement(ag.pair_counts(once, "l_orderkey", "reader"), MODEL_PATTERN)
+    return p.select("pair", "category", r6("percent_agreement").alias("percent_agreement"), "pair_type")
+
+
 def q_rating_union(spark, sf_dir):
     """Human + model rows, items with > 1 row, first row per (item, reader)."""
     return line_ratings(spark, sf_dir)
@@ -221,6 +244,8 @@ QUERIES = {
     "rating_union": q_rating_union,
     "mismatches": q_mismatches,
     "pairwise_agreement": q_pairwise_agreement,
+    "pairwise_agreement_dup": q_pairwise_agreement_dup,
+    "percent_agreement_dup": q_percent_agreement_dup,
     "agreement_overall": q_agreement_overall,
     "percent_agreement": q_percent_agreement,
     "agreement_se": q_agreement_se,
@@ -273,6 +298,26 @@ pct AS (
   FROM pc)
 """
 
+_PAIRS_ON = _RT[_RT.index("pr AS ("):]
+_RT_DUP = """
+u AS (
+  SELECT l_orderkey,
+         CASE WHEN l_linenumber = 7 THEN 'model' ELSE 'r' || CAST((l_linenumber - 1) % 3 + 1 AS VARCHAR) END AS reader,
+         CAST(l_returnflag = 'R' AS INTEGER) AS cat_r,
+         CAST(l_linestatus = 'O' AS INTEGER) AS cat_o,
+         CASE WHEN l_discount < 0.005 THEN NULL ELSE CAST(l_discount > 0.05 AS INTEGER) END AS cat_d
+  FROM lineitem),
+rt AS (SELECT * FROM u WHERE l_orderkey IN (SELECT l_orderkey FROM u GROUP BY l_orderkey HAVING count(*) >= 2)),
+every AS (
+  SELECT l_orderkey, reader, 'cat_r' AS variable, CAST(cat_r AS VARCHAR) AS response FROM rt
+  UNION ALL SELECT l_orderkey, reader, 'cat_o', CAST(cat_o AS VARCHAR) FROM rt
+  UNION ALL SELECT l_orderkey, reader, 'cat_d', CAST(cat_d AS VARCHAR) FROM rt),
+"""
+_LONG_ALL = "long AS (SELECT * FROM every),"
+_LONG_ONCE = """long AS (
+  SELECT l_orderkey, reader, variable, min(response) AS response
+  FROM every GROUP BY l_orderkey, reader, variable HAVING count(*) = 1),"""
+
 _DOCR = """
 dr AS (
   SELECT doc_id, 'human_a' AS reader, quality, toxic FROM labels
@@ -407,6 +452,9 @@ SELECT l_orderkey, CAST(sum(c) AS BIGINT) AS n_reps, round(max(c) / sum(c), 6) A
 FROM per GROUP BY l_orderkey""",
 }
 
+ORACLE["pairwise_agreement_dup"] = "WITH " + _RT_DUP + _LONG_ALL + _PAIRS_ON + "SELECT * FROM pc"
+ORACLE["percent_agreement_dup"] = "WITH " + _RT_DUP + _LONG_ONCE + _PAIRS_ON + """
+SELECT pair, category, round(percent_agreement, 6) AS percent_agreement, pair_type FROM pct"""
 ORACLE["agreement_by_type"] = "WITH " + _RT + """
 SELECT pair_type, round(avg(percent_agreement), 6) AS mean_agreement FROM pct GROUP BY pair_type"""
 ORACLE["prevalence_comparison"] = "WITH " + _DOCR + """,

@@ -111,15 +111,39 @@ def test_modal_agreement(spark):
     assert got[2] == (1, 1.0, True)
 
 
-def test_pair_counts_large_roster_path(spark, monkeypatch):
-    # Force the distributed-roster path (no collect, no broadcast) and several blocks.
-    monkeypatch.setattr(ag, "MAX_BROADCAST_RATERS", 3)
+def test_pair_counts_thousands_of_raters_and_null_keys(spark):
     rnd = random.Random(21)
-    data = _random_long(rnd, 30)
+    names = [f"r{i:05d}" for i in range(12000)]
+    data = [(item, r, "v", rnd.choice(["0", "1", None])) for item in (1, 2, None) for r in rnd.sample(names, 40)]
+    data += [(item, r, None, "1") for item in (3, 4) for r in names[100:103]] + [(1, None, "v", "1")]
     df = spark.createDataFrame(data, "item int, reader string, variable string, response string")
-    got = rows(ag.pair_counts(df, "item", "reader", block=2),
-               "reader_1", "reader_2", "variable", "n_both", "n_agree", "n_disagree", "n_na")
-    assert got == _brute_pairs(data)
+    roster = spark.createDataFrame([(n,) for n in names], "reader string")
+    got = ag.pair_counts(df, "item", "reader", roster=roster)
+    want = _brute_pairs([d for d in data if d[1] is not None])
+    key = lambda t: tuple((x is not None, x) for x in t)
+    assert rows(got, "reader_1", "reader_2", "variable", "n_both", "n_agree", "n_disagree", "n_na") == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("block", [8, 2])
+def test_pair_counts_with_repeated_ratings(spark, block):
+    rnd = random.Random(block + 50)
+    data = [(rnd.randint(1, 15), rnd.choice("abcdef"), "v", rnd.choice(["0", "1", "2", None])) for _ in range(150)]
+    data += [(99, "a", "v", "1"), (99, "a", "v", "0"), (99, "b", "v", "1")]
+    df = spark.createDataFrame(data, "item int, reader string, variable string, response string")
+    cols = ("reader_1", "reader_2", "variable", "n_both", "n_agree", "n_disagree", "n_na")
+    assert rows(ag.pair_counts(df, "item", "reader", block=block), *cols) == _brute_pairs(data)
+    often = {}
+    for d in data:
+        often.setdefault(d[:3], []).append(d)
+    once = [v[0] for v in often.values() if len(v) == 1]
+    assert rows(ag.pair_counts(ag.single_ratings(df, "item", "reader"), "item", "reader", block=block), *cols) == _brute_pairs(once)
+
+
+def test_repeated_rating_gives_one_pair_each(spark):
+    df = spark.createDataFrame([(1, "A", "v", "1"), (1, "A", "v", "0"), (1, "B", "v", "1")],
+                               "item int, reader string, variable string, response string")
+    assert rows(ag.pair_counts(df, "item", "reader")) == [("A", "B", "v", 2, 1, 1, 0)]
+    assert ag.pair_counts(ag.single_ratings(df, "item", "reader"), "item", "reader").count() == 0
 
 
 def test_rating_union_without_dedupe_keeps_duplicates(spark):
