@@ -184,40 +184,26 @@ def multilabel_consensus(
     """
     toks = label_tokens(F.col(labels), blank_label)
     flags = [
-        F.coalesce(F.array_contains(toks, F.lit(lv)), F.lit(False)).cast("int").alias(f"_f{i}")
-        for i, lv in enumerate(levels)
+        F.coalesce(F.array_contains(toks, F.lit(lv)), F.lit(False)).cast("int") for lv in levels
     ]
     extra = []
     if unknown_col:
         unknown = F.size(F.filter(toks, lambda t: ~t.isin(list(levels)) & (t != F.lit(""))))
         # A NULL answer names nothing (size(NULL) is -1 or NULL depending on settings).
         extra.append(F.when(toks.isNotNull(), unknown).otherwise(F.lit(0)).alias("_unk"))
-    # The first replicate's flags travel as one bit mask (one min_by instead of one per
-    # level) when the levels fit in a long.
-    packed = len(levels) <= 62
-    if packed:
-        mask = sum((F.col(f"_f{i}").cast("long") * F.lit(1 << i) for i in range(1, len(levels))),
-                   F.col("_f0").cast("long"))
-        extra.append(mask.alias("_mask"))
-    one_hot = df.select(F.col(item), _struct(order).alias("_ord"), *flags, *extra)
-    aggs = [F.count(F.lit(1)).alias("n_reps")]
-    for i, _ in enumerate(levels):
-        aggs.append(F.sum(f"_f{i}").cast("long").alias(f"_c{i}"))
-        if not packed:
-            aggs.append(F.min_by(F.col(f"_f{i}"), F.col("_ord")).alias(f"_first{i}"))
-    if packed:
-        aggs.append(F.min_by(F.col("_mask"), F.col("_ord")).alias("_first_mask"))
+    # The first replicate's flags travel as one array: one min_by for any number of levels.
+    one_hot = df.select(
+        F.col(item), _struct(order).alias("_ord"), F.array(*flags).alias("_flags"), *extra
+    )
+    aggs = [F.count(F.lit(1)).alias("n_reps"), F.min_by("_flags", "_ord").alias("_first")]
+    aggs += [F.sum(F.col("_flags")[i]).cast("long").alias(f"_c{i}") for i in range(len(levels))]
     if unknown_col:
         aggs.append(F.sum("_unk").cast("long").alias(unknown_col))
     per_item = one_hot.groupBy(item).agg(*aggs)
     cols = [F.col(item)]
     for i, lv in enumerate(levels):
         c, n = F.col(f"_c{i}"), F.col("n_reps")
-        first = (
-            F.shiftright(F.col("_first_mask"), i).bitwiseAND(F.lit(1)).cast("int") if packed
-            else F.col(f"_first{i}")
-        )
-        mode = F.when(c * 2 > n, F.lit(1)).when(c * 2 < n, F.lit(0)).otherwise(first)
+        mode = F.when(c * 2 > n, F.lit(1)).when(c * 2 < n, F.lit(0)).otherwise(F.col("_first")[i])
         cols.append(mode.cast("int").alias(f"{lv}_mode"))
         cols.append(c.alias(f"{lv}_count"))
     cols.append(F.col("n_reps"))

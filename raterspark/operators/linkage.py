@@ -1,49 +1,42 @@
 """Record linkage: fuzzy (edit-distance) join, name conformance, overrides, waterfall.
 
-Fuzzy join strategies (both exact, no recall loss):
-
-* ``band``: equi-join on a length bucket (width k+1, the other side copied to the
-  neighbouring buckets), then ``|len a - len b| <= k`` and the thresholded
-  ``levenshtein(a, b, k)``. Cheap when keys are short or few share a length.
-* ``segments``: partition-based signatures (Li, Deng, Wang, Feng, "Pass-Join", PVLDB
-  2011). Each key on the segmented side is cut into k+1 segments; any key within k
-  edits contains one of them unchanged at a shift ``d`` with
-  ``(Delta-k)/2 <= d <= (Delta+k)/2`` (Delta = length difference). The probe side emits
-  the hashes of exactly those substrings, the join is an equi-join on
-  (length, segment, hash) and candidates are verified with ``levenshtein``. Keys
-  shorter than k+1 cannot be segmented and go through the band join.
-
-``fuzzy_join`` with the band plan and all matches kept is a single pass: every left row
-probes the right rows of its neighbouring length buckets with the thresholded distance
-as the join condition (the right side broadcast when a size check allows). The segment
-plan, and ``fan_out='best'``, work on distinct keys and join the verified key pairs back
-to the rows, so repeated keys are compared once. Keys are never truncated.
+The fuzzy join is exact and uses partition-based signatures (Li, Deng, Wang, Feng,
+"Pass-Join", PVLDB 2011). Each key on the segmented side is cut into k+1 segments; a key
+within k edits contains one of them unchanged, with at most i edits before segment i and at
+most k-i after it, so only shifts within both bounds are probed. The probe side emits the
+hashes of exactly those substrings, the join is an equi-join on (length, segment, hash) and
+candidates are verified with ``levenshtein``. Keys shorter than k+1 cannot be segmented;
+they meet keys of at most twice that length by length bucket (``strategy='band'`` does that
+for all keys: for short keys only, as each bucket is compared whole).
+
+Both work on distinct keys and join the verified key pairs back to the rows, so repeated
+keys are compared once. Keys are never truncated. Nothing runs while the plan is built, and
+the plan does not depend on sizes; Spark's adaptive execution chooses broadcasts and splits
+a signature that many keys share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _keys(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Distinct non-NULL keys with their length and a 64-bit id.
-
-    Length and id are aggregate outputs of the distinct step, so filters and join
-    constraints on them stay above it and never drag the key expression (for example
-    text folding) into the scan filter. Signature rows carry the id, never the key text,
-    so a long key is not copied into each of its signature rows. Two keys sharing an id
-    only add candidates, which the verification removes.
+    """Distinct non-NULL keys with a 64-bit id (a hash above 31 bits of length) and the length.
+
+    The id is an aggregate output of the distinct step, so filters and join constraints on
+    id and length stay above it and never drag the key expression (for example text
+    folding) into the scan filter, and every use of the keys reads the same exchange.
+    Signature rows carry the id, never the key text, so a long key is not copied into each
+    of its signature rows. Two keys sharing an id only add candidates, which the
+    verification removes.
     """
     k = F.col(key)
-    return (
-        df.groupBy(k.alias(name))
-        .agg(F.min(F.length(k)).alias(f"{name}_len"), F.min(F.xxhash64(k)).alias(f"{name}_id"))
-        .where(F.col(f"{name}_len").isNotNull())
-    )
+    key_id = F.shiftleft(F.xxhash64(k), 31).bitwiseOR(F.length(k).cast("long"))
+    found = df.groupBy(k.alias(name)).agg(F.min(key_id).alias(f"{name}_id")).where(F.col(f"{name}_id").isNotNull())
+    return found.withColumn(f"{name}_len", F.col(f"{name}_id").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
 
 
 def _verify(pairs: DataFrame, k: int) -> DataFrame:
@@ -108,9 +101,10 @@ def _probe_substrings(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame
     rows = rows.withColumn("_seg_len", base + F.when(i >= F.lit(n) - rem, 1).otherwise(0))
     rows = rows.withColumn("_start", i * base + F.greatest(F.lit(0), i - (F.lit(n) - rem)))
     delta = F.col(klen) - F.col("_slen")
-    lo = F.ceil((delta - k) / 2)
-    hi = F.floor((delta + k) / 2)
-    rows = rows.withColumn("_d", F.explode(F.sequence(lo, hi)))
+    # at most i edits before the segment and k - i after it
+    lo = F.greatest(-i, delta - (F.lit(k) - i))
+    hi = F.least(i, delta + (F.lit(k) - i))
+    rows = rows.where(lo <= hi).withColumn("_d", F.explode(F.sequence(lo, hi)))
     q = F.col("_start") + F.col("_d")
     rows = rows.where((q >= 0) & (q + F.col("_seg_len") <= F.col(klen)))
     return rows.select(f"{key}_id", "_slen", "_i", _piece_hash(key, q, F.col("_seg_len")).alias("_h"))
@@ -125,13 +119,9 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
     long_seg = seg_side.where(F.col(f"{seg_key}_len") >= n)
     short_seg = seg_side.where(F.col(f"{seg_key}_len") < n)
     sig = _segments(long_seg, seg_key, f"{seg_key}_len", k)
-    # The probe side is small in bytes but each key fans out to ~(2k+1)(k+1)^2 substring
-    # rows: spread its keys over all task slots before the explosion (AQE would
-    # otherwise coalesce the small distinct result into one partition).
-    try:
-        slots = probe_side.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Spark Connect session)
-        slots = int(probe_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The probe side is small in bytes but each key fans out to many substring rows: a
+    # fixed partition number keeps AQE from coalescing the keys before the explosion.
+    slots = int(probe_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probe_spread = probe_side.repartition(slots, f"{probe_key}_id")
     sub = _probe_substrings(probe_spread, probe_key, f"{probe_key}_len", k)
     cand_ids = sig.join(sub, ["_slen", "_i", "_h"]).select(f"{seg_key}_id", f"{probe_key}_id").distinct()
@@ -150,53 +140,17 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
     return cand.select("_lk", "_rk").unionByName(short.select("_lk", "_rk")).distinct()
 
 
-def choose_strategy(lk: DataFrame, rk: DataFrame, k: int, probe: str = "right") -> str:
-    """Pick the cheaper exact plan from key-length histograms (two small aggregates,
-    one row per length bucket): the band join verifies sum_b L_b (R_b-1 + R_b + R_b+1)
-    pairs; the segment join emits ~(2k+1)(k+1)^2 rows per probe key and k+1 per other
-    key. Verification is weighted by the mean key length (edit distance is linear in
-    length for a fixed threshold)."""
-    w = k + 1
-    lh = lk.groupBy(F.floor(F.col("_lk_len") / w).alias("_b")).agg(
-        F.count(F.lit(1)).alias("_nl"), F.sum("_lk_len").alias("_sl"))
-    rh = rk.groupBy(F.floor(F.col("_rk_len") / w).alias("_b")).agg(F.count(F.lit(1)).alias("_nr"))
-    rh3 = rh.select(F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"), "_nr")
-    est = lh.join(rh3, "_b").agg(
-        F.sum(F.col("_nl") * F.col("_nr")).alias("pairs"),
-        F.sum(F.col("_sl") * F.col("_nr")).alias("chars"),
-    ).first()
-    band_cost = float(est["chars"] or 0) * k
-    n_probe = (rk if probe == "right" else lk).count()
-    n_seg = (lk if probe == "right" else rk).count()
-    seg_cost = (n_probe * (2 * k + 1) * (k + 1) ** 2 + n_seg * (k + 1)) * 64.0
-    return "band" if band_cost <= seg_cost else "segments"
-
-
 def fuzzy_pairs(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_dist: int,
-    strategy: str = "band", probe: str = "auto",
+    strategy: str = "segments", probe: str = "right",
 ) -> DataFrame:
     """Distinct (left key, right key, distance) pairs within ``max_dist`` edits.
 
-    ``strategy``: 'band', 'segments' or 'auto' (cost estimate from length histograms,
-    see :func:`choose_strategy`). For 'segments', ``probe`` names the side that
-    emits substring hashes (about (2k+1)(k+1)^2 rows per key); 'auto' (default) picks the
-    side with fewer distinct keys. The other side emits k+1 segment hashes per key.
+    ``probe`` names the side that emits substring hashes, of the order of (k+1)^3 rows per
+    key: name the side with fewer keys. The other side emits k+1 segment hashes per key.
     """
     lk = _keys(left, left_key, "_lk")
     rk = _keys(right, right_key, "_rk")
-    if strategy in ("auto", "segments"):
-        # The estimate and the several branches of the segment plan all read the
-        # distinct keys: keep them (spill to disk; recomputed from lineage if an
-        # executor is lost) instead of re-deriving every key in each branch.
-        lk = lk.persist(StorageLevel.MEMORY_AND_DISK)
-        rk = rk.persist(StorageLevel.MEMORY_AND_DISK)
-    if probe == "auto" and strategy in ("auto", "segments"):
-        # The probe side emits ~(2k+1)(k+1)^2 rows per key: give it the side with fewer
-        # distinct keys (both counts read the persisted key tables).
-        probe = "right" if rk.count() <= lk.count() else "left"
-    if strategy == "auto":
-        strategy = choose_strategy(lk, rk, max_dist, probe)
     if strategy == "band":
         pairs = _band_pairs(lk, rk, max_dist)
     elif strategy == "segments":
@@ -215,8 +169,8 @@ def fuzzy_join(
     how: str = "left",
     distance_col: str = "dist",
     fan_out: str = "all",
-    strategy: str = "band",
-    probe: str = "auto",
+    strategy: str = "segments",
+    probe: str = "right",
     max_ratio: float | None = None,
 ) -> DataFrame:
     """Left (or inner) join on edit distance ``<= max_dist`` keeping the distance.
@@ -228,8 +182,6 @@ def fuzzy_join(
     ``'best'`` keeps the closest right key per left key (ties: smallest right key).
     Left rows with a NULL key or no match keep NULL right columns under ``how='left'``.
     """
-    if strategy == "band" and fan_out == "all":
-        return _band_join(left, right, left_key, right_key, max_dist, how, distance_col, max_ratio)
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     if max_ratio is not None:
         longest = F.greatest(F.length("_lk"), F.length("_rk"))
@@ -251,75 +203,11 @@ def _key_match(row_key: str, pair_key: str) -> Column:
     return row == F.struct(F.lit(False), F.col(pair_key))
 
 
-# A fuzzy-join side is broadcast only when its measured key bytes stay under this bound.
-BROADCAST_KEY_BYTES = 256 * 1024 * 1024
-
-
-def _broadcast_if_small(df: DataFrame, key: str, limit: int = BROADCAST_KEY_BYTES) -> DataFrame:
-    """Broadcast ``df`` when one aggregate over it shows its rows and key bytes are
-    under ``limit``; otherwise leave the join to a shuffle. The check is an action over
-    this (small, curated) side only."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(key))).alias("b")).first()
-    size = (stats["b"] or 0) + 64 * (stats["n"] or 0)
-    return F.broadcast(df) if size <= limit else df
-
-
-# Bucket of NULL keys: never emitted by the other side, so a NULL key matches nothing.
-_NULL_BUCKET = -(2**62)
-
-
-def _band_sides(left, right, left_key, right_key, k):
-    """Both sides of the single-pass band join.
-
-    The join works on non-nullable copies of the keys (``coalesce(key, '')``) and sends
-    NULL keys to a bucket the other side never has. With nullable keys Catalyst would
-    infer ``isnotnull(key)`` from the null-intolerant join condition and push the whole
-    key expression (e.g. text folding) into the scan filter, computing it twice.
-    """
-    w = k + 1
-    lkey = F.coalesce(F.col(left_key), F.lit(""))
-    lb = left.withColumn("_lkey", lkey).withColumn("_lk_len", F.length("_lkey"))
-    lb = lb.withColumn(
-        "_b", F.coalesce(F.floor(F.length(F.col(left_key)) / w), F.lit(_NULL_BUCKET).cast("long"))
-    )
-    rkey = F.coalesce(F.col(right_key), F.lit(""))
-    rb = right.withColumn("_rkey", rkey).withColumn("_rk_len", F.length("_rkey"))
-    rbucket = F.floor(F.col("_rk_len") / w)
-    buckets = F.when(F.col(right_key).isNull(), F.array().cast("array<bigint>")).otherwise(
-        F.sequence(rbucket - 1, rbucket + 1)
-    )
-    rb = rb.withColumn("_rb", F.explode(buckets))
-    cond = (
-        (F.col("_b") == F.col("_rb"))
-        & (F.abs(F.col("_lk_len") - F.col("_rk_len")) <= k)
-        & (F.levenshtein(F.col("_lkey"), F.col("_rkey"), k) >= 0)
-    )
-    return lb, rb, cond
-
-
-def _band_join(left, right, left_key, right_key, k, how, distance_col, max_ratio):
-    """Single pass: every left row probes the right rows of its neighbouring length
-    buckets with the thresholded distance as the join condition. Each side is read once;
-    when the right side is small AQE broadcasts it and the left side is never shuffled."""
-    lb, rb, cond = _band_sides(left, right, left_key, right_key, k)
-    rb = _broadcast_if_small(rb, right_key)
-    if max_ratio is not None:
-        longest = F.greatest(F.col("_lk_len"), F.col("_rk_len"))
-        cond = cond & (F.levenshtein(F.col("_lkey"), F.col("_rkey"), k) <= F.lit(max_ratio) * longest)
-    j = lb.join(rb, cond, how)
-    dist = F.when(F.col("_rk_len").isNotNull(), F.levenshtein(F.col("_lkey"), F.col("_rkey"), k))
-    return j.withColumn(distance_col, dist).drop("_lkey", "_rkey", "_lk_len", "_rk_len", "_b", "_rb")
-
-
 def fuzzy_semi(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, max_dist: int,
-    strategy: str = "band", probe: str = "auto",
+    strategy: str = "segments", probe: str = "right",
 ) -> DataFrame:
     """Rows of ``left`` whose key is within ``max_dist`` edits of some right key."""
-    if strategy == "band":
-        lb, rb, cond = _band_sides(left, right.select(right_key), left_key, right_key, max_dist)
-        rb = _broadcast_if_small(rb, right_key)
-        return lb.join(rb, cond, "left_semi").drop("_lkey", "_lk_len", "_b")
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     hit = pairs.select(F.col("_lk")).distinct()
     return left.join(hit, _key_match(left_key, "_lk"), "left_semi")
@@ -378,11 +266,7 @@ def conform_names(
         p = patterns.select(F.col(dim_code).alias("_pcode"), F.col(pattern_col).alias("_pat"))
         by_regex = unmatched.join(p, F.expr("_name RLIKE _pat")).select("_name", F.col("_pcode").alias("_dcode"))
         found = found.unionByName(by_regex)
-    # One row per distinct name. It is given its own exchange (on an expression other
-    # than the name, so the planner cannot elide it): a query stage whose size AQE
-    # measures, turning the join back to the (large) rows into a broadcast join when the
-    # code table is small, with no extra pass over the rows.
-    exact = found.groupBy("_name").agg(F.min("_dcode").alias("_dcode")).repartition(F.xxhash64("_name"))
+    exact = found.groupBy("_name").agg(F.min("_dcode").alias("_dcode"))
     out = rows.join(exact, "_name", "left").withColumnRenamed("_dcode", code_col)
     if not keep_unmatched:
         out = out.where(F.col(code_col).isNotNull())

@@ -47,26 +47,29 @@ def _sides(spark, sf_dir):
     return left, right
 
 
-def _fuzzy(spark, sf_dir, strategy):
+def _fuzzy(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    j = lk.fuzzy_join(left, right, "title_clean", "match_title", MAX_DIST, strategy=strategy)
+    j = lk.fuzzy_join(left, right, "title_clean", "match_title", MAX_DIST)
     return j.select("doc_id", "match_doc_id", "match_lang", "dist")
 
 
 def q_fuzzy_titles(spark, sf_dir):
-    """Left fuzzy join (Levenshtein <= 15, all matches, distance kept), band plan."""
-    return _fuzzy(spark, sf_dir, "band")
+    """Left fuzzy join (Levenshtein <= 15, all matches, distance kept)."""
+    return _fuzzy(spark, sf_dir)
 
 
 def q_fuzzy_titles_blocked(spark, sf_dir):
-    """The same join through partition-signature candidates (exact)."""
-    return _fuzzy(spark, sf_dir, "segments")
+    """The same join, the left side's keys cut into segments and the right side's
+    substrings probed (stated explicitly; it is the default)."""
+    left, right = _sides(spark, sf_dir)
+    j = lk.fuzzy_join(left, right, "title_clean", "match_title", MAX_DIST, strategy="segments", probe="right")
+    return j.select("doc_id", "match_doc_id", "match_lang", "dist")
 
 
 def q_fuzzy_subset(spark, sf_dir):
     """C14: documents whose key is within 15 edits of a curated key."""
     left, right = _sides(spark, sf_dir)
-    return lk.fuzzy_semi(left, right, "title_clean", "match_title", MAX_DIST, strategy="band").select("doc_id")
+    return lk.fuzzy_semi(left, right, "title_clean", "match_title", MAX_DIST).select("doc_id")
 
 
 UNKNOWN_PRIORITY = ["4-NOT SPECIFIED", ""]
