@@ -176,22 +176,38 @@ def first_balanced_block(col: Column | str, quotes: str = "inside") -> Column:
     return F.when(found["last"] > 0, F.substring(text, found["first"], found["last"] - found["first"] + 1))
 
 
+# A quoted span, a run without quotes, or a lone quote.
+_QUOTED_OR_NOT = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"']++|["']"""
+
+
 def _tolerant(block: Column) -> Column:
-    # Trailing commas before a closing bracket/brace are accepted by a Python literal
-    # parser but not by JSON; drop them before parsing.
-    return F.regexp_replace(block, r",\s*([\]}])", "$1")
+    """A block as JSON: outside quoted spans a trailing comma before a closing bracket goes,
+    ``None`` is null, and true or false (of either spelling) is the text True or False."""
+
+    def bare(part: Column) -> Column:
+        out = F.regexp_replace(part, r",\s*([\]}])", "$1")
+        for pattern, text in ((r"\bNone\b", "null"), (r"\b[Tt]rue\b", '"True"'), (r"\b[Ff]alse\b", '"False"')):
+            out = F.regexp_replace(out, pattern, text)
+        return out
+
+    parts = F.regexp_extract_all(block, F.lit(_QUOTED_OR_NOT), F.lit(0))
+    return F.array_join(
+        F.transform(parts, lambda p: F.when(p.startswith('"') | p.startswith("'"), p).otherwise(bare(p))), ""
+    )
 
 
 def json_key_text(block: Column | str, key: str) -> Column:
     """Read ``key`` from a JSON-ish object text and render it as one string.
 
-    A list value is joined with ``", "``; a scalar is returned as text; a missing key,
-    a JSON null or an unparsable block gives NULL. Single quotes are accepted.
+    A list value is joined with ``", "``, a null element being ``None``; a scalar is
+    returned as text; a missing key, a JSON null or an unparsable block gives NULL. Single
+    quotes and Python's literals are accepted.
     """
     b = _tolerant(_c(block))
     arr = F.from_json(b, T.StructType([T.StructField(key, T.ArrayType(T.StringType()))]))[key]
     scalar = F.from_json(b, T.StructType([T.StructField(key, T.StringType())]))[key]
-    return F.coalesce(F.array_join(arr, ", "), scalar)
+    listed = F.array_join(F.transform(arr, lambda x: F.coalesce(x, F.lit("None"))), ", ")
+    return F.coalesce(listed, scalar)
 
 
 def parse_status(block: Column | str, value: Column) -> Column:

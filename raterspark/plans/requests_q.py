@@ -8,13 +8,15 @@ Stand-ins:
 * responses: one response line per conversation turn, custom_id = conversation id,
   choice index = turn. Assistant turns end with a JSON answer naming the first word of
   the turn, user turns with a single-quoted answer naming the role, system turns have
-  no answer at all. The lines are JSON text built with ``to_json`` and go through the
+  no answer at all. Responses with nested answers (:func:`nested_response_lines`) hold nested
+  braces, braces and apostrophes in quotes, Python literals, a missing label, a stray brace,
+  records without choices and lines that are no JSON. The lines are JSON text built with ``to_json`` and go through the
   same parser as files read with :func:`raterspark.sources.io.read_response_lines`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterspark.functions.text import after_first_line, compose_text, first_line, json_key_text, parse_status
@@ -50,16 +52,40 @@ def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("role") == "user", F.concat(F.col("text"), F.lit(" {'label': '"), F.col("role"), F.lit("'}")))
         .otherwise(F.col("text"))
     )
-    rec = F.struct(
+    return conv.select(F.to_json(_record(answer)).alias("value"))
+
+
+def nested_response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like :func:`response_lines`, with answers that name all words of the turn."""
+    conv = table(spark, sf_dir, "conversations")
+    words = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), '", "')
+    case = (F.col("conv_id") + F.col("turn")) % 6
+    tail = (
+        F.when(case == 0, F.concat(F.lit(" It's settled: {\"meta\": {\"n\": 1}, \"label\": [\""), words, F.lit('"]}')))
+        .when(case == 1, F.concat(F.lit(' {"note": "a } b { c", "label": ["'), words, F.lit('"]} {"label": "second"}')))
+        .when(case == 2, F.lit(" {'label': ['first', None, 'last',]}"))
+        .when(case == 3, F.lit(' {"label": null}'))
+        .when(case == 4, F.lit(" no block }"))
+        .otherwise(F.lit(' {"note": "it\'s", "label": "single"}'))
+    )
+    failed = F.col("conv_id") % 7 == 5
+    rec = _record(F.concat(F.col("text"), tail), failed)
+    line = F.when(F.col("conv_id") % 7 == 3, F.lit("upstream error")).otherwise(F.to_json(rec))
+    return conv.select(line.alias("value"))
+
+
+def _record(answer: Column, failed: Column | None = None) -> Column:
+    """A response record with one choice, or with none where ``failed``."""
+    choices = F.array(F.struct(F.col("turn").cast("int").alias("index"),
+                               F.struct(answer.alias("content")).alias("message")))
+    return F.struct(
         F.concat(F.lit("req_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"),
         F.col("conv_id").cast("string").alias("custom_id"),
         F.struct(F.struct(
             F.lit(MODEL).alias("model"), F.col("turn").alias("created"),
-            F.array(F.struct(F.col("turn").cast("int").alias("index"),
-                             F.struct(answer.alias("content")).alias("message"))).alias("choices"),
+            (choices if failed is None else F.when(~failed, choices)).alias("choices"),
         ).alias("body")).alias("response"),
     )
-    return conv.select(F.to_json(rec).alias("value"))
 
 
 def q_ingest_responses(spark, sf_dir):
@@ -69,9 +95,10 @@ def q_ingest_responses(spark, sf_dir):
 
 
 def q_ingest_responses_balanced(spark, sf_dir):
-    """The same with the balanced-brace block and name cleaning."""
+    """Nested answers through the balanced-brace block and name cleaning; records
+    without choices and lines that are no JSON keep a row with a status."""
     ing = rq.ingest_responses(
-        response_lines(spark, sf_dir), "label", block="balanced", missing_key_text="", clean="name_chars"
+        nested_response_lines(spark, sf_dir), "label", block="balanced", missing_key_text="", clean="name_chars"
     )
     return ing.select("custom_id", "choice_index", "label_clean", "model", "parse_status")
 
@@ -159,6 +186,48 @@ SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
 FROM events""",
 }
 
+ORACLE["ingest_responses_balanced"] = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, conv_id % 7 AS kind,
+         text || CASE (conv_id + turn) % 6
+           WHEN 0 THEN ' It''s settled: {"meta": {"n": 1}, "label": ["' || array_to_string(regexp_extract_all(text, '[A-Za-z]+'), '", "') || '"]}'
+           WHEN 1 THEN ' {"note": "a } b { c", "label": ["' || array_to_string(regexp_extract_all(text, '[A-Za-z]+'), '", "') || '"]} {"label": "second"}'
+           WHEN 2 THEN ' {''label'': [''first'', None, ''last'',]}'
+           WHEN 3 THEN ' {"label": null}'
+           WHEN 4 THEN ' no block }'
+           ELSE ' {"note": "it''s", "label": "single"}' END AS content
+  FROM conversations),
+f AS (
+  SELECT row_number() OVER () AS row_id, kind, conv_id, turn, content, 1 AS i, 0 AS depth, '' AS quote, 0 AS start, 0 AS stop,
+         regexp_extract_all(content, '(?s)\\\\.|[''"{}]|[^\\\\''"{}]+|\\\\') AS ps, 0 AS pos
+  FROM c
+  UNION ALL
+  SELECT row_id, kind, conv_id, turn, content, i + 1,
+         depth + CAST(quote = '' AND x = '{' AS INTEGER) - CAST(quote = '' AND x = '}' AND depth > 0 AS INTEGER),
+         CASE WHEN quote = '' AND depth > 0 AND x IN ('''', '"') THEN x WHEN quote = x THEN '' ELSE quote END,
+         CASE WHEN quote = '' AND x = '{' AND depth = 0 THEN pos + 1 ELSE start END,
+         CASE WHEN quote = '' AND x = '}' AND depth = 1 THEN pos + 1 ELSE 0 END,
+         ps, CAST(pos + length(x) AS INTEGER)
+  FROM (SELECT *, ps[i] AS x FROM f WHERE i <= len(ps) AND stop = 0)),
+e AS (
+  SELECT kind, conv_id, turn, CASE WHEN max(stop) > 0 THEN substr(any_value(content), arg_max(start, stop), max(stop) - arg_max(start, stop) + 1) END AS blk
+  FROM f GROUP BY row_id, kind, conv_id, turn),
+j AS (
+  SELECT *, CAST(CASE WHEN blk IS NULL OR json_valid(blk) THEN blk
+                      ELSE replace(replace(replace(blk, '''', '"'), 'None', 'null'), ',]', ']') END AS JSON) AS js FROM e),
+v AS (
+  SELECT *, CASE WHEN json_type(js, '$.label') = 'ARRAY'
+                   THEN array_to_string(list_transform(CAST(json_extract_string(js, '$.label[*]') AS VARCHAR[]), lambda x: coalesce(x, 'None')), ', ')
+                 ELSE json_extract_string(js, '$.label') END AS val
+  FROM j)
+SELECT CASE WHEN kind <> 3 THEN CAST(conv_id AS VARCHAR) END AS custom_id,
+       CASE WHEN kind NOT IN (3, 5) THEN CAST(turn AS INTEGER) END AS choice_index,
+       CASE WHEN kind NOT IN (3, 5) THEN regexp_replace(coalesce(val, ''), '[^A-Za-zÀ-ÿ ,-]', '', 'g') END AS label_clean,
+       CASE WHEN kind <> 3 THEN 'model-a' END AS model,
+       CASE WHEN kind = 3 THEN 'malformed' WHEN kind = 5 THEN 'no_choices' WHEN blk IS NULL THEN 'no_block'
+            WHEN val IS NULL THEN 'no_key' ELSE 'ok' END AS parse_status
+FROM v"""
+
 _INGEST_BODY = ORACLE["ingest_responses"].rsplit("SELECT custom_id, choice_index,", 1)[0]
 ORACLE["response_votes"] = _INGEST_BODY + """,
 lab AS (

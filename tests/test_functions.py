@@ -125,3 +125,20 @@ def test_pattern_flag(spark):
     df = spark.createDataFrame([("Standard Barometer 99",), ("Flash 12",), ("Other",), (None,)], "s string")
     got = [r[0] for r in df.select(tx.pattern_flag("s", "barometer", also_equal="Flash 12")).collect()]
     assert got == [1, 1, 0, 0]
+
+
+def test_json_key_text_python_literals(spark):
+    data = [
+        (1, "{'label': ['a', None]}", "a, None"),
+        (2, '{"label": ["a", null]}', "a, None"),
+        (3, "{'label': ['x',], }", "x"),
+        (4, "{'label': True}", "True"),
+        (5, '{"label": "None, ] True"}', "None, ] True"),
+        (6, "{'label': None}", None),
+        (7, '{"label": "it\'s", "n": [1,]}', "it's"),
+        (8, "{'label': [false, 'b']}", "False, b"),
+        (9, None, None),
+    ]
+    df = spark.createDataFrame([d[:2] for d in data], "id int, b string")
+    got = {r.id: r.v for r in df.select("id", tx.json_key_text(F.col("b"), "label").alias("v")).collect()}
+    assert got == {d[0]: d[2] for d in data}
