@@ -1,7 +1,7 @@
 """Summarise the physical plan of every registered query (markdown on stdout).
 
 For each query: exchanges (shuffles), broadcast exchanges, join strategies, aggregate
-kinds, windows, Python evaluation nodes and the columns each Parquet scan reads.
+kinds, scans, windows and Python evaluation nodes, with scalar subqueries and cached inputs.
 Plans are taken after execution on the given tables, so AQE's runtime choices
 (broadcasts from measured sizes, coalesced partitions) are the ones shown.
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import argparse
 import os
-import re
 import sys
 import tempfile
 from collections import Counter
@@ -22,32 +21,41 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from raterspark.plans import all_queries  # noqa: E402
 from raterspark.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
-NODES = [
-    "Exchange hashpartitioning", "Exchange RoundRobinPartitioning", "Exchange SinglePartition",
-    "Exchange rangepartitioning", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin",
-    "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct", "HashAggregate",
-    "ObjectHashAggregate", "SortAggregate", "Window", "WindowGroupLimit", "Expand", "Generate",
-    "ArrowEvalPython", "BatchEvalPython", "InMemoryTableScan",
-]
-
-
-def final_plan(df) -> str:
-    # Execute this DataFrame's own QueryExecution, so the adaptive plan printed is the
-    # final one (a separate write action would plan and run a different execution).
+def executed_nodes(df) -> list:
+    """Every operator of the executed physical plan, scalar subqueries and cached inputs
+    included; a reused exchange or subquery is one node and is not entered again."""
     qe = df._jdf.queryExecution()
+    # This QueryExecution itself is run, so that its adaptive plan is the final one.
     qe.toRdd().count()
-    return qe.executedPlan().toString()
+    found, todo = [], [qe.executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        found.append(node)
+        if name.startswith("Reused"):
+            continue
+        if name == "InMemoryTableScanExec":
+            todo.append(node.relation().cachedPlan())
+        for inner in (node.children(), node.subqueries()):
+            todo += [inner.apply(i) for i in range(inner.size())]
+    return found
 
 
-def summarize(plan: str) -> tuple[Counter, list[str]]:
-    counts = Counter()
-    final = plan.split("== Initial Plan ==")[0]
-    for line in final.splitlines():
-        for node in NODES:
-            if re.search(r"(^|[\s+\-*:(])" + re.escape(node) + r"\b", line):
-                counts[node] += 1
-    scans = sorted(set(re.findall(r"FileScan parquet \[([^\]]*)\]", final)))
-    return counts, scans
+def node_names(df) -> Counter:
+    """How often each operator occurs; a shuffle also counts under its partitioning."""
+    names = Counter()
+    for node in executed_nodes(df):
+        name = node.getClass().getSimpleName().removesuffix("Exec")
+        names[name] += 1
+        if name == "ShuffleExchange":
+            names[node.outputPartitioning().getClass().getSimpleName().removesuffix("$")] += 1
+    return names
 
 
 def main() -> None:
@@ -59,17 +67,21 @@ def main() -> None:
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_report.py` on `{args.sf_dir}` (local[8], AQE on; counts are of")
     print("final adaptive plans after execution, so runtime broadcasts are included).\n")
-    print("| query | shuffles (hash / round-robin / single) | broadcasts | joins | aggregates | other |")
-    print("|---|---|---|---|---|---|")
+    print("| query | shuffles (hash / range / round-robin / single) | reused | broadcasts | joins | aggregates | other |")
+    print("|---|---|---|---|---|---|---|")
     for name, fn in all_queries().items():
-        counts, _ = summarize(final_plan(fn(spark, args.sf_dir)))
-        shuffles = f"{counts['Exchange hashpartitioning']} / {counts['Exchange RoundRobinPartitioning']} / {counts['Exchange SinglePartition']}"
-        joins = ", ".join(f"{k} x{counts[k]}" for k in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
-                                                        "BroadcastNestedLoopJoin", "CartesianProduct") if counts[k])
-        aggs = ", ".join(f"{k} x{counts[k]}" for k in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") if counts[k])
-        other = ", ".join(f"{k} x{counts[k]}" for k in ("Window", "WindowGroupLimit", "Expand", "Generate",
-                                                        "ArrowEvalPython", "BatchEvalPython", "InMemoryTableScan") if counts[k])
-        print(f"| `{name}` | {shuffles} | {counts['BroadcastExchange']} | {joins or '-'} | {aggs or '-'} | {other or '-'} |")
+        counts = node_names(fn(spark, args.sf_dir))
+
+        def listed(*names: str) -> str:
+            return ", ".join(f"{n} x{counts[n]}" for n in names if counts[n]) or "-"
+
+        kinds = ("HashPartitioning", "RangePartitioning", "RoundRobinPartitioning", "SinglePartition")
+        print(f"| `{name}` | {' / '.join(str(counts[k]) for k in kinds)} | {counts['ReusedExchange']} | "
+              f"{counts['BroadcastExchange']} | "
+              + listed("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct")
+              + " | " + listed("HashAggregate", "ObjectHashAggregate", "SortAggregate") + " | "
+              + listed("FileSourceScan", "Window", "WindowGroupLimit", "Expand", "Generate", "ArrowEvalPython",
+                       "BatchEvalPython", "InMemoryTableScan") + " |")
     spark.stop()
 
 
