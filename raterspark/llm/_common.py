@@ -35,6 +35,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks over which the rows of one key are dealt by spread_join.
+WAYS = 16
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a lookup that holds one row per key, however many rows a key has.
+
+    The rows of a key are dealt by column ``by`` over WAYS tasks and lookup rows are copied to
+    each, so a key with a third of all rows does not meet in one task.
+    """
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(WAYS)))
+    copies = lookup.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
+    return dealt.join(copies, [*keys, "_way"], how).drop("_way")
+
+
 def fold(id_col: Column | str, n: int) -> Column:
     """crc32 of the id's text, modulo ``n`` (null id: crc32 of the empty text)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

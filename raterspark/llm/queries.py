@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, fold, materialize, shared_folder
+from ._common import documents, fold, materialize, shared_folder, spread_join
 from .language_id import identify_languages
 from .language_model import score_documents
 from .mixing import mix_sources
@@ -133,8 +133,8 @@ def document_events(docs: DataFrame) -> list[DataFrame]:
         F.lit(op).alias("op"), "doc_id", "source", "lang",
         F.lit(version).cast("string").alias("tokenizer_version"), n.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("seq"),
     )
-    first = counts.where("m is not null").groupBy("h", "m").agg(F.min("doc_id").alias("kept"))
-    later = counts.join(first, ["h", "m"]).where("doc_id > kept")
+    first = counts.where("m is not null").groupBy("h", "m").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"))
+    later = spread_join(counts, first.where("n > 1").drop("n"), ["h", "m"], "doc_id").where("doc_id > kept")
     return [
         event(counts, "insert", "words-1", F.col("words")),
         event(counts.where("revised <> words"), "revise", "words-1", F.col("revised")).unionByName(

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 from raterspark.llm import _blocks, shingle_join, suffix_dedup  # noqa: E402
 from raterspark.llm import _kernels as K  # noqa: E402
-from raterspark.llm._common import fold  # noqa: E402
+from raterspark.llm._common import fold, spread_join  # noqa: E402
 from raterspark.llm._graph import connected_components  # noqa: E402
 from raterspark.llm.language_id import identify_languages  # noqa: E402
 from raterspark.llm.language_model import score_documents  # noqa: E402
@@ -364,6 +364,17 @@ def test_toxicity(spark):
     assert score_toxicity(df.limit(0), lb, F.lit(True)).count() == 0
 
 
+def test_spread_join_deals_a_hot_key_and_loses_nothing(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 700, F.lit(0)).otherwise(F.col("id")).cast("int").alias("k"))
+    rows = rows.union(spark.createDataFrame([(2000, None), (None, 0), (5, 0)], "id long, k int"))
+    lookup = spark.createDataFrame([(0, "hot"), (800, "one"), (9999, "none")], "k int, v string")
+    for how in ("inner", "left"):
+        got = spread_join(rows, lookup, ["k"], "id", how).select("id", "k", "v")
+        want = rows.join(lookup, "k", how).select("id", "k", "v")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert spread_join(rows, lookup.limit(0), ["k"], "id").isEmpty()
+
+
 def test_token_rollup(spark, tmp_path):
     r = TokenRollup(spark, str(tmp_path / "roll"))
     ev = lambda *rows: spark.createDataFrame(list(rows), EVENTS)
