@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import _kernels as K
 from ._blocks import BUCKET_CHARS, by_bucket, group_starts, squeeze, unsqueeze
-from ._common import materialize, text_volume
+from ._common import materialize, spread_join, text_volume
 from ._graph import connected_components
 
 _U = np.uint64
@@ -404,8 +404,10 @@ def jaccard_components(
     # of rows with equal id the one with the smallest set key stands for the id
     canon = described_.where("id is not null").groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("s"))
     canon = canon.select("id", "s.*").where("n > 0")
-    keys = canon.groupBy("k1", "k2", "n").agg(F.min("id").alias("class"))
-    members = canon.join(keys, ["k1", "k2", "n"]).select("id", "class")
+    keys = canon.groupBy("k1", "k2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
+    # sets held once are their own class; of the others any may be hot
+    shared, keys = keys.where("copies > 1").drop("copies"), keys.drop("copies")
+    members = spread_join(canon, shared, ["k1", "k2", "n"], "id").select("id", "class")
     classes = described_.join(keys.withColumnRenamed("class", "id"), ["id", "k1", "k2", "n"], "left_semi")
     classes = materialize(classes.dropDuplicates(["id", "k1", "k2", "n"]), "classes")
 
@@ -420,7 +422,8 @@ def jaccard_components(
     components = connected_components(first.union(second))
 
     out = described_.select("id", "n").join(members, "id", "left")
-    out = out.join(components.withColumnRenamed("node", "class"), "class", "left")
+    out = out.withColumn("class", F.coalesce("class", "id"))
+    out = spread_join(out, components.withColumnRenamed("node", "class"), ["class"], "id", "left")
     known = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), known.alias("component_id"))
 
