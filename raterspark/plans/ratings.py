@@ -188,9 +188,9 @@ def q_disagreement_text(spark, sf_dir):
 
 
 def set_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two delimited lists per order: first words of part names on lines 1-3 and 4+."""
+    """Two delimited lists per order: words of the part names on lines 1-3 and 4+."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    part = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ")[0].alias("w"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
     j = li.join(part, li.l_partkey == part.p_partkey, "left")
     return j.groupBy("l_orderkey").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("w")))), ", ").alias("list_a"),
@@ -401,8 +401,9 @@ SELECT rl.doc_id, rl.reader, rl.variable, rl.response, dd.title, dd.abstract
 FROM rl JOIN bad USING (doc_id, variable) JOIN dd USING (doc_id)""",
     "set_similarity": """
 WITH j AS (
-  SELECT l.l_orderkey, l.l_linenumber, split_part(p.p_name, ' ', 1) AS w
-  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+  SELECT l.l_orderkey, l.l_linenumber, p.w
+  FROM lineitem l LEFT JOIN (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) p
+    ON l.l_partkey = p.p_partkey),
 s AS (
   SELECT l_orderkey,
          coalesce(string_agg(DISTINCT w, ', ' ORDER BY w) FILTER (WHERE l_linenumber <= 3), '') AS list_a,
@@ -420,8 +421,9 @@ SELECT l_orderkey, CAST(len(list_intersect(a, b)) AS INTEGER) AS inter,
 FROM t""",
     "set_similarity_table": """
 WITH j AS (
-  SELECT l.l_orderkey, l.l_linenumber, split_part(p.p_name, ' ', 1) AS w
-  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+  SELECT l.l_orderkey, l.l_linenumber, p.w
+  FROM lineitem l LEFT JOIN (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) p
+    ON l.l_partkey = p.p_partkey),
 s AS (
   SELECT l_orderkey,
          coalesce(string_agg(DISTINCT w, ', ' ORDER BY w) FILTER (WHERE l_linenumber <= 3), '') AS list_a,
