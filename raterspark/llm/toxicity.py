@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
-Tokens get log-odds between toxic and other labelled texts under a Dirichlet prior, less a
-margin and a drift, so that ordinary text scores below zero. A linear-time scan finds every
+Tokens get log-odds between toxic and other labelled texts under a Dirichlet prior, drawn to
+the near end of a likelihood-ratio interval, less a drift, so that ordinary text scores below zero. A linear-time scan finds every
 maximal scoring segment of a text (Ruzzo and Tompa, 1999); a segment's significance follows
 the extreme-value distribution of such scores (Karlin and Altschul, 1990), and a text's
 strongest evidence is calibrated to a probability on the labelled rows.
@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 from . import _kernels as K
 from ._common import materialize
 
-CELLS = 1 << 17
+#: Distinct words a task holds before it hands their counts on.
+HELD_WORDS = 1 << 18
+#: Uses, of all in the corpus, that the prior leaves to words it has not seen.
+UNSEEN = 1 << 16
 #: Tokens are runs of ASCII letters, digits and multi-byte characters.
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -29,46 +32,85 @@ _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 BIN, LOWEST, HIGHEST = 0.25, -20.0, 60.0
 
 
-def token_cells(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, end, row, cell) of every token."""
+def token_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, row, word) of every token; a word is its 64-bit hash."""
     start, end, row = K.word_spans(raw, off, _SEPARATOR)
-    return start, end, row, (K.span_hash(raw, start, end, lower=True) % np.uint64(CELLS)).astype(np.int64)
+    return start, end, row, K.span_hash(raw, start, end, lower=True).view(np.int64)
 
 
-def token_counts_by_label(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(label, cell, n) over all labelled rows; tasks add up, Spark sums."""
+def word_counts_by_label(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(word, n0, n1): uses of every word in clean and in toxic texts of all labelled rows.
+
+    A task adds up to HELD_WORDS words before handing them on; Spark sums.
+    """
+
+    def add(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds, at = np.unique(word, return_inverse=True)
+        return kinds, np.stack([np.bincount(at, weights=x, minlength=len(kinds)) for x in n]).astype(np.int64)
+
+    def batch(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n[0]), pa.array(n[1])], ["word", "n0", "n1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS), np.int64)
+        word, n = np.empty(0, np.int64), np.empty((2, 0), np.int64)
         for b in batches:
             raw, off = K.text_bytes(b.column(0))
             label = b.column(1).to_numpy()
             for i, j in K.chunks(off):
-                _, _, row, cell = token_cells(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                total += np.bincount(label[i:j][row] * CELLS + cell, minlength=2 * CELLS).reshape(2, CELLS)
-        label, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(label.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[label, cell])], ["label", "cell", "n"]
-        )
+                _, _, row, found = token_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                y = label[i:j][row]
+                word, n = add(np.append(word, found), np.append(n, np.stack([y == 0, y == 1]), axis=1))
+                if len(word) > HELD_WORDS:
+                    yield batch(word, n)
+                    word, n = word[:0], n[:, :0]
+        yield batch(word, n)
 
     cols = labelled.select(F.col(text_col).alias("t"), (F.col(label_col) > 0).cast("int").alias("y")).where("y is not null")
-    return cols.mapInArrow(run, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    rows = cols.mapInArrow(run, "word long, n0 long, n1 long")
+    return rows.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def with_prior(n0, n1, total: np.ndarray, strength: float) -> tuple:
+    """(y0, y1, rest0, rest1): a word's uses and all other uses in clean and in toxic texts,
+    each with a Dirichlet prior proportional to the corpus. Takes numbers, arrays or columns."""
+    prior = (n0 + n1) * (strength / float(total.sum() + UNSEEN))
+    y0, y1 = n0 + prior, n1 + prior
+    return y0, y1, float(total[0] + strength) - y0, float(total[1] + strength) - y1
+
 
+def passes(y0: Column, y1: Column, rest0: Column, rest1: Column, margin: float) -> Column:
+    """Whether the likelihood-ratio interval of ``margin`` standard errors around a word's
+    log-odds leaves out 0: twice the log-likelihood lost by the shares of all other uses."""
+    n, rest = y0 + y1, rest0 + rest1
+    lost = y0 * F.log(y0 * rest / (n * rest0)) + y1 * F.log(y1 * rest / (n * rest1))
+    return 2 * lost > margin**2
 
-def log_odds(counts: np.ndarray, strength: float, margin: float, drift: float) -> np.ndarray:
-    """Score of each cell: its log-odds under a Dirichlet prior proportional to the corpus,
-    drawn ``margin`` standard errors towards 0, less ``drift``."""
-    both = counts.sum(axis=0)
-    prior = strength * (both + 0.5) / (both + 0.5).sum()
-    y = counts + prior
-    rest = counts.sum(axis=1, keepdims=True) + strength - y
-    delta = np.log(y[1] / rest[1]) - np.log(y[0] / rest[0])
-    error = np.sqrt(1 / y[1] + 1 / y[0])
-    return np.sign(delta) * np.maximum(np.abs(delta) - margin * error, 0) - drift
+
+def log_odds(n0: np.ndarray, n1: np.ndarray, total: np.ndarray, strength: float, margin: float, drift: float) -> np.ndarray:
+    """Score of each word: the end nearer 0 of the likelihood-ratio interval of ``margin``
+    standard errors around its log-odds under the prior, or 0 if the interval has 0, less ``drift``.
+
+    Given its n uses, those in toxic texts are binomial. The interval narrows with every use,
+    also of a word never seen in one kind of text.
+    """
+    y0, y1, rest0, rest1 = with_prior(n0.astype(float), n1.astype(float), total, strength)
+    even = np.log(rest1 / rest0)  # the logit at which the log-odds are 0
+    top = np.log(y1 / y0)
+    loglik = lambda t: y1 * t - (y0 + y1) * np.logaddexp(0, t)
+    least = loglik(top) - margin**2 / 2
+    inside, outside = top, even
+    for _ in range(60):
+        mid = (inside + outside) / 2
+        in_it = loglik(mid) >= least
+        inside, outside = np.where(in_it, mid, inside), np.where(in_it, outside, mid)
+    return np.where(loglik(even) >= least, 0.0, inside - even) - drift
 
 
 def extreme_value_rate(scores: np.ndarray, background: np.ndarray) -> float:
-    """The positive root of sum p exp(rate * s) = 1 under the background's token frequencies."""
+    """The positive root of sum p exp(rate * s) = 1 under the background's token frequencies.
+
+    The last score stands for all words without evidence.
+    """
     if not (scores > 0).any() or background.sum() == 0:
         return 1.0
     p = (background + 1e-9) / (background + 1e-9).sum()
@@ -102,6 +144,7 @@ def maximal_segments(before: list[float], after: list[float]) -> list[tuple[int,
 
 def toxic_passages(
     docs: DataFrame,
+    words: np.ndarray,
     scores: np.ndarray,
     rate: float,
     id_col: str = "doc_id",
@@ -110,6 +153,7 @@ def toxic_passages(
 ) -> DataFrame:
     """One row per document: id, n_tokens, evidence, passages (start, end, score, p_value).
 
+    ``words`` are sorted; their scores are in their order, then the score of any other word.
     Passages are all maximal segments with p_value <= ``significance``, as byte offsets.
     evidence is rate * score - ln(tokens) of the best segment; a text with no positive token
     has the lowest evidence. Null and empty texts have none.
@@ -133,8 +177,10 @@ def toxic_passages(
             raw, off = K.text_bytes(b.column(1))
             for i, j in K.chunks(off):
                 n, at = j - i, off[i : j + 1] - off[i]
-                start, end, row, cell = token_cells(raw[off[i] : off[j]], at)
-                s = scores[cell]
+                start, end, row, word = token_hashes(raw[off[i] : off[j]], at)
+                slot = np.searchsorted(words, word)
+                slot[np.append(words, 0)[slot] != word] = len(words)
+                s = scores[slot]
                 after = np.cumsum(s)
                 count = K.row_counts(row, n)
                 evidence, found = np.full(n, LOWEST), [[] for _ in range(n)]
@@ -202,14 +248,18 @@ def score_toxicity(
     marked = labels.groupBy(F.col(id_col).alias("__i")).agg(F.max(label_col).alias("__y")).where("__i is not null and __y is not null")
     # clashing column names cannot meet: only the needed columns are kept
     basis = docs.where(learn_from).select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
-    counts = np.zeros((2, CELLS))
     # the labels grow with the texts: joined the same way at every size, never broadcast
-    for r in token_counts_by_label(basis.join(marked.hint("merge"), "__i"), "__t", "__y").toLocalIterator():  # 2 * CELLS rows at most
-        counts[r["label"], r["cell"]] = r["n"]
-    scores = log_odds(counts, strength, margin, drift)
-    rate = extreme_value_rate(scores, counts[0])
+    counts = materialize(word_counts_by_label(basis.join(marked.hint("merge"), "__i"), "__t", "__y"), "words")
+    sums = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    total = np.array([x or 0 for x in sums], float)
+    scored = passes(*with_prior(F.col("n0"), F.col("n1"), total, strength), margin)
+    found = counts.where(scored).orderBy("word").toArrow()  # only words with evidence leave Spark, as three numbers
+    words, n0, n1 = (found[c].to_numpy() for c in ("word", "n0", "n1"))
+    scores = np.append(log_odds(n0, n1, total, strength, margin, drift), -drift)
+    # a word never seen in clean text is not impossible there: half a use
+    rate = extreme_value_rate(scores, np.append(n0 + 0.5, total[0] - n0.sum()))
 
-    scan = materialize(toxic_passages(docs, scores, rate, id_col, text_col), "passages")
+    scan = materialize(toxic_passages(docs, words, scores, rate, id_col, text_col), "passages")
     known = scan.where(learn_from).select(F.col(id_col).alias("__i"), F.round(F.col("evidence") / BIN).cast("int").alias("bin"))
     rows = known.join(marked, "__i").groupBy("bin").agg(F.count("*").alias("n"), F.sum((F.col("__y") > 0).cast("long")).alias("y")).collect()
     slope, offset = 0.0, -30.0

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from raterspark.llm import _blocks, shingle_join, suffix_dedup  # noqa: E402
+from raterspark.llm import _blocks, shingle_join, suffix_dedup, toxicity  # noqa: E402
 from raterspark.llm import _kernels as K  # noqa: E402
 from raterspark.llm._common import fold, spread_join  # noqa: E402
 from raterspark.llm._graph import connected_components  # noqa: E402
@@ -27,7 +27,7 @@ from raterspark.llm.queries import ship, tokenizer_path  # noqa: E402
 from raterspark.llm.shingle_join import jaccard_components  # noqa: E402
 from raterspark.llm.suffix_dedup import removed_bytes  # noqa: E402
 from raterspark.llm.token_rollup import EVENTS, TokenRollup  # noqa: E402
-from raterspark.llm.toxicity import maximal_segments, score_toxicity  # noqa: E402
+from raterspark.llm.toxicity import log_odds, maximal_segments, score_toxicity, word_counts_by_label  # noqa: E402
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A column named like an internal one must not matter.
@@ -398,3 +398,28 @@ def test_span_hash_is_position_free():
     assert h[0] == h[2] == h[3] != h[1]
     low = K.span_hash(raw, np.array([0, 4]), np.array([3, 7]), lower=True)
     assert low[0] == low[1]
+
+
+def test_toxic_evidence_grows_with_use():
+    """A word's score grows with toxic uses, at every corpus size, and falls with clean ones."""
+    sizes = np.array([1_000_000.0, 200_000.0])
+    for times in (1, 300):
+        n1 = np.array([1, 3, 6, 10, 16, 100, 1000])
+        alone = log_odds(0 * n1, n1, sizes * times, 30000.0, 3.0, 1.0)
+        assert (np.diff(alone) >= 0).all() and alone[0] == -1 and alone[3] > 0 and alone[-1] > alone[4] > alone[3]
+        n0 = np.arange(8)
+        mixed = log_odds(n0, n0 * 0 + 16, sizes * times, 30000.0, 3.0, 1.0)
+        assert (np.diff(mixed) < 0).all() or mixed.min() == -1 and (np.diff(mixed) <= 0).all()
+        assert mixed[0] > mixed[1] > 0
+
+
+def test_word_counts_are_by_word(spark, monkeypatch):
+    """No two words share a count, however often a task hands its counts on."""
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 100)
+    ship(spark)
+    rows = [(" ".join(f"w{k}" for k in range(d, 200_000, 40)), d % 2) for d in range(40)]
+    df = spark.createDataFrame(rows + [("W7 w7", 1), ("w1", None)], "t string, y int")
+    got = word_counts_by_label(df, "t", "y")
+    assert got.count() == 200_000
+    assert got.agg(F.sum("n0"), F.sum("n1")).first() == (100_000, 100_002)
+    assert got.where("n1 = 3 and n0 = 0").count() == 1 and got.where("n0 + n1 > 1").count() == 1
