@@ -40,6 +40,10 @@ _CLASS_OF[128:192] = N_CLASSES  # continuation bytes: dropped
 WORD_CELLS = 1 << 16
 COMMON_WORDS = 128
 
+#: A text is judged by its share of common words from the length at which one of its
+#: language would lie under the limit by so many standard deviations.
+DEVIATIONS = 4.0
+
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -175,6 +179,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def least_words(common: float, few_common: float) -> float:
+    """Words from which ``few_common`` of a language's share of common words, ``common``, lies
+    DEVIATIONS standard deviations (binomial) under that share: shorter texts cannot be told apart."""
+    return DEVIATIONS**2 * (1 - common) / (common * (1 - few_common) ** 2)
+
+
 def quality_measures(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -186,16 +196,20 @@ def quality_measures(
     max_word_distance: float = 0.32,
     char_slack: float = 1.2,
     word_slack: float = 2.2,
+    few_common: float = 0.25,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, rule measures, both distances and the verdict ``kept``, and
-    the columns ``carry`` of the input.
+    """One row per document: id, rule measures, both distances, ``common_ratio``, the verdict
+    ``kept``, and the columns ``carry`` of the input.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows.
     The method rejects a text of n words whose character classes lie over
     ``max_char_distance + char_slack / sqrt(n)``, or whose common words lie over
     ``max_word_distance + word_slack / sqrt(n)``, from its language's reference: a histogram
-    of few words strays further from its source by chance. The guard: texts under ``min_doc_words`` words, and languages under ``min_reference_words``
+    of few words strays further from its source by chance. Below some 200 words that slack
+    passes a text without any common word, so a text is also rejected whose share of common
+    words is under ``few_common`` of its language's (``common_ratio`` is the one over the
+    other; null under ``least_words`` of the language). The guard: texts under ``min_doc_words`` words, and languages under ``min_reference_words``
     words, are not judged by distance (distances are then null). A null or unknown language
     takes the nearest reference. Null and empty texts have no words and fail the base rule.
     Repeated rows give repeated rows; extra columns are ignored. An empty table gives none.
@@ -205,13 +219,13 @@ def quality_measures(
     schema = T.StructType(
         [T.StructField(id_col, id_type)]
         + [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        + [T.StructField(c, T.DoubleType()) for c in ("char_distance", "word_distance")]
+        + [T.StructField(c, T.DoubleType()) for c in ("char_distance", "word_distance", "common_ratio")]
         + [docs.schema[c] for c in carry if c != id_col]
     )
 
-    def distances(m: dict, langs: list) -> tuple[np.ndarray, np.ndarray]:
+    def distances(m: dict, langs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(langs)
-        char, word = np.full(n, np.nan), np.full(n, np.nan)
+        char, word, ratio = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
         judged = m["n_words"] >= min_doc_words
         for lang, (ref_chars, cells, ref_words) in refs.items():
             mine = np.array([x == lang or x not in refs for x in langs]) & judged
@@ -230,7 +244,11 @@ def quality_measures(
             ).reshape(mine.sum(), -1)
             d = js_distance(hist / np.maximum(hist.sum(axis=1, keepdims=True), 1), ref_words)
             word[mine] = np.fmin(word[mine], d)
-        return char, word
+            common, words = 1 - ref_words[-1], m["n_words"][mine]
+            # not to be told apart from this language: as if it had any number of common words
+            d = np.where(words >= least_words(common, few_common), (words - hist[:, -1]) / (words * common), np.inf)
+            ratio[mine] = np.fmax(ratio[mine], d)
+        return char, word, np.where(np.isinf(ratio), np.nan, ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,11 +256,11 @@ def quality_measures(
             langs = b.column(2).to_pylist()
             for i, j in K.chunks(off):
                 m = measure(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                both = distances(m, langs[i:j])
+                found = distances(m, langs[i:j])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i)]
                     + [pa.array(m[c].astype(np.int64)) for c in schema.names[1:6]]
-                    + [pa.array(d, pa.float64(), from_pandas=True) for d in both]
+                    + [pa.array(d, pa.float64(), from_pandas=True) for d in found]
                     + [c.slice(i, j - i) for c in b.columns[3:]],
                     schema.names,
                 )
@@ -254,5 +272,5 @@ def quality_measures(
     root = F.sqrt("n_words")
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance + char_slack / root) | (
         F.coalesce("word_distance", F.lit(0.0)) > max_word_distance + word_slack / root
-    )
+    ) | (F.coalesce("common_ratio", F.lit(1.0)) < few_common)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)

@@ -295,6 +295,30 @@ def test_quality(corpus):
     assert quality_measures(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_short_texts_of_another_language(spark):
+    """Also short texts without their language's common words go; its own stay; a language
+    whose common words are too rare to tell is not judged by them."""
+    ship(spark)
+    rng = np.random.default_rng(9)
+    share = {"en": 0.38, "de": 0.38, "xx": 0.03}
+    tail = {x: [f"{x}{k:05d}" for k in range(20000)] for x in share}
+
+    def make(x, n):
+        return " ".join(f"{x}{rng.integers(0, 128):03d}" if rng.random() < share[x] else tail[x][rng.integers(0, 20000)] for _ in range(n))
+
+    rows = [(k, make(x, 400), x) for k, x in enumerate(["en", "de", "xx"] * 40)]
+    sizes = [60, 80, 120, 150, 180, 205] * 3
+    rows += [(1000 + k, make("en", n), "en") for k, n in enumerate(sizes)]
+    rows += [(2000 + k, make("de", n), "en") for k, n in enumerate(sizes)]
+    rows += [(3000 + k, make("en", n), None) for k, n in enumerate(sizes)]
+    rows += [(4000 + k, make("xx", n), "xx") for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality_measures(df).where("doc_id >= 1000").collect()}
+    for i, r in out.items():
+        assert r["kept"] == (i // 1000 != 2), r
+        assert (r["common_ratio"] is None) == (i >= 3000)  # an unknown language may be xx
+
+
 def test_language_id(spark):
     ship(spark)
     rng = np.random.default_rng(8)
