@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, fold, materialize, shared_folder, spread_join
+from .divergence import source_divergence
+from .filter_audit import filter_interactions
 from .language_id import identify_languages
 from .language_model import score_documents
 from .mixing import mix_sources
@@ -22,6 +24,7 @@ from .shingle_join import jaccard_components
 from .suffix_dedup import removed_bytes
 from .token_rollup import TokenRollup
 from .toxicity import score_toxicity
+from .url_filters import PHRASES, RULES, judge_urls, rule_table
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -154,6 +157,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, by source, in all 120 orders."""
+    return filter_interactions(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between all sources of a language, and the terms each source favours."""
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by site rules first and pattern rules for the rest."""
+    return judge_urls(documents(spark, sf_dir, "pages"), rule_table(spark, RULES)).drop("method_rule")
+
+
 _QUERIES = (
     op1_ngram_jaccard_join,
     op2_lm_scoring,
@@ -165,6 +183,9 @@ _QUERIES = (
     op8_toxicity,
     op9_suffix_array_dedup,
     op10_token_counts,
+    op11_filter_interactions,
+    op12_source_divergence,
+    op13_url_filters,
 )
 
 
@@ -248,5 +269,120 @@ FROM entries GROUP BY ALL
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT coalesce(CAST(source AS VARCHAR), '') AS part, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t
+), flags AS (
+  SELECT w.part, w.doc_id,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask,
+    coalesce(l.quality, 0) AS quality, coalesce(l.toxic, 0) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS quality, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l
+    ON w.doc_id = l.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE length(regexp_replace('ABCDE', '[^' || a.x || b.x || c.x || d.x || e.x || ']', '', 'g')) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS f,
+    coalesce(list_sum([1 << (ascii(y) - 65) FOR y IN string_split(substr(filter_order, 1, step - 1), '') IF y <> '']), 0)::BIGINT AS earlier
+  FROM orders, range(1, 6) r(step)
+), base AS (
+  SELECT part, filter_order, step, f,
+    sum(n) FILTER ((mask & (earlier | f)) = 0) AS kept,
+    sum(n) FILTER ((mask & f) > 0 AND (mask & earlier) = 0) AS removed,
+    sum(n) FILTER ((mask & f) > 0 AND (mask & earlier) > 0) AS redundant,
+    sum(n) FILTER (mask = f) AS unique_fails,
+    sum(good) FILTER ((mask & f) > 0 AND (mask & earlier) = 0) AS good_lost,
+    sum(toxic) FILTER ((mask & f) > 0 AND (mask & earlier) = 0) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM base
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k,
+    unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents
+), terms AS (
+  SELECT lang, source, k, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), vocab AS (
+  SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT k) >= 30
+), groups AS (
+  SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM terms GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n, v.total,
+    sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS gn,
+    sum(v.total) OVER (PARTITION BY g.lang, g.source) AS ln,
+    count(*) OVER (PARTITION BY g.lang, g.source) AS v
+  FROM groups g JOIN vocab v USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), shares AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (gn + 5 * v)::HUGEINT AS p,
+    1 + 1000000000::HUGEINT * (total + 5) // (ln + 5 * v)::HUGEINT AS q
+  FROM cells
+), diffs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN diffs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+    (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)))::INT AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT,
+    (row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, encode(term)))::INT FROM shares WHERE n > 0 AND p > q
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), fit AS (
+  SELECT *, '.' || host AS h, CASE
+    WHEN ends_with(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with(h, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM split
+), phrases AS (
+  SELECT *, 'i' AS o, '(^|[^a-z0-9])(PHRASES)([^a-z0-9]|$)' AS p FROM fit
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(lower(host || path), p) OR regexp_matches(lower(host || path), ';jsessionid=')
+    OR regexp_matches(host || path, '^([0-9]{1,3}\.){3}[0-9]{1,3}(:[0-9]+)?(/|$)')
+    OR regexp_matches(lower(host || path), '/[^/]+\.(exe|apk|msi|dmg)$') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM phrases
+""".replace("PHRASES", "|".join(PHRASES))
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3_SQL, "op5_mixing_sources": OP5_SQL, "op10_token_counts": OP10_SQL}
+    return {
+        "op3_embedding_near_dedup": OP3_SQL,
+        "op5_mixing_sources": OP5_SQL,
+        "op10_token_counts": OP10_SQL,
+        "op11_filter_interactions": OP11_SQL,
+        "op12_source_divergence": OP12_SQL,
+        "op13_url_filters": OP13_SQL,
+    }
