@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from raterspark.functions.nulls import n_distinct_na, safe_div
 from raterspark.functions.text import tokens
+from raterspark.operators.ordering import quantiles
 from raterspark.operators.reshape import dense_index
 
 
@@ -234,15 +235,11 @@ def agreement_by_type(pct: DataFrame) -> DataFrame:
 
 
 def agreement_box(pct: DataFrame) -> DataFrame:
-    """Box statistics (min, quartiles with linear interpolation, max) by category x type."""
-    q = F.percentile(F.col("percent_agreement"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = pct.groupBy("category", "pair_type").agg(
-        F.min("percent_agreement").alias("min"), q.alias("_q"), F.max("percent_agreement").alias("max")
-    )
-    return agg.select(
-        "category", "pair_type", "min",
-        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max",
-    )
+    """Box statistics (min, quartiles with linear interpolation, max) by category x type.
+
+    Exact, and no group is held in one buffer: see :func:`ordering.quantiles`."""
+    box = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    return quantiles(pct, ["category", "pair_type"], "percent_agreement", box)
 
 
 def prevalence(ratings: DataFrame, reader: str, cats: Sequence[str]) -> DataFrame:

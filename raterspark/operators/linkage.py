@@ -230,6 +230,67 @@ def recode(col: Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(m[col], col)
 
 
+# Escapes whose letters are no text of the match; any other letter or digit after a
+# backslash (\x41, \p{L}, \Q, back references ...) makes a pattern's literals unsure.
+_CLASS_ESCAPE = "dDsSwWbBAzZnrtfhHvVR"
+_UNSURE = rf"\\[A-Za-z0-9&&[^{_CLASS_ESCAPE}]]|\(\?[a-wyz]*x"
+
+
+def required_literals(pattern: Column | str) -> Column:
+    """Runs of ASCII letters and digits (lower-cased) that every match of a Java regular
+    expression holds; an empty array where that cannot be told.
+
+    Escapes, classes, groups and optional characters are cut out; a pattern with an
+    alternation outside groups, or with anything left that is not understood, has none.
+    """
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    cut = F.regexp_replace(p, r"(?s)\\.", "\u0001")
+    cut = F.regexp_replace(cut, r"\[[^\[\]]*\]", "\u0001")
+    for _ in range(4):  # groups in groups
+        cut = F.regexp_replace(cut, r"\([^()]*\)", "\u0001")
+    cut = F.regexp_replace(cut, r"(?s).(?:[?*]|\{[^{}]*\})[?+]?", "\u0001")
+    unsure = p.rlike(_UNSURE) | cut.rlike(r"[\[\](){}|]")
+    runs = F.regexp_extract_all(F.lower(cut), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(~unsure, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given sizes."""
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        found = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+#: Length of the pieces of a literal that patterns are filed under.
+GRAM = 3
+
+
+def pattern_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """(name, pattern columns) of all patterns that match a name, without a nested loop.
+
+    Each pattern is filed under one piece (up to GRAM characters) of a literal that its
+    matches must hold: the piece in the fewest names. Names fetch the patterns filed under
+    their own pieces by an equi-join, and only those are matched. Patterns without a sure
+    literal are filed under the empty piece, which every name has.
+    """
+    given = patterns.withColumn("_pieces", F.flatten(F.transform(
+        required_literals(pattern), lambda t: F.when(F.length(t) <= GRAM, F.array(t)).otherwise(_grams(t, [GRAM]))
+    ))).withColumn("_pid", F.xxhash64(*[F.col(c) for c in patterns.columns]))
+    pieces = F.array_append(_grams(F.lower(F.col(name)), range(1, GRAM + 1)), F.lit(""))
+    named = names.select(name, F.explode(pieces).alias("_piece"))
+    wanted = given.select("_pid", F.explode("_pieces").alias("_piece")).distinct()
+    used = named.join(wanted.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    sized = wanted.join(used, "_piece", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = sized.groupBy("_pid").agg(F.min(F.struct("_n", "_piece")).alias("_r")).select("_pid", F.col("_r._piece").alias("_piece"))
+    filed = given.drop("_pieces").join(rarest, "_pid", "left").withColumn("_piece", F.coalesce("_piece", F.lit(""))).drop("_pid")
+    hits = named.join(filed, "_piece").where(F.regexp_like(F.col(name), F.col(pattern)))
+    return hits.drop("_piece")
+
+
 def conform_names(
     df: DataFrame,
     name_col: str,
@@ -248,7 +309,8 @@ def conform_names(
     Steps: trim; fix spellings with ``fixes`` (exact, literal map); exact match against
     ``dim`` on lower-case names; for names still unmatched, the first (smallest code)
     regular expression in ``patterns`` (columns ``dim_code``, ``pattern_col``) that
-    matches. The regex step runs on the distinct unmatched names only, never on rows.
+    matches. The regex step runs on the distinct unmatched names only, never on rows, and
+    only on the patterns that :func:`pattern_matches` fetches for a name.
     Rows whose cleaned name is in ``drop_values`` and rows without a code are dropped
     (``keep_unmatched`` keeps the latter with a NULL code).
     """
@@ -263,8 +325,8 @@ def conform_names(
     found = named.where(F.col("_dcode").isNotNull())
     if patterns is not None:
         unmatched = named.where(F.col("_dcode").isNull()).select("_name")
-        p = patterns.select(F.col(dim_code).alias("_pcode"), F.col(pattern_col).alias("_pat"))
-        by_regex = unmatched.join(p, F.expr("_name RLIKE _pat")).select("_name", F.col("_pcode").alias("_dcode"))
+        p = patterns.select(F.col(dim_code).alias("_pcode"), F.col(pattern_col).alias("_pat")).where("_pat is not null")
+        by_regex = pattern_matches(unmatched, "_name", p, "_pat").select("_name", F.col("_pcode").alias("_dcode"))
         found = found.unionByName(by_regex)
     exact = found.groupBy("_name").agg(F.min("_dcode").alias("_dcode"))
     out = rows.join(exact, "_name", "left").withColumnRenamed("_dcode", code_col)

@@ -3,14 +3,14 @@
 Distinct counts are exact (``count_distinct``); Spark plans them as an aggregate on
 (group, item) with partial aggregation before the exchange, so a hot group is reduced
 map-side. Denominators are scalar subqueries or joins with small aggregated tables.
-Global (unpartitioned) windows run only on small aggregated outputs (level ranks) or,
-for top-k, behind Spark's partial ``WindowGroupLimit``, so each partition forwards at
-most k rows plus ties.
+Global (unpartitioned) windows run only on small aggregated outputs: the last values of
+levels, and the at most k distinct values of a top-k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +36,14 @@ def ordered_level(col: Column | str, levels: Sequence[str]) -> Column:
     return F.when(pos > 0, pos.cast("int"))
 
 
-def group_totals(df: DataFrame, group: str, split: str, measure: str, out: str = "n") -> DataFrame:
+def group_totals(
+    df: DataFrame, group: str, split: str, measure: str, out: str = "n", keep_null_group: bool = True
+) -> DataFrame:
     """Sum of ``measure`` per (group, split) and per group (split NULL) in one
-    aggregate (GROUPING SETS). NULLs in the measure are ignored; an all-NULL cell is 0."""
+    aggregate (GROUPING SETS). NULLs in the measure are ignored; an all-NULL cell is 0.
+    ``keep_null_group=False`` leaves rows without a group out (``filter(!is.na(group))``)."""
+    if not keep_null_group:
+        df = df.where(F.col(group).isNotNull())
     agg = df.groupingSets([[group, split], [group]], group, split).agg(
         F.coalesce(F.sum(measure), F.lit(0)).alias(out),
         F.grouping(split).alias("_gs"),
@@ -131,12 +136,6 @@ def percent_label(share: Column | str) -> Column:
     return F.when(c.isNotNull(), F.concat(F.round(c * 100).cast("long").cast("string"), F.lit("%")))
 
 
-def order_by_measure(df: DataFrame, level: str, measure: str, out: str = "level_rank") -> DataFrame:
-    """Dense rank of levels by a measure, largest first (``fct_reorder``)."""
-    w = Window.orderBy(F.col(measure).desc())
-    return df.withColumn(out, F.dense_rank().over(w))
-
-
 def label_filter(df: DataFrame, flags: Sequence[str], none_col: str, require_any_label: bool = False) -> DataFrame:
     """Keep labelled items and drop the 'none' category.
 
@@ -155,6 +154,44 @@ def label_filter(df: DataFrame, flags: Sequence[str], none_col: str, require_any
     return df.where((any_label >= 1) & (F.col(none_col) != 1))
 
 
+def label_tallies(df: DataFrame, flags: Sequence[str], none_col: str, by: Sequence[str]) -> DataFrame:
+    """One pass over the labelled rows for a whole-table label filter that is decided later:
+    per ``by``, the flag sum, the rows with a NULL flag and the rows with ``none_col`` != 1."""
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in flags])
+    return df.groupBy(*by).agg(
+        F.coalesce(F.sum(total), F.lit(0)).alias("flag_sum"), F.count_if(total.isNull()).alias("null_flags"),
+        F.count_if(F.col(none_col) != 1).alias("n_kept"),
+    )
+
+
+def labelled_entity_counts(tallies: DataFrame, entity: str, out: str = "n") -> DataFrame:
+    """``entity_counts(label_filter(df, ...))`` from the :func:`label_tallies` of ``df``.
+
+    The predicate is decided over these few rows; entities left without a row are not in
+    the result.
+    """
+    total = lambda c: F.sum(c).alias(c)
+    per = tallies.groupBy(entity).agg(total("flag_sum"), total("null_flags"), total("n_kept"))
+    any_label = tallies.agg((F.sum("null_flags") == 0) & (F.sum("flag_sum") >= 1)).scalar()
+    return per.where(any_label & (F.col("n_kept") > 0)).select(entity, F.col("n_kept").alias(out))
+
+
+def first_source(sources: Sequence[DataFrame], entity: str, source_col: str = "source_rank", **measures: Column) -> DataFrame:
+    """Measures per entity from the first source that has a row for it.
+
+    ``sources`` are in order of precedence, each with the entity and the columns that the
+    aggregate ``measures`` read: rows of a later source count only for entities that no
+    earlier one has. One aggregate carries each entity's partial results by source rank (from
+    1), a second one takes the least rank; no source is searched for the entities of another,
+    and a NULL entity is an entity.
+    """
+    ranked = [s.withColumn("_rank", F.lit(k)) for k, s in enumerate(sources, 1)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+    per = both.groupBy(entity, "_rank").agg(*[c.alias(name) for name, c in measures.items()])
+    best = per.groupBy(entity).agg(F.min(F.struct("_rank", *measures)).alias("_best"))
+    return best.select(entity, *[F.col(f"_best.{m}").alias(m) for m in measures], F.col("_best._rank").alias(source_col))
+
+
 def entity_counts(df: DataFrame, entity: str, item: str | None = None, distinct_entities: bool = False,
                   out: str = "n") -> DataFrame:
     """Rows per entity (item x entity incidences, a repeated entity in one item counts

@@ -9,7 +9,8 @@ Stand-ins on the driver tables:
   The "None" flag is priority 5-LOW.
 * a "survey" is an order too, with a year string that can be a range ("1995 - 1999")
   and a list of repeat years; its country list may repeat the same country.
-* "exposure" per country = mean balance / 250 of its suppliers with a positive balance;
+* "exposure" per country = mean balance / 250 of its suppliers in the newer edition of the
+  table (even keys), or of those in the older one (odd keys) if the newer has none;
   "population" = sum of customer balances; the income-group dimension is the region of
   the nation, with one fixed override.
 * topic shares use ``events``: item = user, topic = event type.
@@ -21,18 +22,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterspark.functions.nulls import if_else3, not_in, paste0, sum_strict
-from raterspark.functions.text import pattern_flag
+from raterspark.functions.text import capitalize_first, pattern_flag
 from raterspark.operators import linkage as lk
 from raterspark.operators import reshape as rs
 from raterspark.operators import summary as sm
+from raterspark.operators.ordering import order_by_measure
 from raterspark.plans.common import r6, table
 from raterspark.plans.linkage_q import DROP_NAMES, NAME_FIXES, raw_names
+from raterspark.sources.io import materialize
 
 FLAGS = ["cat_urgent", "cat_high", "cat_open", "cat_fulfilled"]
 # Fixed values of the stand-in.
 YEAR_RANGES = {"1995 - 1999": "1997", "1996 - 2000": "1998"}
+NEWER_EDITION = "s_suppkey % 2 = 0"
 EXPOSURE_BREAKS = [0, 10, 15, 25, 35, 100]
 EXPOSURE_LABELS = ["very low", "low", "medium", "high", "very high"]
+EXPOSURE_RANGES = {
+    "Very low": "Very low\n<10", "Low": "Low\n10-15", "Medium": "Medium\n15-25", "High": "High\n25-35", "Very high": "Very high\n35+",
+}
 REGION_OVERRIDE = {"nation": 5, "region": "ASIA"}
 
 
@@ -67,8 +74,8 @@ def _flagged_orders(spark, sf_dir) -> DataFrame:
     )
 
 
-def paper_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paper x country rows (before the category explosion)."""
+def _paper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paper x country name rows, names as they are written."""
     o = _flagged_orders(spark, sf_dir)
     names = raw_names(spark, sf_dir)
     docs = o.join(names, o.o_custkey == names.c_custkey, "inner")
@@ -76,8 +83,12 @@ def paper_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("raw_name")
     )
     docs = docs.select("o_orderkey", "year", "o_custkey", "o_totalprice", *FLAGS, "cat_none", countries.alias("country"))
-    long = rs.explode_tokens(docs, "country", r",\s*")
-    return _conform(spark, sf_dir, long, "country")
+    return rs.explode_tokens(docs, "country", r",\s*")
+
+
+def paper_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paper x country rows (before the category explosion)."""
+    return _conform(spark, sf_dir, _paper_names(spark, sf_dir), "country")
 
 
 def q_fact_explode(spark, sf_dir):
@@ -87,8 +98,8 @@ def q_fact_explode(spark, sf_dir):
     return facts.select("o_orderkey", "country", "n_code", "year", "category")
 
 
-def survey_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survey x country x year rows with categories still wide."""
+def _survey_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey x country name x year rows, names as they are written."""
     o = _flagged_orders(spark, sf_dir)
     names = raw_names(spark, sf_dir)
     s = o.join(names, o.o_custkey == names.c_custkey, "inner")
@@ -109,8 +120,12 @@ def survey_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         year_str.alias("year_str"), repeated.alias("repeated"), countries.alias("country"),
     )
     s = rs.expand_years(s, "year_str", "repeated", YEAR_RANGES, out_col="year")
-    s = rs.explode_tokens(s, "country", r";\s*")
-    return _conform(spark, sf_dir, s, "country")
+    return rs.explode_tokens(s, "country", r";\s*")
+
+
+def survey_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey x country x year rows with categories still wide."""
+    return _conform(spark, sf_dir, _survey_names(spark, sf_dir), "country")
 
 
 def q_fact_explode_years(spark, sf_dir):
@@ -120,20 +135,26 @@ def q_fact_explode_years(spark, sf_dir):
 
 
 def _entity_base(spark, sf_dir) -> DataFrame:
-    pc = paper_countries(spark, sf_dir)
-    # Literal label filter (whole-table flag sum, then None != 1) and incidence counts.
-    papers = sm.entity_counts(sm.label_filter(pc, FLAGS, "cat_none"), "n_code", out="n_papers")
-    supp = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
+    # Literal label filter (whole-table flag sum, then None != 1) and incidence counts: the
+    # papers are read once, tallied by name as written; the few names are conformed then.
+    tallies = sm.label_tallies(_paper_names(spark, sf_dir), FLAGS, "cat_none", ["country"])
+    tallies = _conform(spark, sf_dir, materialize(tallies, "paper_tallies"), "country")
+    papers = sm.labelled_entity_counts(tallies, "n_code", out="n_papers")
+    supp = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_code"), "s_acctbal", "s_suppkey")
+    newer, older = supp.where(NEWER_EDITION), supp.where(f"not ({NEWER_EDITION})")
     # Scale 1/250: averages of 2-decimal amounts stay exact at 6 decimals (1/200 would
     # land on rounding ties that the last bit of an average can flip).
-    exposure = supp.groupBy(F.col("s_nationkey").alias("n_code")).agg((F.avg("s_acctbal") / 250).alias("exposure"))
+    exposure = sm.first_source([newer, older], "n_code", "exposure_source", exposure=F.avg("s_acctbal") / 250)
     j = rs.full_outer(papers, exposure, ["n_code"])
     return j.withColumn("n_papers", F.coalesce(F.col("n_papers"), F.lit(0)).cast("long"))
 
 
+def _with_source(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("source_flag", pattern_flag("o_orderpriority", "urgent", also_equal="2-HIGH"))
+
+
 def _survey_facts(spark, sf_dir) -> DataFrame:
-    s = survey_rows(spark, sf_dir)
-    return s.withColumn("source_flag", pattern_flag("o_orderpriority", "urgent", also_equal="2-HIGH"))
+    return _with_source(survey_rows(spark, sf_dir))
 
 
 def _geo(spark, sf_dir) -> DataFrame:
@@ -150,9 +171,11 @@ def _geo(spark, sf_dir) -> DataFrame:
 
 
 def _survey_counts(spark, sf_dir) -> DataFrame:
-    """Survey facts per (country, source flag): one aggregate that serves both the
-    per-country totals and the source split (same subtree, so its exchange is reused)."""
-    return _survey_facts(spark, sf_dir).groupBy("n_code", "source_flag").agg(F.count(F.lit(1)).alias("n_surveys"))
+    """Surveys per (country, source flag), for the per-country totals and the source split:
+    one pass over the facts, counted by name as written; the few names are conformed then."""
+    named = _with_source(_survey_names(spark, sf_dir)).groupBy("country", "source_flag").agg(F.count(F.lit(1)).alias("n"))
+    named = _conform(spark, sf_dir, materialize(named, "survey_tallies"), "country")
+    return named.groupBy("n_code", "source_flag").agg(F.sum("n").alias("n_surveys"))
 
 
 def _entity_summary(spark, sf_dir, survey_counts: DataFrame | None = None) -> DataFrame:
@@ -166,7 +189,7 @@ def _entity_summary(spark, sf_dir, survey_counts: DataFrame | None = None) -> Da
     j = j.join(pop, "n_code", "left")
     j = j.join(_geo(spark, sf_dir), "n_code", "left")
     return j.select(
-        "n_code", "n_papers", "exposure", "n_surveys", "population",
+        "n_code", "n_papers", "exposure", "exposure_source", "n_surveys", "population",
         sm.bin_left_closed("exposure", EXPOSURE_BREAKS, EXPOSURE_LABELS).alias("category_exposure"),
         if_else3(F.col("n_code") == 1, 1, 0).alias("is_n1"),
         if_else3(F.col("n_code") == 2, 1, 0).alias("is_n2"),
@@ -178,35 +201,73 @@ def q_entity_summary(spark, sf_dir):
     """Per country papers, exposure, surveys, population, bin, flags, region."""
     e = _entity_summary(spark, sf_dir)
     return e.select(
-        "n_code", "n_papers", r6("exposure").alias("exposure"), "n_surveys", r6("population").alias("population"),
+        "n_code", "n_papers", r6("exposure").alias("exposure"), "exposure_source", "n_surveys", r6("population").alias("population"),
         "category_exposure", "is_n1", "is_n2", "r_name",
     )
 
 
-def q_source_split(spark, sf_dir):
-    """Country x source flag grid with survey counts, zero-filled."""
+def _source_split(spark, sf_dir, *cols: str) -> DataFrame:
     counts = _survey_counts(spark, sf_dir)
-    e = _entity_summary(spark, sf_dir, counts).select("n_code", "n_papers", "r_name")
+    e = _entity_summary(spark, sf_dir, counts).select("n_code", *cols)
     grid = rs.with_domain(e, "source_flag", [0, 1])
     j = rs.full_outer(grid, counts, ["n_code", "source_flag"])
-    return j.select(
-        "n_code", "source_flag", "n_papers", "r_name",
-        F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long").alias("n_surveys"),
+    return j.withColumn("n_surveys", F.coalesce(F.col("n_surveys"), F.lit(0)).cast("long"))
+
+
+def q_source_split(spark, sf_dir):
+    """Country x source flag grid with survey counts, zero-filled."""
+    j = _source_split(spark, sf_dir, "n_papers", "r_name")
+    return j.select("n_code", "source_flag", "n_papers", "r_name", "n_surveys")
+
+
+def _highlighted(entities: DataFrame) -> DataFrame:
+    split = F.when(F.col("n_code") == 1, "N1").when(F.col("n_code") == 2, "N2").otherwise("Rest")
+    return entities.withColumn("split", split)
+
+
+def _by_source(entities: DataFrame) -> DataFrame:
+    return entities.withColumn("split", F.when(F.col("source_flag") == 1, "Flagged").otherwise("Rest"))
+
+
+def _exposure_levels(totals: DataFrame) -> DataFrame:
+    """Bins as ordered levels, with the label that has the bin's range under the name."""
+    name = capitalize_first("category_exposure")
+    return totals.select(
+        lk.recode(name, EXPOSURE_RANGES).alias("category"),
+        sm.ordered_level(name, list(EXPOSURE_RANGES)).alias("level"), "split", "n",
     )
 
 
 def q_group_totals(spark, sf_dir):
     """C20: papers per region split into NATION_1 / NATION_2 / Rest, plus region totals."""
-    e = _entity_summary(spark, sf_dir)
-    split = F.when(F.col("n_code") == 1, "N1").when(F.col("n_code") == 2, "N2").otherwise("Rest")
-    return sm.group_totals(e.withColumn("split", split), "r_name", "split", "n_papers")
+    return sm.group_totals(_highlighted(_entity_summary(spark, sf_dir)), "r_name", "split", "n_papers")
 
 
-def q_survey_share_by_group(spark, sf_dir):
-    """C24 over survey facts (the country coverage query): facts joined to the country
-    group (region, with its override), surrogate item id = country || survey || year,
-    distinct items per (group, category) over distinct items per group."""
-    facts = rs.flags_to_long(_survey_facts(spark, sf_dir), FLAGS)
+def q_group_totals_surveys(spark, sf_dir):
+    """C20: surveys per region with the same split; countries without a region left out."""
+    e = _highlighted(_entity_summary(spark, sf_dir))
+    return sm.group_totals(e, "r_name", "split", "n_surveys", keep_null_group=False)
+
+
+def q_group_totals_exposure(spark, sf_dir):
+    """C20/P20/F8: papers per exposure bin with the same split, bins as ordered levels."""
+    e = _highlighted(_entity_summary(spark, sf_dir))
+    return _exposure_levels(sm.group_totals(e, "category_exposure", "split", "n_papers", keep_null_group=False))
+
+
+def q_group_totals_by_source(spark, sf_dir):
+    """C20: surveys per region split by source flag."""
+    e = _by_source(_source_split(spark, sf_dir, "r_name"))
+    return sm.group_totals(e, "r_name", "split", "n_surveys", keep_null_group=False)
+
+
+def q_exposure_totals_by_source(spark, sf_dir):
+    """C20/P20/F8: surveys per exposure bin split by source flag, bins as ordered levels."""
+    e = _by_source(_source_split(spark, sf_dir, "category_exposure"))
+    return _exposure_levels(sm.group_totals(e, "category_exposure", "split", "n_surveys", keep_null_group=False))
+
+
+def _survey_share(spark, sf_dir, facts: DataFrame) -> DataFrame:
     # The group of a country comes from the country summary, whose group column is the
     # geography dimension: join that dimension directly.
     j = facts.where(F.col("n_code").isNotNull()).join(_geo(spark, sf_dir), "n_code", "left")
@@ -215,6 +276,19 @@ def q_survey_share_by_group(spark, sf_dir):
     return t.select("r_name", "category", "n_items", "n_total", r6("share").alias("share"))
 
 
+def q_survey_share_by_group(spark, sf_dir):
+    """C24 over survey facts (the country coverage query): facts joined to the country
+    group (region, with its override), surrogate item id = country || survey || year,
+    distinct items per (group, category) over distinct items per group."""
+    return _survey_share(spark, sf_dir, rs.flags_to_long(_survey_facts(spark, sf_dir), FLAGS))
+
+
+def q_survey_share_by_group_excl(spark, sf_dir):
+    """C24 without one source: the same over the facts that do not carry the source flag."""
+    facts = _survey_facts(spark, sf_dir).where(not_in("source_flag", [1]))
+    return _survey_share(spark, sf_dir, rs.flags_to_long(facts, FLAGS))
+
+
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
@@ -225,6 +299,14 @@ def q_topic_share(spark, sf_dir):
     return t.select("event_type", "n_items", "n_total", r6("share").alias("share"))
 
 
+def q_topic_share_ranked(spark, sf_dir):
+    """Topics with their place by number of users and the share as a percent label;
+    events of one type in seven have no type here."""
+    ev = _events(spark, sf_dir).withColumn("event_type", F.when(F.col("event_id") % 7 > 0, F.col("event_type")))
+    t = order_by_measure(sm.topic_share(ev, "user_id", "event_type"), "event_type", "n_items")
+    return t.select("event_type", "n_items", "level_rank", sm.percent_label("share").alias("label"))
+
+
 def q_topic_share_excl(spark, sf_dir):
     """The same share without weekend events (NA-safe not-in)."""
     ev = _events(spark, sf_dir).where(not_in(F.dayofweek("ts"), [1, 7]))
@@ -327,11 +409,17 @@ QUERIES = {
     "entity_summary": q_entity_summary,
     "source_split": q_source_split,
     "group_totals": q_group_totals,
+    "group_totals_surveys": q_group_totals_surveys,
+    "group_totals_exposure": q_group_totals_exposure,
+    "group_totals_by_source": q_group_totals_by_source,
+    "exposure_totals_by_source": q_exposure_totals_by_source,
     "topic_share": q_topic_share,
+    "topic_share_ranked": q_topic_share_ranked,
     "topic_share_excl": q_topic_share_excl,
     "topic_share_within": q_topic_share_within,
     "topic_share_grouping": q_topic_share_grouping,
     "survey_share_by_group": q_survey_share_by_group,
+    "survey_share_by_group_excl": q_survey_share_by_group_excl,
     "top_k_ties": q_top_k_ties,
     "yearly_growth": q_yearly_growth,
     "yearly_growth_category": q_yearly_growth_category,
@@ -443,17 +531,19 @@ papers AS (
   SELECT n_code, count(*) AS n_papers FROM pcr
   WHERE (SELECT s FROM anyf) >= 1 AND cat_none <> 1 GROUP BY n_code),
 expo AS (
-  SELECT s_nationkey AS n_code, avg(s_acctbal) / 250 AS exposure
-  FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey),
+  SELECT s_nationkey AS n_code,
+         coalesce(avg(s_acctbal) FILTER (s_suppkey % 2 = 0), avg(s_acctbal)) / 250 AS exposure,
+         CASE WHEN count(*) FILTER (s_suppkey % 2 = 0) > 0 THEN 1 ELSE 2 END AS exposure_source
+  FROM supplier GROUP BY s_nationkey),
 base AS (
-  SELECT coalesce(p.n_code, e.n_code) AS n_code, coalesce(p.n_papers, 0) AS n_papers, e.exposure
+  SELECT coalesce(p.n_code, e.n_code) AS n_code, coalesce(p.n_papers, 0) AS n_papers, e.exposure, e.exposure_source
   FROM papers p FULL OUTER JOIN expo e ON p.n_code IS NOT DISTINCT FROM e.n_code),
 sfx AS (
   SELECT *, CAST(regexp_matches(o_orderpriority, '(?i)urgent') OR o_orderpriority = '2-HIGH' AS INTEGER) AS source_flag
   FROM svc),
 surv AS (SELECT n_code, count(*) AS n_surveys FROM sfx GROUP BY n_code),
 jj AS (
-  SELECT coalesce(b.n_code, s.n_code) AS n_code, b.n_papers, b.exposure, coalesce(s.n_surveys, 0) AS n_surveys
+  SELECT coalesce(b.n_code, s.n_code) AS n_code, b.n_papers, b.exposure, b.exposure_source, coalesce(s.n_surveys, 0) AS n_surveys
   FROM base b FULL OUTER JOIN surv s ON b.n_code IS NOT DISTINCT FROM s.n_code),
 pop AS (
   SELECT c_nationkey AS n_code,
@@ -463,7 +553,7 @@ geo AS (
   SELECT n.n_nationkey AS n_code, CASE WHEN n.n_nationkey = 5 THEN 'ASIA' ELSE r.r_name END AS r_name
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
 ent AS (
-  SELECT jj.n_code, jj.n_papers, jj.exposure, jj.n_surveys, pop.population,
+  SELECT jj.n_code, jj.n_papers, jj.exposure, jj.exposure_source, jj.n_surveys, pop.population,
          {_bins_sql('jj.exposure', EXPOSURE_BREAKS, EXPOSURE_LABELS)} AS category_exposure,
          CASE WHEN jj.n_code IS NULL THEN NULL WHEN jj.n_code = 1 THEN 1 ELSE 0 END AS is_n1,
          CASE WHEN jj.n_code IS NULL THEN NULL WHEN jj.n_code = 2 THEN 1 ELSE 0 END AS is_n2,
@@ -487,25 +577,56 @@ full_ AS (
   FROM grid LEFT JOIN c USING (year, r_name, o_orderpriority))
 """
 
+_SPLIT_SQL = """,
+grid AS (SELECT DISTINCT n_code, n_papers, category_exposure, r_name FROM ent),
+gf AS (SELECT grid.*, f.source_flag FROM grid, (VALUES (0), (1)) AS f(source_flag)),
+cnt AS (SELECT n_code, source_flag, count(*) AS n_surveys FROM sfx GROUP BY n_code, source_flag),
+split_ AS (
+  SELECT coalesce(gf.n_code, cnt.n_code) AS n_code, coalesce(gf.source_flag, cnt.source_flag) AS source_flag,
+         gf.n_papers, gf.category_exposure, gf.r_name, CAST(coalesce(cnt.n_surveys, 0) AS BIGINT) AS n_surveys
+  FROM gf FULL OUTER JOIN cnt
+    ON gf.n_code IS NOT DISTINCT FROM cnt.n_code AND gf.source_flag = cnt.source_flag)"""
+
+_HIGHLIGHT_SQL = "CASE WHEN n_code = 1 THEN 'N1' WHEN n_code = 2 THEN 'N2' ELSE 'Rest' END"
+_SOURCE_SQL = "CASE WHEN source_flag = 1 THEN 'Flagged' ELSE 'Rest' END"
+
+
+def _totals_sql(src: str, group: str, measure: str, split: str, keep: str | None = None) -> str:
+    return f"""
+SELECT {group}, CASE WHEN GROUPING(split) = 0 THEN split END AS split, CAST(coalesce(sum({measure}), 0) AS BIGINT) AS n
+FROM (SELECT *, {split} AS split FROM {src} WHERE {keep or f"{group} IS NOT NULL"})
+GROUP BY GROUPING SETS (({group}, split), ({group}))"""
+
+
+def _levels_sql(totals: str) -> str:
+    whens = lambda pick: " ".join(
+        f"WHEN '{lab}' THEN {pick(k, text)}" for k, (lab, text) in enumerate(zip(EXPOSURE_LABELS, EXPOSURE_RANGES.values()), 1)
+    )
+    return f""", totals AS ({totals})
+SELECT CASE category_exposure {whens(lambda k, text: "'" + text + "'")} END AS category,
+       CASE category_exposure {whens(lambda k, text: k)} END AS level, split, n FROM totals"""
+
+
 ORACLE = {
     "fact_explode": "WITH " + _PAPERS_SQL + "\nSELECT * FROM (" + _flags_union("pc") + ")",
     "fact_explode_years": "WITH " + _RAW_SQL + _SURVEYS_SQL + "\nSELECT * FROM (" + _flags_union("svc") + ")",
     "entity_summary": _ENTITY_SQL + """
-SELECT n_code, n_papers, round(exposure, 6) AS exposure, n_surveys, round(population, 6) AS population,
+SELECT n_code, n_papers, round(exposure, 6) AS exposure, exposure_source, n_surveys, round(population, 6) AS population,
        category_exposure, is_n1, is_n2, r_name FROM ent""",
-    "source_split": _ENTITY_SQL + """,
-grid AS (SELECT DISTINCT n_code, n_papers, r_name FROM ent),
-gf AS (SELECT grid.*, f.source_flag FROM grid, (VALUES (0), (1)) AS f(source_flag)),
-cnt AS (SELECT n_code, source_flag, count(*) AS n_surveys FROM sfx GROUP BY n_code, source_flag)
-SELECT coalesce(gf.n_code, cnt.n_code) AS n_code, coalesce(gf.source_flag, cnt.source_flag) AS source_flag,
-       gf.n_papers, gf.r_name, CAST(coalesce(cnt.n_surveys, 0) AS BIGINT) AS n_surveys
-FROM gf FULL OUTER JOIN cnt
-  ON gf.n_code IS NOT DISTINCT FROM cnt.n_code AND gf.source_flag = cnt.source_flag""",
-    "group_totals": _ENTITY_SQL + """
-SELECT r_name, CASE WHEN GROUPING(split) = 0 THEN split END AS split,
-       CAST(coalesce(sum(n_papers), 0) AS BIGINT) AS n
-FROM (SELECT *, CASE WHEN n_code = 1 THEN 'N1' WHEN n_code = 2 THEN 'N2' ELSE 'Rest' END AS split FROM ent)
-GROUP BY GROUPING SETS ((r_name, split), (r_name))""",
+    "source_split": _ENTITY_SQL + _SPLIT_SQL + """
+SELECT n_code, source_flag, n_papers, r_name, n_surveys FROM split_""",
+    "group_totals": _ENTITY_SQL + _totals_sql("ent", "r_name", "n_papers", _HIGHLIGHT_SQL, "true"),
+    "group_totals_surveys": _ENTITY_SQL + _totals_sql("ent", "r_name", "n_surveys", _HIGHLIGHT_SQL),
+    "group_totals_exposure": _ENTITY_SQL + _levels_sql(_totals_sql("ent", "category_exposure", "n_papers", _HIGHLIGHT_SQL)),
+    "group_totals_by_source": _ENTITY_SQL + _SPLIT_SQL + _totals_sql("split_", "r_name", "n_surveys", _SOURCE_SQL),
+    "exposure_totals_by_source": _ENTITY_SQL + _SPLIT_SQL
+    + _levels_sql(_totals_sql("split_", "category_exposure", "n_surveys", _SOURCE_SQL)),
+    "topic_share_ranked": """
+WITH e AS (SELECT * REPLACE (CASE WHEN event_id % 7 > 0 THEN event_type END AS event_type) FROM events),
+s AS (SELECT event_type, count(DISTINCT user_id) AS n_items FROM e GROUP BY event_type)
+SELECT event_type, n_items, CAST(dense_rank() OVER (ORDER BY n_items DESC) AS INTEGER) AS level_rank,
+       CAST(CAST(round(100 * n_items / (SELECT count(DISTINCT user_id) FROM e)) AS BIGINT) AS VARCHAR) || '%' AS label
+FROM s""",
     "topic_share": """
 WITH t AS (SELECT count(DISTINCT user_id) AS n_total FROM events)
 SELECT event_type, count(DISTINCT user_id) AS n_items, (SELECT n_total FROM t) AS n_total,
@@ -568,7 +689,7 @@ FROM orders o JOIN customer cu ON o.o_custkey = cu.c_custkey LEFT JOIN geo g ON
 GROUP BY g.r_name""",
 }
 
-ORACLE["survey_share_by_group"] = _ENTITY_SQL + """,
+_SHARE_SQL = """,
 sl AS (
   SELECT o_orderkey, n_code, year, 'cat_urgent' AS category FROM sfx WHERE cat_urgent = 1
   UNION ALL SELECT o_orderkey, n_code, year, 'cat_high' FROM sfx WHERE cat_high = 1
@@ -584,3 +705,5 @@ d AS (SELECT r_name, category, count(DISTINCT item_id) AS n_items FROM sj GROUP
 tt AS (SELECT r_name, count(DISTINCT item_id) AS n_total FROM sj GROUP BY r_name)
 SELECT d.r_name, d.category, d.n_items, tt.n_total, round(d.n_items / tt.n_total, 6) AS share
 FROM d LEFT JOIN tt ON d.r_name IS NOT DISTINCT FROM tt.r_name"""
+ORACLE["survey_share_by_group"] = _ENTITY_SQL + _SHARE_SQL
+ORACLE["survey_share_by_group_excl"] = _ENTITY_SQL + _SHARE_SQL.replace("FROM sfx", "FROM (SELECT * FROM sfx WHERE source_flag <> 1)")

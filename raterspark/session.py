@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings the operators rely on. AQE re-plans joins at run time (a join side whose
@@ -67,3 +69,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         spark.sparkContext.setCheckpointDir(fallback)
         return fallback
     return None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for written stages: ``spark.checkpoint.dir``.
+
+    A machine-local folder is installed only where that setting is unset and the session runs
+    in one process (tests, notebooks); on a cluster an unset folder is an error.
+    """
+    found = ensure_checkpoint_dir(spark)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="rater-ckpt-"))

@@ -11,12 +11,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raterspark.session import shared_folder
+
 
 def r_name(header: str) -> str:
     """A header as R's ``make.names`` spells it: other characters become dots, and a name
@@ -115,16 +118,18 @@ def review_sink(ids: DataFrame, path: str) -> None:
     write_table(ids, path)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder under the shared one; nothing else writes there, so it
+    can be deleted when the application has ended."""
+    return f"{shared_folder(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a stage's output as Parquet under the shared folder named by
-    ``spark.checkpoint.dir`` and return it read back: later stages (several summaries
-    over the same fact table) start from the written table instead of recomputing its
-    lineage, and the table survives executor loss. Raises when no shared folder is set.
+    """Write a stage's output as Parquet to a fresh table in the run folder and return it
+    read back: later stages (several summaries over the same fact table) start from the
+    written table instead of recomputing its lineage, and the table survives executor loss.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("spark.checkpoint.dir is not set: no shared folder to write the stage to")
-    path = f"{root.rstrip('/')}/tables/{name}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     write_table(df, path, partition_by=partition_by)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

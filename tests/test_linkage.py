@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from raterspark.operators import linkage as lk
 
@@ -156,3 +157,38 @@ def test_null_key_never_matches_empty_key(spark, strategy):
     assert semi == [2, 3]
     best = rows(lk.fuzzy_join(left, right, "k", "rk", 1, fan_out="best", strategy=strategy), "id", "rid")
     assert best == [(1, None), (2, 10), (3, 11)]
+
+
+PATTERNS = [
+    "(?i)^nation[ _-]*3$", "^abc", "a?bc", "(ab|cd)e", "x|yz", "a{0,3}bc", "ab+c", r"\bfoo\b", r"\x41bc", r"a\.b", "[abc]de", "[a-z&&[^b]]q",
+    "", ".", "(?x) a b # note", "((a)b)c*d", "Zürich", "(?i)ÉTÉ", "colou?r", "^(?!no)yes", "abcd{2}", "ab*?c", "e(?:f|g)?h", r"1\d+2", "[]x]",
+    "north.*korea", "(?i)korea", r"\Qa.b\E", "a|", r"\p{Lu}ab",
+]
+NAMES = [
+    "nation 3", "NATION_3", "nation13", "abc", "xabc", "bc", "abe", "cde", "x", "yz", "aaabc", "abbc", "a foo b", "Abc", "ABC", "a.b", "axb", "ade", "aq", "",
+    "abcd", "bcd", "Zürich", "été", "ÉTÉ", "colour", "color", "yes", "no yes", "abcdd", "ac", "eh", "efh", "1992", "12", "North Korea", "northkorea", "Kab", "\u212aorea",
+]
+
+
+def test_required_literals_are_in_every_match(spark):
+    import re
+
+    df = spark.createDataFrame([(p,) for p in PATTERNS], "p string")
+    found = {r.p: r.l for r in df.select("p", lk.required_literals("p").alias("l")).collect()}
+    assert found["(?i)^nation[ _-]*3$"] == ["nation", "3"] and found["north.*korea"] == ["north", "korea"]
+    for unsure in ("x|yz", r"\x41bc", "(?x) a b # note", r"\Qa.b\E", "[a-z&&[^b]]q", r"\p{Lu}ab"):
+        assert found[unsure] == [], unsure
+    assert found["abcd{2}"] == ["abc"] and found["a?bc"] == ["bc"] and found["ab+c"] == ["ab", "c"] and found["ab*?c"] == ["a", "c"]
+    assert re.search(found["colou?r"][0], "color")
+
+
+def test_pattern_matches_equals_the_nested_loop(spark):
+    ok = [p for p in PATTERNS if p != "[]x]"]
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    patterns = spark.createDataFrame(list(enumerate(ok)), "code int, pat string")
+    got = lk.pattern_matches(names, "name", patterns, "pat")
+    want = names.join(patterns, F.expr("name RLIKE pat"))
+    assert rows(got, "name", "code") == rows(want, "name", "code")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert lk.pattern_matches(names, "name", patterns.limit(0), "pat").count() == 0

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from raterspark.operators import reshape as rs
 from raterspark.operators import summary as sm
+from raterspark.operators.ordering import arrange, order_by_measure, quantiles, running_total
 
 
 def test_top_k_keeps_ties(spark):
@@ -98,7 +99,7 @@ def test_label_filter_null_flag_drops_all(spark):
 
 def test_order_by_measure_and_mean_se(spark):
     df = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5)], "lv string, n int")
-    assert rows(sm.order_by_measure(df, "lv", "n"), "lv", "level_rank") == [("a", 2), ("b", 1), ("c", 2)]
+    assert rows(order_by_measure(df, "lv", "n"), "lv", "level_rank") == [("a", 2), ("b", 1), ("c", 2)]
     vals = spark.createDataFrame([("g", 1.0), ("g", 3.0), ("h", 2.0)], "g string, v double")
     out = {r.g: (r.mean, r.sd, r.n, r.se) for r in sm.mean_se(vals, ["g"], "v").collect()}
     assert out["g"][0] == 2.0 and out["g"][2] == 2 and abs(out["g"][3] - out["g"][1] / 2 ** 0.5) < 1e-12
@@ -134,3 +135,73 @@ def test_top_k_when_all_rows_tie(spark):
     assert sm.top_k_ties(df, "n", 3).count() == 50
     few = spark.createDataFrame([(1, 9), (2, None), (3, 4)], "id int, n int")
     assert sorted((r.id, r["rank"]) for r in sm.top_k_ties(few, "n", 3).collect()) == [(1, 1), (2, 3), (3, 2)]
+
+
+def test_fallback_rows_only_without_a_primary_row(spark):
+    schema = "e string, v double"
+    first = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], schema)
+    second = spark.createDataFrame([("a", 100.0), ("b", 5.0), ("c", 7.0), (None, 2.0), (None, 4.0)], schema)
+    third = spark.createDataFrame([("c", 9.0), ("d", 8.0), (None, 50.0)], schema)
+    out = sm.first_source([first, second, third], "e", mean=F.avg("v"), n=F.count("*"))
+    got = {r.e: (r["mean"], r.n, r.source_rank) for r in out.collect()}
+    # b has a primary row, if without a value
+    assert got == {"a": (2.0, 2, 1), "b": (None, 1, 1), "c": (7.0, 1, 2), None: (3.0, 2, 2), "d": (8.0, 1, 3)}
+    assert sm.first_source([first.limit(0), first.limit(0)], "e", mean=F.avg("v")).count() == 0
+
+
+def test_deferred_label_filter_equals_the_row_filter(spark):
+    schema = "g string, a int, b int, none int"
+    cases = [
+        [("x", 1, 0, 0), ("x", 0, 0, 0), ("y", 0, 1, 1), (None, 0, 0, 0), ("z", 1, 1, None)],
+        [("x", 1, 0, 0), ("y", None, 0, 0)],
+        [("x", 0, 0, 0), ("y", 0, 0, 0)],
+        [],
+    ]
+    for data in cases:
+        df = spark.createDataFrame(data, schema)
+        want = rows(sm.entity_counts(sm.label_filter(df, ["a", "b"], "none"), "g"), "g", "n")
+        tallies = sm.label_tallies(df, ["a", "b"], "none", ["g"])
+        assert rows(sm.labelled_entity_counts(tallies, "g"), "g", "n") == want
+
+
+def test_arrange_several_keys_with_ties_and_missing(spark):
+    import random as _r
+
+    rnd = _r.Random(3)
+    data = [(rnd.choice([None, 1, 2, 3]), rnd.choice([None, 0.5, 1.5]), rnd.choice(["u", "v", None]), k) for k in range(400)]
+    df = spark.createDataFrame(data, "a int, b double, c string, k int").repartition(6)
+    out = arrange(df, ["a", ("b", "desc"), "c", ("k", "desc")]).collect()
+    last = lambda x, sign=1: (x is None, sign * x if isinstance(x, (int, float)) else x or "")
+    want = sorted(data, key=lambda r: (last(r[0]), last(r[1], -1), last(r[2]), -r[3]))
+    assert [tuple(r)[:4] for r in sorted(out, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in out) == list(range(1, 401))
+    assert arrange(df.limit(0), ["a"]).count() == 0
+
+
+def test_running_total_by_group(spark):
+    data = [(g, v, w) for g in ("x", None, "y") for v, w in [(1, 5), (2, 0), (3, 7), (9, 2)]]
+    df = spark.createDataFrame(data, "g string, v int, w long").repartition(5)
+    got = {(r.g, r.v): r.before for r in running_total(df, [F.col("v").asc()], "w", ["g"]).collect()}
+    assert got == {(g, v): b for g in ("x", None, "y") for v, b in [(1, 0), (2, 5), (3, 5), (9, 12)]}
+
+
+def test_order_by_measure_missing_last_and_ties(spark):
+    df = spark.createDataFrame([("a", 5), ("b", None), ("c", 5), ("d", 9), ("e", None)], "lv string, n int")
+    assert {r.lv: r.level_rank for r in order_by_measure(df, "lv", "n").collect()} == {"a": 2, "b": 3, "c": 2, "d": 1, "e": 3}
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    data = [("one", 3.0), ("none", None), ("none", None), ("two", 1.0), ("two", 2.0)]
+    data += [("many", float(x)) for x in rng.choice(rng.normal(size=300), 2000)] + [(None, float(x)) for x in rng.integers(0, 4, 50)]
+    data += [("many", None)] * 5
+    df = spark.createDataFrame(data, "g string, v double").repartition(7)
+    probs = {"lo": 0.0, "q1": 0.25, "q5": 0.5, "q9": 0.9, "hi": 1.0}
+    got = {r.g: [r[c] for c in probs] for r in quantiles(df, ["g"], "v", probs).collect()}
+    assert got.pop("none") == [None] * 5
+    for g, found in got.items():
+        values = [v for h, v in data if h == g and v is not None]
+        assert np.allclose(found, np.quantile(values, list(probs.values())), rtol=1e-12)
+    assert set(got) == {"one", "two", "many", None}
