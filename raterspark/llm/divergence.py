@@ -25,9 +25,10 @@ from ._common import materialize
 NO_LETTER = np.zeros(256, bool)
 NO_LETTER[:128] = True
 NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
-#: Text a task reads before it adds up, rows it holds before it hands them on, and postings
-#: of a block of terms.
-CHUNK_BYTES, HELD_ROWS, BLOCK_POSTINGS = 1 << 21, 1 << 18, 1 << 18
+#: Text a task reads before it adds up, and rows it holds before it hands them on.
+CHUNK_BYTES, HELD_ROWS = 1 << 21, 1 << 18
+#: Postings of a block of terms; more where the language's pairs of sources outnumber them.
+BLOCK_POSTINGS = 1 << 14
 SCALE = 1_000_000_000
 
 
@@ -179,8 +180,8 @@ def source_divergence(
     Null text, lang and source are the empty string; documents without terms still make their
     source a group. Repeated rows count each time; texts of any length are read whole, one
     chunk of at least a text in memory; other columns are not read, whatever their names; an
-    empty table gives none. A task holds one block of terms (some BLOCK_POSTINGS postings)
-    and a square of the language's sources, as large as its part of the result.
+    empty table gives none. A task holds one block of terms (some BLOCK_POSTINGS postings, or
+    as many as the language has pairs of sources) and a square of the language's sources.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     counts = materialize(term_counts(docs, text_col, empty(lang_col), empty(source_col)), "terms")
@@ -192,7 +193,9 @@ def source_divergence(
     occurring = docs.groupBy(empty(lang_col).alias("lang"), empty(source_col).alias("source")).agg(F.count("*").alias("rows"))
     of_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     of_lang = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_n"))
-    sizes = kept.groupBy("lang").agg((1 + F.floor(F.count("*") / BLOCK_POSTINGS)).alias("blocks"))
+    sizes = kept.groupBy("lang").agg(F.count("*").alias("postings"), F.count_distinct("source").alias("sources"))
+    block = F.greatest(F.lit(BLOCK_POSTINGS), F.col("sources") * F.col("sources"))
+    sizes = sizes.select("lang", (1 + F.floor(F.col("postings") / block)).alias("blocks"))
     groups = occurring.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").join(sizes, "lang", "left")
     groups = groups.na.fill(0, ["group_n", "terms", "lang_n"]).na.fill(1, ["blocks"])
     zero = F.coalesce(share(F.lit(0), "group_n", "terms", smooth), F.lit(0)).cast("long")
