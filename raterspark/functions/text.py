@@ -6,6 +6,7 @@ Everything here is a built-in Spark expression.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,12 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once however often ``use`` names it: it is the
+    variable of a lambda over a one-element array, which the optimiser does not write out."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_ascii(col: Column | str) -> Column:
     """Latin -> ASCII transliteration (``é`` -> ``e``, ``ß`` -> ``ss``) as built-ins.
 
@@ -148,8 +155,6 @@ def first_balanced_block(col: Column | str, quotes: str = "inside") -> Column:
     tracks quotes only inside braces. NULL when no block closes. The text is split into
     braces, quotes, backslash pairs and runs of other characters, which one fold reads.
     """
-    text = _c(col)
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|['\"{}]|[^\\'\"{}]+|\\"), F.lit(0))
     zero = F.lit(0)
     begin = F.struct(
         zero.alias("at"), zero.alias("depth"), F.lit("").alias("quote"), zero.alias("first"), zero.alias("last")
@@ -172,14 +177,24 @@ def first_balanced_block(col: Column | str, quotes: str = "inside") -> Column:
         )
         return F.when(seen["last"] > 0, seen).otherwise(nxt)
 
-    found = F.aggregate(pieces, begin, read)
-    return F.when(found["last"] > 0, F.substring(text, found["first"], found["last"] - found["first"] + 1))
+    def block(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|['\"{}]|[^\\'\"{}]+|\\"), F.lit(0))
+        cut = lambda at: F.when(at["last"] > 0, F.substring(text, at["first"], at["last"] - at["first"] + 1))
+        return bound(F.aggregate(pieces, begin, read), cut)
+
+    text = _c(col)
+    # inside braces is the only place where quotes count: what stands before the first one goes
+    return bound(text if quotes == "literal" else F.regexp_replace(text, r"(?s)^[^{]+", ""), block)
 
 
 # A quoted span, a run without quotes, or a lone quote.
 _QUOTED_OR_NOT = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"']++|["']"""
 
 
+# What makes a block no JSON where it stands outside quotes.
+_NO_JSON = r",\s*[\]}]|\bNone\b|\b[Tt]rue\b|\b[Ff]alse\b"
+
+
 def _tolerant(block: Column) -> Column:
     """A block as JSON: outside quoted spans a trailing comma before a closing bracket goes,
     ``None`` is null, and true or false (of either spelling) is the text True or False."""
@@ -191,35 +206,58 @@ def _tolerant(block: Column) -> Column:
         return out
 
     parts = F.regexp_extract_all(block, F.lit(_QUOTED_OR_NOT), F.lit(0))
-    return F.array_join(
+    mended = F.array_join(
         F.transform(parts, lambda p: F.when(p.startswith('"') | p.startswith("'"), p).otherwise(bare(p))), ""
     )
+    return F.when(block.rlike(_NO_JSON), mended).otherwise(block)
 
 
-def json_key_text(block: Column | str, key: str) -> Column:
-    """Read ``key`` from a JSON-ish object text and render it as one string.
+def json_key(block: Column | str, key: str) -> Column:
+    """Read ``key`` from a JSON-ish object text: a struct (value, status).
 
     A list value is joined with ``", "``, a null element being ``None``; a scalar is
     returned as text; a missing key, a JSON null or an unparsable block gives NULL. Single
-    quotes and Python's literals are accepted.
+    quotes and Python's literals are accepted. status is 'no_block', 'unparsed', 'no_key' or
+    'ok'. The block is mended once and parsed once for a scalar, once more for a list and
+    once more to tell why there is no value.
     """
-    b = _tolerant(_c(block))
-    arr = F.from_json(b, T.StructType([T.StructField(key, T.ArrayType(T.StringType()))]))[key]
-    scalar = F.from_json(b, T.StructType([T.StructField(key, T.StringType())]))[key]
-    listed = F.array_join(F.transform(arr, lambda x: F.coalesce(x, F.lit("None"))), ", ")
-    return F.coalesce(listed, scalar)
+
+    def parsed(json: Column, kind: T.DataType) -> Column:
+        return F.from_json(json, T.StructType([T.StructField(key, kind)]))[key]
+
+    def read(json: Column) -> Column:
+        listed = F.array_join(F.transform(parsed(json, T.ArrayType(T.StringType())), lambda x: F.coalesce(x, F.lit("None"))), ", ")
+
+        def judged(value: Column) -> Column:
+            broken = F.from_json(json, T.MapType(T.StringType(), T.StringType())).isNull()
+            status = (
+                F.when(json.isNull(), F.lit("no_block"))
+                .when(value.isNotNull(), F.lit("ok"))
+                .when(broken, F.lit("unparsed"))
+                .otherwise(F.lit("no_key"))
+            )
+            text = F.when(value.startswith("["), F.coalesce(listed, value)).otherwise(value)
+            return F.struct(text.alias("value"), status.alias("status"))
+
+        return bound(parsed(json, T.StringType()), judged)
+
+    return bound(_c(block), lambda b: bound(_tolerant(b), read))
+
+
+def json_key_text(block: Column | str, key: str) -> Column:
+    """The value of :func:`json_key`."""
+    return json_key(block, key)["value"]
 
 
 def parse_status(block: Column | str, value: Column) -> Column:
-    """'no_block' | 'unparsed' | 'no_key' | 'ok' for an extraction step."""
-    b = _c(block)
-    parsed = F.from_json(_tolerant(b), T.MapType(T.StringType(), T.StringType()))
-    return (
-        F.when(b.isNull(), F.lit("no_block"))
-        .when(parsed.isNull(), F.lit("unparsed"))
-        .when(value.isNull(), F.lit("no_key"))
-        .otherwise(F.lit("ok"))
-    )
+    """'no_block' | 'unparsed' | 'no_key' | 'ok' for an extraction step whose value is given."""
+
+    def judged(b: Column) -> Column:
+        parsed = F.from_json(_tolerant(b), T.MapType(T.StringType(), T.StringType()))
+        return F.when(b.isNull(), F.lit("no_block")).when(parsed.isNull(), F.lit("unparsed")).when(
+            value.isNull(), F.lit("no_key")).otherwise(F.lit("ok"))
+
+    return bound(_c(block), judged)
 
 
 def pattern_flag(col: Column | str, pattern: str, also_equal: str | None = None, ignore_case: bool = True) -> Column:

@@ -11,17 +11,24 @@ for all keys: for short keys only, as each bucket is compared whole).
 
 Both work on distinct keys and join the verified key pairs back to the rows, so repeated
 keys are compared once. Keys are never truncated. Nothing runs while the plan is built, and
-the plan does not depend on sizes; Spark's adaptive execution chooses broadcasts and splits
-a signature that many keys share.
+the plan does not depend on sizes; Spark's adaptive execution chooses broadcasts.
+
+A segment that many keys share (boilerplate) gives many candidates and no information. Keys
+with such a segment are cut into 2(k+1) segments instead and stand under the k+1 of them that
+the fewest keys share: k edits break at most k of these, so the guarantee is the same, and
+of the kept segments one is still intact with at most as many edits before it as kept
+segments, and the rest after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raterspark.sources.io import materialize
+
 
 def _keys(df: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct non-NULL keys with a 64-bit id (a hash above 31 bits of length) and the length.
@@ -75,39 +82,75 @@ def _piece_hash(key: str, start0: Column, length: Column) -> Column:
     ).otherwise(F.xxhash64(F.substring(F.col(key), pos, ln)))
 
 
-def _segments(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame:
-    """(len, segment index, hash) for each of the k+1 segments of every key."""
-    n = k + 1
+#: What a signature row is joined on: key length, segment, hash of its text.
+_SIGNATURE = ["_slen", "_i", "_h"]
+#: Keys that may share a segment before it counts as boilerplate.
+HOT_SEGMENT = 64
+
+
+def _segments(keys: DataFrame, key: str, klen: str, n: int) -> DataFrame:
+    """(len, segment index, hash) for each of ``n`` segments of every key."""
     base = F.floor(F.col(klen) / n)
     rem = F.col(klen) % n
     i = F.col("_i")
     seg_len = base + F.when(i >= F.lit(n) - rem, 1).otherwise(0)
     start = i * base + F.greatest(F.lit(0), i - (F.lit(n) - rem))
-    seg = _with_bytes(keys, key, klen).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    seg = _with_bytes(keys, key, klen).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return seg.select(f"{key}_id", F.col(klen).alias("_slen"), "_i", _piece_hash(key, start, seg_len).alias("_h"))
 
 
-def _probe_substrings(keys: DataFrame, key: str, klen: str, k: int) -> DataFrame:
-    """Hashes of every substring of a probe key that can equal a segment of a key of
-    length ``_slen`` within k edits (position-aware window)."""
-    n = k + 1
-    rows = _with_bytes(keys, key, klen).withColumn(
-        "_slen", F.explode(F.sequence(F.greatest(F.col(klen) - k, F.lit(n)), F.col(klen) + k))
-    ).where(F.col("_slen") >= n)
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
+def _probe_substrings(keys: DataFrame, key: str, klen: str, k: int, n: int, lengths: DataFrame | None = None) -> DataFrame:
+    """Hashes of every substring of a probe key that can equal one of the ``n`` segments of a
+    key of length ``_slen`` within k edits (position-aware window). ``lengths`` (_slen)
+    names the lengths that occur."""
+    rows = keys.withColumn("_slen", F.explode(F.sequence(F.greatest(F.col(klen) - k, F.lit(n)), F.col(klen) + k)))
+    rows = rows.where(F.col("_slen") >= n)
+    if lengths is not None:
+        rows = rows.join(lengths, "_slen")
+    rows = _with_bytes(rows, key, klen).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     base = F.floor(F.col("_slen") / n)
     rem = F.col("_slen") % n
     i = F.col("_i")
     rows = rows.withColumn("_seg_len", base + F.when(i >= F.lit(n) - rem, 1).otherwise(0))
     rows = rows.withColumn("_start", i * base + F.greatest(F.lit(0), i - (F.lit(n) - rem)))
     delta = F.col(klen) - F.col("_slen")
-    # at most i edits before the segment and k - i after it
-    lo = F.greatest(-i, delta - (F.lit(k) - i))
-    hi = F.least(i, delta + (F.lit(k) - i))
+    # of the k + 1 segments kept, segment i is number least .. most; at most as many edits
+    # as its number stand before it, and the rest of the k after it
+    least, most = F.greatest(F.lit(0), i - F.lit(n - k - 1)), F.least(i, F.lit(k))
+    lo = F.greatest(-most, delta - (F.lit(k) - least))
+    hi = F.least(most, delta + (F.lit(k) - least))
     rows = rows.where(lo <= hi).withColumn("_d", F.explode(F.sequence(lo, hi)))
     q = F.col("_start") + F.col("_d")
     rows = rows.where((q >= 0) & (q + F.col("_seg_len") <= F.col(klen)))
-    return rows.select(f"{key}_id", "_slen", "_i", _piece_hash(key, q, F.col("_seg_len")).alias("_h"))
+    return rows.select(f"{key}_id", *_SIGNATURE[:2], _piece_hash(key, q, F.col("_seg_len")).alias("_h"))
+
+
+def _rarest(sig: DataFrame, key_id: str, keep: int) -> DataFrame:
+    """Each key's ``keep`` signatures that the fewest keys share."""
+    shared = sig.join(sig.groupBy(*_SIGNATURE).agg(F.count(F.lit(1)).alias("_n")), _SIGNATURE)
+    by_key = Window.partitionBy(key_id, "_slen").orderBy("_n", "_i")  # 2(k+1) rows
+    return shared.withColumn("_k", F.row_number().over(by_key)).where(F.col("_k") <= keep).select(*sig.columns)
+
+
+def _candidates(segmented: DataFrame, seg_key: str, probes: DataFrame, probe_key: str, k: int) -> DataFrame:
+    """Distinct (segmented id, probe id) pairs that share a signature."""
+    n, seg_id, seg_len = k + 1, f"{seg_key}_id", f"{seg_key}_len"
+    sig = _segments(segmented, seg_key, seg_len, n)
+    hot = sig.groupBy(*_SIGNATURE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_SEGMENT).select(*_SIGNATURE)
+    hot_keys = sig.join(hot, _SIGNATURE, "left_semi").where(F.col("_slen") >= 2 * n).select(seg_id).distinct()
+    cold = sig.join(hot_keys, seg_id, "left_anti")
+    deep = segmented.join(hot_keys, seg_id, "left_semi")
+    rare = _rarest(_segments(deep, seg_key, seg_len, 2 * n), seg_id, n)
+    # Without hot segments there are no lengths, and the second probes are never made.
+    lengths = deep.select(F.col(seg_len).alias("_slen")).distinct()
+    found = None
+    for signatures, sub in (
+        (cold, _probe_substrings(probes, probe_key, f"{probe_key}_len", k, n)),
+        (rare, _probe_substrings(probes, probe_key, f"{probe_key}_len", k, 2 * n, lengths)),
+    ):
+        met = signatures.join(sub, _SIGNATURE).select(seg_id, f"{probe_key}_id")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFrame:
@@ -118,13 +161,11 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
         seg_side, seg_key, probe_side, probe_key = rk, "_rk", lk, "_lk"
     long_seg = seg_side.where(F.col(f"{seg_key}_len") >= n)
     short_seg = seg_side.where(F.col(f"{seg_key}_len") < n)
-    sig = _segments(long_seg, seg_key, f"{seg_key}_len", k)
     # The probe side is small in bytes but each key fans out to many substring rows: a
     # fixed partition number keeps AQE from coalescing the keys before the explosion.
     slots = int(probe_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probe_spread = probe_side.repartition(slots, f"{probe_key}_id")
-    sub = _probe_substrings(probe_spread, probe_key, f"{probe_key}_len", k)
-    cand_ids = sig.join(sub, ["_slen", "_i", "_h"]).select(f"{seg_key}_id", f"{probe_key}_id").distinct()
+    cand_ids = _candidates(long_seg, seg_key, probe_spread, probe_key, k)
     cand = (
         cand_ids.join(lk.select("_lk", "_lk_id"), "_lk_id")
         .join(rk.select("_rk", "_rk_id"), "_rk_id")
@@ -273,22 +314,22 @@ def pattern_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: s
     """(name, pattern columns) of all patterns that match a name, without a nested loop.
 
     Each pattern is filed under one piece (up to GRAM characters) of a literal that its
-    matches must hold: the piece in the fewest names. Names fetch the patterns filed under
-    their own pieces by an equi-join, and only those are matched. Patterns without a sure
-    literal are filed under the empty piece, which every name has.
+    matches must hold: the piece that the fewest patterns share, a longer one first. Names
+    fetch the patterns filed under their own pieces by an equi-join, and only those are
+    matched. Patterns without a sure literal are filed under the empty piece, which every
+    name has.
     """
-    given = patterns.withColumn("_pieces", F.flatten(F.transform(
+    pieces = F.flatten(F.transform(
         required_literals(pattern), lambda t: F.when(F.length(t) <= GRAM, F.array(t)).otherwise(_grams(t, [GRAM]))
-    ))).withColumn("_pid", F.xxhash64(*[F.col(c) for c in patterns.columns]))
-    pieces = F.array_append(_grams(F.lower(F.col(name)), range(1, GRAM + 1)), F.lit(""))
-    named = names.select(name, F.explode(pieces).alias("_piece"))
-    wanted = given.select("_pid", F.explode("_pieces").alias("_piece")).distinct()
-    used = named.join(wanted.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    sized = wanted.join(used, "_piece", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = sized.groupBy("_pid").agg(F.min(F.struct("_n", "_piece")).alias("_r")).select("_pid", F.col("_r._piece").alias("_piece"))
-    filed = given.drop("_pieces").join(rarest, "_pid", "left").withColumn("_piece", F.coalesce("_piece", F.lit(""))).drop("_pid")
-    hits = named.join(filed, "_piece").where(F.regexp_like(F.col(name), F.col(pattern)))
-    return hits.drop("_piece")
+    ))
+    row = F.struct(*[F.col(c) for c in patterns.columns])
+    wanted = patterns.select(row.alias("_row"), F.explode(F.when(F.size(pieces) > 0, F.array_distinct(pieces)).otherwise(F.array(F.lit("")))).alias("_piece"))
+    shared = wanted.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_piece")))
+    filed = shared.groupBy("_row").agg(F.min(F.struct("_n", -F.length("_piece"), "_piece")).alias("_r"))
+    filed = filed.select(F.col("_r._piece").alias("_piece"), "_row.*")
+    own = F.array_append(_grams(F.lower(F.col(name)), range(1, GRAM + 1)), F.lit(""))
+    named = names.select(name, F.explode(own).alias("_piece"))
+    return named.join(filed, "_piece").where(F.regexp_like(F.col(name), F.col(pattern))).drop("_piece")
 
 
 def conform_names(
@@ -372,6 +413,40 @@ def waterfall(
     return cur
 
 
+def staged_waterfall(
+    base: DataFrame,
+    key: str,
+    value: str,
+    steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]],
+    unknown: Sequence[str] = ("Unknown",),
+    out_col: str = "value_final",
+    source_col: str = "resolved_by",
+    drop_unresolved: bool = True,
+) -> DataFrame:
+    """:func:`waterfall` whose steps see only what is still unresolved.
+
+    A step is (name, function): the function gets the unresolved rows and returns (key,
+    value) rows for them, several for a key if it finds several (the rows fan out). Each
+    step's outcome is written, so a dear step (a fuzzy join) works on the residue of the ones
+    before it and runs once. A NULL key is found by no step.
+    """
+
+    def is_unknown(c: Column) -> Column:
+        return c.isNull() | F.coalesce(c.isin(list(unknown)), F.lit(False))
+
+    first = base.withColumn(out_col, F.col(value)).withColumn(source_col, F.lit("base"))
+    done = first.where(~is_unknown(F.col(out_col)))
+    rest = first.where(is_unknown(F.col(out_col)))
+    for name, find in steps:
+        found = find(rest.select(*base.columns)).select(F.col(key).alias("_key"), F.col(value).alias("_found"))
+        stepped = rest.drop(out_col).join(found, rest[key] == F.col("_key"), "left").drop("_key")
+        stepped = materialize(stepped.withColumnRenamed("_found", out_col).withColumn(source_col, F.lit(name)), "waterfall")
+        done = done.unionByName(stepped.where(~is_unknown(F.col(out_col))))
+        rest = stepped.where(is_unknown(F.col(out_col)))
+    left = rest.withColumn(out_col, F.lit(None).cast(base.schema[value].dataType)).withColumn(source_col, F.lit(None).cast("string"))
+    return done if drop_unresolved else done.unionByName(left)
+
+
 def unresolved(base: DataFrame, resolved: DataFrame, key: str, restrict_to: DataFrame | None = None) -> DataFrame:
     """Rows of ``base`` whose key is absent from ``resolved`` (and present in
     ``restrict_to`` when given): the export of items left for manual coding."""

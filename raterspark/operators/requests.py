@@ -141,8 +141,8 @@ def extract_label(
     clean: str = "list_marks",
     quotes: str = "inside",
     no_block_text: str | None = "",
-) -> tuple[Column, Column]:
-    """(clean label, parse_status) from a free-text answer.
+) -> Column:
+    """Struct (label, parse_status) from a free-text answer, the text read once.
 
     ``block='regex'``: first non-greedy ``{...}``; ``block='balanced'``: first block with
     balanced braces outside quoted spans. The key's value is rendered as text
@@ -154,17 +154,20 @@ def extract_label(
     'name_chars' keeps letters, comma, space and hyphen, 'none' keeps the value.
     """
     blk = tx.first_json_block(content) if block == "regex" else tx.first_balanced_block(content, quotes)
-    value = tx.json_key_text(blk, key)
-    status = tx.parse_status(blk, value)
-    if missing_key_text is not None:
-        value = F.when(status == F.lit("no_key"), F.lit(missing_key_text)).otherwise(value)
-    if no_block_text is not None:
-        value = F.when(status == F.lit("no_block"), F.lit(no_block_text)).otherwise(value)
-    if clean == "list_marks":
-        value = tx.strip_list_marks(value)
-    elif clean == "name_chars":
-        value = tx.keep_name_chars(value)
-    return value, status
+
+    def cleaned(found: Column) -> Column:
+        value, status = found["value"], found["status"]
+        if missing_key_text is not None:
+            value = F.when(status == F.lit("no_key"), F.lit(missing_key_text)).otherwise(value)
+        if no_block_text is not None:
+            value = F.when(status == F.lit("no_block"), F.lit(no_block_text)).otherwise(value)
+        if clean == "list_marks":
+            value = tx.strip_list_marks(value)
+        elif clean == "name_chars":
+            value = tx.keep_name_chars(value)
+        return F.struct(value.alias("label"), status.alias("parse_status"))
+
+    return tx.bound(tx.json_key(blk, key), cleaned)
 
 
 def ingest_responses(
@@ -182,13 +185,13 @@ def ingest_responses(
     or that is no record gives one row with a NULL label and parse_status 'no_choices' or
     'malformed'; :func:`answered` leaves those out."""
     flat = flatten_responses(lines, col)
-    value, status = extract_label(
+    found = extract_label(
         F.col("message_content"), key, block, missing_key_text, clean, no_block_text=no_block_text
     )
-    ok = F.col("record_status") == "ok"
-    return flat.select(
-        "custom_id", "choice_index", "message_content", F.when(ok, value).alias(label_col), "model",
-        F.when(ok, status).otherwise(F.col("record_status")).alias("parse_status"),
+    read = flat.withColumn("_found", F.when(F.col("record_status") == "ok", found))
+    return read.select(
+        "custom_id", "choice_index", "message_content", F.col("_found.label").alias(label_col), "model",
+        F.coalesce("_found.parse_status", "record_status").alias("parse_status"),
     )
 
 

@@ -25,6 +25,7 @@ from raterspark.plans.common import table
 
 MAX_DIST = 15
 CURATED_SOURCE = "src0"
+MANUAL_SOURCES = ["src1", "src2"]
 
 
 def _titled(spark, sf_dir) -> DataFrame:
@@ -72,6 +73,33 @@ def q_fuzzy_subset(spark, sf_dir):
     return lk.fuzzy_semi(left, right, "title_clean", "match_title", MAX_DIST).select("doc_id")
 
 
+def q_waterfall_fuzzy(spark, sf_dir):
+    """C13 with J9 in the chain: a document's language where its consensus is unknown, from
+    curated documents with nearly the same title key (all matches), then a second model, then
+    a manual list; each step sees what the ones before it left; unresolved rows dropped."""
+    t = table(spark, sf_dir, "documents").withColumn("title_clean", title_key("text"))
+    known = (F.col("n_chars") % 3 > 0) & F.col("lang").isNotNull()
+    base = t.where(F.col("source") != CURATED_SOURCE).select(
+        "doc_id", "title_clean", F.when(known, F.col("lang")).otherwise("Unknown").alias("language")
+    )
+    curated = t.where(F.col("source") == CURATED_SOURCE).select(F.col("title_clean").alias("match_title"), F.col("lang").alias("found"))
+    second = t.where(F.col("n_chars") % 5 > 0).select(
+        F.col("doc_id").alias("other_id"), F.when(F.col("n_chars") % 2 == 0, F.col("lang")).otherwise("Unknown").alias("found")
+    )
+    manual = t.where(F.col("source").isin(MANUAL_SOURCES)).select(F.col("doc_id").alias("other_id"), F.lit("en").alias("found"))
+
+    def fuzzy(rest):
+        j = lk.fuzzy_join(rest, curated, "title_clean", "match_title", MAX_DIST, how="inner")
+        return j.select("doc_id", F.col("found").alias("language"))
+
+    def listed(source):
+        return lambda rest: rest.join(source, F.col("doc_id") == F.col("other_id")).select("doc_id", F.col("found").alias("language"))
+
+    steps = [("curated", fuzzy), ("second", listed(second)), ("manual", listed(manual))]
+    w = lk.staged_waterfall(base, "doc_id", "language", steps, out_col="language_final")
+    return w.select("doc_id", "language", "language_final", "resolved_by")
+
+
 UNKNOWN_PRIORITY = ["4-NOT SPECIFIED", ""]
 ORDER_SEQ = ["o_orderdate", "o_orderkey"]
 
@@ -156,6 +184,7 @@ QUERIES = {
     "fuzzy_titles_blocked": q_fuzzy_titles_blocked,
     "fuzzy_subset": q_fuzzy_subset,
     "waterfall": q_waterfall,
+    "waterfall_fuzzy": q_waterfall_fuzzy,
     "waterfall_unresolved": q_waterfall_unresolved,
     "conform_names": q_conform_names,
 }
@@ -201,6 +230,26 @@ ORACLE = {
     "title_key": f"SELECT doc_id, {_KEY_SQL} AS title_clean FROM documents",
     "fuzzy_titles": _FUZZY_SQL,
     "fuzzy_titles_blocked": _FUZZY_SQL,
+    "waterfall_fuzzy": "WITH " + _TITLED + """,
+b AS (
+  SELECT d.doc_id, d.source, d.n_chars, d.lang, l.title_clean,
+         CASE WHEN d.n_chars % 3 > 0 AND d.lang IS NOT NULL THEN d.lang ELSE 'Unknown' END AS language
+  FROM documents d JOIN l USING (doc_id)),
+s1 AS (
+  SELECT b.*, r.match_lang AS f1
+  FROM b LEFT JOIN (SELECT m.title_clean, r.match_lang FROM m JOIN r ON m.match_title = r.match_title) r
+    ON b.title_clean = r.title_clean AND b.language = 'Unknown'),
+s2 AS (
+  SELECT *, CASE WHEN n_chars % 5 > 0 THEN CASE WHEN n_chars % 2 = 0 THEN lang ELSE 'Unknown' END END AS f2,
+         CASE WHEN source IN ('src1', 'src2') THEN 'en' END AS f3
+  FROM s1),
+w AS (
+  SELECT doc_id, language,
+         CASE WHEN language <> 'Unknown' THEN language WHEN f1 <> 'Unknown' THEN f1 WHEN f2 <> 'Unknown' THEN f2 ELSE f3 END AS language_final,
+         CASE WHEN language <> 'Unknown' THEN 'base' WHEN f1 <> 'Unknown' THEN 'curated' WHEN f2 <> 'Unknown' THEN 'second'
+              WHEN f3 IS NOT NULL THEN 'manual' END AS resolved_by
+  FROM s2)
+SELECT * FROM w WHERE language_final IS NOT NULL""",
     "fuzzy_subset": "WITH " + _TITLED + """
 SELECT doc_id FROM l WHERE title_clean IN (SELECT title_clean FROM m)""",
     "waterfall": f"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterspark.functions.text import after_first_line, compose_text, first_line, json_key_text, parse_status
+from raterspark.functions.text import after_first_line, compose_text, first_line, json_key
 from raterspark.operators import requests as rq
 from raterspark.plans.common import table
 
@@ -119,8 +119,8 @@ def q_response_votes(spark, sf_dir):
 def q_json_props(spark, sf_dir):
     """one key of a JSON text column."""
     ev = table(spark, sf_dir, "events")
-    k = json_key_text(F.col("props"), "k")
-    return ev.select("event_id", k.try_cast("int").alias("k"), parse_status(F.col("props"), k).alias("parse_status"))
+    found = ev.select("event_id", json_key(F.col("props"), "k").alias("_k"))
+    return found.select("event_id", F.col("_k.value").try_cast("int").alias("k"), F.col("_k.status").alias("parse_status"))
 
 
 QUERIES = {

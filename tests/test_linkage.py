@@ -192,3 +192,53 @@ def test_pattern_matches_equals_the_nested_loop(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert lk.pattern_matches(names, "name", patterns.limit(0), "pat").count() == 0
+
+
+@pytest.mark.parametrize("probe", ["right", "left"])
+def test_fuzzy_keys_with_a_shared_opening(spark, monkeypatch, probe):
+    """A third of the keys share an opening: the pairs stay exact, and the candidates stay in
+    proportion to the keys instead of growing with the square of the group."""
+    monkeypatch.setattr(lk, "HOT_SEGMENT", 8)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    opening = word(60)
+    sides = [[(opening if i % 3 == 0 else word(60)) + word(60 + i % 4) for i in range(n)] for n in (240, 90)]
+    for i in range(0, 90, 6):  # near copies across the sides, edits in the opening as well
+        s = list(sides[1][i])
+        for _ in range(rnd.randint(0, 4)):
+            s[rnd.randrange(len(s))] = rnd.choice(["", "x", "yz"])
+        sides[0][i * 2] = "".join(s)
+    sides[0] += ["ab", "", opening, "abcdefghij"]
+    sides[1] += ["abc", "", opening[:-2], "abcdefghij"]
+    left = spark.createDataFrame([(s,) for s in sides[0]], "l string")
+    right = spark.createDataFrame([(s,) for s in sides[1]], "r string")
+    got = {(r._lk, r._rk): r._dist for r in lk.fuzzy_pairs(left, right, "l", "r", 4, probe=probe).collect()}
+    want = {(a, b): d for a in set(sides[0]) for b in set(sides[1]) if abs(len(a) - len(b)) <= 4 and (d := _lev(a, b)) <= 4}
+    assert got == want
+    seg, pr = ("_lk", "_rk") if probe == "right" else ("_rk", "_lk")
+    keys = {"_lk": lk._keys(left, "l", "_lk"), "_rk": lk._keys(right, "r", "_rk")}
+    cand = lk._candidates(keys[seg].where(f"{seg}_len >= 5"), seg, keys[pr], pr, 4).count()
+    assert cand < 300  # the openings alone would give 80 * 30
+
+
+def test_staged_waterfall_sees_only_the_residue(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "Unknown"), (3, None), (4, "Unknown"), (5, "Unknown"), (None, None)], "k int, v string")
+    seen = []
+
+    def step(data):
+        source = spark.createDataFrame(data, "k int, v string")
+
+        def find(rest):
+            seen.append(rows(rest, "k"))
+            return source.join(rest.select("k").distinct(), "k", "left_semi")
+
+        return find
+
+    steps = [("one", step([(1, "zz"), (2, "b"), (2, "c"), (4, "Unknown"), (4, "d")])), ("two", step([(3, "e"), (4, "f")]))]
+    out = lk.staged_waterfall(base, "k", "v", steps, drop_unresolved=False)
+    assert rows(out, "k", "v_final" if "v_final" in out.columns else "value_final", "resolved_by") == sorted(
+        [(1, "a", "base"), (2, "b", "one"), (2, "c", "one"), (4, "d", "one"), (3, "e", "two"), (4, "f", "two"), (5, None, None), (None, None, None)],
+        key=lambda t: tuple((x is not None, x) for x in t),
+    )
+    assert seen == [[(None,), (2,), (3,), (4,), (5,)], [(None,), (3,), (4,), (5,)]]
+    assert lk.staged_waterfall(base, "k", "v", steps[:1]).count() == 4

@@ -126,3 +126,13 @@ def test_materialize_to_shared_folder(spark):
     back = io.materialize(df, "stage_test")
     assert sorted(r.id for r in back.collect()) == [1, 2]
     assert spark.conf.get("spark.checkpoint.dir") in back.inputFiles()[0]
+
+
+def test_an_answer_is_read_once(spark):
+    """One fold, one block and few parses a row, however often the value is named."""
+    lines = spark.createDataFrame([('{"custom_id": "a"}',)], "value string")
+    for block in ("balanced", "regex"):
+        out = rq.ingest_responses(lines, "label", block=block, clean="name_chars")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") == (1 if block == "balanced" else 0)
+        assert plan.count("from_json(") <= 4  # the record, a scalar, a list, the reason for no value
