@@ -15,6 +15,7 @@ _MODULES = [
     "raterspark.plans.linkage_q",
     "raterspark.plans.coverage",
     "raterspark.plans.requests_q",
+    "raterspark.plans.files_q",
 ]
 
 

@@ -38,6 +38,17 @@ def q_title_key(spark, sf_dir):
     return _titled(spark, sf_dir).select("doc_id", "title_clean")
 
 
+# Fixed values of the stand-in: letters put in the place of plain ones.
+RARE_LETTERS = ("ihnts", "ıħŋŧſ")
+
+
+def q_title_key_letters(spark, sf_dir):
+    """keys of texts whose letters have no accent to drop (ı ħ ŋ ŧ ſ), and the one-letter
+    spellings ĳ and ŀ."""
+    text = F.concat(F.translate("text", *RARE_LETTERS), F.lit(" Ĳsselmeer ĳs paraŀlel"))
+    return table(spark, sf_dir, "documents").select("doc_id", title_key(text).alias("title_clean"))
+
+
 def _sides(spark, sf_dir):
     t = _titled(spark, sf_dir)
     left = t.where(F.col("source") != CURATED_SOURCE).select("doc_id", "title_clean")
@@ -180,6 +191,7 @@ def q_conform_names(spark, sf_dir):
 
 QUERIES = {
     "title_key": q_title_key,
+    "title_key_letters": q_title_key_letters,
     "fuzzy_titles": q_fuzzy_titles,
     "fuzzy_titles_blocked": q_fuzzy_titles_blocked,
     "fuzzy_subset": q_fuzzy_subset,
@@ -228,6 +240,10 @@ WHERE rn = 1"""
 
 ORACLE = {
     "title_key": f"SELECT doc_id, {_KEY_SQL} AS title_clean FROM documents",
+    "title_key_letters": f"""
+WITH d AS (SELECT doc_id, translate(text, '{RARE_LETTERS[0]}', '{RARE_LETTERS[1]}') || ' Ĳsselmeer ĳs paraŀlel' AS raw FROM documents),
+plain AS (SELECT doc_id, translate(replace(replace(raw, 'Ĳ', 'IJ'), 'ĳ', 'ij'), '{RARE_LETTERS[1]}ŀ', '{RARE_LETTERS[0]}l') AS text FROM d)
+SELECT doc_id, {_KEY_SQL} AS title_clean FROM plain""",
     "fuzzy_titles": _FUZZY_SQL,
     "fuzzy_titles_blocked": _FUZZY_SQL,
     "waterfall_fuzzy": "WITH " + _TITLED + """,

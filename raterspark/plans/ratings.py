@@ -187,6 +187,19 @@ def q_disagreement_text(spark, sf_dir):
     return ag.inspect_disagreements(long, docs, "doc_id", ["title", "abstract"], ["doc_id"])
 
 
+def q_disagreement_text_first(spark, sf_dir):
+    """The same where documents repeat: one in three has an earlier edition, whose text
+    is the one shown."""
+    long = ag.long_ratings(doc_ratings(spark, sf_dir), "doc_id", "reader", ["quality", "toxic"])
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit(2).alias("edition"), first_line("text").alias("title"), after_first_line("text").alias("abstract")
+    )
+    earlier = docs.where(F.col("doc_id") % 3 == 0).select(
+        "doc_id", F.lit(1).alias("edition"), F.concat(F.lit("Earlier: "), "title").alias("title"), F.lit(None).cast("string").alias("abstract")
+    )
+    return ag.inspect_disagreements(long, docs.unionByName(earlier), "doc_id", ["title", "abstract"], ["edition"])
+
+
 def set_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two delimited lists per order: words of the part names on lines 1-3 and 4+."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -255,6 +268,7 @@ QUERIES = {
     "human_vs_model": q_human_vs_model,
     "prevalence_comparison": q_prevalence_comparison,
     "disagreement_text": q_disagreement_text,
+    "disagreement_text_first": q_disagreement_text_first,
     "set_similarity": q_set_similarity,
     "set_similarity_table": q_set_similarity_table,
     "label_support": q_label_support,
@@ -467,3 +481,10 @@ c AS (SELECT m.category, model_rate, mean_human_rate, sd_human_rate FROM m LEFT
 SELECT category, 'Model' AS rater, round(model_rate, 6) AS rate, 0.0 AS sd FROM c
 UNION ALL
 SELECT category, 'Humans', round(mean_human_rate, 6), round(sd_human_rate, 6) FROM c"""
+
+ORACLE["disagreement_text_first"] = ORACLE["disagreement_text"].replace(
+    "SELECT rl.doc_id, rl.reader, rl.variable, rl.response, dd.title, dd.abstract",
+    """SELECT rl.doc_id, rl.reader, rl.variable, rl.response,
+       CASE WHEN dd.doc_id % 3 = 0 THEN 'Earlier: ' || dd.title ELSE dd.title END AS title,
+       CASE WHEN dd.doc_id % 3 > 0 THEN dd.abstract END AS abstract""",
+)

@@ -142,3 +142,12 @@ def test_json_key_text_python_literals(spark):
     df = spark.createDataFrame([d[:2] for d in data], "id int, b string")
     got = {r.id: r.v for r in df.select("id", tx.json_key_text(F.col("b"), "label").alias("v")).collect()}
     assert got == {d[0]: d[2] for d in data}
+
+
+def test_letters_without_an_accent_fold(spark):
+    data = {
+        "ıħŋŧſĳŀ": "ihntsijl", "ĦŊŦĲĿ": "HNTIJL", "éØßŁþđ": "eOssLthd", "ﬁﬀ": "fiff", "ƀɓ": "bɓ", "ŉ ĸ": "'n q", "ＡＢｚ": "ABz", "Ǆ ǆ": "DZ dz", "日本 я": "日本 я",
+        "ấṩ": "as",
+    }
+    df = spark.createDataFrame([(k,) for k in data], "s string")
+    assert {r.s: r.f for r in df.select("s", tx.fold_ascii("s").alias("f")).collect()} == data

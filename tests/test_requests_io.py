@@ -136,3 +136,28 @@ def test_an_answer_is_read_once(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("aggregate(") == (1 if block == "balanced" else 0)
         assert plan.count("from_json(") <= 4  # the record, a scalar, a list, the reason for no value
+
+
+def test_csv_records_in_a_column(spark):
+    schema = T.StructType([T.StructField("Income.group", T.StringType()), T.StructField("X2015", T.DoubleType())])
+    lines = ['"low, ""mid""","1,5"', "NA,2", ",NA", "a,b,c", "only", "x,-3", None, '"open,1']
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "id int, line string")
+    out = {r.id: (r["Income.group"], r.X2015, r.corrupt_record) for r in io.parse_r_csv(df, "line", ["Income group", "2015"], schema, decimal=",").collect()}
+    assert out[0] == ('low, "mid"', 1.5, None) and out[1] == (None, 2.0, None) and out[2] == ("", None, None) and out[5] == ("x", -3.0, None)
+    assert out[3] == (None, None, "a,b,c") and out[4] == (None, None, "only") and out[7][2] == '"open,1'
+    with pytest.raises(ValueError):
+        io.parse_r_csv(df, "line", ["a", "b"], schema)
+
+
+def test_models_written_again_replace_themselves_only(spark):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("model", T.StringType()), T.StructField("v", T.StringType())])
+    path = tempfile.mkdtemp(prefix="models-", dir="/tmp") + "/t"
+    first = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", None)], schema)
+    io.write_models(first, path)
+    io.write_models(first, path)  # the same batch again
+    assert rows(io.read_models(spark, path, schema)) == rows(first)
+    io.write_models(spark.createDataFrame([(9, "b", "y")], schema), path)
+    assert rows(io.read_models(spark, path, schema)) == rows(spark.createDataFrame([(1, "a", "x"), (9, "b", "y"), (3, "c", None)], schema))
+    # data without a marker (a first write that failed) is not read
+    spark.createDataFrame([(7, "z")], "k long, v string").write.parquet(f"{path}/data/model=d")
+    assert io.read_models(spark, path, schema).count() == 3
