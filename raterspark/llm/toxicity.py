@@ -126,20 +126,25 @@ def extreme_value_rate(scores: np.ndarray, background: np.ndarray) -> float:
 
 def maximal_segments(before: list[float], after: list[float]) -> list[tuple[int, int]]:
     """All maximal scoring segments over positive steps k from before[k] to after[k] of the
-    running total: (first step, last step). Linear time; a stack of disjoint candidates."""
-    stack: list[tuple[int, int]] = []
+    running total: (first step, last step).
+
+    A stack of disjoint candidates, each with the place of the nearest one below that begins
+    at a smaller total. A search follows these places, so a candidate it passes over is not
+    looked at again by later ones, and the time is linear.
+    """
+    stack: list[tuple[int, int, int]] = []  # first, last, place of the nearest lower beginning
     for k in range(len(before)):
-        first, last = k, k
-        while stack:
-            j = len(stack) - 1
+        first, j = k, len(stack) - 1
+        while True:
             while j >= 0 and before[stack[j][0]] >= before[first]:
-                j -= 1
-            if j < 0 or after[stack[j][1]] >= after[last]:
+                j = stack[j][2]
+            if j < 0 or after[stack[j][1]] >= after[k]:
                 break
-            first = stack[j][0]
+            first, _, lower = stack[j]
             del stack[j:]
-        stack.append((first, last))
-    return stack
+            j = lower
+        stack.append((first, k, j))
+    return [(first, last) for first, last, _ in stack]
 
 
 def toxic_passages(
