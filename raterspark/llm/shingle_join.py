@@ -1,6 +1,6 @@
 """N-gram Jaccard join: prefix filtering on rare-first shingles, verified once per pair.
 
-1. Documents with equal shingle sets form a class; one row per class goes on.
+1. Documents with equal shingle sets form a class with a number; one row per class goes on.
 2. Shingles are ordered rare-first by a fixed-size count sketch of the whole corpus. Any
    total order gives exact results; a rarer-first one only gives fewer candidates.
 3. The prefixes of all classes are sent, packed, to buckets by shingle. Shingles in one
@@ -9,7 +9,8 @@
 4. Round two compares members whose classes round one left in different components: all
    their pairs under the length, positional and suffix filters. Large groups are split into
    a grid. Pairs already connected need no comparison, so no link between components is lost.
-5. Surviving pairs are verified once, on the full sets.
+5. Surviving pairs are verified once, on the full sets: round two leaves out what round one
+   has asked.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import _kernels as K
 from ._blocks import BUCKET_CHARS, by_bucket, group_starts, squeeze, unsqueeze
@@ -103,7 +104,7 @@ def shingle_sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, k1, k2, sign, prefix): size, set key, suffix signature and probe prefix."""
+    """(id, h, n, k1, k2, sign, prefix): text hash, set size and key, suffix signature and probe prefix."""
     sketch = shingle_sketch(docs, text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +123,19 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
                 prefix = np.where(size > 0, size - -(-num * size // den) + 1, 0)
                 cut = np.split(value[K.ragged(begin, prefix)], np.cumsum(prefix)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, n), pa.array(size.astype(np.int64))]
+                    [b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(size.astype(np.int64))]
                     + [pa.array(k) for k in keys]
                     + [pa.array([x.tobytes() for x in part], pa.binary()) for part in (sign, cut)],
-                    ["id", "n", "k1", "k2", "sign", "prefix"],
+                    ["id", "h", "n", "k1", "k2", "sign", "prefix"],
                 )
 
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return cols.mapInArrow(run, "id long, n long, k1 long, k2 long, sign binary, prefix binary")
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), text_hash(text_col).alias("h"))
+    return cols.mapInArrow(run, "id long, h binary, n long, k1 long, k2 long, sign binary, prefix binary")
+
+
+def text_hash(text_col: str) -> Column:
+    """128 bits that tell texts apart (null: the empty text)."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -295,13 +301,14 @@ def round_two(entries: DataFrame, components: DataFrame, buckets: int, num: int,
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, kx, ky): pairs whose sets can be near enough, with the first keys of both sets.
+    """(x, y, dx, dy, kx, ky): pairs whose sets can be near enough, with a document and the
+    first key of both sets.
 
     Dropped are pairs that differ too much by their sizes in SIGNATURE ranges of the hash:
 
     |x - y| + |y - x| is at least the sum of the size differences in disjoint ranges.
     """
-    sides = classes.select("id", "n", "sign", "k1")
+    sides = classes.select("id", "n", "sign", "doc", "k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,15 +318,14 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> D
             a, c = b.column(2).to_numpy(), b.column(3).to_numpy()
             most = a + c - 2 * least_overlap(a, c, num, den)
             capped = (sx == 65535).any(axis=1) | (sy == 65535).any(axis=1)
-            yield b.select(["x", "y", "kx", "ky"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
+            yield b.select(["x", "y", "dx", "dy", "kx", "ky"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
 
     both = (
-        pairs.distinct()
-        .join(sides.toDF("x", "nx", "gx", "kx"), "x")
-        .join(sides.toDF("y", "ny", "gy", "ky"), "y")
-        .select("x", "y", "nx", "ny", "gx", "gy", "kx", "ky")
+        pairs.join(sides.toDF("x", "nx", "gx", "dx", "kx"), "x")
+        .join(sides.toDF("y", "ny", "gy", "dy", "ky"), "y")
+        .select("x", "y", "nx", "ny", "gx", "gy", "dx", "dy", "kx", "ky")
     )
-    return both.mapInArrow(run, "x long, y long, kx long, ky long")
+    return both.mapInArrow(run, "x long, y long, dx long, dy long, kx long, ky long")
 
 
 def set_keys(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -344,9 +350,10 @@ def _marked(wanted: DataFrame) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) among the pairs (x, y, kx, ky), by the full sets of both."""
+    """Links (u, v) among the pairs (x, y, dx, dy, kx, ky) of classes, by the full sets of both,
+    which are read from the texts of documents dx and dy."""
     pairs = materialize(pairs, "pairs")
-    bitmap = _marked(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))))
+    bitmap = _marked(pairs.select(F.col("dx").alias("id")).union(pairs.select(F.col("dy").alias("id"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,11 +372,11 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     texts = texts.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
     members = texts.mapInArrow(sets, "id long, k1 long, members binary").dropDuplicates(["id", "k1"])
     members = materialize(members, "sets")
-    # partners of a document are read in parts of about VERIFY_ROWS
-    parts = pairs.groupBy("x", "kx").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
-    left = pairs.join(parts.drop("kx"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
-    left = left.join(members.toDF("y", "ky", "members"), ["y", "ky"]).select("x", "part", "y", "members")
-    right = parts.join(members.toDF("x", "kx", "own"), ["x", "kx"]).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    # partners of a class are read in parts of about VERIFY_ROWS
+    parts = pairs.groupBy("x", "dx", "kx").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
+    left = pairs.join(parts.select("x", "parts"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
+    left = left.join(members.toDF("dy", "ky", "members"), ["dy", "ky"]).select("x", "part", "y", "members")
+    right = parts.join(members.toDF("dx", "kx", "own"), ["dx", "kx"]).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
 
     def check(key: tuple, theirs: pa.Table, own: pa.Table) -> pa.Table:
         x = np.frombuffer(own["own"][0].as_py(), _U)
@@ -386,49 +393,88 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     return left.groupBy("x", "part").cogroup(right.groupBy("own_x", "own_part")).applyInArrow(check, "u long, v long")
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100
-) -> DataFrame:
-    """One row per document: id, n_shingles, component_id.
+_SET = ["k1", "k2", "n"]
 
-    A-Z is lower-cased; words are runs without space and control characters 9-13; a set holds
-    the distinct runs of ``width`` words, or all words as one run in a shorter text. Two
-    documents link when den * |intersection| >= num * |union|. component_id is the smallest
-    id reachable by links, the document's own included. Null, empty and wordless texts have
-    no shingle and link with nothing; so do rows with a null id (component null). Of
-    rows with equal id one stands for the id (by the smallest set key); all take its component.
-    Extra columns are ignored; an empty table gives none.
-    """
+
+def linked_classes(
+    docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(described rows, classes, links): classes (id, doc, copies, k1, k2, n, sign, prefix) are the
+    distinct sets that have shingles, numbered by id, of rows with an id; doc is the smallest
+    of these; links (u, v) are class numbers, enough of them to connect all that link."""
     buckets = max(1, -(-text_volume(docs, text_col) // BUCKET_CHARS))
-    described_ = materialize(described(docs, id_col, text_col, width, num, den), "described")
-    # of rows with equal id the one with the smallest set key stands for the id
-    canon = described_.where("id is not null").groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("s"))
-    canon = canon.select("id", "s.*").where("n > 0")
-    keys = canon.groupBy("k1", "k2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    # sets held once are their own class; of the others any may be hot
-    shared, keys = keys.where("copies > 1").drop("copies"), keys.drop("copies")
-    members = spread_join(canon, shared, ["k1", "k2", "n"], "id").select("id", "class")
-    classes = described_.join(keys.withColumnRenamed("class", "id"), ["id", "k1", "k2", "n"], "left_semi")
-    classes = materialize(classes.dropDuplicates(["id", "k1", "k2", "n"]), "classes")
+    rows = materialize(described(docs, id_col, text_col, width, num, den), "described")
+    keys = rows.where("id is not null and n > 0").groupBy(*_SET).agg(F.min("id").alias("doc"), F.count("*").alias("copies"))
+    one = rows.withColumnRenamed("id", "doc").join(keys, ["doc", *_SET]).dropDuplicates(["doc", *_SET]).drop("h")
+    classes = materialize(one.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
         near = suffix_filter(pairs, classes, num, den)
         return materialize(verified(near, docs, id_col, text_col, width, num, den), "links")
 
     met = materialize(round_one(prefix_entries(classes, buckets), num, den), "met")
-    first = links(_pair_rows(met.where("kind = 2")))
+    asked = materialize(_pair_rows(met.where("kind = 2")).distinct(), "asked")
+    first = links(asked)
     components = materialize(connected_components(first), "components")
-    second = links(round_two(met.where("kind = 1"), components, buckets, num, den))
-    components = connected_components(first.union(second))
+    more = round_two(met.where("kind = 1"), components, buckets, num, den).distinct()
+    second = links(more.join(asked, ["x", "y"], "left_anti"))
+    return rows, classes, first.union(second)
+
 
-    out = described_.select("id", "n").join(members, "id", "left")
-    out = out.withColumn("class", F.coalesce("class", "id"))
-    out = spread_join(out, components.withColumnRenamed("node", "class"), ["class"], "id", "left")
-    known = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100
+) -> DataFrame:
+    """One row per document: id, n_shingles, component_id.
+
+    A-Z is lower-cased; words are runs without space and control characters 9-13; a set holds
+    the distinct runs of ``width`` words, or all words as one run in a shorter text. Two
+    documents link when den * |intersection| >= num * |union|. component_id is the smallest
+    id reachable by links, the document's own included. Null, empty and wordless texts have
+    no shingle and link with nothing; so do rows with a null id (component null). Of rows with
+    equal id every distinct set is compared, and what one of them links with, all reach.
+    Texts of any length are read whole; extra columns are ignored, whatever their names; an
+    empty table gives none.
+    """
+    rows, classes, links = linked_classes(docs, id_col, text_col, width, num, den)
+    # an id with several sets connects their classes
+    sets = rows.where("id is not null and n > 0").select("id", F.struct(*_SET).alias("s"))
+    several = sets.groupBy("id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("id")
+    numbers = classes.select(F.col("id").alias("class"), *_SET)
+    member = rows.where("n > 0").join(several, "id", "left_semi").select("id", *_SET).distinct().join(numbers, _SET).select("id", "class")
+    member = materialize(member, "several")
+    own = spread_join(member, member.groupBy("id").agg(F.min("class").alias("least")), ["id"], "class")
+    links = links.union(own.where("class <> least").select(F.col("least").alias("u"), F.col("class").alias("v")))
+
+    components = materialize(connected_components(links), "components").withColumnRenamed("node", "id")
+    least = classes.join(components, "id").groupBy("component").agg(F.min("doc").alias("root"))
+    roots = components.join(least, "component").select("id", "root")
+    # classes held once and linked with nothing need no look-up; of the others any may be hot
+    found = classes.join(roots, "id", "left").where("copies > 1 or root is not null").select(*_SET, F.coalesce("root", "doc").alias("root"))
+    out = rows.select("id", *_SET).withColumn("deal", F.xxhash64("id", F.spark_partition_id()))
+    out = spread_join(out, found, _SET, "deal", "left")
+    known = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), known.alias("component_id"))
 
 
-def one_per_component(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component (null ids stay)."""
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").union(docs.where(F.col(id_col).isNull()))
+def one_per_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """One row of ``docs`` for each group of texts that links connect: of its smallest id.
+
+    Rows are told apart by id and text: exact copies under one id are one row of a group, and
+    different texts under one id are groups of their own unless they link. Rows without a
+    shingle and rows with a null id all stay.
+    """
+    rows, classes, links = linked_classes(docs, id_col, text_col, width, num, den)
+    components = connected_components(links).withColumnRenamed("node", "id")
+    group = classes.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    kept = group.groupBy("component").agg(F.min(F.struct("doc", *_SET)).alias("s")).select(F.col("s.doc").alias("id"), "s.k1", "s.k2", "s.n")
+    first = rows.join(kept, ["id", *_SET]).groupBy("id", *_SET).agg(F.min("h").alias("h"))
+    stay = first.select("id", "h", F.lit(False).alias("all")).union(
+        rows.where("id is not null and n = 0").select("id", "h", F.lit(True)).distinct()
+    ).toDF("__i", "__h", "__all")
+    keyed = docs.withColumns({"__i": F.col(id_col).cast("long"), "__h": text_hash(text_col)})
+    # the join leaves the rows of an id and text side by side
+    copy = F.row_number().over(Window.partitionBy("__i", "__h").orderBy("__h"))
+    met = keyed.join(stay, ["__i", "__h"]).withColumn("__k", copy).where("__all or __k = 1")
+    return met.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
