@@ -151,6 +151,24 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str, out: str = "n_tokens") -> DataFrame:
+    """``docs`` without its text and with the number of the text's token ids (null text: 0)."""
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    schema = T.StructType([*rest, T.StructField(out, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_tokenizer(tokenizer_path)
+        for b in batches:
+            raw, off = K.text_bytes(b.column(0))
+            size = np.empty(b.num_rows, np.int64)
+            for i, j in K.chunks(off, 1 << 20):
+                _, at = encode(raw[off[i] : off[j]], off[i : j + 1] - off[i], 0)
+                size[i:j] = np.diff(at) - 1  # without the end that closes every text
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(size)], schema.names)
+
+    return docs.select(text_col, *[f.name for f in rest]).mapInArrow(run, schema)
+
+
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int
 ) -> DataFrame:

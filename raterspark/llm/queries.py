@@ -18,7 +18,7 @@ from .language_id import identify_languages
 from .language_model import score_documents
 from .mixing import mix_sources
 from .neardup_vectors import linked_vectors
-from .packing import pack_documents
+from .packing import pack_documents, token_counts
 from .quality import quality_measures
 from .shingle_join import jaccard_components
 from .suffix_dedup import removed_bytes
@@ -112,38 +112,35 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_WITH_LETTER = r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*"
-LETTERS = r"[\p{L}\p{N}]+"
 
 
 def document_events(docs: DataFrame) -> list[DataFrame]:
     """Stand-in event batches made of the documents, in the schema that TokenRollup expects.
 
-    First batch: every document's count under words-1. Second: revised counts where symbols
-    alone are no longer words, and every document's count under letters-1. Third: deletes,
-    under all versions, of the later ones of documents with equal text.
+    First batch: every document's words under words-1. Second: revised counts where symbols
+    alone are no longer words, and every document's token ids under word_bpe_49k. Third:
+    deletes, under all versions, of the later ones of documents with equal text, each after an
+    insert of the same batch that it undoes.
     """
-    counts = materialize(
-        docs.select(
-            "doc_id", "source", "lang",
-            F.xxhash64("text").alias("h"), F.md5("text").alias("m"),
-            F.regexp_count("text", F.lit(WORD)).cast("long").alias("words"),
-            F.regexp_count("text", F.lit(WORD_WITH_LETTER)).cast("long").alias("revised"),
-            F.regexp_count("text", F.lit(LETTERS)).cast("long").alias("letters"),
-        ),
-        "counts",
+    columns = docs.select(
+        "doc_id", "source", "lang", "text",
+        F.xxhash64("text").alias("h"), F.md5("text").alias("m"),
+        F.regexp_count("text", F.lit(WORD)).cast("long").alias("words"),
+        F.regexp_count("text", F.lit(WORD_WITH_LETTER)).cast("long").alias("revised"),
     )
-    event = lambda df, op, version, n: df.select(
+    counts = materialize(token_counts(columns, tokenizer_path(), "text", "ids"), "counts")
+    event = lambda df, op, version, n, seq=0: df.select(
         F.lit(op).alias("op"), "doc_id", "source", "lang",
-        F.lit(version).cast("string").alias("tokenizer_version"), n.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("seq"),
+        F.lit(version).cast("string").alias("tokenizer_version"), n.cast("long").alias("n_tokens"), F.lit(seq).cast("long").alias("seq"),
     )
     first = counts.where("m is not null").groupBy("h", "m").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"))
     later = spread_join(counts, first.where("n > 1").drop("n"), ["h", "m"], "doc_id").where("doc_id > kept")
     return [
         event(counts, "insert", "words-1", F.col("words")),
         event(counts.where("revised <> words"), "revise", "words-1", F.col("revised")).unionByName(
-            event(counts, "insert", "letters-1", F.col("letters"))
+            event(counts, "insert", "word_bpe_49k", F.col("ids"))
         ),
-        event(later, "delete", None, F.lit(None)),
+        event(later, "insert", "words-2", F.col("words"), 1).unionByName(event(later, "delete", None, F.lit(None), 2)),
     ]
 
 
@@ -254,21 +251,6 @@ FROM run
 """
 
 
-OP10_SQL = r"""
-WITH counted AS (
-  SELECT doc_id, source, lang, text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS copy,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')), 0) AS words,
-         coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+')), 0) AS letters
-  FROM documents
-), entries AS (
-  SELECT source, lang, 'words-1' AS tokenizer_version, words AS n FROM counted WHERE NOT copy
-  UNION ALL SELECT source, lang, 'letters-1', letters FROM counted WHERE NOT copy
-)
-SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
-FROM entries GROUP BY ALL
-"""
-
-
 OP11_SQL = r"""
 WITH t AS (
   SELECT coalesce(CAST(source AS VARCHAR), '') AS part, doc_id, coalesce(text, '') AS text FROM documents
@@ -381,7 +363,6 @@ def llm_oracles() -> dict[str, str]:
     return {
         "op3_embedding_near_dedup": OP3_SQL,
         "op5_mixing_sources": OP5_SQL,
-        "op10_token_counts": OP10_SQL,
         "op11_filter_interactions": OP11_SQL,
         "op12_source_divergence": OP12_SQL,
         "op13_url_filters": OP13_SQL,

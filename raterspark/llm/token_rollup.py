@@ -68,12 +68,22 @@ class TokenRollup:
         version if tokenizer_version is null; deleting an unknown document changes nothing.
         Null n_tokens counts as 0; events with a null doc_id, or with an op that is none of
         the three, are ignored; null source and lang are groups of their own.
+
+        Of a batch's events for one document and version the one with the largest seq counts
+        (null is smallest; of equal ones delete before insert before revise, then the larger
+        count). A delete of every version meets the batch's own events too: those of its seq
+        or smaller do not happen. Repeated events count once, other columns are ignored, and
+        an empty batch is committed as such.
         """
         if self._exists(f"{self.folder}/commits/batch-{batch}"):
             return False
         last = Window.partitionBy("doc_id", "tokenizer_version").orderBy(F.desc_nulls_last("seq"), "op", F.desc("n_tokens"))
         events = events.select(*[F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(EVENTS).fields])
         events = events.where("doc_id is not null and op in ('insert', 'delete', 'revise')")
+        events = events.withColumn("seq", F.coalesce("seq", F.lit(-(1 << 63)).cast("long")))
+        wiped = events.where("op = 'delete' and tokenizer_version is null").groupBy("doc_id").agg(F.max("seq").alias("wiped"))
+        events = events.join(wiped, "doc_id", "left")
+        events = events.where("wiped is null or seq > wiped or op = 'delete'").drop("wiped")
         events = events.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", "seq")
         now = self.entries()
         hit = events.select(F.col("doc_id").alias("e_doc"), F.col("tokenizer_version").alias("e_version"), "op")

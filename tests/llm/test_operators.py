@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import sys
+import uuid
 import zlib
 
 import numpy as np
@@ -13,9 +14,9 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from raterspark.llm import _blocks, shingle_join, suffix_dedup, toxicity  # noqa: E402
+from raterspark.llm import _blocks, neardup_vectors, shingle_join, suffix_dedup, toxicity  # noqa: E402
 from raterspark.llm import _kernels as K  # noqa: E402
-from raterspark.llm._common import fold, spread_join  # noqa: E402
+from raterspark.llm._common import fold, shared_folder, spread_join  # noqa: E402
 from raterspark.llm._graph import connected_components  # noqa: E402
 from raterspark.llm.language_id import identify_languages  # noqa: E402
 from raterspark.llm.language_model import score_documents  # noqa: E402
@@ -23,8 +24,8 @@ from raterspark.llm.mixing import mix_sources  # noqa: E402
 from raterspark.llm.neardup_vectors import linked_vectors  # noqa: E402
 from raterspark.llm.packing import best_fit, pack_documents  # noqa: E402
 from raterspark.llm.quality import quality_measures  # noqa: E402
-from raterspark.llm.queries import ship, tokenizer_path  # noqa: E402
-from raterspark.llm.shingle_join import jaccard_components  # noqa: E402
+from raterspark.llm.queries import document_events, ship, tokenizer_path  # noqa: E402
+from raterspark.llm.shingle_join import jaccard_components, one_per_component  # noqa: E402
 from raterspark.llm.suffix_dedup import removed_bytes  # noqa: E402
 from raterspark.llm.token_rollup import EVENTS, TokenRollup  # noqa: E402
 from raterspark.llm.toxicity import log_odds, maximal_segments, score_toxicity, word_counts_by_label  # noqa: E402
@@ -447,3 +448,125 @@ def test_word_counts_are_by_word(spark, monkeypatch):
     assert got.count() == 200_000
     assert got.agg(F.sum("n0"), F.sum("n1")).first() == (100_000, 100_002)
     assert got.where("n1 = 3 and n0 = 0").count() == 1 and got.where("n0 + n1 > 1").count() == 1
+
+
+def test_falling_totals_are_scanned_in_linear_time():
+    """The worst case for a plain leftward search: every total lies under the ones before."""
+    import time
+
+    n = 100_000
+    after = [float(n - k) for k in range(n)]
+    before = [a - 0.5 for a in after]
+    began = time.process_time()
+    assert maximal_segments(before, after) == [(k, k) for k in range(n)]
+    rising = maximal_segments([float(k) for k in range(n)], [k + 2.0 for k in range(n)])
+    assert rising == [(0, n - 1)] and time.process_time() - began < 2
+
+
+class _Counted(list):
+    looks = 0
+
+    def __getitem__(self, k):
+        _Counted.looks += 1
+        return super().__getitem__(k)
+
+
+def test_segment_scan_bounds_its_looks():
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        n = int(rng.integers(50, 400))
+        total = np.cumsum(rng.normal(rng.normal(), 1, n))
+        step = rng.random(n) + 0.1
+        _Counted.looks = 0
+        maximal_segments(_Counted((total - step).tolist()), _Counted(total.tolist()))
+        assert _Counted.looks < 12 * n
+
+
+def test_every_set_of_a_repeated_id_is_compared(spark):
+    """Rows (5, A), (5, B), (1, A), (2, B): id 5 brings ids 1 and 2 together."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(3))
+    near = b.split()
+    near[7] = "edit"
+    rows = [(5, a), (5, b), (1, a), (2, " ".join(near)), (7, c), (8, c), (9, None), (5, None), (5, ""), (None, a), (5, a)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, k1 string, class int")
+    out = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df, num=75).collect()]
+    want = [(5, 57, 1), (5, 57, 1), (1, 57, 1), (2, 57, 1), (7, 57, 7), (8, 57, 7), (9, 0, 9), (5, 0, 5), (5, 0, 5), (None, 57, None), (5, 57, 1)]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in one_per_component(df, width=4, num=75).collect())))
+    # near texts under ids 5 and 2 leave one row, of id 2; A stays under id 1; wordless and null ids stay
+    assert kept == sorted(map(str, [(1, a), (2, " ".join(near)), (7, c), (9, None), (5, None), (5, ""), (None, a)]))
+
+
+def test_no_pair_is_verified_twice(spark, corpus, monkeypatch):
+    asked = []
+    plain = shingle_join.verified
+
+    def watched(pairs, *rest):
+        asked.append({(r["x"], r["y"]) for r in pairs.collect()})
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "verified", watched)
+    jaccard_components(corpus[1], num=70).count()
+    assert len(asked) == 2 and asked[0] and not asked[0] & asked[1]
+    assert not {(y, x) for x, y in asked[0]} & asked[1]
+
+
+def test_vectors_of_a_repeated_id_have_their_own_links(spark):
+    ship(spark)
+    e = np.eye(8)
+    rows = [(1, e[0]), (2, e[0]), (3, e[0]), (1, e[1]), (4, e[1]), (6, e[2]), (None, e[2]), (6, e[2])]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 5, "x") for i, v in rows], "vec_id long, embedding array<double>, row int, tile string")
+    for tile in (4096, 2):
+        out = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in linked_vectors(df, tile_rows=tile).collect()), key=str)
+        assert out == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (1, 1, 1, True), (4, 1, 1, False), (6, 1, 6, True), (None, 0, None, True), (6, 1, 6, True)], key=str)
+
+
+def test_possible_rows_hold_every_linked_row():
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(300, 24))
+    unit[100:200] = unit[:100] + rng.normal(size=(100, 24)) * 0.2
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    a, b = neardup_vectors.quantise(unit[:150]), neardup_vectors.quantise(unit[150:])
+    in_a, in_b = neardup_vectors.involved(a, b, False, 0.9)
+    hit = unit[:150] @ unit[150:].T >= 0.9
+    assert hit.any() and (in_a >= hit.any(axis=1)).all() and (in_b >= hit.any(axis=0)).all()
+    assert in_a.sum() < 150 and in_b.sum() < 150
+
+
+def test_rollup_delete_of_every_version_meets_its_own_batch(spark, tmp_path):
+    r = TokenRollup(spark, str(tmp_path / "roll"))
+    wide = EVENTS + ", sign int, wiped long"
+    ev = lambda *rows: spark.createDataFrame([(*x, 7, 8) for x in rows], wide)
+    total = lambda: sorted(map(tuple, r.totals().collect()), key=str)
+    r.commit(1, ev(("insert", 1, "a", "en", "v1", 10, 1), ("insert", 1, "a", "en", "v2", 4, 6), ("delete", 1, None, None, None, None, 5),
+                   ("insert", 2, "a", "en", "v1", 3, 5), ("delete", 2, None, None, None, None, 5), ("insert", 3, "a", "en", "v1", 2, None)))
+    assert total() == sorted([("a", "en", "v2", 1, 4), ("a", "en", "v1", 1, 2)], key=str)
+    # ties: of equal seq the delete first, then the larger count; a repeated event counts once
+    r.commit(2, ev(("revise", 3, "a", "en", "v1", 5, 1), ("revise", 3, "a", "en", "v1", 9, 1), ("revise", 3, "a", "en", "v1", 9, 1),
+                   ("delete", 1, "a", "en", "v2", None, 3), ("insert", 1, "a", "en", "v2", 8, 3)))
+    assert total() == [("a", "en", "v1", 1, 9)]
+
+
+def test_token_counts_of_all_versions(spark, corpus):
+    """The batches of the registered query, against counts by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    rows, df = corpus
+    t = Tokenizer.from_file(tokenizer_path())
+    docs = df.where("doc_id is not null").dropDuplicates(["doc_id"])
+    roll = TokenRollup(spark, shared_folder(spark) + "/rollups/test-" + uuid.uuid4().hex)
+    for number, events in enumerate(document_events(docs)):
+        roll.commit(number, events)
+    seen, want = set(), {}
+    for i, text, lang, source, *_ in sorted({r[:4] for r in rows if r[0] is not None}, key=lambda r: r[0]):
+        if text is not None and text in seen:
+            continue
+        seen.add(text)
+        words = [w.decode() for w in WORD.findall((text or "").encode())]
+        for version, n in (("words-1", sum(any(c.isalnum() for c in w) for w in words)), ("word_bpe_49k", len(t.encode(text or "", add_special_tokens=False).ids))):
+            x = want.setdefault((source, lang, version), [0, 0])
+            x[0] += 1
+            x[1] += n
+    assert {tuple(r)[:3]: list(r)[3:] for r in roll.totals().collect()} == want

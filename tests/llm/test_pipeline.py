@@ -55,8 +55,51 @@ def test_stages_on_a_planted_corpus(spark):
 def test_registered():
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    for k in range(1, 11):
+    for k in range(1, 14):
         assert sum(n.startswith(f"op{k}_") for n in names) == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "ngram_jaccard_join", "suffix_array_dedup", "mixing_sources", "best_fit_packing",
     ]
+
+
+CLASH = {"kept": False, "base_failed": True, "n_words": 3, "n_removed": 9, "kept_text": "old", "size": 5, "taken": 6, "target": 7.5, "repetition": 8,
+         "turn": "t", "n_shingles": 1, "component_id": 2, "id": 77, "h": "hh", "piece": 4, "bin": 3, "fill": 2, "length": 1}
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Extra columns named like the operators' own come out of every stage as they went in."""
+    rng = np.random.default_rng(10)
+    vocab = ["".join(rng.choice(list("abcdefghijkl"), 4)) for _ in range(2000)]
+    rows = [(k, " ".join(rng.choice(vocab, 80)), "en", "s0", 1, *CLASH.values()) for k in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+        f"{c} " + {bool: "boolean", int: "int", float: "double", str: "string"}[type(v)] for c, v in CLASH.items()
+    )
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.schema["size"].dataType == docs.schema["size"].dataType, name
+        found = out.collect()
+        assert {r["doc_id"] for r in found} == set(range(20)), name
+        assert all(r[c] == v for r in found for c, v in CLASH.items()), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert packed.count() == 20
+
+
+def test_stages_on_nothing_and_on_nulls(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (3, None, "en", "s", None), (3, None, "en", "s", None)], schema)
+    left = {"quality_rules": 0, "ngram_jaccard_join": 4, "suffix_array_dedup": 4, "mixing_sources": 0, "best_fit_packing": 4}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+        assert stage(spark, odd, "").count() == left[name], name
+
+
+def test_repeated_ids_in_the_join_stage(spark):
+    """Exact copies under one id leave one row; another text under it stays."""
+    rng = np.random.default_rng(11)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(2))
+    rows = [(5, a), (5, a), (5, b), (1, a), (8, "short"), (8, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(1, a), (5, b), (8, "short")])
