@@ -23,48 +23,82 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject (null ids are judged like others)."""
+    """Drops the documents that the quality rules reject.
+
+    Null and empty texts go (they have under ten words); null ids and repeated rows are judged
+    like others; texts of any length are read whole; other columns come along whatever their
+    names; an empty table stays empty.
+    """
     ship(spark)
-    return quality_measures(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    judged = quality_measures(_with_row(docs, "doc_id", "text", "lang"), carry=(ROW,))
+    return judged.where("kept").select(f"{ROW}.*")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component at Jaccard 0.8 of 5-word shingles."""
+    """Keeps one document of each component at Jaccard 0.8 of 5-word shingles.
+
+    The one with the smallest id stays, of its rows with this text one. Rows without a shingle
+    (null, empty and wordless texts) and rows with a null id all stay; rows that share an id
+    but no near text are documents of their own. Texts of any length are read whole; other
+    columns come along whatever their names; an empty table stays empty.
+    """
     ship(spark)
-    found = jaccard_components(docs, width=5, num=80)
-    return one_per_component(docs, "doc_id", found).select(*docs.columns)
+    return one_per_component(docs, width=5, num=80).select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes bytes under 100-byte strings that occurred earlier; every document stays."""
+    """Removes bytes under 100-byte strings that occurred earlier; every document stays.
+
+    Null texts become empty; of equal texts the one of the smallest id (null first) stays
+    whole, and repeated rows count as later ones. Texts of any length are read whole; other
+    columns come along whatever their names; an empty table stays empty.
+    """
     ship(spark)
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = removed_bytes(docs, keep_text=True, carry=carry)
-    return _with_text(out.withColumnRenamed("kept_text", "text"), docs)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = removed_bytes(_with_row(docs, "doc_id", "text", row=rest), keep_text=True, carry=(ROW,))
+    return _with_text(out.select(f"{ROW}.*", F.col("kept_text").alias("text")), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, a fractional time as its first words.
 
-    Documents of which the mix takes no word go.
+    Documents of which the mix takes no word go, so null, empty and wordless texts do. A null
+    source is a source; rows of equal id share a draw and are taken in turn. Texts of any
+    length are read whole; other columns come along whatever their names; an empty table
+    stays empty.
     """
     ship(spark)
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
-    mixed = mix_sources(docs, carry=carry).where("taken > 0")
-    rest = F.col("taken") - F.col("repetition") * F.col("size")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, rest.cast("int"))
+    rest = [c for c in docs.columns if c != "n_chars"]
+    mixed = mix_sources(_with_row(docs, "doc_id", "text", "source", row=rest), carry=(ROW,)).where("taken > 0")
     last = F.ceil(F.col("taken") / F.col("size")).cast("long") - 1
-    repeated = mixed.withColumn("repetition", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    text = F.when(rest >= F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
-    return _with_text(repeated.withColumn("text", text), docs)
+    repeated = mixed.select(ROW, "taken", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("turn"))
+    left = F.col("taken") - F.col("turn") * F.col("size")
+    whole = F.col(f"{ROW}.text")
+    words = F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), 1, left.cast("int"))
+    text = F.when(left >= F.col("size"), whole).otherwise(F.array_join(words, " "))
+    rest.remove("text")
+    return _with_text(repeated.select(*[F.col(f"{ROW}.{c}") for c in rest], text.alias("text")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of at most 4096 tokens."""
+    """Packs all documents into sequences of at most 4096 tokens.
+
+    A null or empty text is its end token; repeated rows and null ids are packed like others;
+    longer texts are cut; other columns are not read; an empty table gives no piece.
+    """
     ship(spark)
     return pack_documents(docs, tokenizer_path())
 
 
+#: A document's own columns travel through an operator as one struct of this name.
+ROW = "__document"
+
+
+def _with_row(docs: DataFrame, *needed: str, row: list[str] | None = None) -> DataFrame:
+    """The columns an operator reads, and those to keep as one struct, so that no name can clash."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in row or docs.columns]).alias(ROW))
+
+
 def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, n_chars being that of the present text."""
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
