@@ -64,26 +64,37 @@ def _pairs(spark, sf_dir):
     return ag.pair_counts(_line_long(spark, sf_dir), "l_orderkey", "reader", roster=line_roster(spark, sf_dir))
 
 
-def repeated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long ratings in which raters repeat themselves: lines 1-6 are rated by three people
-    (lines 1 and 4 by ``r1`` and so on), line 7 by the model; nothing is de-duplicated."""
+def _repeating_frame(spark, sf_dir) -> DataFrame:
     frame = _line_frame(table(spark, sf_dir, "lineitem"))
     person = F.regexp_extract("reader", "^r([0-9])$", 1).try_cast("int")
-    frame = frame.withColumn("reader", F.when(person.isNull(), F.col("reader")).otherwise(
+    return frame.withColumn("reader", F.when(person.isNull(), F.col("reader")).otherwise(
         F.concat(F.lit("r"), ((person - 1) % 3 + 1).cast("string"))))
+
+
+def _repeating_roster(spark, sf_dir) -> DataFrame:
+    """Raters by name alone: one column of the lines, not the chain of ratings."""
+    return _repeating_frame(spark, sf_dir).select("reader").distinct()
+
+
+def repeated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long ratings in which raters repeat themselves: lines 1-6 are rated by three people
+    (lines 1 and 4 by ``r1`` and so on), line 7 by the model; nothing is de-duplicated."""
+    frame = _repeating_frame(spark, sf_dir)
     kept = ag.rating_union([frame], "l_orderkey", "reader", ROW_ORDER, dedupe=False)
     return ag.long_ratings(kept, "l_orderkey", "reader", CATS)
 
 
 def q_pairwise_agreement_dup(spark, sf_dir):
     """Pair counts over ratings that keep repeated rows of a rater."""
-    return ag.pair_counts(repeated_ratings(spark, sf_dir), "l_orderkey", "reader")
+    ratings = repeated_ratings(spark, sf_dir)
+    return ag.pair_counts(ratings, "l_orderkey", "reader", roster=_repeating_roster(spark, sf_dir))
 
 
 def q_percent_agreement_dup(spark, sf_dir):
     """Percent agreement over the orders that both raters rated exactly once."""
     once = ag.single_ratings(repeated_ratings(spark, sf_dir), "l_orderkey", "reader")
-    p = ag.percent_agreement(ag.pair_counts(once, "l_orderkey", "reader"), MODEL_PATTERN)
+    pairs = ag.pair_counts(once, "l_orderkey", "reader", roster=_repeating_roster(spark, sf_dir))
+    p = ag.percent_agreement(pairs, MODEL_PATTERN)
     return p.select("pair", "category", r6("percent_agreement").alias("percent_agreement"), "pair_type")
 
 

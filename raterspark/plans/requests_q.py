@@ -45,10 +45,10 @@ def q_build_requests(spark, sf_dir):
 def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON response line (``value``) per conversation turn."""
     conv = table(spark, sf_dir, "conversations")
-    first_word = F.regexp_extract("text", r"^\s*(\S+)", 1)
+    words = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), '", "')
     answer = (
         F.when(F.col("role") == "assistant",
-               F.concat(F.col("text"), F.lit('\noutput_json\n{"label": ["'), first_word, F.lit('"]}')))
+               F.concat(F.col("text"), F.lit('\noutput_json\n{"label": ["'), words, F.lit('"]}')))
         .when(F.col("role") == "user", F.concat(F.col("text"), F.lit(" {'label': '"), F.col("role"), F.lit("'}")))
         .otherwise(F.col("text"))
     )
@@ -163,7 +163,7 @@ FROM d""",
 WITH c AS (
   SELECT CAST(conv_id AS VARCHAR) AS custom_id, CAST(turn AS INTEGER) AS choice_index,
          CASE WHEN role = 'assistant'
-                THEN text || chr(10) || 'output_json' || chr(10) || '{"label": ["' || regexp_extract(text, '^\\s*(\\S+)', 1) || '"]}'
+                THEN text || chr(10) || 'output_json' || chr(10) || '{"label": ["' || array_to_string(regexp_extract_all(text, '[A-Za-z]+'), '", "') || '"]}'
               WHEN role = 'user' THEN text || ' {''label'': ''' || role || '''}'
               ELSE text END AS content
   FROM conversations),

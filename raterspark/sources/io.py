@@ -63,14 +63,15 @@ def read_r_csv(
     decimal: str = ".",
     source_col: str | None = None,
     blank_as_null: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header, read as strings and typed by ``schema`` (R missing-value rule).
 
     Columns are taken by header name, in any order: a schema name matches a header as it
     stands or as R spells it (``Income group`` -> ``Income.group``, ``2015`` -> ``X2015``).
-    A name that no header has is an error. ``multi_line=False`` lets Spark split a file
-    whose quoted fields hold no line breaks.
+    A name that no header has is an error. A file whose quoted fields hold line breaks is read
+    by one task, any other is split; which it is, is found out by a pass over the lines (a
+    record spans lines only where one has an odd number of quotes) unless ``multi_line`` says.
 
     ``blank_as_null=True`` reads a blank string field as NULL (the pandas reader's rule)
     instead of ''.
@@ -78,6 +79,9 @@ def read_r_csv(
     ``source_col`` adds the input file name, so files of several models (one per model)
     are read in one scan and grouped by a column instead of looped over.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     raw = (
         spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).option("nullValue", "\u0000NA\u0000").option("emptyValue", "")

@@ -62,27 +62,24 @@ def start_vote_counts(
     checkpoint_path: str,
     key: str,
     query_name: str,
+    table_path: str,
     label_col: str = "label_clean",
     available_now: bool = True,
-    table_path: str | None = None,
 ) -> StreamingQuery:
     """Running (custom_id, label) -> n votes, first choice index, kept in state (complete
     mode; one row per item and label, bounded by items x distinct labels).
 
-    Without ``table_path`` the counts are published to an in-memory table named
-    ``query_name`` (for inspection); with it, every trigger rewrites the current counts
-    as a Parquet table at ``table_path`` (``foreachBatch``)."""
+    Every trigger rewrites the current counts as a Parquet table at ``table_path``, from the
+    executors; no count passes through the driver."""
     rows = answered(ingest_responses(response_stream(spark, source_path), key))
     counts = rows.groupBy("custom_id", label_col).agg(
         F.count(F.lit(1)).alias("n_votes"), F.min("choice_index").alias("first_choice")
     )
-    if table_path is None:
-        writer = counts.writeStream.format("memory").queryName(query_name)
-    else:
-        def write_batch(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(table_path)
 
-        writer = counts.writeStream.foreachBatch(write_batch).queryName(query_name)
+    def write_batch(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(table_path)
+
+    writer = counts.writeStream.foreachBatch(write_batch).queryName(query_name)
     writer = writer.outputMode("complete").option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -35,9 +35,10 @@ def test_incremental_ingest_and_votes(spark):
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(base, "out")).count() == 5
 
-    v = start_vote_counts(spark, src, os.path.join(base, "ck2"), "inclusion", "vote_counts_test")
+    counts = os.path.join(base, "counts")
+    v = start_vote_counts(spark, src, os.path.join(base, "ck2"), "inclusion", "vote_counts_test", counts)
     v.awaitTermination(120)
-    modes = rows(mode_from_counts(spark.table("vote_counts_test")), "custom_id", "label_mode", "n_votes")
+    modes = rows(mode_from_counts(spark.read.parquet(counts)), "custom_id", "label_mode", "n_votes")
     # Item 2: the answer without a JSON block is a blank vote ('') and ties with
     # 'excluded'; the first-seen value wins.
     assert modes == [("1", "included", 3), ("2", "", 2)]
