@@ -1,6 +1,7 @@
 """Blocks of documents that exchange packed keys through buckets.
 
-A *block* is the documents whose id hashes to it (some megabytes of text). Blocks send
+A *block* is the documents whose id and text hash to it (some megabytes of text), so rows that
+share an id, or have none, spread over the blocks. Blocks send
 their distinct keys, packed as binary columns, to *buckets* (a hash of the key); a bucket
 sees each key once per block that has it, however hot the key, and answers the blocks. Both
 counts grow with the text, so the size of either does not.
@@ -30,8 +31,8 @@ def sizes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     return max(1, -(-chars // BLOCK_CHARS)), max(1, -(-chars // BUCKET_CHARS))
 
 
-def block_of(id_col: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks))
+def block_of(id_col: str, text_col: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks))
 
 
 def messages(rows: list[tuple]) -> pa.Table:

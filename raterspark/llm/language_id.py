@@ -27,6 +27,8 @@ _LETTER = K.LOWER.copy()
 _LETTER[:128][~np.isin(np.arange(128), [*range(65, 91), *range(97, 123)])] = 32
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Counters (texts x cells) a chunk may take to count its trigrams; beyond, they are sorted.
+DENSE = 1 << 23
 
 
 def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +164,12 @@ def identify_languages(
                 for k in np.flatnonzero(~letters).tolist():
                     letters[k] = any(c.isalpha() for c in part[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
                 row, cell = trigrams(part, at)
-                dense = np.bincount(row * CELLS + cell, minlength=n * CELLS)
-                entry = np.flatnonzero(dense)
+                if n * CELLS > DENSE:  # many short texts
+                    entry, times = np.unique(row * CELLS + cell, return_counts=True)
+                else:
+                    dense = np.bincount(row * CELLS + cell, minlength=n * CELLS)
+                    entry = np.flatnonzero(dense)
+                    times = dense[entry]
                 doc = entry // CELLS
                 some = np.unique(doc)
                 pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
@@ -172,7 +178,7 @@ def identify_languages(
                     pred[k], score[k] = langs[common], 1 / len(langs)  # letters, but not three bytes
                     sets[k], shares[k] = [langs[common]], [1.0]
                 if len(some) and langs:
-                    share, posterior = infer(np.searchsorted(doc, some), dense[entry], entry % CELLS, theta, penalty, rounds)
+                    share, posterior = infer(np.searchsorted(doc, some), times, entry % CELLS, theta, penalty, rounds)
                     top = share.argmax(axis=1)
                     for k, s, m, q in zip(some.tolist(), share, top.tolist(), posterior.tolist(), strict=True):
                         if letters[k]:

@@ -150,11 +150,12 @@ def score_documents(
     the text with A-Z lower-cased, then one end; null and empty texts are the end alone.
     base_score is add-one unigram, score the mixture's; both are log10 of the whole text.
     With no training rows every token has the uniform probability 1. Repeated ids and rows
-    with a null id are scored like any other; an empty table gives none.
+    with a null id are scored like any other and spread by their texts; texts of any length
+    are read whole; other columns are not read, whatever their names; an empty table gives none.
     """
     blocks, buckets = sizes(docs, text_col)
     texts = docs.select(
-        block_of(id_col, blocks).alias("block"),
+        block_of(id_col, text_col, blocks).alias("block"),
         F.col(id_col).alias("i"),
         F.col(text_col).alias("t"),
         F.coalesce(train, F.lit(False)).alias("train"),

@@ -165,13 +165,14 @@ def removed_bytes(
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller id,
     or in the same text before. Strings are judged on the input and never cross texts. Null
-    and empty texts have no bytes; a null id comes before all others, rows of equal id in the
-    order of their texts. ``kept_text`` is the remaining bytes as text, a character cut apart
-    by a removal being dropped. Other columns are ignored; an empty table gives none.
+    and empty texts have no bytes; a null id comes before all others, rows of equal id in one
+    fixed order (of the block that their text hashes to, then of the texts). ``kept_text`` is
+    the remaining bytes as text, a character cut apart by a removal being dropped. Texts of any
+    length are read whole; other columns are ignored; an empty table gives none.
     """
     blocks, buckets = sizes(docs, text_col)
     texts = docs.select(
-        block_of(id_col, blocks).alias("block"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"),
+        block_of(id_col, text_col, blocks).alias("block"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"),
         *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
     )
 
@@ -235,8 +236,9 @@ def removed_bytes(
         return messages(rows)
 
     def resolve(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist() if r["kind"] == 3]
-        out = [tuple(r.values()) for r in table.to_pylist() if r["kind"] == 2]
+        given = table.sort_by("block").to_pylist()  # rows of equal id in the same order as before
+        rows = [r for r in given if r["kind"] == 3]
+        out = [tuple(r.values()) for r in given if r["kind"] == 2]
         if rows:
             name = np.concatenate([np.frombuffer(r["a"], _U) for r in rows])
             doc = np.concatenate([unsqueeze(r["b"], r["n"]) for r in rows])

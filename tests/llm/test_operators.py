@@ -172,19 +172,72 @@ def test_lm_scores(corpus, monkeypatch):
     assert score_documents(df.limit(0), F.lit(True), F.lit(False)).count() == 0
 
 
-def test_language_model_sums_to_one(spark):
-    """P(w | h) over the known words and one unknown is 1 for a context seen in training."""
+def brute_language_model(texts, train, deleted):
+    """P(word | context), counts kept in plain dictionaries; END and START are None and ()."""
+    from collections import Counter
+
+    from raterspark.llm import language_model as lm
+
+    tokens = [WORD.findall((t or "").encode().lower()) + [None] for t in texts]
+    uni, bi, uni_d, bi_d = Counter(), Counter(), Counter(), Counter()
+    for ts, a, d in zip(tokens, train, deleted, strict=True):
+        if a:
+            uni.update(ts)
+            bi.update(zip([(), *ts], ts))
+        if a and d:
+            uni_d.update(ts)
+            bi_d.update(zip([(), *ts], ts))
+    n, v = sum(uni.values()), len(uni)
+    ctx = lambda c, h: c[None] if h == () else c[h]
+    cells = Counter()
+    for ts, a, d in zip(tokens, train, deleted, strict=True):
+        for h, w in zip([(), *ts], ts) if a and d else ():
+            c = ctx(uni, h) - ctx(uni_d, h)
+            p2 = (bi[h, w] - bi_d[h, w]) / max(c, 1)
+            p1 = (uni[w] - uni_d[w]) / max(n - sum(uni_d.values()), 1)
+            cells[tuple(int(lm.context_bucket(np.array([c]))[0]) if k == 0 else int(lm.bins(np.array([x]))[0]) for k, x in enumerate((c, p2, p1)))] += 1
+    keys = sorted(cells)
+    cols = [np.array([k[x] for k in keys], np.int64) for x in range(3)]
+    weights = lm.learn_weights(*cols, np.array([cells[k] for k in keys]), v)
+
+    def prob(h, w):
+        c = ctx(uni, h)
+        a, b, u = weights[int(lm.context_bucket(np.array([c]))[0])] * [c > 0, n > 0, 1]
+        return (a * bi[h, w] / max(c, 1) + b * uni[w] / max(n, 1) + u / (v + 1)) / (a + b + u)
+
+    return tokens, prob, set(uni)
+
+
+def test_lm_score_against_dictionaries(corpus, monkeypatch):
+    """The score of every text is the mixture's, and the mixture sums to one over the known
+    words and one unknown, in every context."""
+    monkeypatch.setattr(_blocks, "BLOCK_CHARS", 30_000)
+    monkeypatch.setattr(_blocks, "BUCKET_CHARS", 20_000)
+    rows, df = corpus
+    crc = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
+    ids = [r[0] for r in rows]
+    tokens, prob, known = brute_language_model([r[1] for r in rows], [crc(i) != 2 for i in ids], [crc(i) == 3 for i in ids])
+    want = sorted((i or -1, round(sum(np.log10(prob(h, w)) for h, w in zip([(), *ts], ts)), 5)) for i, ts in zip(ids, tokens, strict=True))
+    out = score_documents(df, fold("doc_id", 7) != 2, fold("doc_id", 7) == 3).collect()
+    got = sorted((r["doc_id"] or -1, round(r["score"], 5)) for r in out)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-6, atol=1e-4)
+    for h in [(), *sorted(known - {None})[:20], b"never seen"]:
+        assert abs(sum(prob(h, w) for w in known) + prob(h, b"no such word") - 1) < 1e-9
+
+
+def test_rows_without_an_id_spread_over_blocks(spark, monkeypatch):
+    """A table whose rows share a null id: several blocks, every row scored and cut."""
     ship(spark)
-    texts = ["a b", "a c", "b a", "a b c", "c"]
-    train = [(k, t) for k, t in enumerate(texts * 8)]
-    probe = [(1000 + k, f"a {w}".strip()) for k, w in enumerate(["a", "b", "c", "", "zzz"])]
-    df = spark.createDataFrame(train + probe, "doc_id long, text string")
-    out = score_documents(df, F.col("doc_id") < 1000, F.col("doc_id") % 5 == 3)
-    score = {r["doc_id"]: r["score"] for r in out.collect()}
-    # log P(a) P(w|a) P(end|w); P(end|w) differs, so compare through the texts "w"
-    single = spark.createDataFrame(train + [(2000 + k, w) for k, w in enumerate(["a", "b", "c"])], "doc_id long, text string")
-    assert all(np.isfinite(x) for x in score.values()) and score_documents(single, F.col("doc_id") < 1000, F.lit(False)).count() == 43
-    assert score[1004] < score[1001]  # an unknown word is less likely than a seen one
+    monkeypatch.setattr(_blocks, "BLOCK_CHARS", 5_000)
+    monkeypatch.setattr(_blocks, "BUCKET_CHARS", 5_000)
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(60)]
+    df = spark.createDataFrame([(None, t) for t in texts + texts[:5]], "doc_id long, text string")
+    assert df.select(_blocks.block_of("doc_id", "text", 8).alias("b")).distinct().count() > 4
+    cut = removed_bytes(df).collect()
+    assert len(cut) == 65 and sorted(r["n_removed"] for r in cut)[-6:] == sorted([0] + [len(t) for t in texts[:5]])
+    assert len(score_documents(df, F.lit(True), fold("doc_id", 7) == 3).collect()) == 65
 
 
 def test_vectors(spark):
@@ -570,3 +623,136 @@ def test_token_counts_of_all_versions(spark, corpus):
             x[0] += 1
             x[1] += n
     assert {tuple(r)[:3]: list(r)[3:] for r in roll.totals().collect()} == want
+
+
+def test_language_mixture_against_plain_em(spark, monkeypatch):
+    """Model, choice of languages and proportions, one document and one number at a time."""
+    from collections import Counter
+    from math import exp, log
+
+    from raterspark.llm import language_id as li
+
+    ship(spark)
+    rng = np.random.default_rng(18)
+    words = {"en": ["the", "with", "which", "thing"], "de": ["und", "nicht", "schön", "über"], "fr": ["les", "été", "dans", "où"]}
+    make = lambda x, n: " ".join(rng.choice(words[x], n))
+    rows = [(k, make(x, 12), x) for k, x in enumerate(["en", "de", "fr"] * 20)]
+    rows += [(100 + k, make("en", 5 + k) + " " + make("de", 12) + " " + make("fr", 4 * (k % 3)), None) for k in range(12)]
+    rows += [(200, "ab", None), (201, "Q" * 20000 + " the with", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return Counter(li.trigrams(raw, np.array([0, len(raw)]))[1].tolist())
+
+    learned = [r for r in rows if r[2] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 0]
+    langs = ["de", "en", "fr"]
+    counts = {x: sum((grams(t) for _, t, y in learned if y == x), Counter()) for x in langs}
+    theta = lambda x, c: (counts[x][c] + 0.5) / (sum(counts[x].values()) + 0.5 * li.CELLS)
+    for dense in (1 << 23, 0):
+        monkeypatch.setattr(li, "DENSE", dense)
+        got = {r["doc_id"]: r for r in identify_languages(df, fold("doc_id", 5) != 0).collect()}
+        for i, text, _ in rows:
+            g = grams(text)
+            n = sum(g.values())
+            if not n:
+                assert got[i]["lang_pred"] in langs
+                continue
+            single = {x: sum(k * log(theta(x, c)) for c, k in g.items()) for x in langs}
+            best = max(langs, key=single.get)
+            share, reached = {best: 1.0}, single[best]
+            while len(share) < len(langs):
+                mixed = {c: sum(s * theta(x, c) for x, s in share.items()) for c in g}
+                new = max((x for x in langs if x not in share), key=lambda x: sum(k * theta(x, c) / mixed[c] for c, k in g.items()))
+                pi = {**{x: 0.8 * s for x, s in share.items()}, new: 0.2}
+                for _ in range(8):
+                    mixed = {c: sum(s * theta(x, c) for x, s in pi.items()) for c in g}
+                    pi = {x: sum(k * s * theta(x, c) / mixed[c] for c, k in g.items()) / n for x, s in pi.items()}
+                value = sum(k * log(sum(s * theta(x, c) for x, s in pi.items())) for c, k in g.items())
+                if value - reached <= 4.0 * log(n + 1):
+                    break
+                share, reached = pi, value
+            r = got[i]
+            assert sorted(r["languages"]) == sorted(share)
+            assert all(abs(p - share[x]) < 1e-6 for x, p in zip(r["languages"], r["proportions"], strict=True))
+            top = max(share, key=share.get)
+            sure = 1 / sum(exp(min(s - single[best], 0)) for s in single.values())
+            assert r["lang_pred"] == top and abs(r["score"] - min(1.0, share[top] * sure)) < 1e-6
+
+
+def test_quality_distances_against_plain_counts(spark):
+    """Both Jensen-Shannon distances and the verdict, from plain counters and the formulas."""
+    from collections import Counter
+    from math import log2, sqrt
+
+    from raterspark.llm import quality as q
+
+    ship(spark)
+    rng = np.random.default_rng(19)
+    vocab = {x: [f"{x}{k:03d}" for k in range(300)] for x in ("en", "de")}
+    weight = 1 / np.arange(1, 301)
+    make = lambda x, n: " ".join(rng.choice(vocab[x], n, p=weight / weight.sum()))
+    rows = [(k, make(x, int(rng.integers(30, 400))), x) for k, x in enumerate(["en", "de"] * 30)]
+    rows += [(100, make("de", 300), "en"), (101, "#$%& " * 80 + make("en", 60), "en"), (102, make("en", 200), None), (103, "ÀÉ Ünï " * 90, "en"), (104, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cell = lambda w: int(K.span_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), lower=True)[0] % np.uint64(q.WORD_CELLS))
+
+    def histograms(text):
+        raw = (text or "").encode()
+        kinds = Counter()
+        for byte in raw:
+            if byte >= 192:
+                kinds["multi"] += 1
+            elif byte < 128:
+                kinds[next((k for k, members in enumerate(q.CLASSES) if byte in members), "other")] += 1
+        return kinds, Counter(cell(w) for w in WORD.findall(raw))
+
+    total = {x: [sum((histograms(t)[k] for _, t, y in rows if y == x), Counter()) for k in (0, 1)] for x in ("en", "de")}
+    common = {x: dict(sorted(t[1].items(), key=lambda c: (-c[1], c[0]))[: q.COMMON_WORDS]) for x, t in total.items()}
+
+    def js(p, r):
+        p, r = ({k: n / sum(h.values()) for k, n in h.items()} for h in (p, r))
+        mid = {k: (p.get(k, 0) + r.get(k, 0)) / 2 for k in p.keys() | r.keys()}
+        return sqrt(max(0.0, sum(h.get(k, 0) * log2(h.get(k, 0) / m) for h in (p, r) for k, m in mid.items() if h.get(k, 0)) / 2))
+
+    def rest(words, kept, of):
+        return {**{c: n for c, n in words.items() if c in kept}, "rest": of - sum(n for c, n in words.items() if c in kept)}
+
+    got = {r["doc_id"]: r for r in quality_measures(df).collect()}
+    for i, text, lang in rows:
+        kinds, words = histograms(text)
+        n, r = sum(words.values()), got[i]
+        if n < 50:
+            assert r["char_distance"] is None and r["word_distance"] is None
+            continue
+        among = [lang] if lang else ["en", "de"]
+        char = min(js(kinds, total[x][0]) for x in among)
+        word = min(js(rest(words, common[x], n), rest(total[x][1], common[x], sum(total[x][1].values()))) for x in among)
+        assert abs(r["char_distance"] - char) < 1e-9 and abs(r["word_distance"] - word) < 1e-9
+        far = char > 0.20 + 1.2 / sqrt(n) or word > 0.32 + 2.2 / sqrt(n) or (r["common_ratio"] is not None and r["common_ratio"] < 0.25)
+        assert r["kept"] == (not r["base_failed"] and not far)
+    assert not got[100]["kept"] and not got[103]["kept"]
+
+
+def test_log_odds_and_extreme_value_rate_by_definition():
+    rng = np.random.default_rng(20)
+    n0, n1 = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    keep = n0 + n1 > 0
+    n0, n1 = n0[keep], n1[keep]
+    total = np.array([40_000.0, 9_000.0])
+    got = log_odds(n0, n1, total, 30000.0, 3.0, 1.0)
+    for a, b, s in zip(n0.tolist(), n1.tolist(), got.tolist(), strict=True):
+        prior = (a + b) * 30000.0 / (total.sum() + toxicity.UNSEEN)
+        y0, y1 = a + prior, b + prior
+        even = np.log((total[1] + 30000.0 - y1) / (total[0] + 30000.0 - y0))
+        loss = lambda t, y0=y0, y1=y1: (y1 * np.log(y1 / (y0 + y1)) + y0 * np.log(y0 / (y0 + y1))) - (y1 * t - (y0 + y1) * np.logaddexp(0, t))
+        if 2 * loss(even) <= 9:
+            assert s == -1.0
+        else:  # the point of the interval nearest to even odds
+            t = even + s + 1.0
+            assert abs(2 * loss(t) - 9) < 1e-6 and min(even, np.log(y1 / y0)) < t < max(even, np.log(y1 / y0))
+    background = np.append(n0 + 0.5, total[0] - n0.sum())
+    scores = np.append(got, -1.0)
+    rate = toxicity.extreme_value_rate(scores, background)
+    p = (background + 1e-9) / (background + 1e-9).sum()
+    assert rate > 0 and abs((p * np.exp(rate * scores)).sum() - 1) < 1e-6
