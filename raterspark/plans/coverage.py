@@ -164,9 +164,7 @@ def _geo(spark, sf_dir) -> DataFrame:
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("n_code"), "r_name"
     )
-    override = geo.sparkSession.range(1).select(
-        F.lit(REGION_OVERRIDE["nation"]).alias("n_code"), F.lit(REGION_OVERRIDE["region"]).alias("r_name")
-    )
+    override = spark.createDataFrame([tuple(REGION_OVERRIDE.values())], "n_code int, r_name string")
     return lk.apply_overrides(geo, override, "n_code", "r_name")
 
 

@@ -26,22 +26,14 @@ def test_oracle_keys_are_queries():
     assert set(ORACLE) <= set(QUERIES)
 
 
-# Queries whose plan contains the regex pattern match of name conformance (a nested
-# loop join of DISTINCT unmatched names against the small pattern table).
-PATTERN_JOIN = {"conform_names", "fact_explode", "fact_explode_years", "entity_summary", "source_split",
-                "group_totals", "survey_share_by_group"}
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs_with_a_scalable_plan(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     assert len(df.columns) == len(set(df.columns))
     names = node_names(df)
     # no row-at-a-time Python UDF, no Arrow UDF column
-    for node in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert not names[node], node
-    if name not in PATTERN_JOIN:
-        assert not names["BroadcastNestedLoopJoin"]
 
 
 def test_guard_sees_below_scalar_subqueries_and_caches(spark):
