@@ -400,13 +400,16 @@ def linked_classes(
     docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(described rows, classes, links): classes (id, doc, copies, k1, k2, n, sign, prefix) are the
-    distinct sets that have shingles, numbered by id, of rows with an id; doc is the smallest
-    of these; links (u, v) are class numbers, enough of them to connect all that link."""
+    distinct sets that have shingles, of rows with an id; doc is the smallest of these ids, and
+    id a number in the order of doc, so that near copies meet their earliest one in round one;
+    links (u, v) are class numbers, enough of them to connect all that link."""
     buckets = max(1, -(-text_volume(docs, text_col) // BUCKET_CHARS))
     rows = materialize(described(docs, id_col, text_col, width, num, den), "described")
     keys = rows.where("id is not null and n > 0").groupBy(*_SET).agg(F.min("id").alias("doc"), F.count("*").alias("copies"))
+    keys = keys.repartitionByRange("doc", "k1").sortWithinPartitions("doc", "k1", "k2")
+    keys = materialize(keys.withColumn("id", F.monotonically_increasing_id()), "keys")
     one = rows.withColumnRenamed("id", "doc").join(keys, ["doc", *_SET]).dropDuplicates(["doc", *_SET]).drop("h")
-    classes = materialize(one.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = materialize(one, "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
         near = suffix_filter(pairs, classes, num, den)
