@@ -37,8 +37,8 @@ SIGNATURE = 64
 GROUP_ROWS = 4096
 #: Cells of the bitmap that spares texts without a candidate pair the way to verification.
 FILTER_BITS = 25
-#: Partners of one document that one verification task reads.
-VERIFY_ROWS = 512
+#: Shingles of one class's partners that one verification task reads.
+VERIFY_SHINGLES = 1 << 17
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,8 +301,8 @@ def round_two(entries: DataFrame, components: DataFrame, buckets: int, num: int,
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, dx, dy, kx, ky): pairs whose sets can be near enough, with a document and the
-    first key of both sets.
+    """(x, y, dx, dy, kx, ky, ny): pairs whose sets can be near enough, with a document and the
+    first key of both sets and the size of the second.
 
     Dropped are pairs that differ too much by their sizes in SIGNATURE ranges of the hash:
 
@@ -318,14 +318,14 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> D
             a, c = b.column(2).to_numpy(), b.column(3).to_numpy()
             most = a + c - 2 * least_overlap(a, c, num, den)
             capped = (sx == 65535).any(axis=1) | (sy == 65535).any(axis=1)
-            yield b.select(["x", "y", "dx", "dy", "kx", "ky"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
+            yield b.select(["x", "y", "dx", "dy", "kx", "ky", "ny"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
 
     both = (
         pairs.join(sides.toDF("x", "nx", "gx", "dx", "kx"), "x")
         .join(sides.toDF("y", "ny", "gy", "dy", "ky"), "y")
         .select("x", "y", "nx", "ny", "gx", "gy", "dx", "dy", "kx", "ky")
     )
-    return both.mapInArrow(run, "x long, y long, dx long, dy long, kx long, ky long")
+    return both.mapInArrow(run, "x long, y long, dx long, dy long, kx long, ky long, ny long")
 
 
 def set_keys(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -350,7 +350,7 @@ def _marked(wanted: DataFrame) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) among the pairs (x, y, dx, dy, kx, ky) of classes, by the full sets of both,
+    """Links (u, v) among the pairs (x, y, dx, dy, kx, ky, ny) of classes, by the full sets of both,
     which are read from the texts of documents dx and dy."""
     pairs = materialize(pairs, "pairs")
     bitmap = _marked(pairs.select(F.col("dx").alias("id")).union(pairs.select(F.col("dy").alias("id"))))
@@ -372,8 +372,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     texts = texts.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
     members = texts.mapInArrow(sets, "id long, k1 long, members binary").dropDuplicates(["id", "k1"])
     members = materialize(members, "sets")
-    # partners of a class are read in parts of about VERIFY_ROWS
-    parts = pairs.groupBy("x", "dx", "kx").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
+    # partners of a class are read in parts of about VERIFY_SHINGLES, at least one partner
+    parts = pairs.groupBy("x", "dx", "kx").agg(F.ceil(F.sum("ny") / VERIFY_SHINGLES).cast("int").alias("parts"))
     left = pairs.join(parts.select("x", "parts"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
     left = left.join(members.toDF("dy", "ky", "members"), ["dy", "ky"]).select("x", "part", "y", "members")
     right = parts.join(members.toDF("dx", "kx", "own"), ["dx", "kx"]).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
