@@ -95,7 +95,7 @@ def shingles(text, width):
 def test_jaccard(corpus, monkeypatch, width, num, grid):
     monkeypatch.setattr(shingle_join, "BUCKET_CHARS", 20_000)
     monkeypatch.setattr(shingle_join, "GROUP_ROWS", grid)
-    monkeypatch.setattr(shingle_join, "VERIFY_ROWS", 2)
+    monkeypatch.setattr(shingle_join, "VERIFY_SHINGLES", 100)
     rows, df = corpus
     sets = {r[0]: shingles(r[1], width) for r in rows if r[0] is not None}
     ids = sorted(sets)
