@@ -320,9 +320,10 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> D
             capped = (sx == 65535).any(axis=1) | (sy == 65535).any(axis=1)
             yield b.select(["x", "y", "dx", "dy", "kx", "ky", "ny"]).filter(pa.array((np.abs(sx - sy).sum(axis=1) <= most) | capped))
 
+    # pairs grow with the texts: joined the same way at every size, never broadcast
     both = (
-        pairs.join(sides.toDF("x", "nx", "gx", "dx", "kx"), "x")
-        .join(sides.toDF("y", "ny", "gy", "dy", "ky"), "y")
+        pairs.join(sides.toDF("x", "nx", "gx", "dx", "kx").hint("merge"), "x")
+        .join(sides.toDF("y", "ny", "gy", "dy", "ky").hint("merge"), "y")
         .select("x", "y", "nx", "ny", "gx", "gy", "dx", "dy", "kx", "ky")
     )
     return both.mapInArrow(run, "x long, y long, dx long, dy long, kx long, ky long, ny long")
@@ -375,8 +376,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     # partners of a class are read in parts of about VERIFY_SHINGLES, at least one partner
     parts = pairs.groupBy("x", "dx", "kx").agg(F.ceil(F.sum("ny") / VERIFY_SHINGLES).cast("int").alias("parts"))
     left = pairs.join(parts.select("x", "parts"), "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
-    left = left.join(members.toDF("dy", "ky", "members"), ["dy", "ky"]).select("x", "part", "y", "members")
-    right = parts.join(members.toDF("dx", "kx", "own"), ["dx", "kx"]).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    left = left.join(members.toDF("dy", "ky", "members").hint("merge"), ["dy", "ky"]).select("x", "part", "y", "members")
+    right = parts.join(members.toDF("dx", "kx", "own").hint("merge"), ["dx", "kx"]).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
 
     def check(key: tuple, theirs: pa.Table, own: pa.Table) -> pa.Table:
         x = np.frombuffer(own["own"][0].as_py(), _U)
@@ -408,7 +409,7 @@ def linked_classes(
     keys = rows.where("id is not null and n > 0").groupBy(*_SET).agg(F.min("id").alias("doc"), F.count("*").alias("copies"))
     keys = keys.repartitionByRange("doc", "k1").sortWithinPartitions("doc", "k1", "k2")
     keys = materialize(keys.withColumn("id", F.monotonically_increasing_id()), "keys")
-    one = rows.withColumnRenamed("id", "doc").join(keys, ["doc", *_SET]).dropDuplicates(["doc", *_SET]).drop("h")
+    one = rows.drop("h").withColumnRenamed("id", "doc").join(keys, ["doc", *_SET]).dropDuplicates(["doc", *_SET])
     classes = materialize(one, "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
