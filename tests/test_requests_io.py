@@ -161,3 +161,13 @@ def test_models_written_again_replace_themselves_only(spark):
     # data without a marker (a first write that failed) is not read
     spark.createDataFrame([(7, "z")], "k long, v string").write.parquet(f"{path}/data/model=d")
     assert io.read_models(spark, path, schema).count() == 3
+
+
+def test_csv_is_split_unless_a_record_spans_lines(spark):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.LongType())])
+    folder = tempfile.mkdtemp(prefix="lines-", dir="/tmp")
+    for name, body in (("plain.csv", 'b,a\n1,"x, ""y"""\n2,z\n'), ("spans.csv", 'b,a\n1,"two\nlines"\n2,z\n')):
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.write(body)
+    assert rows(io.read_r_csv(spark, f"{folder}/plain.csv", schema)) == [('x, "y"', 1), ("z", 2)]
+    assert rows(io.read_r_csv(spark, f"{folder}/spans.csv", schema)) == [("two\nlines", 1), ("z", 2)]
