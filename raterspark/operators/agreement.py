@@ -4,26 +4,32 @@ prevalence, disagreement inspection, set similarity and per-item label support.
 Scale notes.
 
 * Rater pairs are counted by blocks of raters: an item costs one row per block of raters
-  it really has and per distinct response, and blocks of one item meet each other; rows of
-  single rater pairs are never emitted per item.
+  it really has and per distinct response; pairs inside a block are products within that
+  row, and only items with several blocks are joined with themselves. Rows of single rater
+  pairs are never emitted per item.
 * The overall agreement table does not need pairs at all: per (item, variable) the
   number of agreeing pairs is ``sum_v c_v (c_v - 1) / 2`` over value counts.
 * De-duplication keeps the first row per (item, reader) with ``min_by`` in an
-  aggregate (partial aggregation before the shuffle) instead of a window, so a hot item
-  is never gathered into one task.
+  aggregate (partial aggregation before the shuffle) instead of a window, so the repeated
+  rows of a hot item are never gathered into one task.
+* The rating union leaves its rows dealt by item over ``spark.sql.shuffle.partitions``
+  parts, which adaptive execution does not merge: aggregates by item run in these small
+  parts without another exchange, so a task holds a share of the items that shrinks with
+  the number of parts and not a few parts of the advisory size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raterspark.functions.nulls import n_distinct_na, safe_div
+from raterspark.functions.nulls import safe_div
 from raterspark.functions.text import tokens
 from raterspark.operators.ordering import quantiles
 from raterspark.operators.reshape import dense_index
+from raterspark.sources.io import materialize
 
 
 def _struct(cols: Sequence[str]) -> Column:
@@ -44,28 +50,39 @@ def rating_union(
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
-    if not dedupe:
-        keep = u.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-        return u.join(keep.select(item), item, "left_semi")
-    # One pass over the rows: the first row per (item, reader) and the number of rows it
-    # stands for (partial aggregation before the shuffle). The per-item row count (taken
-    # before de-duplication, as the original did) is the sum of those counts, read from
-    # the same exchange.
+    # An item without a key is no item; it would also be one group of any size.
+    u = u.where(F.col(item).isNotNull())
     rest = [c for c in u.columns if c not in (item, reader)]
-    first = u.groupBy(item, reader).agg(
-        F.min_by(F.struct(*[F.col(c) for c in rest]), _struct(order)).alias("_row"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    keep = first.groupBy(item).agg(F.sum("_rows").alias("_n")).where(F.col("_n") >= min_rows)
-    first = first.join(keep.select(item), item, "left_semi")
-    return first.select(item, reader, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    if dedupe:
+        # One pass over the rows: the first row per (item, reader) and the number of rows it
+        # stands for (partial aggregation before the shuffle).
+        u = u.groupBy(item, reader).agg(
+            F.min_by(F.struct(*[F.col(c) for c in rest]), _struct(order)).alias("_row"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
+        rest_cols = [F.col(f"_row.{c}").alias(c) for c in rest]
+    else:
+        u = u.withColumn("_rows", F.lit(1))
+        rest_cols = [F.col(c) for c in rest]
+    # The rows per item (taken before de-duplication, as the original did) come from a window
+    # over the rows dealt by item, so the ratings are read and dealt once.
+    slots = int(u.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = u.repartition(slots, item).withColumn("_n", F.sum("_rows").over(Window.partitionBy(item)))
+    return u.where(F.col("_n") >= min_rows).select(item, reader, *rest_cols)
 
 
 def mismatches(ratings: DataFrame, item: str, cats: Sequence[str]) -> DataFrame:
     """Items where some category takes more than one value across raters.
 
     Values are distinct counts per category with NULL counted as a value."""
-    agg = ratings.groupBy(item).agg(*[n_distinct_na(c).cast("long").alias(c) for c in cats])
+    # Distinct (item, category, value) rows, then their number: several distinct counts in one
+    # aggregate would deal every row once for each of them.
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("cat"), *[F.when(F.lit(i == j), F.col(v)).alias(f"v{j}") for j, v in enumerate(cats)])
+        for i in range(len(cats))
+    ])
+    found = ratings.select(item, F.explode(cells).alias("_c")).select(item, "_c.*").distinct()
+    agg = found.groupBy(item).agg(*[F.count_if(F.col("cat") == i).alias(c) for i, c in enumerate(cats)])
     cond = None
     for c in cats:
         cond = (F.col(c) > 1) if cond is None else (cond | (F.col(c) > 1))
@@ -104,36 +121,42 @@ def single_ratings(
 _ALL, _ANSWERED, _EQUAL = 0, 1, 2
 
 
-def pair_counts(
-    long: DataFrame,
-    item: str,
-    reader: str,
-    variable: str = "variable",
-    response: str = "response",
-    block: int = 8,
-    roster: DataFrame | None = None,
+def _pairs_inside(
+    long: DataFrame, names: DataFrame, item: str, reader: str, variable: str, response: str, block: int
 ) -> DataFrame:
-    """Per (reader_1, reader_2, variable) with reader_1 < reader_2, over the pairs of their
-    rows for one item: all pairs (``n_both``), equal responses (``n_agree``), different
-    responses (``n_disagree``) and pairs with a NULL response (``n_na``). Pairs that share no
-    item are absent. A rater with several rows for an item gives a pair for each of them; use
-    :func:`single_ratings` or :func:`rating_union` first to leave those out. Rows without a
-    reader are ignored; a NULL item or variable is a value like any other.
+    """(variable, kind, block, block, slot, slot, n): pairs of raters of one block."""
+    seen = long.join(names, F.col(reader) == F.col("_reader")).select(
+        F.col(item).alias("_item"), F.col(variable).alias("_variable"),
+        F.col(response).cast("string").alias("_value"), "_blk", "_slot",
+    )
+    slots, pairs = range(block), [(s, t) for s in range(block) for t in range(s + 1, block)]
+    per_value = seen.groupBy("_item", "_variable", "_value", "_blk").agg(
+        *[F.count_if(F.col("_slot") == s).alias(f"c{s}") for s in slots]
+    )
+    answered = F.col("_value").isNotNull()
+    per_item = per_value.groupBy("_item", "_variable", "_blk").agg(
+        *[F.sum(f"c{s}").alias(f"a{s}") for s in slots],
+        *[F.sum(F.when(answered, F.col(f"c{s}")).otherwise(0)).alias(f"m{s}") for s in slots],
+        *[F.sum(F.when(answered, F.col(f"c{s}") * F.col(f"c{t}")).otherwise(0)).alias(f"e{s}_{t}") for s, t in pairs],
+    )
+    found = {_ALL: lambda s, t: F.col(f"a{s}") * F.col(f"a{t}"), _ANSWERED: lambda s, t: F.col(f"m{s}") * F.col(f"m{t}"),
+             _EQUAL: lambda s, t: F.col(f"e{s}_{t}")}
+    summed = per_item.groupBy("_variable", "_blk").agg(
+        *[F.sum(n(s, t)).alias(f"p{kind}_{s}_{t}") for kind, n in found.items() for s, t in pairs]
+    )
+    cells = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(s).alias("s"), F.lit(t).alias("t"), F.col(f"p{kind}_{s}_{t}").alias("n"))
+        for kind in found for s, t in pairs
+    ])
+    return summed.select("_variable", F.col("_blk").alias("_lo"), F.col("_blk").alias("_hi"), F.explode(cells).alias("p")).select(
+        "_variable", F.col("p.kind").alias("_kind"), "_lo", "_hi", F.col("p.s").alias("_s"), F.col("p.t").alias("_t"), F.col("p.n").alias("_n")
+    ).where(F.col("_n") > 0)
 
-    ``roster`` (a table with the ``reader`` column) can name the raters up front;
-    otherwise it is derived from the ratings.
 
-    Plan: raters get a contiguous index, hence a block and a slot -> rows counted per slot
-    for each (item, variable, response, block) that occurs -> blocks of one item meet each
-    other -> products of counts summed per pair of blocks. Nothing is collected, and any
-    number of raters takes the same path.
-    """
-    names = dense_index(
-        (long if roster is None else roster).select(F.col(reader).alias("_reader")).where(F.col("_reader").isNotNull()),
-        "_reader", "_ri",
-    ).select(
-        "_reader", F.floor(F.col("_ri") / block).alias("_blk"), (F.col("_ri") % block).cast("int").alias("_slot")
-    )
+def _pairs_across(
+    long: DataFrame, names: DataFrame, item: str, reader: str, variable: str, response: str, block: int
+) -> DataFrame:
+    """The same for raters of two blocks: the blocks of an item meet by an equi-join."""
 
     def view(kind: int, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
@@ -148,7 +171,7 @@ def pair_counts(
     ).select("_item", "_variable", F.col("_v.kind").alias("_kind"), F.col("_v.value").alias("_value"), "_blk", "_slot")
     counts = seen.groupBy(*keys, "_blk").agg(*[F.count_if(F.col("_slot") == s).alias(f"c{s}") for s in range(block)])
     lo, hi = counts.alias("lo"), counts.alias("hi")
-    same = F.col("lo._blk") <= F.col("hi._blk")
+    same = F.col("lo._blk") < F.col("hi._blk")
     for k in keys:
         same = same & F.col(f"lo.{k}").eqNullSafe(F.col(f"hi.{k}"))
     slots = [(s, t) for s in range(block) for t in range(block)]
@@ -158,13 +181,51 @@ def pair_counts(
                  F.col("lo._blk").alias("_lo"), F.col("hi._blk").alias("_hi"))
         .agg(*[F.sum(F.col(f"lo.c{s}") * F.col(f"hi.c{t}")).alias(f"p_{s}_{t}") for s, t in slots])
     )
-    flat = summed.select("_variable", "_kind", "_lo", "_hi", F.explode(F.array(*[
+    cells = F.array(*[
         F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.col(f"p_{s}_{t}").alias("n")) for s, t in slots
-    ])).alias("p")).where(
-        (F.col("p.n") > 0) & ((F.col("_lo") < F.col("_hi")) | (F.col("p.s") < F.col("p.t")))
+    ])
+    return summed.select("_variable", "_kind", "_lo", "_hi", F.explode(cells).alias("p")).select(
+        "_variable", "_kind", "_lo", "_hi", F.col("p.s").alias("_s"), F.col("p.t").alias("_t"), F.col("p.n").alias("_n")
+    ).where(F.col("_n") > 0)
+
+
+def pair_counts(
+    long: DataFrame,
+    item: str,
+    reader: str,
+    variable: str = "variable",
+    response: str = "response",
+    block: int = 8,
+    roster: DataFrame | None = None,
+) -> DataFrame:
+    """Per (reader_1, reader_2, variable) with reader_1 < reader_2, over the pairs of their
+    rows for one item: all pairs (``n_both``), equal responses (``n_agree``), different
+    responses (``n_disagree``) and pairs with a NULL response (``n_na``). Pairs that share no
+    item are absent. A rater with several rows for an item gives a pair for each of them; use
+    :func:`single_ratings` or :func:`rating_union` first to leave those out. Rows without a
+    reader are ignored; a NULL item or variable is a value like any other.
+
+    ``roster`` (a table with the ``reader`` column) can name the raters up front;
+    otherwise it is derived from the ratings.
+
+    Plan: raters get a contiguous index, hence a block and a slot, kept in a small table ->
+    rows counted per slot for each (item, variable, response, block) that occurs, then per
+    (item, variable, block), where the pairs inside the block are products of counts -> sums
+    per block. Only if there are several blocks, those of one item meet each other as well.
+    Nothing is collected, and any number of raters takes the same path.
+    """
+    names = dense_index(
+        (long if roster is None else roster).select(F.col(reader).alias("_reader")).where(F.col("_reader").isNotNull()),
+        "_reader", "_ri",
+    ).select(
+        "_reader", F.floor(F.col("_ri") / block).alias("_blk"), (F.col("_ri") % block).cast("int").alias("_slot")
     )
-    per_pair = flat.groupBy("_variable", "_lo", "_hi", F.col("p.s").alias("_s"), F.col("p.t").alias("_t")).agg(*[
-        F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("p.n"))), F.lit(0)).alias(f"_n{kind}")
+    names = materialize(names, "raters")
+    flat = _pairs_inside(long, names, item, reader, variable, response, block)
+    if not names.where(F.col("_blk") > 0).isEmpty():
+        flat = flat.unionByName(_pairs_across(long, names, item, reader, variable, response, block))
+    per_pair = flat.groupBy("_variable", "_lo", "_hi", "_s", "_t").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("_n"))), F.lit(0)).alias(f"_n{kind}")
         for kind in (_ALL, _ANSWERED, _EQUAL)
     ])
 

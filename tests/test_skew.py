@@ -4,6 +4,7 @@ before any exchange (partial aggregation), with no per-item pair rows."""
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 from test_agreement import _brute_pairs
 
 from raterspark.operators import agreement as ag
@@ -39,3 +40,45 @@ def test_hot_item_many_raters_pairs(spark):
     assert got == _brute_pairs(data)
     plan = _plan(pc)
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def _ratings(spark, raters=5):
+    rnd = random.Random(4)
+    data = [(i, f"r{r}", rnd.choice([0, 1, None]), rnd.choice([0.0, 0.5]), rnd.random()) for i in range(300) for r in range(raters)]
+    return spark.createDataFrame(data + data[:50] + [(None, "r1", 1, 0.5, 0.1)] * 3, "id int, reader string, x int, y double, pos double")
+
+
+def test_rating_union_is_dealt_by_item_once(spark):
+    """Both forms deal the rows by item over all parts (adaptive execution merged them into few
+    large ones), and aggregates by item need no further exchange or join."""
+    df = _ratings(spark)
+    for dedupe in (True, False):
+        u = ag.rating_union([df], "id", "reader", ["pos"], dedupe=dedupe)
+        assert u.count() == (1500 if dedupe else 1550)  # rows without an item belong to none
+        assert u.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plan = _plan(u.groupBy("id", "reader").count())
+        assert "Join" not in plan and plan.count("Exchange") == (2 if dedupe else 1)
+
+
+def test_mismatches_counts_without_expanding(spark):
+    df = _ratings(spark)
+    got = ag.mismatches(df, "id", ["x", "y"])
+    assert "Expand" not in _plan(got)
+    by = {}
+    for r in df.collect():
+        seen = by.setdefault(r.id, (set(), set()))
+        seen[0].add(r.x), seen[1].add(r.y)
+    want = {k: (len(x), len(y)) for k, (x, y) in by.items() if len(x) > 1 or len(y) > 1}
+    assert {r.id: (r.x, r.y) for r in got.collect()} == want
+    assert [t for _, t in got.dtypes] == ["int", "bigint", "bigint"]
+
+
+def test_one_block_of_raters_is_not_joined_with_itself(spark):
+    data = [(r.id, r.reader, "x", None if r.x is None else str(r.x)) for r in _ratings(spark).collect()]
+    df = spark.createDataFrame(data, "item int, reader string, variable string, response string")
+    joins = lambda pc: _plan(pc).count("Join ")
+    assert joins(ag.pair_counts(df, "item", "reader", block=8)) == 3  # the raters' names only
+    assert joins(ag.pair_counts(df, "item", "reader", block=4)) > 3
+    for block in (8, 4):
+        got = rows(ag.pair_counts(df, "item", "reader", block=block), "reader_1", "reader_2", "variable", "n_both", "n_agree", "n_disagree", "n_na")
+        assert got == _brute_pairs(data)
