@@ -127,6 +127,11 @@ def compose_text(title: Column | str, abstract: Column | str, *keywords: Column
     return F.concat(base, F.coalesce(kw, F.lit("")))
 
 
+#: Characters for ``translate``: what a printed list has besides its labels, and what ``\s`` matches.
+LIST_MARKS = "[]'\""
+SPACES = " \t\n\x0b\f\r"
+
+
 def strip_list_marks(col: Column | str) -> Column:
     """Remove ``[``, ``]``, single and double quotes from a printed list."""
     return F.regexp_replace(_c(col), r"[\[\]'\"]", "")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterspark.functions.nulls import safe_div
-from raterspark.functions.text import remove_spaces, strip_list_marks
+from raterspark.functions.text import LIST_MARKS, SPACES
 
 
 def _struct(cols: Sequence[str]) -> Column:
@@ -156,10 +156,10 @@ def review_list(
 
 
 def label_tokens(text: Column, blank_label: str = "Blank") -> Column:
-    """Printed label list -> array of labels: ``''`` -> [blank_label]; brackets and
-    quotes removed; split on commas; spaces removed inside each label."""
+    """Printed label list -> array of labels: ``''`` -> [blank_label]; brackets, quotes and
+    spaces removed in one pass over the text; split on commas."""
     t = F.when(text == F.lit(""), F.lit(blank_label)).otherwise(text)
-    return F.transform(F.split(strip_list_marks(t), r",\s*"), lambda x: remove_spaces(x))
+    return F.split(F.translate(t, LIST_MARKS + SPACES, ""), ",")
 
 
 def multilabel_consensus(
@@ -182,7 +182,9 @@ def multilabel_consensus(
     The one-hot step is a projection (``array_contains`` per level) because a replicate
     is one row, so the whole operator is a single partial+final aggregate on ``item``.
     """
-    toks = label_tokens(F.col(labels), blank_label)
+    # The tokens are a column of their own, so an answer is read once for all levels.
+    df = df.withColumn("_toks", label_tokens(F.col(labels), blank_label))
+    toks = F.col("_toks")
     flags = [
         F.coalesce(F.array_contains(toks, F.lit(lv)), F.lit(False)).cast("int") for lv in levels
     ]

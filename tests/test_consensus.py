@@ -153,3 +153,11 @@ def test_unknown_count_with_null_answer(spark):
     df = spark.createDataFrame([(1, 0, None), (1, 1, "['Zed']")], "id int, pos int, answer string")
     out = cs.multilabel_consensus(df, "id", ["pos"], "answer", ["A"], unknown_col="n_unknown").collect()[0]
     assert out.n_unknown == 1 and out.n_reps == 2
+
+
+def test_label_tokens_need_no_function_per_token(spark):
+    texts = ["['a b',  'c']", "", None, "[\"x\",\ty z\n,]", ",", "[ 'p',\u00a0'q' ]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    out = df.select("id", cs.label_tokens(F.col("t")).alias("toks"))
+    assert [r.toks for r in out.orderBy("id").collect()] == [["ab", "c"], ["Blank"], None, ["x", "yz", ""], ["", ""], ["p", "\u00a0q"]]
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
