@@ -242,3 +242,15 @@ def test_staged_waterfall_sees_only_the_residue(spark):
     )
     assert seen == [[(None,), (2,), (3,), (4,), (5,)], [(None,), (3,), (4,), (5,)]]
     assert lk.staged_waterfall(base, "k", "v", steps[:1]).count() == 4
+
+
+def test_signatures_are_one_small_number(spark):
+    """A signature row is the key's id and six bytes; named lengths limit the probes."""
+    left = lk._keys(spark.createDataFrame([("abcdefgh" * 5,), ("hgfedcba" * 6,)], "l string"), "l", "_lk")
+    right = lk._keys(spark.createDataFrame([("abcdefgh" * 5,), ("x" * 200,)], "r string"), "r", "_rk")
+    lengths = left.select(F.col("_lk_len").alias("_slen")).distinct()
+    sub = lk._probe_substrings(right, "_rk", "_rk_len", 4, 5, lengths)
+    assert sub.columns == ["_rk_id", "_sig"] and sub.where("_sig < 0 OR _sig >= 281474976710656").count() == 0
+    assert sub.select("_rk_id").distinct().count() == 1  # nothing is near 200 characters
+    assert lk._segments(left, "_lk", "_lk_len", 5).columns == ["_lk_id", "_sig"]
+    assert rows(lk._candidates(left, "_lk", right, "_rk", 4).select(F.col("_lk_id") == F.col("_rk_id"))) == [(True,)]
