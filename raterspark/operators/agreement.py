@@ -12,10 +12,10 @@ Scale notes.
 * De-duplication keeps the first row per (item, reader) with ``min_by`` in an
   aggregate (partial aggregation before the shuffle) instead of a window, so the repeated
   rows of a hot item are never gathered into one task.
-* The rating union leaves its rows dealt by item over ``spark.sql.shuffle.partitions``
-  parts, which adaptive execution does not merge: aggregates by item run in these small
-  parts without another exchange, so a task holds a share of the items that shrinks with
-  the number of parts and not a few parts of the advisory size.
+* The rating union leaves its rows dealt by item over parts whose number follows that of
+  the ratings (``RATINGS_PER_PART``, and at least ``spark.sql.shuffle.partitions``), and
+  which adaptive execution does not merge: aggregates by item run in these parts without
+  another exchange, so what a task holds does not grow with the tables.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ def _struct(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
+#: Ratings dealt to one part on average. The aggregates by item hold some kilobytes for each
+#: item of their part, so this bounds the memory of a task at any size of the tables.
+RATINGS_PER_PART = 150_000
+
+
 def rating_union(
     frames: Sequence[DataFrame],
     item: str,
@@ -46,12 +51,15 @@ def rating_union(
 ) -> DataFrame:
     """Union rating tables by column name, keep items with at least ``min_rows`` rows
     (counted before de-duplication), then keep the first row per (item, reader) in
-    ``order`` when ``dedupe``. The order columns are kept in the output."""
+    ``order`` when ``dedupe``. The order columns are kept in the output.
+
+    The ratings are counted once when the plan is built, for the number of parts."""
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
     # An item without a key is no item; it would also be one group of any size.
     u = u.where(F.col(item).isNotNull())
+    slots = max(int(u.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-u.count() // RATINGS_PER_PART))
     rest = [c for c in u.columns if c not in (item, reader)]
     if dedupe:
         # One pass over the rows: the first row per (item, reader) and the number of rows it
@@ -66,7 +74,6 @@ def rating_union(
         rest_cols = [F.col(c) for c in rest]
     # The rows per item (taken before de-duplication, as the original did) come from a window
     # over the rows dealt by item, so the ratings are read and dealt once.
-    slots = int(u.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     u = u.repartition(slots, item).withColumn("_n", F.sum("_rows").over(Window.partitionBy(item)))
     return u.where(F.col("_n") >= min_rows).select(item, reader, *rest_cols)
 

@@ -60,6 +60,23 @@ def test_rating_union_is_dealt_by_item_once(spark):
         assert "Join" not in plan and plan.count("Exchange") == (2 if dedupe else 1)
 
 
+def test_parts_of_a_rating_union_follow_the_ratings(spark, monkeypatch):
+    """More ratings are dealt over more parts, so a part stays as small as with few; a number
+    of parts fixed by the session gave each of them a share that grew with the tables."""
+    df = _ratings(spark)  # 1550 rows with an item, 3 without
+    parts = lambda u: u.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    want = {d: rows(ag.rating_union([df], "id", "reader", ["pos"], dedupe=d)) for d in (True, False)}
+    monkeypatch.setattr(ag, "RATINGS_PER_PART", 50, raising=False)
+    assert -(-1550 // 50) == 31 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for dedupe in (True, False):
+        u = ag.rating_union([df], "id", "reader", ["pos"], dedupe=dedupe)
+        assert u.rdd.getNumPartitions() == 31
+        assert max(r["count"] for r in parts(u)) < 150  # 8 parts held 190 on average
+        assert rows(u) == want[dedupe]
+        long = ag.long_ratings(u, "id", "reader", ["x", "y"])
+        assert _plan(ag.agreement_overall(long, "id")).count("Exchange") == (3 if dedupe else 2)
+
+
 def test_mismatches_counts_without_expanding(spark):
     df = _ratings(spark)
     got = ag.mismatches(df, "id", ["x", "y"])
