@@ -1,19 +1,29 @@
 """Record linkage: fuzzy (edit-distance) join, name conformance, overrides, waterfall.
 
-The fuzzy join is exact and uses partition-based signatures (Li, Deng, Wang, Feng,
-"Pass-Join", PVLDB 2011). Each key on the segmented side is cut into k+1 segments; a key
-within k edits contains one of them unchanged, with at most i edits before segment i and at
-most k-i after it, so only shifts within both bounds are probed. The probe side emits the
-hashes of exactly those substrings, the join is an equi-join on (length, segment, hash) and
-candidates are verified with ``levenshtein``. Keys shorter than k+1 cannot be segmented;
+The fuzzy join is exact. It works on distinct keys: their signatures are joined, candidates
+are verified with ``levenshtein``, and the pairs are joined back to the rows, so repeated keys
+are compared once. Keys are never truncated. Nothing runs while the plan is built, and the
+plan does not depend on sizes; Spark's adaptive execution chooses broadcasts. Signature rows
+carry a 64-bit key id, never the key text; rows are told apart by SHA-256 of their key.
+
+Pairs whose shorter key has at least ``_least_anchored`` characters share anchors (after
+ED-Join; Xiao, Wang, Lin, PVLDB 2008): substrings taken by their hash, wherever they stand.
+Each side emits its first anchors, in the order of their hashes, up to k+1 that no two edits
+can share: k edits leave one of them, and of two keys the one whose anchors end earlier has
+one left that the other emits too. So a key gives some tens of rows whatever its length. An
+anchor that many keys hold (boilerplate) is left out; keys that then have too few (thin keys)
+meet the others by all they have, and each other by anchors taken from all their substrings,
+shared ones last.
+
+Shorter pairs use partition-based signatures (Li, Deng, Wang, Feng, "Pass-Join", PVLDB 2011).
+Each key on the segmented side is cut into k+1 segments; a key within k edits contains one of
+them unchanged, with at most i edits before segment i and at most k-i after it, so only shifts
+within both bounds are probed. The probe side emits the hashes of exactly those substrings, the
+join is an equi-join on (length, segment, hash). Keys shorter than k+1 cannot be segmented;
 they meet keys of at most twice that length by length bucket (``strategy='band'`` does that
 for all keys: for short keys only, as each bucket is compared whole).
 
-Both work on distinct keys and join the verified key pairs back to the rows, so repeated
-keys are compared once. Keys are never truncated. Nothing runs while the plan is built, and
-the plan does not depend on sizes; Spark's adaptive execution chooses broadcasts.
-
-A segment that many keys share (boilerplate) gives many candidates and no information. Keys
+A segment that many keys share gives many candidates and no information. Keys
 with such a segment are cut into 2(k+1) segments instead and stand under the k+1 of them that
 the fewest keys share: k edits break at most k of these, so the guarantee is the same, and
 of the kept segments one is still intact with at most as many edits before it as kept
@@ -33,22 +43,75 @@ from raterspark.sources.io import materialize
 def _keys(df: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct non-NULL keys with a 64-bit id (a hash above 31 bits of length) and the length.
 
-    The id is an aggregate output of the distinct step, so filters and join constraints on
-    id and length stay above it and never drag the key expression (for example text
-    folding) into the scan filter, and every use of the keys reads the same exchange.
-    Signature rows carry the id, never the key text, so a long key is not copied into each
-    of its signature rows. Two keys sharing an id only add candidates, which the
-    verification removes.
+    The keys are dealt by id, so joins on it do not move the texts again. Texts are aggregate
+    outputs and the id is never NULL, so filters and join constraints stay above the distinct
+    step and never drag the key expression (for example text folding) into the scan filter,
+    and every use of the keys reads the same exchange. Signature rows carry the id, never the
+    key text, so a long key is not copied into each of its signature rows. Two keys sharing an
+    id only add candidates, which the verification removes.
     """
     k = F.col(key)
-    key_id = F.shiftleft(F.xxhash64(k), 31).bitwiseOR(F.length(k).cast("long"))
-    found = df.groupBy(k.alias(name)).agg(F.min(key_id).alias(f"{name}_id")).where(F.col(f"{name}_id").isNotNull())
-    return found.withColumn(f"{name}_len", F.col(f"{name}_id").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    key_id = F.shiftleft(F.xxhash64(k), 31).bitwiseOR(F.coalesce(F.length(k), F.lit(0)).cast("long"))
+    found = df.select(key_id.alias(f"{name}_id"), k.alias(name)).groupBy(f"{name}_id").agg(F.collect_set(name).alias(name))
+    found = found.select(F.explode(name).alias(name), f"{name}_id")
+    return found.withColumn(f"{name}_len", F.length(name))
+
+
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """Columns worked out once: as exploded values they are not copied into what uses them."""
+    for name, value in values.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
+#: Pieces for each of the k edits that a pair's texts are compared by before their distance.
+PIECES_FOR_ONE = 8
+
+
+def _missing_pieces(k: int) -> Column:
+    """How many pieces of the left key are not in the right one within k edits' reach of their
+    place. An edit changes one piece at most, so more than k missing ones mean more edits."""
+    a, b = F.col("_lk").cast("binary"), F.col("_rk").cast("binary")
+    pieces = F.least(F.lit(PIECES_FOR_ONE * (k + 1)), F.floor(F.octet_length("_lk") / (4 * APART)).cast("int"))
+    each = F.floor(F.octet_length("_lk") / F.greatest(pieces, F.lit(1))).cast("int")
+    reach = F.lit(4 * k)  # an edit moves what follows by a character, of at most four bytes
+
+    def missing(j: Column) -> Column:
+        piece = F.substring(a, j * each + 1, each - APART)
+        return ~F.contains(F.substring(b, F.greatest(j * each + 1 - reach, F.lit(1)), each + 2 * reach), piece)
+
+    numbers = F.when(pieces > 0, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(numbers, missing))
 
 
-def _verify(pairs: DataFrame, k: int) -> DataFrame:
-    d = F.levenshtein(F.col("_lk"), F.col("_rk"), k)
-    return pairs.select("_lk", "_rk", d.alias("_dist")).where(F.col("_dist") >= 0)
+def _common(a: str, b: str, cut: Callable[[Column, Column], Column]) -> Column:
+    """Characters that two texts share at the end that ``cut`` takes, by halving."""
+    most = F.least(F.length(a), F.length(b))
+    begin = F.struct(F.lit(0).alias("least"), most.alias("most"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.ceil((acc["least"] + acc["most"]) / 2).cast("int")
+        same = cut(F.col(a), mid) == cut(F.col(b), mid)
+        return F.struct(F.when(same, mid).otherwise(acc["least"]).alias("least"), F.when(same, acc["most"]).otherwise(mid - 1).alias("most"))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.log2(most + 2)).cast("int") + 1)
+    return F.aggregate(turns, begin, lambda acc, i: F.when(acc["least"] == acc["most"], acc).otherwise(halve(acc, i)))["least"]
+
+
+def _verify(pairs: DataFrame, lk: DataFrame, rk: DataFrame, k: int) -> DataFrame:
+    """(left key, right key, distance) of the candidate ids that are within ``k`` edits.
+
+    ``levenshtein`` takes time with the square of the length, so pairs that miss too many
+    pieces are left out before, and it gets what stands between the common ends.
+    """
+    found = pairs.join(lk.select("_lk", "_lk_id"), "_lk_id").join(rk.select("_rk", "_rk_id"), "_rk_id")
+    found = found.select("_lk", "_rk").where(_missing_pieces(k) <= k)
+    found = found.withColumn("_n", _common("_lk", "_rk", lambda t, n: F.substring(t, F.lit(1), n)))
+    rest = {c: F.substring(F.col(f"_{c}k"), F.col("_n") + 1, F.length(f"_{c}k")) for c in "lr"}
+    found = found.withColumns({f"_{c}": x for c, x in rest.items()})
+    found = found.withColumn("_n", _common("_l", "_r", lambda t, n: F.substring(t, -n, n)))
+    mid = [F.substring(F.col(c), F.lit(1), F.length(c) - F.col("_n")) for c in ("_l", "_r")]
+    return _once(found, _dist=F.levenshtein(*mid, k)).select("_lk", "_rk", "_dist").where(F.col("_dist") >= 0)
 
 
 def _band_pairs(lk: DataFrame, rk: DataFrame, k: int) -> DataFrame:
@@ -58,7 +121,7 @@ def _band_pairs(lk: DataFrame, rk: DataFrame, k: int) -> DataFrame:
         "_b", F.explode(F.sequence(F.floor(F.col("_rk_len") / w) - 1, F.floor(F.col("_rk_len") / w) + 1))
     )
     j = lb.join(rb, "_b").where(F.abs(F.col("_lk_len") - F.col("_rk_len")) <= k)
-    return j.select("_lk", "_rk")
+    return j.select("_lk_id", "_rk_id")
 
 
 def _with_bytes(keys: DataFrame, key: str, klen: str) -> DataFrame:
@@ -175,12 +238,7 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
     # fixed partition number keeps AQE from coalescing the keys before the explosion.
     slots = int(probe_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probe_spread = probe_side.repartition(slots, f"{probe_key}_id")
-    cand_ids = _candidates(long_seg, seg_key, probe_spread, probe_key, k)
-    cand = (
-        cand_ids.join(lk.select("_lk", "_lk_id"), "_lk_id")
-        .join(rk.select("_rk", "_rk_id"), "_rk_id")
-        .select("_lk", "_rk")
-    )
+    cand = _candidates(long_seg, seg_key, probe_spread, probe_key, k).select("_lk_id", "_rk_id")
     # Short keys: every key within k edits is at most 2k long, so the band join only
     # sees short probe keys.
     short_probe = probe_side.where(F.col(f"{probe_key}_len") < 2 * n)
@@ -188,7 +246,131 @@ def _segment_pairs(lk: DataFrame, rk: DataFrame, k: int, probe: str) -> DataFram
         short = _band_pairs(short_seg, short_probe, k)
     else:
         short = _band_pairs(short_probe, short_seg, k)
-    return cand.select("_lk", "_rk").unionByName(short.select("_lk", "_rk")).distinct()
+    return cand.unionByName(short)
+
+
+#: Bytes of the shortest anchors. Longer keys have longer ones, up to eight times that.
+ANCHOR_BYTES = 8
+#: Anchors by hash for each of the k+1 that a key needs, at least; a key has up to twice as many.
+ANCHORS_FOR_ONE = 3
+#: Two substrings that start so many bytes and their length apart share no character.
+APART = 3
+#: Bits of an anchor's hash; the bits above are its rank among shared ones.
+ANCHOR_BITS = 48
+
+
+def _least_anchored(k: int) -> int:
+    """Characters from which a key holds k+1 anchors that no two edits share."""
+    return (k + 1) * (ANCHOR_BYTES + APART)
+
+
+def _classed(keys: DataFrame, key: str, k: int) -> DataFrame:
+    """(id, bytes, class) of the keys that are long enough; each class is twice as long as the
+    one before. A pair meets in the class of its shorter key, so a key that is up to k longer
+    than its class begins stands in the one before as well."""
+    least = F.lit(_least_anchored(k))
+    of = lambda n: F.floor(F.log2(F.greatest(n, least) / least)).cast("int")
+    n = F.col(f"{key}_len")
+    long = keys.where(n >= least).select(F.col(f"{key}_id").alias("_id"), F.col(key).cast("binary").alias("_kb"), n.alias("_n"))
+    return long.withColumn("_c", F.explode(F.sequence(of(F.col("_n") - k), of(F.col("_n"))))).drop("_n")
+
+
+def _class_bytes() -> Column:
+    """Bytes of a class's anchors: a sixteenth to a fiftieth of its keys, so that edits can be
+    told apart, and enough for few keys to share one."""
+    doubled = F.least(F.greatest(F.col("_c") - 1, F.lit(0)), F.lit(3))
+    return F.call_function("shiftleft", F.lit(ANCHOR_BYTES), doubled)
+
+
+def _hash_limit(k: int, each: int) -> Column:
+    """The hash below which a class's shortest keys have ``each * (k + 1)`` anchors."""
+    share = F.lit(each * (k + 1) / _least_anchored(k)) / F.pow(F.lit(2.0), F.col("_c"))
+    return (F.least(share, F.lit(1.0)) * F.lit(float(2**ANCHOR_BITS))).cast("long")
+
+
+def _anchors(classed: DataFrame, limit: Column, *carry: str) -> DataFrame:
+    """(id, hash, place) of the substrings whose hash is below the limit, and for each key and
+    class a row of hash and place -1."""
+    rows = classed.withColumn("_q", _class_bytes()).withColumn("_limit", limit)
+    rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(-1), F.octet_length("_kb") - F.col("_q"))))
+    h = F.xxhash64(F.substring(F.col("_kb"), F.col("_at") + 1, F.col("_q")), F.col("_c")).bitwiseAND(F.lit(2**ANCHOR_BITS - 1))
+    rows = rows.withColumn("_h", F.when(F.col("_at") < 0, F.lit(-1).cast("long")).otherwise(h))
+    return rows.where(F.col("_h") < F.col("_limit")).select("_id", "_h", "_at", *carry)
+
+
+def _shared_anchors(sides: Sequence[DataFrame], limit: Column) -> DataFrame:
+    """Each key's anchors that over HOT_SEGMENT keys hold, and those that very many do."""
+    rows = None
+    for classed in sides:
+        own = _anchors(classed, limit).where(F.col("_h") >= 0).select("_id", "_h")
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("_h"))).where(F.col("_held") > HOT_SEGMENT)
+    very = F.when(F.col("_held") > HOT_SEGMENT**2, F.col("_h"))
+    return rows.groupBy("_id").agg(F.collect_set("_h").alias("_shared"), F.collect_set(very).alias("_very"))
+
+
+def _first_anchors(classed: DataFrame, shared: DataFrame, k: int, limit: Column, drop_shared: bool) -> DataFrame:
+    """For each key and class (id, class, anchors in order). They end with the one that makes
+    k+1 which no two edits share; all of a key that has too few (thin) stay, with a -1."""
+    none = F.array().cast("array<long>")
+    rows = classed.join(shared, "_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("_shared", "_very")}).withColumn("_key", F.monotonically_increasing_id())
+    rows = _anchors(rows, limit, "_key", "_c", "_shared", "_very")
+    if drop_shared:
+        rows = rows.where(~F.array_contains("_shared", F.col("_h")))
+        rank = F.col("_h")
+    else:
+        held = F.array_contains("_shared", F.col("_h")).cast("long") + F.array_contains("_very", F.col("_h")).cast("long")
+        rank = F.when(F.col("_h") < 0, F.col("_h")).otherwise(F.shiftleft(held, ANCHOR_BITS).bitwiseOR(F.col("_h")))
+    rows = rows.select("_id", "_key", "_c", F.struct(rank.alias("_rank"), "_at").alias("_a"))
+    keyed = rows.groupBy("_id", "_key", "_c").agg(F.sort_array(F.collect_list("_a")).alias("_all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.exists(acc["taken"], lambda t: F.abs(t - x["_at"]) < F.col("_q") + APART)
+        more = F.struct(F.array_append(acc["taken"], x["_at"]).alias("taken"), x["_rank"].alias("last"))
+        return F.when((F.size(acc["taken"]) > k) | (x["_at"] < 0) | near, acc).otherwise(more)
+
+    begin = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(-1).cast("long").alias("last"))
+    keyed = _once(keyed.withColumn("_q", _class_bytes()), _some=F.aggregate(F.slice("_all", 1, 32 * (k + 1)), begin, step))
+    enough = lambda c: F.size(F.col(c)["taken"]) > k
+    keyed = _once(keyed, _got=F.when(enough("_some"), F.col("_some")).otherwise(F.aggregate("_all", begin, step)))
+    ends = F.filter("_all", lambda x: (x["_rank"] >= 0) & (x["_rank"] <= F.col("_got")["last"]))
+    keyed = _once(keyed, _first=F.when(enough("_got"), ends).otherwise(F.col("_all")))
+    return keyed.select("_id", "_c", "_first")
+
+
+def _meet(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(left id, right id) of keys that hold one of their anchors at about the same place."""
+
+    def held(firsts: DataFrame, side: str) -> DataFrame:
+        rows = firsts.select(F.col("_id").alias(f"_{side}k_id"), F.explode("_first").alias("_a")).where(F.col("_a._rank") >= 0)
+        h = F.col("_a._rank").bitwiseAND(F.lit(2**ANCHOR_BITS - 1)).alias("_h")
+        return rows.groupBy(f"_{side}k_id", h).agg(F.min("_a._at").alias(f"_{side}from"), F.max("_a._at").alias(f"_{side}to"))
+
+    length = lambda c: F.col(c).bitwiseAND(F.lit(2**31 - 1))
+    bytes_off = 4 * k  # an edit moves what follows by a character, of at most four bytes
+    near = (F.col("_lfrom") <= F.col("_rto") + bytes_off) & (F.col("_rfrom") <= F.col("_lto") + bytes_off)
+    met = held(left, "l").join(held(right, "r"), "_h").where(near & (F.abs(length("_lk_id") - length("_rk_id")) <= k))
+    return met.select("_lk_id", "_rk_id")
+
+
+def _anchor_pairs(lk: DataFrame, rk: DataFrame, k: int) -> DataFrame:
+    """Candidate ids of the pairs whose shorter key has ``_least_anchored`` characters."""
+    sides = [_classed(lk, "_lk", k), _classed(rk, "_rk", k)]
+    limit = _hash_limit(k, ANCHORS_FOR_ONE)
+    shared = _shared_anchors(sides, limit)
+    # dealt by id once: what the keys emit and which of them are thin come from the same rows
+    firsts = [_first_anchors(c, shared, k, limit, drop_shared=True).repartition("_id") for c in sides]
+    thin = []
+    for classed, first in zip(sides, firsts):
+        # compared as a whole, so that no filter and no part of it goes below the exchange
+        few = first.select("_id", "_c", F.explode("_first").alias("_a")).where(F.col("_a") < F.struct(F.lit(0).cast("long"), F.lit(0)))
+        few = few.groupBy("_id").agg(F.collect_set("_c").alias("_thin"))
+        thin.append(classed.join(few, "_id").where(F.array_contains("_thin", F.col("_c"))).drop("_thin"))
+    shared = _shared_anchors(thin, _hash_limit(k, 8 * ANCHORS_FOR_ONE))
+    every = F.lit(2**ANCHOR_BITS)
+    rest = [_first_anchors(c, shared, k, every, drop_shared=False) for c in thin]
+    return _meet(*firsts, k).unionByName(_meet(*rest, k))
 
 
 def fuzzy_pairs(
@@ -197,18 +379,19 @@ def fuzzy_pairs(
 ) -> DataFrame:
     """Distinct (left key, right key, distance) pairs within ``max_dist`` edits.
 
-    ``probe`` names the side that emits substring hashes, of the order of (k+1)^3 rows per
-    key: name the side with fewer keys. The other side emits k+1 segment hashes per key.
+    ``probe`` names the side whose short keys emit substring hashes, of the order of (k+1)^3
+    rows per key: name the side with fewer. The other side emits k+1 segment hashes per key.
     """
     lk = _keys(left, left_key, "_lk")
     rk = _keys(right, right_key, "_rk")
     if strategy == "band":
         pairs = _band_pairs(lk, rk, max_dist)
     elif strategy == "segments":
-        pairs = _segment_pairs(lk, rk, max_dist, probe)
+        short = [x.where(F.col(f"{name}_len") < _least_anchored(max_dist) + max_dist) for x, name in ((lk, "_lk"), (rk, "_rk"))]
+        pairs = _anchor_pairs(lk, rk, max_dist).unionByName(_segment_pairs(*short, max_dist, probe))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return _verify(pairs, max_dist)
+    return _verify(pairs.distinct(), lk, rk, max_dist)
 
 
 def fuzzy_join(
@@ -233,6 +416,7 @@ def fuzzy_join(
     ``'best'`` keeps the closest right key per left key (ties: smallest right key).
     Left rows with a NULL key or no match keep NULL right columns under ``how='left'``.
     """
+    left, right = materialize(left, "fuzzy"), materialize(right, "fuzzy")
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
     if max_ratio is not None:
         longest = F.greatest(F.length("_lk"), F.length("_rk"))
@@ -241,17 +425,18 @@ def fuzzy_join(
         pairs = pairs.groupBy("_lk").agg(
             F.min(F.struct("_dist", "_rk")).alias("_m")
         ).select("_lk", F.col("_m._rk").alias("_rk"), F.col("_m._dist").alias("_dist"))
-    l_ = left.join(pairs, _key_match(left_key, "_lk"), how)
-    out = l_.join(right, _key_match(right_key, "_rk"), "left" if how == "left" else "inner")
-    return out.withColumnRenamed("_dist", distance_col).drop("_lk", "_rk")
+    pairs = pairs.select(_key_hash("_lk").alias("_lh"), _key_hash("_rk").alias("_rh"), F.col("_dist").alias(distance_col))
+    l_ = left.withColumn("_lrow", _key_hash(left_key)).join(pairs, F.col("_lrow") == F.col("_lh"), how)
+    r_ = right.withColumn("_rrow", _key_hash(right_key))
+    out = l_.join(r_, F.col("_rrow") == F.col("_rh"), "left" if how == "left" else "inner")
+    return out.drop("_lh", "_rh", "_lrow", "_rrow")
 
 
-def _key_match(row_key: str, pair_key: str) -> Column:
-    """Equality of a row's (nullable) key with a non-NULL verified key, written on
-    non-nullable expressions: a NULL row key still matches nothing, and Catalyst has no
+def _key_hash(key: str) -> Column:
+    """SHA-256 of a key, by which rows and pairs meet without moving the texts. A NULL key has
+    the empty string, which is no key's, so it matches nothing, and Catalyst has no
     ``isnotnull(key)`` to infer and push (with the whole key expression) into the scan."""
-    row = F.struct(F.col(row_key).isNull(), F.coalesce(F.col(row_key), F.lit("")))
-    return row == F.struct(F.lit(False), F.col(pair_key))
+    return F.coalesce(F.sha2(F.col(key).cast("binary"), 256), F.lit(""))
 
 
 def fuzzy_semi(
@@ -259,9 +444,10 @@ def fuzzy_semi(
     strategy: str = "segments", probe: str = "right",
 ) -> DataFrame:
     """Rows of ``left`` whose key is within ``max_dist`` edits of some right key."""
+    left, right = materialize(left, "fuzzy"), materialize(right, "fuzzy")
     pairs = fuzzy_pairs(left, right, left_key, right_key, max_dist, strategy, probe)
-    hit = pairs.select(F.col("_lk")).distinct()
-    return left.join(hit, _key_match(left_key, "_lk"), "left_semi")
+    hit = pairs.select(_key_hash("_lk").alias("_lh")).distinct()
+    return left.withColumn("_lrow", _key_hash(left_key)).join(hit, F.col("_lrow") == F.col("_lh"), "left_semi").drop("_lrow")
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:

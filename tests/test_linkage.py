@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from tools.plan_report import executed_nodes
 
 from raterspark.operators import linkage as lk
 
@@ -253,3 +254,50 @@ def test_signatures_are_one_small_number(spark):
     assert sub.columns == ["_rk_id", "_sig"] and sub.where("_sig < 0 OR _sig >= 281474976710656").count() == 0
     assert sub.select("_rk_id").distinct().count() == 1  # nothing is near 200 characters
     assert rows(lk._candidates(left, "_lk", right, "_rk", 4).select(F.col("_lk_id") == F.col("_rk_id"))) == [(True,)]
+
+
+def test_fuzzy_long_keys_of_all_classes_and_thin_keys(spark, monkeypatch):
+    """Keys of many lengths, some mostly boilerplate, periodic, of one letter or not ASCII:
+    the same pairs as comparing all of them."""
+    monkeypatch.setattr(lk, "HOT_SEGMENT", 4)
+    rnd = random.Random(12)
+    word = lambda n, al="abcdefgh ": "".join(rnd.choice(al) for _ in range(n))
+    page = word(900)
+    sides = [[], []]
+    for n in (30, 43, 44, 46, 47, 60, 87, 88, 90, 175, 177, 352, 355, 700, 1408, 2900):
+        for al in ("abcdefgh ", "aéßñ "):
+            base = word(n, al)
+            sides[0].append(base)
+            sides[1] += [_mutate(rnd, base, e) for e in (0, 2, 3, 5)]
+    for i in range(12):  # over half of the text is shared, in other places
+        own = word(300 + i)
+        sides[0].append(page[:600] + own[:150] + page[600:] + own[150:])
+        sides[1] += [_mutate(rnd, sides[0][-1], 3), page[:600] + word(300 + i)]
+    for text in ("a" * 500, "ab" * 300, "é" * 400, page):
+        sides[0].append(text)
+        sides[1] += [text, text[:-2], text + "bab", _mutate(rnd, text, 3)]
+    left = spark.createDataFrame([(s,) for s in sides[0]], "l string")
+    right = spark.createDataFrame([(s,) for s in sides[1]], "r string")
+    all_of_them = left.distinct().crossJoin(right.distinct()).select("l", "r", F.levenshtein("l", "r", 3).alias("d")).where("d >= 0")
+    want = rows(all_of_them)
+    assert len(want) > 100
+    assert rows(lk.fuzzy_pairs(left, right, "l", "r", 3), "_lk", "_rk", "_dist") == want
+
+
+def test_fuzzy_join_of_long_keys_moves_few_rows(spark):
+    """Every side shuffles some tens of rows for a long key; substrings of all lengths that may
+    match one were thousands for each right key."""
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(1500)) for _ in range(40)]
+    left = spark.createDataFrame([(i, _mutate(rnd, t, 4)) for i, t in enumerate(texts)], "i int, l string")
+    right = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "j int, r string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small tables are not broadcast
+    try:
+        out = lk.fuzzy_join(left, right, "l", "r", 15)
+        exchanges = [x for x in executed_nodes(out) if x.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = sum(x.metrics().apply("shuffleRecordsWritten").value() for x in exchanges)
+    assert moved < 80 * 400
+    assert rows(out, "i", "j") == [(i, i) for i in range(40)]
